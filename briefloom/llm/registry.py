@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from briefloom.llm import line_dedup
 from briefloom.llm.language_id import language_id_query
+from briefloom.llm.lm_scoring import lm_query
 from briefloom.llm.sentencepiece_codec import encode_query
 from briefloom.llm.token_counts import token_count_query
 from briefloom.llm.top_k import top_k_query
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": language_id_query,
         "op5_url_filter": lambda spark, d: url_filter_query(spark, d, URL_RULES),
         "op6_sentencepiece": lambda spark, d: encode_query(spark, d, tokenizer_file("piece_bpe_32k.model")),
+        "op7_lm_scoring": lm_query,
         "op8_top_k": top_k_query,
         "op10_line_dedup": line_dedup.line_dedup_query,
     }
