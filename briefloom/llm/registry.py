@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from briefloom.llm import line_dedup
+from briefloom.llm.jaccard_join import jaccard_query
 from briefloom.llm.language_id import language_id_query
 from briefloom.llm.lm_scoring import lm_query
 from briefloom.llm.sentencepiece_codec import encode_query
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_sentencepiece": lambda spark, d: encode_query(spark, d, tokenizer_file("piece_bpe_32k.model")),
         "op7_lm_scoring": lm_query,
         "op8_top_k": top_k_query,
+        "op9_jaccard_join": jaccard_query,
         "op10_line_dedup": line_dedup.line_dedup_query,
     }
 
