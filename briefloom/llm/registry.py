@@ -12,6 +12,7 @@ from briefloom.llm.jaccard_join import jaccard_query
 from briefloom.llm.language_id import language_id_query
 from briefloom.llm.lm_scoring import lm_query
 from briefloom.llm.sentencepiece_codec import encode_query
+from briefloom.llm.substring_dedup import substring_query
 from briefloom.llm.token_counts import token_count_query
 from briefloom.llm.top_k import top_k_query
 from briefloom.llm.url_filter import url_filter_query
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": lambda spark, d: token_count_query(spark, d, tokenizer_file("word_bpe_49k.json")),
         "op3_language_id": language_id_query,
+        "op4_substring_dedup": substring_query,
         "op5_url_filter": lambda spark, d: url_filter_query(spark, d, URL_RULES),
         "op6_sentencepiece": lambda spark, d: encode_query(spark, d, tokenizer_file("piece_bpe_32k.model")),
         "op7_lm_scoring": lm_query,
