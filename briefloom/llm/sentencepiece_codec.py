@@ -33,7 +33,7 @@ from briefloom.llm.common import read_table, text_slices
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NEVER = 1 << 60
-MEMO_PAIRS, MEMO_WORDS = 2_000_000, 600_000
+MEMO_PAIRS, MEMO_WORDS, SLICE = 600_000, 400_000, 8 << 20
 
 _loaded: dict[int, PieceTrie] = {}
 
@@ -230,7 +230,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
     names = list(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "_text"):
+        for batch in text_slices(batches, "_text", SLICE):
             ids, offsets = _trie(shared.value).encode([t or "" for t in batch["_text"].to_pylist()])
             pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pieces, pa.array(np.diff(offsets), pa.int64())], [*names, "pieces", "n_pieces"])
