@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from briefloom.llm import line_dedup
+from briefloom.llm.decontamination import decontamination_query
 from briefloom.llm.jaccard_join import jaccard_query
 from briefloom.llm.language_id import language_id_query
 from briefloom.llm.lm_scoring import lm_query
@@ -33,6 +34,7 @@ def tokenizer_file(name: str) -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": lambda spark, d: token_count_query(spark, d, tokenizer_file("word_bpe_49k.json")),
+        "op2_decontamination": decontamination_query,
         "op3_language_id": language_id_query,
         "op4_substring_dedup": substring_query,
         "op5_url_filter": lambda spark, d: url_filter_query(spark, d, URL_RULES),
