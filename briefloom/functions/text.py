@@ -57,7 +57,7 @@ def is_chinese(text: Column) -> Column:
 
 
 def headings(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^##\s+([^\n]{2,80})\s*$"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^##\s+([^\n]{2,80})\s*$"), 1), lambda h: F.trim(h))
 
 
 def headings_need_translation(text: Column) -> Column:
@@ -91,7 +91,7 @@ def cut_promotion(body: Column, pattern: str) -> Column:
 
 def pack_paragraphs(text: Column, limit: int) -> Column:
     """Paragraphs in order, joined into chunks of at most ``limit`` characters; a longer one is a chunk of its own."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
 
     def add(chunks: Column, part: Column) -> Column:
         last = F.element_at(chunks, -1)
