@@ -17,7 +17,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.llm.common import byte_texts, fresh_path, text_slices
@@ -84,7 +84,7 @@ def _counter(source: str, digest: str) -> WordCounter:
     return _loaded[digest]
 
 
-def content_digest(text) -> F.Column:
+def content_digest(text: Column) -> Column:
     """32 bytes that name a text up to runs of ASCII white space."""
     return F.unhex(F.sha2(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "), 256))
 
@@ -118,7 +118,10 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, cache_path: str, id_col:
 
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer_digest") == digest)
-    counts = counts.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs may append the same key
+    if not counts.groupBy("content_digest").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        # Runs at the same time may append the same key. Without such keys the join below has plain sides, so that Spark
+        # can split the partition of a text with very many copies.
+        counts = counts.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     rows = keyed.select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), "content_digest")
     out = rows.join(counts, "content_digest", "left")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "content_digest", "n_tokens")
