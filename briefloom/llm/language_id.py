@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from briefloom.llm.common import crc_bucket, read_table, text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST, EVIDENCE, SMOOTHING, MEMO_WORDS = 5, 12, 0.5, 400_000
+LONGEST, EVIDENCE, SMOOTHING, MEMO_WORDS, SLICE = 5, 12, 0.5, 250_000, 4 << 20
 
 
 def words_of(text: str) -> list[str]:
@@ -40,34 +40,42 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class BackoffModel:
-    """Log frequencies by language of words and of n-grams by length; immutable once built."""
+    """Log frequencies by language: words and n-grams name rows of one matrix."""
 
-    def __init__(self, languages: list[str], words: dict[str, list[float]], grams: dict[str, list[float]]):
-        self.languages, self.words, self.grams = languages, words, grams
+    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], table: np.ndarray):
+        self.languages, self.words, self.grams, self.table = languages, words, grams, table
 
     @classmethod
     def fit(cls, counts: Iterable[tuple[str, int, str, int]], totals: dict[tuple[str, int], int]) -> BackoffModel:
         """``counts``: (language, kind, item, n) with kind 0 for words and else the n-gram's length."""
         languages = sorted({language for language, _ in totals})
         place = {language: i for i, language in enumerate(languages)}
-        tables: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(lambda: [0] * len(languages)))
+        rows: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        cells, kinds = [], []
         for language, kind, item, n in counts:
-            tables[kind][item][place[language]] = n
-        out: dict[bool, dict[str, list[float]]] = {True: {}, False: {}}
-        for kind, table in tables.items():
-            size = np.array([totals.get((language, kind), 0) for language in languages]) + SMOOTHING * (len(table) + 1)
-            for item, row in table.items():
-                out[kind == 0][item] = np.log((np.array(row) + SMOOTHING) / size).tolist()
-        return cls(languages, out[True], out[False])
-
-    def evidence(self, word: str) -> list[float] | None:
-        """Log frequencies of a word, or of its longest known n-grams; None without evidence."""
+            at = rows[kind > 0].setdefault(item, len(kinds))
+            if at == len(kinds):
+                kinds.append(kind)
+            cells.append((at, place[language], n))
+        table = np.zeros((len(kinds), len(languages)))
+        if cells:
+            at, language, n = zip(*cells, strict=True)
+            table[list(at), list(language)] = n
+        kinds = np.array(kinds, np.int64)
+        for kind in set(kinds.tolist()):
+            own = kinds == kind
+            size = np.array([totals.get((language, kind), 0) for language in languages]) + SMOOTHING * (own.sum() + 1)
+            table[own] = np.log((table[own] + SMOOTHING) / size)
+        return cls(languages, *rows, table)
+
+    def evidence(self, word: str) -> np.ndarray | None:
+        """Log frequencies of a word, or the mean of its longest known n-grams; None without evidence."""
         if (known := self.words.get(word)) is not None:
-            return known
+            return self.table[known]
         for n in range(LONGEST, 0, -1):
             rows = [row for g in grams_of(word, n) if (row := self.grams.get(g)) is not None]
             if rows:
-                return [sum(column) / len(rows) for column in zip(*rows, strict=True)]
+                return self.table[rows].mean(axis=0)
         return None
 
 
@@ -120,7 +128,7 @@ class Predictor:
         return [self.model.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0)
 
 
-def fit_language_model(labelled: DataFrame, sample: int = 3000, share: float = 2e-6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BackoffModel:
+def fit_language_model(labelled: DataFrame, sample: int = 3000, share: float = 5e-6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BackoffModel:
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
     part = F.lit(1.0)
@@ -129,7 +137,7 @@ def fit_language_model(labelled: DataFrame, sample: int = 3000, share: float = 2
     picked = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < part * 1_000_000)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "_text"):
+        for batch in text_slices(batches, "_text", SLICE):
             words: dict[str, Counter] = defaultdict(Counter)
             for language, text in zip(batch["_lang"].to_pylist(), batch["_text"].to_pylist(), strict=True):
                 words[language].update(words_of(text))
@@ -154,12 +162,12 @@ def fit_language_model(labelled: DataFrame, sample: int = 3000, share: float = 2
 
 def predict_languages(rows: DataFrame, model: BackoffModel, text_col: str) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` to ``rows``, which must not have columns of these names."""
-    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))  # bounded by the model's shares
+    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.table))  # bounded by the model's shares
     at = rows.columns.index(text_col)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = None
-        for batch in text_slices(batches, text_col):
+        for batch in text_slices(batches, text_col, SLICE):
             predictor = predictor or Predictor(BackoffModel(*shared.value))
             names, scores = predictor.predict([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
