@@ -33,7 +33,7 @@ from briefloom.llm.common import read_table, text_slices
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NEVER = 1 << 60
-MEMO_PAIRS, MEMO_WORDS, SLICE = 600_000, 400_000, 8 << 20
+MEMO_PAIRS, MEMO_WORDS, SLICE = 400_000, 250_000, 4 << 20
 
 _loaded: dict[int, PieceTrie] = {}
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from briefloom.llm.common import byte_texts, fresh_path, text_slices
 
 #: Words that one Python worker remembers at most; beyond it, it forgets all and starts again.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 
 _loaded: dict[str, tuple] = {}
