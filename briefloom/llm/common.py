@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -93,6 +92,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(31)
     return x
 
-
-def local_path(path: str) -> str:
-    return os.path.expanduser(path)
