@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from briefloom.functions.text import blank
-
 # Patterns of a paper's title and abstract with their points; each counts once.
 PAPER_POINTS = [
     (r"\b(state[- ]of[- ]the[- ]art|sota)\b", 12),
@@ -141,6 +139,3 @@ def display_weight(content_type: Column) -> Column:
 def translate_limit(priority: Column, impact: Column) -> Column:
     return F.when((priority == "P0") | (impact >= 80), 12_000).when((priority == "P1") | (impact >= 60), 6_000).otherwise(3_000)
 
-
-def missing_text(value: Column) -> Column:
-    return blank(value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from briefloom.functions.text import blank, filled
+from briefloom.functions.text import filled
 
 # Where ids stand in URLs.
 ARXIV = r"(?i)(?:arxiv\.org/(?:abs|pdf|html)/|huggingface\.co/papers/)([0-9]{4}\.[0-9]{4,5})(?:v\d+)?"
@@ -109,5 +109,21 @@ def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def missing(title: Column, url: Column) -> Column:
-    return blank(title) | blank(url)
+def endpoint(address: Column) -> Column:
+    """An address with a scheme, and with all but the characters of URLs percent-encoded."""
+    text = F.trim(F.coalesce(address, F.lit("")))
+    full = F.when(text.rlike("(?i)^https?://"), text).otherwise(F.concat(F.lit("https://"), text))
+    out = F.replace(F.url_encode(full), F.lit("+"), F.lit("%20"))
+    for code, mark in (("%3A", ":"), ("%2F", "/"), ("%3F", "?"), ("%26", "&"), ("%3D", "="), ("%2B", "+"), ("%23", "#"), ("%7E", "~"), ("%25", "%")):
+        out = F.replace(out, F.lit(code), F.lit(mark))
+    return F.when(text == "", "").otherwise(F.replace(out, F.lit("*"), F.lit("%2A")))
+
+
+def detail_url(base: Column, day: Column) -> Column:
+    return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/?date="), F.url_encode(day))
+
+
+def pdf_url(url: Column, paper: Column) -> Column:
+    """The PDF of an arXiv id or page, or the URL itself where it names a PDF; else empty."""
+    found = F.coalesce(filled(paper), filled(arxiv_id(url)))
+    return F.when(found.isNotNull(), F.concat(F.lit("https://arxiv.org/pdf/"), found)).when(F.lower(url).rlike(r"\.pdf(?:$|\?)"), url).otherwise("")

@@ -104,3 +104,20 @@ def top_of_stratum(rows: DataFrame, stratum: Column, most: int, order: list) ->
     held = F.coalesce(stratum, F.lit(False))
     inside, outside = rows.where(held), rows.where(~held)
     return outside.unionByName(inside.orderBy(*order).limit(most))
+
+
+def keep_trending(published_ms: Column, upvotes: Column, stars: Column, least_upvotes: int, now_ms: int, fresh_days: int = 7, most_days: int = 30, hot: int = 100) -> Column:
+    """(keep, heat_keep): fresh papers stay unless voted below the least; older ones up to a month if they are hot."""
+    age = (F.lit(now_ms) - published_ms) / DAY_MS
+    outcome = lambda keep, heat: F.struct(keep.alias("keep"), heat.alias("heat_keep"))
+    no, yes = F.lit(False), F.lit(True)
+    weak = (upvotes > 0) & (upvotes < least_upvotes)
+    heated = (upvotes >= hot) | (stars >= hot)
+    return F.when(published_ms.isNull(), outcome(no, no)).when(age <= fresh_days, outcome(~weak, no)).when(age > most_days, outcome(no, no)).when(heated, outcome(yes, yes)).otherwise(outcome(no, no))
+
+
+def within_budget(rows: DataFrame, group: str, order: list, size: str, most: int) -> DataFrame:
+    """Rows of a group in order until their sizes sum up to more than the budget; the first always stays."""
+    window = Window.partitionBy(group).orderBy(*order)
+    total = F.sum(size).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"_total": total, "_nth": F.row_number().over(window)}).where((F.col("_total") <= most) | (F.col("_nth") == 1)).drop("_total", "_nth")

@@ -85,3 +85,10 @@ def capped_with_carry(rows: DataFrame, group: str, already: DataFrame, most: Col
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     met = rows.join(already, group, "left").withColumn("_place", F.coalesce("stored", F.lit(0)) + rank)
     return met.where(F.col("_place") <= most).drop("_place", "stored")
+
+
+def repo_list(repos: DataFrame, most: int, order: list, is_new: Column) -> DataFrame:
+    """The first repositories by score, of which at most three tenths, and one at least, are new."""
+    nth = F.row_number().over(Window.partitionBy("_new").orderBy(*order))
+    rows = repos.withColumn("_new", F.coalesce(is_new, F.lit(False))).withColumn("_nth", nth)
+    return rows.where(~F.col("_new") | (F.col("_nth") <= max(1, round(0.3 * most)))).orderBy(*order).limit(most).drop("_new", "_nth")

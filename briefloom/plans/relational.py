@@ -424,6 +424,24 @@ def precision_recall(spark, d):
     return reports.precision_recall(table(spark, d, "labels"), F.col("toxic") == 0, F.col("quality") == 1)
 
 
+@query("trending_keep", f"WITH {ENTRIES} SELECT doc_id, CASE WHEN age <= 7 THEN NOT (up > 0 AND up < 5) WHEN age > 30 THEN false ELSE up >= 100 END AS keep, age > 7 AND age <= 30 AND up >= 100 AS heat_keep FROM (SELECT doc_id, doc_id % 150 AS up, ({NOW_MS} - published_ms) / 86400000.0 AS age FROM entries)")
+def trending_keep(spark, d):
+    out = clean.keep_trending(F.col("published_ms"), F.col("doc_id") % 150, F.lit(0), 5, NOW_MS)
+    return entries(spark, d).select("doc_id", out["keep"].alias("keep"), out["heat_keep"].alias("heat_keep"))
+
+
+@query("repo_list", "SELECT p_partkey FROM (SELECT p_partkey, p_retailprice, p_partkey % 2 = 0 AS is_new, row_number() OVER (PARTITION BY p_partkey % 2 = 0 ORDER BY p_retailprice DESC, p_partkey) AS nth FROM part) WHERE NOT is_new OR nth <= 6 ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
+def repo_list(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    return select.repo_list(parts, 20, [F.desc("p_retailprice"), "p_partkey"], F.col("p_partkey") % 2 == 0).select("p_partkey")
+
+
+@query("evidence_budget", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS nth FROM conversations) WHERE total <= 1500 OR nth = 1")
+def evidence_budget(spark, d):
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
+    return clean.within_budget(rows, "conv_id", [F.desc("size"), "turn"], "size", 1500).select("conv_id", "turn")
+
+
 # Plain relational coverage beyond the reference's own operators.
 
 

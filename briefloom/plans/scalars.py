@@ -258,3 +258,16 @@ def bullet_title(spark, d):
 def repo_score(spark, d):
     k = F.col("p_partkey")
     return table(spark, d, "part").select("p_partkey", F.round(scoring.repo_score(F.col("p_size"), k, k % 3 == 0, F.lit(False), F.lit(False), k % 5 == 0), 6).alias("score"))
+
+
+@query("endpoint_normalize", "SELECT page_id, 'https://e.org/a%20b?' || CAST(page_id AS VARCHAR) || '#t' AS endpoint, 'https://e.org/?date=2024-01-01' AS detail FROM pages")
+def endpoint_normalize(spark, d):
+    raw = F.concat(F.lit(" e.org/a b?"), F.col("page_id").cast("string"), F.lit("#t"))
+    return table(spark, d, "pages").select("page_id", url.endpoint(raw).alias("endpoint"), url.detail_url(F.lit("https://e.org//"), F.lit("2024-01-01")).alias("detail"))
+
+
+@query("pdf_url", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'https://arxiv.org/pdf/2401.00001' WHEN 1 THEN 'https://e.org/x.PDF?a' ELSE '' END AS pdf FROM documents")
+def pdf_url(spark, d):
+    links = ("https://arxiv.org/abs/2401.00001v2", "https://e.org/x.PDF?a", "https://e.org/x")
+    link = F.element_at(F.array(*map(F.lit, links)), (F.col("doc_id") % 3 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", url.pdf_url(link, F.lit("")).alias("pdf"))
