@@ -1,20 +1,22 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Corpus counts. Every training text is cut into words; the counts of all words and of the end mark are gathered by word
-over the whole training part (in each task first), which gives N and V. An n-gram of two or more words is kept once it
-makes up ``gram_share`` of all tokens and occurs twice. A kept n-gram's two shorter n-grams are then kept too, so each
-length is counted in one pass over candidates whose parts are kept already, and no length can keep more than
-1 / gram_share n-grams, whatever the input: the automaton that is broadcast has a proven bound.
-
-The automaton. The root has an arc for every word; a kept n-gram below the full order is a state, with an arc for each
-kept n-gram that extends it by a word. An arc carries the discounted log-probability and leads to the longest state that
-ends the text read so far. Where a state has no arc for a word, its failure arc leads to the state without the first
-word and carries the backoff weight, so that each state's probabilities sum to one. A text is read once from left to
-right, from the state of the start mark, with the state and the sum of logs carried along.
-
-Root arcs of words with at least ``word_share`` of all tokens travel with the automaton (at most 1 / word_share). The
-other words' counts, whose number grows with the corpus, stay a table: a text's rarer words are joined to it by word and
-their root arcs added to the text's sum, which needs no order because every path to the root has been paid for already.
+The model. Every n-gram of up to ``order`` words that occurs ``least`` times or more in the training texts is an arc, and
+every one that is extended by such an arc is a state; all words, however rare, are arcs of the root. An arc carries the
+discounted log-probability. Where a state has no arc for a word, its failure arc leads to the state without the first
+word and carries the backoff weight, so that each state's probabilities sum to one. The number of states and arcs grows
+with the corpus, so the model is never in one place: ``Automaton`` is its sequential form, for small models and tests.
+
+Blocks. Each task cuts its texts into blocks of about ``BLOCK_BYTES``, whose words are numbered. A block keys its distinct
+n-grams by 79 bits of a digest of their words. Exchanges between blocks and ranges of keys give it what its texts need:
+
+1. a block sends the training counts of its n-grams, a range adds them up and sends back the corpus counts. Words and
+   pairs come first; a longer n-gram is only sent if both its parts are known to occur ``least`` times;
+2. of the blocks that hold an n-gram, the first adds its probability, and that of the n-gram without its first word, to
+   the sums of its context; a range adds these up and sends back the context's backoff weight;
+3. a block sums the logs along each text's path.
+
+A key meets a range at most once from each block, so frequent n-grams make no range large. The number of ranges grows
+with the input, so a range holds about as many keys as a block. Keys and counts travel packed, a row for a block and range.
 
 Defined cases: a null or empty text is the end mark alone; words are compared as bytes with A-Z lower-cased; a word
 unseen in training has count 0; without training texts every token has probability 1 / (0.1 * (0 + 1)) * 0.1 = 1;
@@ -23,20 +25,25 @@ repeated rows each get a row; an empty table gives no rows; columns other than t
 
 from __future__ import annotations
 
+import gc
 import math
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import byte_texts, crc_bucket, read_table, release_shuffles, text_slices, written
+from briefloom.llm.common import byte_texts, crc_bucket, mix64, read_table, release_shuffles, text_slices, written
 
-END = b""  # no word is empty
+END, START = b"", b" "  # no word is empty or holds a blank
 SMOOTH, DISCOUNT = 0.1, 0.5
+BLOCK_BYTES = 12 << 20
+WEIGHTS = -1  # the kind of answers that are no counts
+CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -44,7 +51,7 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Vocabulary:
-    """Ids of the words whose root arcs are broadcast; the start mark and all other words have an id of their own."""
+    """Ids of the words that have root arcs; the start mark and all other words have an id of their own."""
 
     def __init__(self, words: list[bytes]):
         self.words = words
@@ -52,28 +59,6 @@ class Vocabulary:
         self.other, self.start, self.size = len(words), len(words) + 1, len(words) + 2
 
 
-def gram_places(tokens: np.ndarray, vocabulary: Vocabulary, kept: list[np.ndarray]) -> np.ndarray:
-    """For each token the index of the kept n-gram that ends there, for the length after ``kept``; -1 where there is none.
-
-    ``kept[k]`` holds the sorted keys of kept n-grams of k + 2 words; a key is the shorter n-gram's index times the size
-    of the vocabulary, plus the last word. Single words are their own indexes.
-    """
-    place = np.where(tokens == vocabulary.other, -1, tokens)
-    for keys in kept:
-        place = _extended(place, tokens, vocabulary)
-        at = np.searchsorted(keys, place)
-        found = (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == place) if len(keys) else np.zeros(len(place), bool)
-        place = np.where(found & (place >= 0), at, -1)
-    return place
-
-
-def _extended(place: np.ndarray, tokens: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """Keys of n-grams one word longer; -1 where the shorter one is not kept or the word is not a state."""
-    before = np.concatenate([[-1], place[:-1]])
-    good = (before >= 0) & (tokens != vocabulary.other) & (tokens != vocabulary.start)
-    return np.where(good, before * vocabulary.size + tokens, -1)
-
-
 class Automaton:
     """States, arcs and failure arcs of a backoff model; ``levels`` holds sorted keys and counts of kept n-grams."""
 
@@ -130,147 +115,319 @@ class Automaton:
             state = self.failure[state]
         return arc[0], total + arc[1]
 
-    def read(self, words: list[int], other: int) -> float:
-        """Sum of logs along the path of a text; a word without a root arc adds the weights down to the root only."""
-        state, total, size = self.initial, 0.0, self.size
-        arcs, failure, weight = self.arcs, self.failure, self.weight
-        for word in words:
-            if word == other:
-                while state:
-                    total += weight[state]
-                    state = failure[state]
-                continue
-            arc = arcs.get(state * size + word)
-            while arc is None:
-                total += weight[state]
-                state = failure[state]
-                arc = arcs.get(state * size + word)
-            state = arc[0]
-            total += arc[1]
-        return total
-
-
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c) over all texts; the end mark is the empty word."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            found = Counter(chain.from_iterable(map(words_of, byte_texts(batch["text"]))))
-            found[END] = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "c"])
-
-    return texts.mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def count_grams(texts: DataFrame, vocabulary, kept, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the n-grams one word longer than ``kept`` that occur ``least`` times or more."""
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text"):
-            own, levels = vocabulary.value, kept.value
-            get, other = own.ids.get, own.other
-            tokens = np.fromiter(chain.from_iterable(chain([own.start], [get(w, other) for w in words_of(t)], [get(END, other)]) for t in byte_texts(batch["text"])), np.int64)
-            keys = _extended(gram_places(tokens, own, levels), tokens, own)
-            # Both shorter n-grams of a candidate are kept: the one in front by its place, the one behind here.
-            if levels:
-                behind = gram_places(tokens, own, levels)
-                keys = np.where(behind >= 0, keys, -1)
-            found, n = np.unique(keys[keys >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], ["gram", "c"])
-
-    grams = texts.mapInArrow(count, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    table = grams.orderBy("gram").toArrow()
-    return table["gram"].to_numpy(), table["c"].to_numpy()
-
-
-def score_texts(docs: DataFrame, training, order: int = 2, gram_share: float = 1e-5, word_share: float = 2.5e-7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores all texts with a model of those where ``training`` holds.
-
-    Returns id, n_tokens, n_known, train_tokens, base_score (words alone) and score (the automaton), log10.
+
+def pack(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array, the first bytes of all values before the second ones."""
+    turned = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
+    return pa.compress(turned, "zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    turned = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(turned.T).view(kind).ravel()
+
+
+def unpacked(table: pa.Table, column: str, kind) -> list[np.ndarray]:
+    return [unpack(data, n, kind) for data, n in zip(table[column].to_pylist(), table["n"].to_pylist(), strict=True)]
+
+
+def cut_blocks(batches: Iterable[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
+    """A row for each block: the ids and training flags of its texts, their sizes in tokens, tokens and words' digests."""
+
+    def block(number: int) -> pa.RecordBatch:
+        sizes = np.array([len(p) for p in parts], np.int64)
+        digests = np.frombuffer(b"".join(blake2b(w, digest_size=10).digest() for w in numbers), np.uint8)
+        keys = pa.concat_arrays(rows)
+        blobs = [pack(x) for x in (np.concatenate(flags), sizes, np.concatenate(parts).astype(np.int32), digests)]
+        lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+        counts = [len(sizes), int(sizes.sum()), len(numbers)]
+        return pa.RecordBatch.from_arrays([pa.array([task << 32 | number], pa.int64()), lists, *[pa.array([c], pa.int64()) for c in counts], *[pa.array([x], pa.binary()) for x in blobs]], BLOCK_NAMES)
+
+    made, held, rows, flags, parts = 0, 0, [], [], []
+    for batch in text_slices(batches, "text", BLOCK_BYTES):
+        if not parts:
+            numbers: dict[bytes, int] = defaultdict()
+            numbers.default_factory = numbers.__len__
+            get = numbers.__getitem__
+            get(START)
+        texts = byte_texts(batch["text"])
+        for text in texts:
+            words = [START, *words_of(text), END]
+            parts.append(np.fromiter(map(get, words), np.int32, len(words)))
+        rows.append(batch["id"])
+        flags.append(batch["train"].to_numpy(zero_copy_only=False).astype(np.uint8))
+        held += sum(map(len, texts))
+        if held >= BLOCK_BYTES // 2:
+            yield block(made)
+            made, held, rows, flags, parts = made + 1, 0, [], [], []
+    if parts:
+        yield block(made)
+
+
+BLOCK_NAMES = ["block", "ids", "n_texts", "n_tokens", "n_words", "train", "sizes", "tokens", "digests"]
+
+
+class Block:
+    """The distinct n-grams of a block's texts, by length, and where they end.
+
+    ``places[k]`` has for each token the index of the n-gram of k + 1 words that ends there, or -1. Of each n-gram
+    ``contexts[k]`` has the index of the one without the last word, and ``suffixes[k]`` without the first. ``counts[k]``
+    and ``first[k]`` have the corpus counts, and whether this block is the first that holds the n-gram.
     """
-    spark = docs.sparkSession
-    texts = docs.where(training).select(F.col(text_col).alias("text"))
-    counts = written(count_words(texts), "word-counts")
-    sums = counts.agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).first()
-    total, kinds = sums["total"] or 0, sums["kinds"]
-    common = max(2, math.ceil(word_share * total))
-    head = counts.where(F.col("c") >= common).orderBy(F.desc("c"), "word").toArrow()  # at most 1 / word_share rows
-    words, head_counts = head["word"].to_pylist(), head["c"].to_numpy()
-    vocabulary = Vocabulary(words)
-    least = max(2, math.ceil(gram_share * total))
-    # Words below the share of an n-gram are no part of one; they come last in the order of counts.
-    states = Vocabulary(words[: int((head_counts >= least).sum())])
-    n_texts = int(head_counts[words.index(END)]) if END in vocabulary.ids else texts.count()
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    shared_states = spark.sparkContext.broadcast(states)
-    for _ in range(order - 1):
-        levels.append(count_grams(texts, shared_states, spark.sparkContext.broadcast([k for k, _ in levels]), least))
-    release_shuffles(spark)
-    # The n-grams' words keep their ids in the larger vocabulary, but its start mark and size differ.
-    levels = _renumbered(levels, states, vocabulary)
-    scale = total + SMOOTH * (kinds + 1)
-    automaton = Automaton(vocabulary, head_counts, n_texts, levels, total, kinds)
-    shared = spark.sparkContext.broadcast((vocabulary, automaton, np.log10((head_counts + SMOOTH) / scale)))
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, reader, roots = shared.value
-        get, other = own.ids.get, own.other
-        roots = [*roots.tolist(), 0.0].__getitem__
-        for batch in text_slices(batches, "text"):
-            rows = {"row": [], "word": [], "times": [], "n_tokens": [], "n_known": [], "base": [], "path": []}
-            heads = []
-            for row, text in zip(batch["row"].to_pylist(), byte_texts(batch["text"]), strict=True):
-                split = [*words_of(text), END]
-                ids = [get(w, other) for w in split]
-                rarer = Counter(w for w, i in zip(split, ids, strict=True) if i == other) if other in ids else {}
-                n_rarer = sum(rarer.values())
-                # The text's own row has a word that holds a blank, which matches none, so these rows spread evenly.
-                heads.append(len(rows["row"]))
-                for name, value in (("row", row), ("word", b" %d" % row), ("times", 0), ("n_tokens", len(split)), ("n_known", len(split) - n_rarer), ("base", sum(map(roots, ids))), ("path", reader.read(ids, other))):
-                    rows[name].append(value)
-                if rarer:
-                    rows["row"] += [row] * len(rarer)
-                    rows["word"] += rarer
-                    rows["times"] += rarer.values()
-                    for name in ("n_tokens", "n_known", "base", "path"):
-                        rows[name] += [None] * len(rarer)
-            kinds_of = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            at = np.full(len(rows["row"]), -1, np.int64)
-            at[heads] = np.arange(batch.num_rows)
-            keys = batch["_id"].take(pa.array(at, pa.int64(), mask=at < 0))
-            yield pa.RecordBatch.from_arrays([keys, *[pa.array(v, k) for v, k in zip(rows.values(), kinds_of, strict=True)]], ["_id", *rows])
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    id_type = numbered.schema["_id"].dataType.simpleString()
-    parts = numbered.mapInArrow(read, f"_id {id_type}, row long, word binary, times long, n_tokens long, n_known long, base double, path double")
-    met = parts.join(counts.where(F.col("c") < common), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    rare = F.col("times") * F.log10((c + SMOOTH) / scale)
-    known = F.coalesce("n_known", F.when(c > 0, F.col("times")).otherwise(0))
-    sums = met.groupBy("row").agg(
-        F.max("_id").alias(id_col),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(known).alias("n_known"),
-        F.sum(F.coalesce("base", rare)).alias("base_score"),
-        F.sum(F.coalesce("path", rare)).alias("score"),
-    )
-    return sums.select(id_col, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _renumbered(levels, states: Vocabulary, vocabulary: Vocabulary) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The same n-grams with keys in ``vocabulary``, sorted again."""
-    out, place = [], np.arange(states.size)
-    place[states.start], place[states.other] = vocabulary.start, vocabulary.other
-    for keys, counts in levels:
-        fresh = place[keys // states.size] * vocabulary.size + keys % states.size
-        order = np.argsort(fresh)
-        place = np.empty(len(keys), np.int64)
-        place[order] = np.arange(len(keys))
-        out.append((fresh[order], counts[order]))
+
+    def __init__(self, table: pa.Table):
+        row = {name: table[name][0].as_py() for name in BLOCK_NAMES if name != "ids"}
+        self.number = row["block"]
+        self.ids = table["ids"].combine_chunks().flatten()
+        self.sizes = unpack(row["sizes"], row["n_texts"], np.int64)
+        self.train = unpack(row["train"], row["n_texts"], np.uint8).astype(bool)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.places = [unpack(row["tokens"], row["n_tokens"], np.int32).astype(np.int64)]
+        digests = unpack(row["digests"], 10 * row["n_words"], np.uint8).reshape(-1, 10)
+        self.keys = [np.stack([np.ascontiguousarray(digests[:, a:b]).view(kind).ravel().astype(np.uint64) for a, b, kind in ((0, 8, np.uint64), (8, 10, np.uint16))], 1)]
+        self.contexts, self.suffixes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.counts: list[np.ndarray] = []
+        self.first: list[np.ndarray] = []
+
+    def lengthen(self, least: int) -> None:
+        """Adds the n-grams one word longer whose parts are kept; all pairs of words."""
+        last, tokens, digests = self.places[-1], self.places[0], self.keys[0]
+        if len(self.places) == 1:
+            ends = np.flatnonzero(tokens != 0)  # the start mark is word 0
+        else:
+            good = (last >= 0) & np.append(self.counts[-1] >= least, False)[last]
+            ends = np.flatnonzero(good[1:] & good[:-1]) + 1
+        distinct, inverse = np.unique(last[ends - 1] * len(digests) + tokens[ends], return_inverse=True)
+        context, suffix = distinct // len(digests), np.empty(len(distinct), np.int64)
+        suffix[inverse] = last[ends]
+        self.keys.append(mix64(self.keys[-1][context] * CHAIN + digests[distinct % len(digests)] + np.uint64(len(self.places) + 1)))
+        place = np.full(len(tokens), -1, np.int64)
+        place[ends] = inverse
+        self.places.append(place)
+        self.contexts.append(context)
+        self.suffixes.append(suffix)
+
+    def sorted_keys(self, start: int, stop: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the levels from ``start`` to ``stop``: the order of the (chosen) keys and both parts of them in that order."""
+        joined = np.concatenate(self.keys[start:stop])
+        # The lowest bit of the shorter part tells words, which make up the total, from all else.
+        short = joined[:, 1].astype(np.uint16) & np.uint16(0xFFFE)
+        if start == 0:
+            short[1 : len(self.keys[0])] |= np.uint16(1)
+        at = np.arange(len(joined)) if chosen is None else np.flatnonzero(chosen)
+        order = at[np.argsort(joined[at, 0], kind="stable")]
+        return order, joined[order, 0], short[order]
+
+    def training_counts(self, start: int, stop: int) -> np.ndarray:
+        inside = np.repeat(self.train, self.sizes)
+        return np.concatenate([np.bincount(p[inside & (p >= 0)], minlength=len(k)) for p, k in zip(self.places[start:stop], self.keys[start:stop], strict=True)])
+
+    def receive(self, answers: pa.Table, rounds: list[tuple[int, int]], least: int) -> None:
+        """Takes the corpus counts of all rounds so far, and adds the n-grams that they tell of."""
+        answers = answers.sort_by("range")
+        for kind, (start, stop) in enumerate(rounds):
+            while len(self.places) < stop:
+                self.lengthen(least)
+            order, _, _ = self.sorted_keys(start, stop)
+            found = np.zeros(len(order), np.int64)
+            found[order] = _joined(answers, kind, np.int64)
+            for part in np.split(found, np.cumsum([len(k) for k in self.keys[start:stop]])[:-1]):
+                self.counts.append(part >> 1)
+                self.first.append((part & 1).astype(bool))
+
+    def states(self, least: int) -> np.ndarray:
+        """Whether each n-gram below the longest may be a state."""
+        return np.concatenate([c >= least for c in self.counts[:-1]])
+
+    def probabilities(self, scale: float) -> list[np.ndarray]:
+        """By length; only those of words and of kept n-grams mean anything."""
+        out = [(self.counts[0] + SMOOTH) / scale]
+        for n in range(1, len(self.counts)):
+            out.append(np.maximum(self.counts[n] - DISCOUNT, 0.0) / np.maximum(self.counts[n - 1][self.contexts[n]], 1))
+        return out
+
+
+def _joined(answers: pa.Table, kind: int, number) -> np.ndarray:
+    own = answers.filter(pa.array(answers["kind"].to_numpy() == kind))
+    return np.concatenate([np.zeros(0, number), *unpacked(own, "found", number)])
+
+
+def _parts(block: int, long: np.ndarray, short: np.ndarray, ranges: int, more: dict[str, np.ndarray]) -> pa.Table:
+    """A row for each range of keys; the keys are sorted."""
+    bounds = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
+    cuts = [0, *np.searchsorted(long, bounds).tolist(), len(long)]
+    filled = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    columns = {
+        "block": pa.array([block] * len(filled), pa.int64()),
+        "range": pa.array([r for r, _, _ in filled], pa.int32()),
+        "n": pa.array([b - a for _, a, b in filled], pa.int32()),
+        "long": pa.array([pack(np.diff(long[a:b], prepend=np.uint64(0))) for _, a, b in filled], pa.binary()),
+        "short": pa.array([pack(short[a:b]) for _, a, b in filled], pa.binary()),
+    }
+    for name, values in more.items():
+        columns[name] = pa.array([pack(values[a:b]) for _, a, b in filled], pa.binary())
+    return pa.table(columns)
+
+
+def _same_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that brings equal keys together, where each key's rows begin in it, and the shorter halves."""
+    long = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in unpacked(table, "long", np.uint64)])
+    short = np.concatenate(unpacked(table, "short", np.uint16))
+    order = np.argsort(long, kind="stable")
+    same, other = long[order][1:] == long[order][:-1], short[order][1:] != short[order][:-1]
+    if (same & other).any():
+        order = np.lexsort((short, long))
+        same, other = long[order][1:] == long[order][:-1], short[order][1:] != short[order][:-1]
+    return order, np.flatnonzero(np.concatenate([[True], ~same | other])), short
+
+
+def _spread(order: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(starts, append=len(order)))
     return out
 
 
+def _answers(table: pa.Table, kind: int, values: np.ndarray, total: int = 0, kinds: int = 0) -> pa.Table:
+    cuts = np.cumsum([0, *table["n"].to_pylist()])
+    first = [True] + [False] * (table.num_rows - 1)
+    return pa.table(
+        {
+            "block": table["block"],
+            "range": table["range"],
+            "kind": pa.array([kind] * table.num_rows, pa.int32()),
+            "n": table["n"],
+            "found": pa.array([pack(values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
+            "total": pa.array([total * f for f in first], pa.int64()),
+            "kinds": pa.array([kinds * f for f in first], pa.int64()),
+        }
+    )
+
+
+ANSWERS = "block long, range int, kind int, n int, found binary, total long, kinds long"
+KEYS = "block long, range int, n int, long binary, short binary"
+
+
+def add_counts(table: pa.Table, kind: int) -> pa.Table:
+    """Of one range: twice the sum of each key's counts, plus 1 for the first block that holds it."""
+    table = table.sort_by("block")
+    order, starts, short = _same_keys(table)
+    sums = np.add.reduceat(np.concatenate(unpacked(table, "counts", np.int64))[order], starts)
+    found = _spread(order, starts, sums * 2)
+    found[order[starts]] += 1
+    words = (short[order[starts]] & 1).astype(bool)
+    return _answers(table, kind, found, int(sums[words].sum()), int((sums[words] > 0).sum()))
+
+
+def add_weights(table: pa.Table) -> pa.Table:
+    """Of one range: each context's backoff weight as a log; 0 where no arc leaves it."""
+    table = table.sort_by("block")
+    order, starts, _ = _same_keys(table)
+    own, lower = (np.add.reduceat(np.concatenate(unpacked(table, c, np.float64))[order], starts) for c in ("own", "lower"))
+    weights = np.where(own > 0, np.log10(np.maximum(1 - own, 1e-12) / np.maximum(1 - lower, 1e-12)), 0.0)
+    return _answers(table, WEIGHTS, _spread(order, starts, weights))
+
+
+def score_texts(docs: DataFrame, training, order: int = 2, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scores all texts with a model of those where ``training`` holds; it keeps n-grams that occur ``least`` times.
+
+    ``order`` is 2 or more. Returns id, n_tokens, n_known, train_tokens, base_score (words alone) and score (the
+    automaton), log10.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(training, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    cut = rows.mapInArrow(lambda batches: cut_blocks(batches, TaskContext.get().partitionId()), f"block long, ids array<{id_type}>, n_texts long, n_tokens long, n_words long, train binary, sizes binary, tokens binary, digests binary")
+    blocks = written(cut, "blocks")
+    ranges = max(1, math.ceil((blocks.agg(F.sum("n_tokens")).first()[0] or 0) / (BLOCK_BYTES / 6)))
+    rounds = [(0, 2), *[(n - 1, n) for n in range(3, order + 1)]]
+
+    def count_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block(pa.Table.from_batches([batch.slice(i, 1)]))
+                block.lengthen(least)
+                yield from sent_counts(block, 0).to_batches()
+
+    def sent_counts(block: Block, kind: int) -> pa.Table:
+        keys, long, short = block.sorted_keys(*rounds[kind])
+        return _parts(block.number, long, short, ranges, {"counts": block.training_counts(*rounds[kind])[keys].astype(np.int64)})
+
+    def count_longer(kind: int):
+        def count(table: pa.Table, answers: pa.Table) -> pa.Table:
+            block = Block(table)
+            block.receive(answers, rounds[:kind], least)
+            block.lengthen(least)
+            return sent_counts(block, kind)
+
+        return count
+
+    def summed(grams: DataFrame, kind: int) -> DataFrame:
+        return written(grams.groupBy("range").applyInArrow(lambda table: add_counts(table, kind), ANSWERS), "gram-counts")
+
+    def release() -> None:
+        gc.collect()  # py4j's objects are cycles; until they go, the JVM keeps the finished plans and their shuffles
+        release_shuffles(spark)
+
+    counted = summed(blocks.mapInArrow(count_first, f"{KEYS}, counts binary"), 0)
+    release()
+    sums = counted.agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).first()
+    total = sums["total"] or 0
+    scale = total + SMOOTH * ((sums["kinds"] or 0) + 1)
+    for kind in range(1, len(rounds)):
+        grams = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(count_longer(kind), f"{KEYS}, counts binary")
+        counted = counted.unionByName(summed(grams, kind))
+        del grams
+        release()
+
+    def add_contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(table)
+        block.receive(answers, rounds, least)
+        p = block.probabilities(scale)
+        own, lower = [], []
+        for n in range(1, order):
+            mine = block.first[n] & (block.counts[n] >= least)
+            context, size = block.contexts[n][mine], len(block.counts[n - 1])
+            own.append(np.bincount(context, p[n][mine], size))
+            lower.append(np.bincount(context, p[n - 1][block.suffixes[n][mine]], size))
+        keys, long, short = block.sorted_keys(0, order - 1, block.states(least))
+        return _parts(block.number, long, short, ranges, {"own": np.concatenate(own)[keys], "lower": np.concatenate(lower)[keys]})
+
+    contexts = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(add_contexts, f"{KEYS}, own binary, lower binary")
+    weighed = written(contexts.groupBy("range").applyInArrow(add_weights, ANSWERS), "backoff-weights")
+    del contexts
+    release()
+
+    def score(table: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(table)
+        block.receive(answers, rounds, least)
+        levels = [len(k) for k in block.keys[:-1]]
+        weights = np.zeros(sum(levels))
+        keys, _, _ = block.sorted_keys(0, order - 1, block.states(least))
+        weights[keys] = _joined(answers.sort_by("range"), WEIGHTS, np.float64)
+        weights = np.split(weights, np.cumsum(levels)[:-1])
+        p, tokens = block.probabilities(scale), block.places[0]
+        base = np.log10(p[0])[tokens]
+        path = base.copy()
+        for n in range(1, order):
+            # The context of a token ends at the token before; without an arc from it, its failure arc is taken.
+            before = np.concatenate([[-1], block.places[n - 1][:-1]])
+            at = np.flatnonzero((before >= 0) & (tokens != 0))
+            path[at] += weights[n - 1][before[at]]
+            kept = block.counts[n] >= least
+            at = np.flatnonzero((block.places[n] >= 0) & np.append(kept, False)[block.places[n]])
+            path[at] = np.log10(p[n], out=np.zeros(len(kept)), where=kept)[block.places[n][at]]
+        known = (block.counts[0] > 0)[tokens].astype(np.int64)
+        for values in (base, path, known):
+            values[block.begins] = 0
+        n_known, base, path = (np.add.reduceat(x, block.begins) for x in (known, base, path))
+        return pa.table({id_col: block.ids, "n_tokens": block.sizes - 1, "n_known": n_known, "train_tokens": np.full(len(path), total, np.int64), "base_score": base, "score": path})
+
+    scored = blocks.groupBy("block").cogroup(counted.unionByName(weighed).groupBy("block"))
+    return scored.applyInArrow(score, f"`{id_col}` {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
 def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    scored = score_texts(docs, crc_bucket("doc_id", 10) != 0)
+    scored = score_texts(docs, crc_bucket("doc_id", 10) != 0, order=3)
     return scored.select("doc_id", (crc_bucket("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

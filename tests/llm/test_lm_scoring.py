@@ -1,9 +1,12 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from briefloom.llm import lm_scoring
 from briefloom.llm.common import crc_bucket
 from briefloom.llm.lm_scoring import Automaton, Vocabulary, score_texts
 
@@ -70,3 +73,33 @@ def test_probabilities_of_a_trigram_automaton_sum_to_one():
             weights += machine.weight[s]
             s = machine.failure[s]
         assert abs(sum(10 ** machine.step(state, w)[1] for w in range(3)) + 10**weights * unseen - 1) < 1e-9
+
+
+def test_rare_trigrams_of_a_large_corpus_are_kept(spark, monkeypatch):
+    """Against a model over dictionaries, on texts with so many tokens that a share of 1e-5 would drop their n-grams."""
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 20_000, raising=False)
+    rng = random.Random(5)
+    texts = [" ".join(f"w{int(rng.random() ** 3 * 3000)}" for _ in range(1000)) for _ in range(320)]
+    texts += ["rare phrase here again", "one rare phrase here again", "rare phrase here again now"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in score_texts(docs, F.lit(True), order=3).collect()}
+    marked = [[None, *t.encode().split(), b""] for t in texts]
+    c = Counter(tuple(t[i : i + n]) for t in marked for n in (1, 2, 3) for i in range(len(t) - n + 1))
+    total, kinds = sum(map(len, marked)) - len(texts), sum(len(g) == 1 for g in c) - 1
+    assert math.ceil(1e-5 * total) > 3
+    p = {g: (k + 0.1) / (total + 0.1 * (kinds + 1)) if len(g) == 1 else (k - 0.5) / c[g[:-1]] for g, k in c.items() if len(g) == 1 or k >= 2}
+    own, lower = Counter(), Counter()
+    for g in p:
+        if len(g) > 1:
+            own[g[:-1]] += p[g]
+            lower[g[:-1]] += p[g[1:]]
+
+    def chance(g):
+        if g in p:
+            return p[g]
+        h = g[:-1]
+        return chance(g[1:]) * (max(1 - own[h], 1e-12) / max(1 - lower[h], 1e-12) if h in own else 1)
+
+    for i, t in enumerate(marked):
+        want = sum(math.log10(chance(tuple(t[max(0, e - 2) : e + 1]))) for e in range(1, len(t)))
+        assert rows[i]["train_tokens"] == total and abs(rows[i]["score"] - want) < 1e-6, (i, rows[i], want)
