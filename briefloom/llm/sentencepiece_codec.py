@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ class PieceTrie:
         self.ids = {self.text[i]: i for i in plain}
         self.bytes = {int(self.text[i][1:-1], 16): i for i in range(size) if library.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode() for i in range(size)]
+        self.spelled, self.spelled_sizes = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int64)
         # A piece's rank is the time of its merge; single symbols are there from the start.
         self.rank = {i: 0 if len(self.text[i]) == 1 else 1 - int(library.get_score(i)) for i in plain}
         self.left: dict[int, list[tuple[int, int]]] = {}
@@ -208,10 +211,17 @@ class PieceTrie:
         return ids, np.concatenate([[0], ends])[bounds]
 
     def decode(self, ids: Iterable[int]) -> str:
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode()
-        return out.decode("utf-8", "replace").replace(MARK, " ")[1:]
+        ids = np.fromiter(ids, np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of all piece ids, one text after another."""
+        sizes = self.spelled_sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        begins = (np.cumsum(self.spelled_sizes) - self.spelled_sizes)[ids]
+        data = self.spelled[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], sizes)].tobytes()
+        cuts = ends[offsets].tolist()
+        return [data[a:b].decode("utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _trie(model: bytes) -> PieceTrie:
@@ -246,13 +256,19 @@ def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces") -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trie = _trie(shared.value)
-            texts = [trie.decode(ids or ()) for ids in batch[pieces_col].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            counts = np.asarray(pc.fill_null(pc.list_value_length(batch[pieces_col]), 0), np.int64)
+            group = np.cumsum(counts) // (SLICE // 4)
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(start, end - start)
+                ids = part[pieces_col].flatten().to_numpy(zero_copy_only=False)
+                texts = _trie(shared.value).decode_all(ids, np.concatenate([[0], np.cumsum(counts[start:end])]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, decoded string")
 
 
 def encode_query(spark: SparkSession, sf_dir: str, model_file: str) -> DataFrame:
-    return encode(read_table(spark, sf_dir, "documents"), model_file)
+    """Every document's pieces, and the text that they decode to."""
+    return decode(encode(read_table(spark, sf_dir, "documents"), model_file), model_file)

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 
+import corpus_pipeline
 from briefloom.llm.common import read_table
 from briefloom.llm.registry import tokenizer_file
-from briefloom.llm.sentencepiece_codec import PieceTrie, decode, encode
+from briefloom.llm.sentencepiece_codec import PieceTrie, decode, encode, encode_query
 
 FILE = tokenizer_file("piece_bpe_32k.model")
 
@@ -54,3 +56,21 @@ def test_test_documents_round_trip(spark, library):
     docs = read_table(spark, "/root/testdata/sf0.001", "documents")
     by_id = {r["doc_id"]: r["pieces"] for r in encode(docs, FILE).collect()}
     assert all(by_id[r["doc_id"]] == library.encode(r["text"]) for r in docs.collect())
+
+
+def test_query_decodes_every_document(spark):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = encode_query(spark, "/root/testdata/sf0.001", FILE).collect()
+    assert len(rows) == len(texts) and all(r["decoded"] == (texts[r["doc_id"]] or "") for r in rows)
+    stage = dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, "").collect()
+    assert len(stage) == len(texts) and all(r["decoded"] == (texts[r["doc_id"]] or "") for r in stage)
+
+
+def test_decoding_many_texts_is_the_library_s(library, trie):
+    some = [t for t in texts(3) if t]
+    ids = [library.encode(t) for t in some] + [[], [trie.bytes[0xE6], trie.bytes[0x97]]]
+    offsets = np.cumsum([0, *map(len, ids)])
+    flat = np.array([i for x in ids for i in x], np.int64)
+    assert trie.decode_all(flat, offsets)[: len(some)] == library.decode(ids[: len(some)])
+    assert trie.decode_all(flat, offsets)[len(some)] == "" and trie.decode([]) == ""
