@@ -70,13 +70,18 @@ def ratio_bound(a: Column, b: Column) -> Column:
     return 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.length(a) + F.length(b))
 
 
-def title_similarity(a: Column, b: Column) -> Column:
-    """Of normalised titles: 1 if equal, .92 if one of 16 characters or more is within the other, else the ratio."""
+def contained(a: Column, b: Column) -> Column:
+    """One of two texts has 16 characters or more and is within the other."""
     shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
     longer = F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    return (F.length(shorter) >= 16) & F.contains(longer, shorter)
+
+
+def title_similarity(a: Column, b: Column) -> Column:
+    """Of normalised titles: 1 if equal, .92 if one of 16 characters or more is within the other, else the ratio."""
     return (
         F.when((a == "") | (b == ""), F.lit(0.0))
         .when(a == b, F.lit(1.0))
-        .when((F.length(shorter) >= 16) & F.contains(longer, shorter), F.lit(0.92))
+        .when(contained(a, b), F.lit(0.92))
         .otherwise(sequence_ratio(a, b))
     )

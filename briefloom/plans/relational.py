@@ -333,7 +333,8 @@ def entity_match_pairs(spark, d):
 def title_sim_pairs(spark, d):
     titles = table(spark, d, "benchmark").select("item_id", similarity.normalize_title(F.substring_index("text", "\n", 1)).alias("t"))
     a, b = titles.alias("a"), titles.alias("b")
-    near = (F.left("a.t", F.lit(4)) == F.left("b.t", F.lit(4))) & (F.col("a.item_id") < F.col("b.item_id")) & (similarity.ratio_bound(F.col("a.t"), F.col("b.t")) >= 0.3)
+    # Lengths bound the ratio, but not a title within another; no other condition loses no pair.
+    near = (F.col("a.item_id") < F.col("b.item_id")) & ((similarity.ratio_bound(F.col("a.t"), F.col("b.t")) >= 0.3) | similarity.contained(F.col("a.t"), F.col("b.t")))
     return a.join(b, near).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), similarity.title_similarity(F.col("a.t"), F.col("b.t")).alias("similarity"))
 
 

@@ -1,10 +1,12 @@
 import json
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from briefloom.config import EngineConfig, Quotas
 from briefloom.operators import briefs, clean, events, reports, select, social, typed
+from briefloom.plans import relational
 from briefloom.sources import sinks
 from briefloom.sources.cursor import AccountPosts, AccountStream
 from briefloom.streaming import incremental
@@ -155,3 +157,18 @@ def test_entry_and_registry(spark):
 
     assert entry.entry(spark).count() > 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_title_pairs_meet_whatever_their_first_characters(spark, tmp_path):
+    titles = ["the quick brown fox jumps", "quick brown fox jumps", "tge quick brown fox jumps", "y" * 150 + "quickbrownfoxjumps" + "y" * 150, "quickbrownfoxjump", "zzz", "quick brown fox jumps\nmore", "", None]
+    spark.createDataFrame(list(enumerate(titles)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["a"], r["b"]): r["similarity"] for r in relational.title_sim_pairs(spark, str(tmp_path)).collect()}
+    clean = [(t or "").split("\n")[0].replace(" ", "") for t in titles]
+    want = {}
+    for i, a in enumerate(clean):
+        for j, b in list(enumerate(clean))[i + 1 :]:
+            short, long = sorted((a, b), key=len)
+            inside = len(short) >= 16 and short in long
+            if inside or 2 * len(short) / max(1, len(a) + len(b)) >= 0.3:
+                want[i, j] = 0.0 if not short else 1.0 if a == b else 0.92 if inside else SequenceMatcher(None, a, b).ratio()
+    assert got == want and {(0, 1), (0, 2), (1, 3)} <= set(got)
