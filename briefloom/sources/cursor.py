@@ -20,9 +20,13 @@ def newer(path: str, account: str, since: int, most: int) -> list[tuple]:
     if os.path.exists(file):
         with open(file, encoding="utf-8") as lines:
             for line in lines:
-                post = json.loads(line)
-                if int(post["id"]) > since:
-                    rows.append((account, int(post["id"]), post.get("text"), post.get("created_at"), post.get("conversation_id")))
+                try:
+                    post = json.loads(line)
+                    number = int(post["id"])
+                except (ValueError, KeyError, TypeError):  # a malformed line costs no other line
+                    continue
+                if number > since:
+                    rows.append((account, number, post.get("text"), post.get("created_at"), post.get("conversation_id")))
     return sorted(rows, key=lambda r: r[1])[:most]
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -94,8 +96,29 @@ def read_upserted(spark, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/version={version}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session without the setting gets one of its own."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="briefloom-")
+    return folder.rstrip("/")
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns its result as a table in memory; for checks and small reports."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a stream over what is there, into a fresh folder of ``spark.checkpoint.dir``, and reads its rows back.
+
+    A batch has a folder of its own, which a repeated batch overwrites; the driver holds no rows.
+    """
+    spark, columns = stream.sparkSession, stream.columns
+    path = f"{shared_folder(spark)}/briefloom/{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/rows/batch=-1")
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*columns)

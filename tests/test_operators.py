@@ -172,3 +172,23 @@ def test_title_pairs_meet_whatever_their_first_characters(spark, tmp_path):
             if inside or 2 * len(short) / max(1, len(a) + len(b)) >= 0.3:
                 want[i, j] = 0.0 if not short else 1.0 if a == b else 0.92 if inside else SequenceMatcher(None, a, b).ratio()
     assert got == want and {(0, 1), (0, 2), (1, 3)} <= set(got)
+
+
+def test_drained_streams_leave_no_rows_in_the_driver(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string").repartition(2).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("k long, v string").parquet(f"{tmp_path}/in")
+    out = incremental.drain(source, "drained")
+    assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, "b"), (2, "b")] and out.columns == ["k", "v"]
+    assert out.inputFiles() and not spark.catalog.tableExists("drained")
+    counts = incremental.drain(source.groupBy("k").count(), "counted", "update")
+    assert sorted(map(tuple, counts.collect())) == [(1, 1), (2, 2)]
+    (tmp_path / "none").mkdir()
+    assert incremental.drain(spark.readStream.schema("k long").parquet(f"{tmp_path}/none"), "none").count() == 0
+
+
+def test_a_malformed_line_costs_no_other_post(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n{\n{"text": "no id"}\n[]\n{"id": "x"}\n{"id": "2"}\n')
+    spark.dataSource.register(AccountPosts)
+    rows = spark.read.format("account_posts").options(path=str(tmp_path), accounts="a").load().collect()
+    assert sorted(r["id"] for r in rows) == [1, 2]
+    assert [r[1] for r in AccountStream({"path": str(tmp_path), "accounts": "a"}).read({"a": 1})[0]] == [2]
