@@ -43,7 +43,32 @@ def marked_words(text: str) -> list[str]:
     return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-class PieceTrie:
+class PieceTexts:
+    """The bytes of all pieces, which is all that decoding needs."""
+
+    def __init__(self, model: bytes):
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_proto=model)
+        names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
+        spelled = [bytes([int(name[1:-1], 16)]) if library.is_byte(i) else name.encode() for i, name in enumerate(names)]
+        self.spelled, self.spelled_sizes = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int64)
+
+    def decode(self, ids: Iterable[int]) -> str:
+        ids = np.fromiter(ids, np.int64)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of all piece ids, one text after another."""
+        sizes = self.spelled_sizes[ids]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        begins = (np.cumsum(self.spelled_sizes) - self.spelled_sizes)[ids]
+        data = self.spelled[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], sizes)].tobytes()
+        cuts = ends[offsets].tolist()
+        return [data[a:b].decode("utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class PieceTrie(PieceTexts):
     """Pieces of a BPE model with byte fallback and the forward walk over sorted words."""
 
     def __init__(self, model: bytes):
@@ -55,9 +80,7 @@ class PieceTrie:
         plain = [i for i in range(size) if not (library.is_byte(i) or library.is_control(i) or library.is_unknown(i))]
         self.ids = {self.text[i]: i for i in plain}
         self.bytes = {int(self.text[i][1:-1], 16): i for i in range(size) if library.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].encode() for i in range(size)]
-        self.spelled, self.spelled_sizes = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int64)
+        super().__init__(model)
         # A piece's rank is the time of its merge; single symbols are there from the start.
         self.rank = {i: 0 if len(self.text[i]) == 1 else 1 - int(library.get_score(i)) for i in plain}
         self.left: dict[int, list[tuple[int, int]]] = {}
@@ -210,19 +233,6 @@ class PieceTrie:
         bounds = np.concatenate([[0], np.cumsum(sizes)])
         return ids, np.concatenate([[0], ends])[bounds]
 
-    def decode(self, ids: Iterable[int]) -> str:
-        ids = np.fromiter(ids, np.int64)
-        return self.decode_all(ids, np.array([0, len(ids)]))[0]
-
-    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
-        """The texts of all piece ids, one text after another."""
-        sizes = self.spelled_sizes[ids]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        begins = (np.cumsum(self.spelled_sizes) - self.spelled_sizes)[ids]
-        data = self.spelled[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], sizes)].tobytes()
-        cuts = ends[offsets].tolist()
-        return [data[a:b].decode("utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip(cuts, cuts[1:], strict=False)]
-
 
 def _trie(model: bytes) -> PieceTrie:
     key = hash(model)
@@ -255,14 +265,15 @@ def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces") -> Data
         shared = rows.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = PieceTexts(shared.value)
         for batch in batches:
             counts = np.asarray(pc.fill_null(pc.list_value_length(batch[pieces_col]), 0), np.int64)
-            group = np.cumsum(counts) // (SLICE // 4)
+            group = np.cumsum(counts) // (SLICE // 32)
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
             for start, end in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(start, end - start)
                 ids = part[pieces_col].flatten().to_numpy(zero_copy_only=False)
-                texts = _trie(shared.value).decode_all(ids, np.concatenate([[0], np.cumsum(counts[start:end])]))
+                texts = pieces.decode_all(ids, np.concatenate([[0], np.cumsum(counts[start:end])]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
