@@ -43,6 +43,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        path = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Lets Spark's cleaner drop the shuffle files of finished jobs, which it does when the driver collects garbage."""
     spark.sparkContext._jvm.System.gc()
@@ -57,12 +65,13 @@ def crc_bucket(column: str, buckets: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % buckets
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that ``column`` holds about ``most`` bytes a slice, and at least one row."""
+def text_slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES, field: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that ``column`` (or that field of it) holds about ``most`` bytes a slice, and at least one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0))
+        texts = batch[column] if field is None else pc.struct_field(batch[column], [field])
+        sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
         group = np.cumsum(sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for start, end in zip(cuts, cuts[1:], strict=False):

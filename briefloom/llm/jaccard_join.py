@@ -7,50 +7,51 @@ Small sets. A set of at most ``boundary`` shingles lists, for each size of a par
 as the two need to share, with both sizes. Small sets link exactly when they have such a subset of their two sizes in
 common, so each set of a subset's list is linked to the least set of the other size, and nothing is compared.
 
-Large sets. All shingles have one global order: light ones by hash, then heavy ones from the rarer to the more frequent. Sets that link share one of
-their first n - ceil(t n) + 1 shingles, so an inverted list is kept for those. Which shingles are heavy is taken from a
-bounded sample of documents; any choice is right, because it only sets the order, and a good one keeps lists short.
-Sets just under the boundary are in both structures, since they may link with larger ones.
-
-The boundary is the largest size up to which listing subsets costs fewer rows than scanning lists of the mean length
-that the sample shows.
-
-Groups. Equal sets are one node from the start. Within a list, sets in order of size are compared with their neighbour
-only (a heavy shingle's list is dealt into parts, and the parts' heads form a list again). What is linked so far is
-joined into components, and a list whose sets are in one component is done; that test is two aggregates, however long
-the list. For what is left, the pairs of a list that differ in component are compared if the list's shingle can be the
-first one that they share: behind it, both still hold as many shingles as they need to share. So no link between
-different texts is lost, and no group of copies is spelled out in pairs.
+Large sets. All shingles have one global order, from the rare to the frequent ones. Sets that link share one of their
+first n - ceil(t n) + 1 shingles, so an inverted list is kept for those. Frequencies are counted over all documents, in a
+packed exchange between blocks of texts and ranges of keys. A key is the leading bits of a shingle's hash, some more bits
+than there are shingles; where two shingles share a key they count as one, which may only change the order. Shingles that
+no second set has are in no list. Sets just under the boundary are in both structures, since they may link with larger ones.
+
+The boundary is the largest size up to which listing subsets costs fewer rows than scanning lists of the mean length.
+
+Linking. Equal sets are one node from the start. The head of a list is the set that has the list's shingle nearest to its
+front, that is with the fewest rarer shingles before it: the original among its near copies. Each set names the head that
+most of its lists share, as long as the two are in different components, fit in size and have room: behind the list's
+shingle both still hold as many shingles as they need to share. These pairs, one for each set at most, are compared by
+their texts, and the rounds go on until none of them links. A list whose sets are in one component is done. In what is
+left, sets that can have no partner in the list are taken out by the sizes they would need, and the remaining pairs are
+compared, but never two sets of the list's largest component. So no link between different texts is lost, and no group
+of copies is spelled out in pairs.
 
 Defined cases: a null or empty text, or one without words, has no shingle, links with nothing and is its own component;
 a text of fewer than five words has its word sequence as the only shingle; rows that share an id are linked by their
-texts alone and each get a row; a row with a null id has no component of its own to name, and a text that only such rows
-hold is not linked; texts are used whole; an empty table gives no rows; other columns do not matter.
+texts alone and each get a row; rows with a null id are linked by their texts and take the smallest id of their component,
+null if there is none; texts are used whole; an empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import mix64, read_table, release_shuffles, text_slices, written
+from briefloom.llm.common import byte_texts, discard, mix64, read_table, text_slices, written
 from briefloom.llm.components import connected_components
+from briefloom.llm.exchange import ANSWERS, KEYS, Range, answered, asked
 from briefloom.llm.shingles import shingle_sets
 
-#: Documents of the sample that tells heavy shingles, times in it that make one heavy, and the most that are told.
-SAMPLE_DOCS, HEAVY_TIMES, MOST_HEAVY = 8_000, 3, 1_000_000
-#: Parts of a heavy shingle's list; shingles behind those of the lists that a signature keeps, which sets that link share
-#: besides the first one.
-PARTS, MORE = 64, 4
-LARGEST_SMALL = 12
-#: Bytes of text whose shingles a task hashes at once; the hashes need about fifty times as much.
-SLICE = 2 << 20
+#: Bytes of text of a block, and of the slices whose shingles a task hashes at once.
+BLOCK_BYTES, SLICE = 8 << 20, 2 << 20
+#: Bits of a key beyond those that number all bytes of text, and so all shingles.
+MORE_BITS = 10
 
 
 def needed_overlap(n: int, m: int, percent: int) -> int:
@@ -74,156 +75,232 @@ def subset_sizes(n: int, percent: int, boundary: int) -> list[tuple[int, int]]:
 def choose_boundary(mean_list: float, percent: int) -> int:
     """The largest size for which subsets cost no more rows than inverted lists of the mean length, size by size."""
     size = 1
-    while size < LARGEST_SMALL and sum(math.comb(size + 1, c) for _, c in subset_sizes(size + 1, percent, 2 * size)) <= prefix_length(size + 1, percent) * (1 + mean_list):
+    while sum(math.comb(size + 1, c) for _, c in subset_sizes(size + 1, percent, 2 * size)) <= prefix_length(size + 1, percent) * (1 + mean_list):
         size += 1
     return size
 
 
-def sample_statistics(docs: DataFrame, size: int) -> tuple[tuple[np.ndarray, np.ndarray], float]:
-    """Sorted heavy shingles with their ranks by frequency, and the mean length of the others' lists of two or more, from a sample by hash of the id."""
-    part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    picked = docs.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < part * 1_000_000)
+def set_ids(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two 64-bit digests of each text's set; zeros without shingles."""
+    full = np.flatnonzero(sizes)
+    ids = np.zeros((len(sizes), 2), np.uint64)
+    if len(full):
+        starts = (np.cumsum(sizes) - sizes)[full]
+        for side, salt in enumerate((0, 0x5851F42D4C957F2D)):
+            ids[full, side] = mix64(np.add.reduceat(mix64(hashes ^ np.uint64(salt)), starts) + sizes[full].astype(np.uint64))
+    return ids
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", SLICE):
-            found, n = np.unique(shingle_sets(batch["text"], size)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], ["shingle", "n"])
 
-    counts = picked.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    counts = written(counts.where("n > 1"), "shingle-counts")
-    heavy = counts.where(F.col("n") >= HEAVY_TIMES).orderBy(F.desc("n"), "shingle").limit(MOST_HEAVY).toArrow()
-    light = counts.where(F.col("n") < HEAVY_TIMES).agg(F.avg(F.col("n") * F.col("n")) / F.avg("n")).first()[0]
-    hashes = heavy["shingle"].to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    return (hashes[order], np.arange(len(hashes))[::-1][order]), light or 1.0
+def as_binary(ids: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    data = pa.py_buffer(np.ascontiguousarray(ids).tobytes())
+    array = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, 16 * len(ids) + 1, 16, dtype=np.int32).tobytes()), data])
+    return array if mask is None else pa.compute.if_else(pa.array(mask), pa.scalar(None, pa.binary()), array)
 
 
-def signatures(docs: DataFrame, late, boundary: int, percent: int, size: int) -> DataFrame:
-    """One row a document: id, set_id (null without shingles), n, and for the first of its set in a slice ``keys``.
-
-    ``keys`` are the first shingles in global order, MORE behind those of the lists; ``n_light`` of them come before heavy
-    ones. ``subsets`` has the keys of a small set's subsets.
-    """
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, "text", SLICE):
-            hashes, sizes, behind = shingle_sets(batch["text"], size, late.value)
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            full = np.flatnonzero(sizes)
-            ids = np.zeros(len(sizes), np.uint64)
-            light = np.zeros(len(sizes), np.int64)
-            if len(full):
-                ids[full] = mix64(np.add.reduceat(mix64(hashes), starts[full]) + sizes[full].astype(np.uint64))
-                light[full] = np.add.reduceat((~behind).astype(np.int64), starts[full])
+def subset_key(shingles: np.ndarray, n: int, m: int) -> bytes:
+    """A key of a set of shingles and of the sizes of the two sets that it stands for."""
+    sizes = np.uint64((min(n, m) << 32) + max(n, m))
+    return b"".join(mix64(np.array([np.add.reduce(mix64(shingles ^ np.uint64(salt))) + sizes], np.uint64)).tobytes() for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25))
+
+
+def cut_blocks(batches: Iterable[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its number, bytes of text, and ids and texts as a compressed Arrow stream."""
+    held: list[pa.RecordBatch] = []
+    made = size = 0
+
+    def block() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(held).combine_chunks()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        return pa.RecordBatch.from_arrays([pa.array([task << 32 | made]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "rows"])
+
+    for batch in text_slices(batches, "text", SLICE):
+        held.append(batch)
+        size += pa.compute.sum(pa.compute.binary_length(batch["text"])).as_py() or 0
+        if size >= BLOCK_BYTES:
+            yield block()
+            held, size, made = [], 0, made + 1
+    if held:
+        yield block()
+
+
+class Block:
+    """The texts of a block as ordered sets, slice by slice, and its distinct keys with the number of sets that have them."""
+
+    def __init__(self, rows: bytes, size: int, bits: int):
+        self.shift = np.uint64(64 - bits)
+        with pa.ipc.open_stream(rows) as stream:
+            self.slices = list(text_slices(stream.read_all().combine_chunks().to_batches(), "text", SLICE))
+        self.sets = [shingle_sets(s["text"], size)[:2] for s in self.slices]
+        self.ids = [set_ids(*s) for s in self.sets]
+        self.first: list[np.ndarray] = []
+        seen: set[bytes] = set()
+        cells = [np.zeros(0, np.uint64)]
+        for (hashes, sizes), ids in zip(self.sets, self.ids, strict=True):
             first = np.zeros(len(sizes), bool)
-            first[full[np.unique(ids[full], return_index=True)[1]]] = True
-            keys, equal, cross, signed = [None] * len(sizes), [None] * len(sizes), [None] * len(sizes), hashes.view(np.int64)
-            for i in np.flatnonzero(first).tolist():
-                n = int(sizes[i])
-                own = signed[starts[i] : ends[i]]
-                if n <= boundary:
-                    found = [(m, subset_key(own[list(c)], n, m)) for m, k in subset_sizes(n, percent, boundary) for c in combinations(range(n), k)]
-                    equal[i], cross[i] = [key for m, key in found if m == n], [key for m, key in found if m != n]
-                if 100 * n >= percent * (boundary + 1):
-                    keys[i] = own[: prefix_length(n, percent) + MORE]
-            yield pa.RecordBatch.from_arrays(
-                [batch["_id"], pa.array(ids.view(np.int64), mask=sizes == 0), pa.array(sizes, pa.int64()), pa.array(light), *[pa.array(v, pa.list_(pa.int64())) for v in (keys, equal, cross)]],
-                ["_id", "set_id", "n", "n_light", "keys", "equal", "cross"],
-            )
-
+            for i in np.flatnonzero(sizes).tolist():
+                if (own := ids[i].tobytes()) not in seen:
+                    seen.add(own)
+                    first[i] = True
+            self.first.append(first)
+            cells.append(hashes[np.repeat(first, sizes)] >> self.shift)
+        self.keys, self.counts = np.unique(np.concatenate(cells), return_counts=True)
+
+
+def frequency_class(times: np.ndarray) -> np.ndarray:
+    """0 for what one set has, and more for more frequent shingles."""
+    return np.where(times > 1, np.minimum(1 + 4 * np.log2(times), 255), 0).astype(np.uint8)
+
+
+def count_keys(table: pa.Table) -> pa.Table:
+    """Of one range: each key's frequency class for the blocks, and what tells the mean length of a list."""
+    own = Range(table)
+    times = own.sums("counts", np.uint32)
+    shared = times[times > 1]
+    rows = len(own.table)
+    more = {"lists": [len(shared)] + [0] * (rows - 1), "entries": [int(shared.sum())] + [0] * (rows - 1)}
+    return pa.table(own.answers(own.spread(frequency_class(times))) | {k: pa.array(v, pa.int64()) for k, v in more.items()})
+
+
+def sign(block: pa.Table, answers: pa.Table, percent: int, size: int, bits: int, boundary: int) -> pa.Table:
+    """Of one block: a row for each text, with list entries, subsets and the text itself where it is the block's first of its set."""
+    own = Block(block["rows"][0].as_py(), size, bits)
+    classes = answered(answers, np.uint8)
+    out = []
+    for batch, (hashes, sizes), ids, first in zip(own.slices, own.sets, own.ids, own.first, strict=True):
+        starts = np.cumsum(sizes) - sizes
+        text = np.repeat(np.arange(len(sizes)), sizes)
+        rank = classes[np.searchsorted(own.keys, hashes >> own.shift)] if len(hashes) else np.zeros(0, np.uint8)
+        order = np.lexsort((hashes, rank, text))
+        hashes, rank = hashes[order], rank[order]
+        at = np.arange(len(hashes)) - starts[text]
+        n = sizes[text]
+        large = 100 * sizes >= percent * (boundary + 1)
+        entry = (rank > 0) & (at < n + (-percent * n // 100) + 1) & (first & large)[text]
+        entries = np.bincount(text[entry], minlength=len(sizes))
+        equal: list[list[bytes] | None] = [None] * len(sizes)
+        cross: list[list[bytes] | None] = [None] * len(sizes)
+        for i in np.flatnonzero(first & (sizes <= boundary)).tolist():
+            k = int(sizes[i])
+            words = hashes[starts[i] : starts[i] + k]
+            found = [(m, subset_key(words[list(c)], k, m)) for m, o in subset_sizes(k, percent, boundary) for c in combinations(range(k), o)]
+            equal[i], cross[i] = [key for m, key in found if m == k], [key for m, key in found if m != k]
+        pairs = pa.StructArray.from_arrays([pa.array(hashes[entry].view(np.int64)), pa.array(at[entry], pa.int32())], ["key", "at"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(entries)]), pa.int32()), pairs)
+        texts = pa.compute.if_else(pa.array(entries > 0), batch["text"], pa.scalar(None, pa.string()))
+        digests = pa.array([hashlib.sha256(t).digest() for t in byte_texts(batch["text"])], pa.binary())
+        columns = [batch["_id"], digests, as_binary(ids, sizes == 0), pa.array(sizes, pa.int64()), lists, pa.array(equal, pa.list_(pa.binary())), pa.array(cross, pa.list_(pa.binary())), texts]
+        out.append(pa.table(columns, ["_id", "digest", "set_id", "n", "entries", "equal", "cross", "text"]))
+    return pa.concat_tables(out)
+
+
+SIGNED = "digest binary, set_id binary, n long, entries array<struct<key: long, at: int>>, equal array<binary>, cross array<binary>, text string"
+
+
+def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The signed rows of all texts, with the shingles of all documents in the order of their frequencies."""
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.select("_id", "text").mapInArrow(run, f"_id {kind}, set_id long, n long, n_light long, keys array<long>, equal array<long>, cross array<long>")
-
-
-def subset_key(shingles: np.ndarray, n: int, m: int) -> int:
-    """A key of a set of shingles and of the sizes of the two sets that it stands for."""
-    total = np.add.reduce(mix64(shingles.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))) + np.uint64(min(n, m) * 64 + max(n, m))
-    return int(mix64(np.array([total], np.uint64)).view(np.int64)[0])
-
-
-def listed(signed: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, part, set_id, n, at) of all lists, with the shingle's place in its set; only heavy shingles' lists have parts."""
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("long") + 1
-    rows = signed.select("set_id", "n", "n_light", F.posexplode("keys").alias("at", "key")).where(F.col("at") < prefix)
-    part = F.when(F.col("at") < F.col("n_light"), 0).otherwise(F.pmod("set_id", F.lit(PARTS)) + 1)
-    return rows.select("key", part.cast("int").alias("part"), "set_id", "n", "at")
-
-
-def small_links(signed: DataFrame) -> DataFrame:
+    blocks = written(docs.mapInArrow(lambda batches: cut_blocks(batches, TaskContext.get().partitionId()), "block long, size long, rows binary"), "text-blocks")
+    total = blocks.agg(F.sum("size")).first()[0] or 0
+    ranges = max(1, -(-total // BLOCK_BYTES))
+    bits = min(64, max(16, total.bit_length() + MORE_BITS))
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, rows in zip(batch["block"].to_pylist(), batch["rows"], strict=True):
+                block = Block(rows.as_py(), size, bits)
+                yield from asked(number, block.keys, bits, ranges, {"counts": block.counts.astype(np.uint32)}).to_batches()
+
+    counted = blocks.select("block", "rows").mapInArrow(ask, f"{KEYS}, counts binary").groupBy("range").applyInArrow(count_keys, f"{ANSWERS}, lists long, entries long")
+    counted = written(counted, "shingle-classes")
+    sums = counted.agg(F.sum("lists").alias("lists"), F.sum("entries").alias("entries")).first()
+    boundary = choose_boundary((sums["entries"] or 0) / max(1, sums["lists"] or 0), percent)
+    met = blocks.select("block", "rows").groupBy("block").cogroup(counted.select("block", "range", "n", "found").groupBy("block"))
+    signed = written(met.applyInArrow(lambda rows, answers: sign(rows, answers, percent, size, bits, boundary), f"_id {kind}, {SIGNED}"), "signatures")
+    discard(blocks)
+    discard(counted)
+    return signed
+
+
+def small_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) of small sets: each set of a subset's list to the least one that it links with there."""
     links = []
     for column, meets in (("equal", F.col("size") == F.col("n")), ("cross", F.col("size") != F.col("n"))):
-        rows = signed.select(F.explode(column).alias("key"), "set_id", "n")
+        rows = sets.select(F.explode(column).alias("key"), "set_id", "n")
         heads = rows.groupBy("key", F.col("n").alias("size")).agg(F.min("set_id").alias("head"))
         met = rows.join(heads, "key").where(meets & (F.col("set_id") != F.col("head")))
-        links.append(met.select(*_pairs(F.col("set_id"), F.col("head"))))
+        links.append(met.select(*_pair(F.col("set_id"), F.col("head"))))
     return links[0].unionByName(links[1]).distinct()
 
 
-def fits(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def largest_partner(n: Column, at: Column, percent: int) -> Column:
+    """The size up to which a partner is near enough and can share enough shingles from place ``at`` on."""
+    return F.least(F.floor((n - at) * (100 + percent) / percent) - n, F.floor(n * 100 / percent))
 
 
-def least_overlap(n: Column, m: Column, percent: int) -> Column:
-    """Shingles that sets of n and m need to share, as ``needed_overlap``."""
-    return F.ceil((n + m) * percent / (100 + percent)).cast("int")
+def _pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _chain(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Rows with the set before and behind in the order of size."""
-    order = Window.partitionBy(*by).orderBy("n", "set_id")
-    names = ("set_id", "n")
-    return rows.withColumns({f"{c}_{side}": f(c).over(order) for c in names for side, f in (("before", F.lag), ("behind", F.lead))})
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    known = lists.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return known.withColumn("component", F.coalesce("component", "set_id"))
 
 
-def _pairs(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def named_heads(lists: DataFrame, labels: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) not tested yet: each set with the head that most of its lists share."""
+    known = _labelled(lists, labels)
+    heads = known.groupBy("key").agg(F.min(F.struct("at", "n", "set_id", "component", "most")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"))
+    met = known.join(heads.where("low != high").select("key", "head"), "key")
+    met = met.where((F.col("component") != F.col("head.component")) & (F.col("head.n") <= F.col("most")) & (F.col("n") <= F.col("head.most")))
+    named = met.groupBy("set_id", F.col("head.set_id").alias("head")).agg(F.count("*").alias("times")).select("set_id", "head", "times", *_pair(F.col("set_id"), F.col("head")))
+    if tested is not None:
+        named = named.join(tested, ["a", "b"], "left_anti")
+    best = named.groupBy("set_id").agg(F.max_by(F.struct("a", "b"), F.struct("times", "head")).alias("pair"))
+    return best.select("pair.*").distinct()
 
 
-def promising(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures share as many shingles as those of sets that link must.
+def remaining_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components that can share enough shingles from their list's shingle on, and are not tested yet.
 
-    Sets that need to share o shingles share k of their first n - o + k, for any k up to o.
+    Lists are cut by size class, so that a set meets partners of its own or the next smaller class. The smaller set of a
+    pair must have room for one of its own size, so the least size of such sets tells which larger ones can stay.
     """
+    step = math.log(100 / percent) if percent < 100 else None
+    klass = F.floor(F.log("n") / step + 1e-9) if step else F.col("n")
+    known = written(_labelled(lists, labels).withColumn("class", klass.cast("long")), "labelled-lists")
+    key = ["key", "class"]
+    smaller = known.where(F.col("most") >= F.col("n"))
+    larger = known.unionByName(known.withColumn("class", F.col("class") - 1)) if step else known
+    bounds = smaller.groupBy(*key).agg(F.min("n").alias("least"), F.min("component").alias("low"), F.max("component").alias("high"))
+    alone = (F.col("low") == F.col("high")) & (F.col("low") == F.col("component"))
+    larger = written(larger.join(bounds, key).where((F.col("most") >= F.col("least")) & ~alone).drop("least", "low", "high"), "larger-sets")
+    counts = larger.groupBy(*key, "component").agg(F.count("*").alias("sets"), F.max("most").alias("most"))
+    tops = counts.groupBy(*key).agg(F.max_by("component", F.struct("sets", "component")).alias("top"), F.max("most").alias("reach"), F.min("component").alias("low"), F.max("component").alias("high"))
+    smaller = smaller.join(tops, key).where((F.col("reach") >= F.col("n")) & ~alone)
+    smaller = written(smaller.select(*key, "set_id", "n", "most", "component", "top"), "smaller-sets")
+    larger = larger.join(tops.select(*key, "top"), key)
+    pairs = []
+    for part, rest in ((smaller.where("component != top"), larger), (smaller.where("component = top"), larger.where("component != top"))):
+        x, y = part.alias("x"), rest.alias("y")
+        meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.class") == F.col("y.class")) & (F.col("x.component") != F.col("y.component"))
+        room = (F.col("x.n") <= F.col("y.n")) & (F.col("y.n") <= F.col("x.most")) & (F.col("x.n") <= F.col("y.most"))
+        pairs.append(x.join(y, meet & room).select(*_pair(F.col("x.set_id"), F.col("y.set_id"))))
+    return pairs[0].unionByName(pairs[1]).distinct().join(tested, ["a", "b"], "left_anti")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) of set ids that link, compared shingle by shingle."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    keys = signed.where(F.col("set_id").isNotNull()).join(wanted, "set_id")
-    keys = keys.groupBy("set_id").agg(F.first("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"))
-    side = lambda x: keys.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("keys").alias(f"keys_{x}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    needed = least_overlap(F.col("n_a"), F.col("n_b"), percent)
-    k = F.least(F.lit(MORE + 1), needed)
-    first = [F.slice(f"keys_{x}", 1, F.greatest(F.lit(0), F.col(f"n_{x}").cast("int") - needed + k)) for x in "ab"]
-    shared = F.size(F.array_intersect(*first))
-    return met.where(F.col("keys_a").isNull() | F.col("keys_b").isNull() | (shared >= k)).select("a", "b")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int, size: int, repeated: bool) -> DataFrame:
-    """The pairs (a, b) of set ids that link, compared shingle by shingle; ``repeated`` tells whether ids of docs repeat."""
-    pairs = written(promising(pairs, members, percent), "promising-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    holders = members.select("set_id", "_id").join(wanted, "set_id").groupBy("set_id").agg(F.min("_id").alias("_id"))
-
-    def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows that share an id with another text, keeps those that hold the set."""
-        for batch in text_slices(batches, "text", SLICE):
-            hashes, sizes, _ = shingle_sets(batch["text"], size)
-            full = np.flatnonzero(sizes)
-            ids = np.zeros(len(sizes), np.uint64)
-            if len(full):
-                ids[full] = mix64(np.add.reduceat(mix64(hashes), (np.cumsum(sizes) - sizes)[full]) + sizes[full].astype(np.uint64))
-            yield batch.filter(pa.array(ids.view(np.int64) == batch["set_id"].to_numpy()))
-
-    texts = docs.join(holders, "_id").select("set_id", "text").mapInArrow(confirm, "set_id long, text string")
-    texts = written(texts.groupBy("set_id").agg(F.first("text").alias("text")) if repeated else texts, "set-texts")
-    release_shuffles(docs.sparkSession)
-    met = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text")), "a")
+    texts = written(texts.join(wanted, "set_id"), "set-texts")
+    met = pairs.join(texts.select(F.col("set_id").alias("a"), "text"), "a")
     met = met.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text", SLICE):
-            left, n, _ = shingle_sets(batch["text"], size)
-            right, m, _ = shingle_sets(batch["other"], size)
+            left, n = shingle_sets(batch["text"], size)[:2]
+            right, m = shingle_sets(batch["other"], size)[:2]
             rows = np.concatenate([np.repeat(np.arange(len(n)), n), np.repeat(np.arange(len(m)), m)])
             both = np.concatenate([left, right])
             order = np.lexsort((both, rows))
@@ -232,73 +309,67 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, percent: int
             shared = np.bincount(rows[1:][same], minlength=len(n))
             yield batch.filter(pa.array(100 * shared >= percent * (n + m - shared))).select(["a", "b"])
 
-    return met.mapInArrow(compare, "a long, b long")
-
+    links = written(met.mapInArrow(compare, "a binary, b binary"), "links")
+    discard(texts)
+    return links
 
-def _unresolved(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (key, set_id, n, at, component) of lists whose sets are in more than one component; ``top`` is the list's largest one."""
-    known = rows.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    parts = known.groupBy("key", "component").agg(F.count("*").alias("m"))
-    lists = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.count("*").alias("parts"))
-    return known.join(lists.where("parts > 1").select("key", "top"), "key")
 
-
-def _remaining_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within lists whose shingle can be the first that the two sets share."""
-    left = written(_unresolved(rows, labels), "open-lists")
-    # One side leaves out the largest component, so the work is in proportion to the pairs.
-    x, y = left.where(F.col("component") != F.col("top")).alias("x"), left.alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-    needed = least_overlap(F.col("x.n"), F.col("y.n"), percent)
-    room = (F.col("x.n") - F.col("x.at") >= needed) & (F.col("y.n") - F.col("y.at") >= needed)
-    pairs = x.join(y, meet & fits(F.col("x.n"), F.col("y.n"), percent) & room)
-    return pairs.select(*_pairs(F.col("x.set_id"), F.col("y.set_id"))).distinct()
-
-
-def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, n_shingles, set_id and component_id (the smallest id that links reach) of every row of ``docs``."""
-    spark = docs.sparkSession
+def linked_rows(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """_id, digest of the text, n, set_id and component (a set id) of every row; the last two are null without shingles."""
     docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    repeated = not docs.groupBy("_id").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty()
-    late, mean_list = sample_statistics(docs, size)
-    boundary = choose_boundary(mean_list, percent)
-    signed = written(signatures(docs, spark.sparkContext.broadcast(late), boundary, percent, size), "signatures")
-
-    chained = _chain(listed(signed, percent), ["key", "part"])
-    apart = [(F.col(f"set_id_{side}") != F.col("set_id")) for side in ("before", "behind")]
-    live = chained.where(apart[0] | apart[1] | (F.col("part") > 0))
-    live = written(live.select("key", "part", "set_id", "n", "at", "set_id_before", "n_before"), "live-lists")
-    release_shuffles(spark)
-    near = live.where((F.col("set_id_before") != F.col("set_id")) & fits(F.col("n"), F.col("n_before"), percent))
-    heads = live.where(F.col("part") > 0).groupBy("key", "part").agg(F.min(F.struct("n", "set_id")).alias("head")).select("key", "head.*")
-    heads = _chain(heads, ["key"]).where(fits(F.col("n"), F.col("n_before"), percent) & (F.col("set_id") != F.col("set_id_before")))
-    pairs = near.select(*_pairs(F.col("set_id"), F.col("set_id_before"))).unionByName(heads.select(*_pairs(F.col("set_id"), F.col("set_id_before"))))
-    pairs = written(pairs.distinct(), "near-pairs")
-    links = written(verified(pairs, docs, signed, percent, size, repeated).unionByName(small_links(signed)), "links")
+    signed = signatures(docs, percent, size)
+    sets = signed.where((F.size("entries") > 0) | F.col("equal").isNotNull())
+    sets = sets.groupBy("set_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("n", "entries", "equal", "cross", "text")])
+    sets = written(sets, "sets")
+    lists = sets.select("set_id", "n", F.explode("entries").alias("e")).select("set_id", "n", "e.*")
+    shared = lists.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
+    lists = written(lists.join(shared, "key").withColumn("most", largest_partner(F.col("n"), F.col("at"), percent)), "lists")
+    links = written(small_links(sets), "links")
     labels = connected_components(links)
-
-    rows = live.select("key", "set_id", "n", "at").distinct()
-    more = _remaining_pairs(rows, labels, percent).join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "more-pairs")
+    tested = None
+    while True:
+        pairs = written(named_heads(lists, labels, tested), "named-heads")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        found = verified(pairs, sets.select("set_id", "text"), percent, size)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        labels = connected_components(links)
+    more = written(remaining_pairs(lists, labels, tested, percent), "remaining-pairs")
     if not more.isEmpty():
-        links = links.unionByName(written(verified(more, docs, signed, percent, size, repeated), "links"))
+        links = links.unionByName(verified(more, sets.select("set_id", "text"), percent, size))
         labels = connected_components(links)
+    out = signed.select("_id", "digest", "n", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return out.withColumn("component", F.coalesce("component", "set_id"))
+
 
-    least = signed.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("_id").alias("least"))
-    sets = least.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    groups = sets.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = sets.select("set_id", "component").join(groups, "component").select("set_id", "component_id")
-    out = signed.select("_id", "n", "set_id").join(known, "set_id", "left")
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "set_id", F.coalesce("component_id", "_id").alias("component_id"))
+def jaccard_components(docs: DataFrame, percent: int = 80, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Id, n_shingles, set_id and component_id (the smallest id that links reach) of every row of ``docs``."""
+    rows = written(linked_rows(docs, percent, size, id_col, text_col), "linked-rows")
+    least = rows.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("_id").alias("component_id"))
+    out = rows.join(least, "component", "left")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "set_id", F.when(F.col("component").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's smallest, with the columns of ``docs``; null ids stay."""
-    kept = jaccard_components(docs, percent, id_col=id_col, text_col=text_col).where(F.col("component_id") == F.col(id_col))
-    ids = kept.select(F.col(id_col).alias("_kept")).distinct()
-    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_kept"))
-    stays = packed.where(F.col("_kept").isNotNull()).join(ids, "_kept", "left_semi")
-    return stays.unionByName(packed.where(F.col("_kept").isNull())).select("_row.*")
+    """One row of each component with the columns of ``docs``, the one with the smallest id; rows without words stay.
+
+    Ids that are null come last. Of rows with equal id and text one stays.
+    """
+    rows = written(linked_rows(docs, percent, 5, id_col, text_col), "linked-rows").where(F.col("component").isNotNull())
+    named = rows.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("late"), "_id", "digest")).alias("kept"))
+    named = named.select(F.col("kept._id").alias("_kept"), F.col("kept.digest").alias("_digest"))
+    times = rows.groupBy(F.col("_id").alias("_kept"), F.col("digest").alias("_digest")).agg(F.count("*").alias("times")).where("times > 1")
+    packed = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_kept"), F.col(text_col).alias("_text"))
+    words = F.coalesce(F.col("_text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = packed.withColumn("_digest", F.when(words, F.unhex(F.sha2(F.col("_text").cast("binary"), 256)))).drop("_text")
+    same = lambda a, b: (a["_kept"].eqNullSafe(b["_kept"])) & (a["_digest"] == b["_digest"])
+    stays = keyed.join(named, same(keyed, named), "left_semi")
+    times = written(times.join(named, same(times, named), "left_semi").select("_kept", "_digest"), "repeated-rows")
+    if not times.isEmpty():
+        repeated = stays.join(times, same(stays, times), "left_semi").dropDuplicates(["_kept", "_digest"])
+        stays = stays.join(times, same(stays, times), "left_anti").unionByName(repeated)
+    return stays.unionByName(keyed.where(F.col("_digest").isNull())).select("_row.*")
 
 
 def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
