@@ -15,12 +15,11 @@ no second set has are in no list. Sets just under the boundary are in both struc
 
 The boundary is the largest size up to which listing subsets costs fewer rows than scanning lists of the mean length.
 
-Linking. Equal sets are one node from the start. The head of a list is the set that has the list's shingle nearest to its
+Linking. Equal sets are one node from the start. A list of two sets is one pair to compare. The head of a longer list is the set that has the list's shingle nearest to its
 front, that is with the fewest rarer shingles before it: the original among its near copies. Each set names the head that
 most of its lists share, as long as the two are in different components, fit in size and have room: behind the list's
 shingle both still hold as many shingles as they need to share. These pairs, one for each set at most, are compared by
-their texts, and the rounds go on until none of them links. A list whose sets are in one component is done. In what is
-left, sets that can have no partner in the list are taken out by the sizes they would need, and the remaining pairs are
+their texts, in two rounds. A list whose sets are in one component is done. In what is left, sets that can have no partner in the list are taken out by the sizes they would need, and the remaining pairs are
 compared, but never two sets of the list's largest component. So no link between different texts is lost, and no group
 of copies is spelled out in pairs.
 
@@ -94,7 +93,12 @@ def set_ids(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def as_binary(ids: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
     data = pa.py_buffer(np.ascontiguousarray(ids).tobytes())
     array = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(0, 16 * len(ids) + 1, 16, dtype=np.int32).tobytes()), data])
-    return array if mask is None else pa.compute.if_else(pa.array(mask), pa.scalar(None, pa.binary()), array)
+    return array if mask is None else where(~mask, array)
+
+
+def where(chosen: np.ndarray, array: pa.Array) -> pa.Array:
+    """The array with nulls where not chosen."""
+    return array.take(pa.array(np.arange(len(array)), mask=~chosen))
 
 
 def subset_key(shingles: np.ndarray, n: int, m: int) -> bytes:
@@ -188,7 +192,7 @@ def sign(block: pa.Table, answers: pa.Table, percent: int, size: int, bits: int,
             equal[i], cross[i] = [key for m, key in found if m == k], [key for m, key in found if m != k]
         pairs = pa.StructArray.from_arrays([pa.array(hashes[entry].view(np.int64)), pa.array(at[entry], pa.int32())], ["key", "at"])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(entries)]), pa.int32()), pairs)
-        texts = pa.compute.if_else(pa.array(entries > 0), batch["text"], pa.scalar(None, pa.string()))
+        texts = where(entries > 0, batch["text"])
         digests = pa.array([hashlib.sha256(t).digest() for t in byte_texts(batch["text"])], pa.binary())
         columns = [batch["_id"], digests, as_binary(ids, sizes == 0), pa.array(sizes, pa.int64()), lists, pa.array(equal, pa.list_(pa.binary())), pa.array(cross, pa.list_(pa.binary())), texts]
         out.append(pa.table(columns, ["_id", "digest", "set_id", "n", "entries", "equal", "cross", "text"]))
@@ -248,15 +252,22 @@ def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return known.withColumn("component", F.coalesce("component", "set_id"))
 
 
-def named_heads(lists: DataFrame, labels: DataFrame, tested: DataFrame | None) -> DataFrame:
+def list_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of lists of two sets that have room for one another, and the rows of longer lists."""
+    entry = F.struct("set_id", "n", "most")
+    lists = written(rows.groupBy("key").agg(F.count("*").alias("sets"), F.min(entry).alias("x"), F.max(entry).alias("y")).where("sets > 1"), "list-ends")
+    pairs = lists.where("sets = 2 and x.n <= y.most and y.n <= x.most").select(*_pair(F.col("x.set_id"), F.col("y.set_id"))).distinct()
+    return pairs, rows.join(lists.where("sets > 2").select("key"), "key")
+
+
+def named_heads(lists: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs (a, b) not tested yet: each set with the head that most of its lists share."""
     known = _labelled(lists, labels)
     heads = known.groupBy("key").agg(F.min(F.struct("at", "n", "set_id", "component", "most")).alias("head"), F.min("component").alias("low"), F.max("component").alias("high"))
     met = known.join(heads.where("low != high").select("key", "head"), "key")
     met = met.where((F.col("component") != F.col("head.component")) & (F.col("head.n") <= F.col("most")) & (F.col("n") <= F.col("head.most")))
     named = met.groupBy("set_id", F.col("head.set_id").alias("head")).agg(F.count("*").alias("times")).select("set_id", "head", "times", *_pair(F.col("set_id"), F.col("head")))
-    if tested is not None:
-        named = named.join(tested, ["a", "b"], "left_anti")
+    named = named.join(tested, ["a", "b"], "left_anti")
     best = named.groupBy("set_id").agg(F.max_by(F.struct("a", "b"), F.struct("times", "head")).alias("pair"))
     return best.select("pair.*").distinct()
 
@@ -322,22 +333,20 @@ def linked_rows(docs: DataFrame, percent: int, size: int, id_col: str, text_col:
     sets = sets.groupBy("set_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("n", "entries", "equal", "cross", "text")])
     sets = written(sets, "sets")
     lists = sets.select("set_id", "n", F.explode("entries").alias("e")).select("set_id", "n", "e.*")
-    shared = lists.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key")
-    lists = written(lists.join(shared, "key").withColumn("most", largest_partner(F.col("n"), F.col("at"), percent)), "lists")
+    pairs, lists = list_pairs(lists.withColumn("most", largest_partner(F.col("n"), F.col("at"), percent)))
+    pairs, lists = written(pairs, "list-pairs"), written(lists, "lists")
+    texts = sets.select("set_id", "text")
     links = written(small_links(sets), "links")
+    nothing = links.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    tested = written(pairs.unionByName(named_heads(lists, nothing, pairs)), "first-pairs")
+    links = links.unionByName(verified(tested, texts, percent, size))
     labels = connected_components(links)
-    tested = None
-    while True:
-        pairs = written(named_heads(lists, labels, tested), "named-heads")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = verified(pairs, sets.select("set_id", "text"), percent, size)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        labels = connected_components(links)
-    more = written(remaining_pairs(lists, labels, tested, percent), "remaining-pairs")
+    again = written(named_heads(lists, labels, tested), "second-pairs")
+    links = links.unionByName(verified(again, texts, percent, size))
+    labels = connected_components(links)
+    more = written(remaining_pairs(lists, labels, tested.unionByName(again), percent), "remaining-pairs")
     if not more.isEmpty():
-        links = links.unionByName(verified(more, sets.select("set_id", "text"), percent, size))
+        links = links.unionByName(verified(more, texts, percent, size))
         labels = connected_components(links)
     out = signed.select("_id", "digest", "n", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     return out.withColumn("component", F.coalesce("component", "set_id"))
