@@ -1,23 +1,23 @@
 """Language-model scoring with a weighted backoff automaton.
 
 The model. Every n-gram of up to ``order`` words that occurs ``least`` times or more in the training texts is an arc, and
-every one that is extended by such an arc is a state; all words, however rare, are arcs of the root. An arc carries the
-discounted log-probability. Where a state has no arc for a word, its failure arc leads to the state without the first
-word and carries the backoff weight, so that each state's probabilities sum to one. The number of states and arcs grows
-with the corpus, so the model is never in one place: ``Automaton`` is its sequential form, for small models and tests.
+every one that is extended by such an arc is a state; all words, however rare, are arcs of the root. Counts are discounted
+by one half, and what a state's arcs leave is the weight of its failure arc, which leads to the state without the first
+word. An arc's probability is its discounted share plus that weight times the probability behind the failure arc, so
+each state's probabilities sum to one. The number of states and arcs grows with the corpus, so the model is never in one
+place: ``Automaton`` is its sequential form, for small models and tests.
 
 Blocks. Each task cuts its texts into blocks of about ``BLOCK_BYTES``, whose words are numbered. A block keys its distinct
-n-grams by 79 bits of a digest of their words. Exchanges between blocks and ranges of keys give it what its texts need:
+words by 64 bits of a digest, and longer n-grams by the leading bits of one, ``MORE_BITS`` more than number all tokens; of
+the n-grams about one in 2**MORE_BITS shares a key with another one and is counted with it, words do not. Exchanges
+between blocks and ranges of keys give a block what its texts need:
 
 1. a block sends the training counts of its n-grams, a range adds them up and sends back the corpus counts. Words and
    pairs come first; a longer n-gram is only sent if both its parts are known to occur ``least`` times;
-2. of the blocks that hold an n-gram, the first adds its probability, and that of the n-gram without its first word, to
-   the sums of its context; a range adds these up and sends back the context's backoff weight;
+2. of the blocks that hold an n-gram, the first adds its discounted count, in halves, to its context; a range adds these
+   up and sends back the sum, from which a block has the weight;
 3. a block sums the logs along each text's path.
 
-A key meets a range at most once from each block, so frequent n-grams make no range large. The number of ranges grows
-with the input, so a range holds about as many keys as a block. Keys and counts travel packed, a row for a block and range.
-
 Defined cases: a null or empty text is the end mark alone; words are compared as bytes with A-Z lower-cased; a word
 unseen in training has count 0; without training texts every token has probability 1 / (0.1 * (0 + 1)) * 0.1 = 1;
 repeated rows each get a row; an empty table gives no rows; columns other than the id and the text are ignored.
@@ -38,11 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briefloom.llm.common import byte_texts, crc_bucket, mix64, read_table, release_shuffles, text_slices, written
+from briefloom.llm.exchange import ANSWERS, KEYS, Range, answered, asked, pack, unpack
 
 END, START = b"", b" "  # no word is empty or holds a blank
 SMOOTH, DISCOUNT = 0.1, 0.5
 BLOCK_BYTES = 12 << 20
-WEIGHTS = -1  # the kind of answers that are no counts
+MORE_BITS = 24
 CHAIN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,18 +95,18 @@ class Automaton:
         longest = len(levels)
         self.arcs: dict[int, tuple[int, float]] = {i: (state_of((i,)), float(p)) for i, p in enumerate(root)}
         for n, (keys, found) in enumerate(levels):
-            mass: dict[int, float] = {}
-            lower: dict[int, float] = {}
+            shares: dict[int, float] = {}
+            for k, c in zip(keys.tolist(), found.tolist(), strict=True):
+                at = states[n + 1, k // size]
+                shares[at] = shares.get(at, 0.0) + (c - DISCOUNT) / int(occurs[n][k // size])
+            for at, share in shares.items():
+                self.weight[at] = math.log10(1 - share)
             for k, c in zip(keys.tolist(), found.tolist(), strict=True):
                 i, word = divmod(k, size)
                 at = states[n + 1, i]
-                p = (c - DISCOUNT) / max(c, int(occurs[n][i]))
-                mass[at] = mass.get(at, 0.0) + p
-                lower[at] = lower.get(at, 0.0) + 10 ** self.step(self.failure[at], word)[1]
+                p = (c - DISCOUNT) / int(occurs[n][i]) + 10 ** (self.weight[at] + self.step(self.failure[at], word)[1])
                 gram = (*spelled[n][i], word)
                 self.arcs[at * size + word] = (state_of(gram if n + 1 < longest else gram[1:]), math.log10(p))
-            for at, p in mass.items():
-                self.weight[at] = math.log10(max(1 - p, 1e-12) / max(1 - lower[at], 1e-12))
 
     def step(self, state: int, word: int) -> tuple[int, float]:
         """The next state and the log10 probability of one word with a root arc."""
@@ -116,20 +117,8 @@ class Automaton:
         return arc[0], total + arc[1]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Compressed bytes of an array, the first bytes of all values before the second ones."""
-    turned = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
-    return pa.compress(turned, "zstd", asbytes=True)
-
-
-def unpack(data: bytes, n: int, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    turned = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(turned.T).view(kind).ravel()
-
-
-def unpacked(table: pa.Table, column: str, kind) -> list[np.ndarray]:
-    return [unpack(data, n, kind) for data, n in zip(table[column].to_pylist(), table["n"].to_pylist(), strict=True)]
+def digest(word: bytes) -> bytes:
+    return blake2b(word, digest_size=8).digest()
 
 
 def cut_blocks(batches: Iterable[pa.RecordBatch], task: int) -> Iterator[pa.RecordBatch]:
@@ -137,7 +126,7 @@ def cut_blocks(batches: Iterable[pa.RecordBatch], task: int) -> Iterator[pa.Reco
 
     def block(number: int) -> pa.RecordBatch:
         sizes = np.array([len(p) for p in parts], np.int64)
-        digests = np.frombuffer(b"".join(blake2b(w, digest_size=10).digest() for w in numbers), np.uint8)
+        digests = np.frombuffer(b"".join(map(digest, numbers)), np.uint64)
         keys = pa.concat_arrays(rows)
         blobs = [pack(x) for x in (np.concatenate(flags), sizes, np.concatenate(parts).astype(np.int32), digests)]
         lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
@@ -172,21 +161,20 @@ class Block:
     """The distinct n-grams of a block's texts, by length, and where they end.
 
     ``places[k]`` has for each token the index of the n-gram of k + 1 words that ends there, or -1. Of each n-gram
-    ``contexts[k]`` has the index of the one without the last word, and ``suffixes[k]`` without the first. ``counts[k]``
-    and ``first[k]`` have the corpus counts, and whether this block is the first that holds the n-gram.
+    ``contexts[k]`` has the index of the one without the last word. ``counts[k]`` and ``first[k]`` have the corpus counts,
+    and whether this block is the first that holds the n-gram.
     """
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, bits: int):
         row = {name: table[name][0].as_py() for name in BLOCK_NAMES if name != "ids"}
-        self.number = row["block"]
+        self.number, self.bits = row["block"], bits
         self.ids = table["ids"].combine_chunks().flatten()
         self.sizes = unpack(row["sizes"], row["n_texts"], np.int64)
         self.train = unpack(row["train"], row["n_texts"], np.uint8).astype(bool)
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.places = [unpack(row["tokens"], row["n_tokens"], np.int32).astype(np.int64)]
-        digests = unpack(row["digests"], 10 * row["n_words"], np.uint8).reshape(-1, 10)
-        self.keys = [np.stack([np.ascontiguousarray(digests[:, a:b]).view(kind).ravel().astype(np.uint64) for a, b, kind in ((0, 8, np.uint64), (8, 10, np.uint16))], 1)]
-        self.contexts, self.suffixes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        self.keys = [unpack(row["digests"], row["n_words"], np.uint64)]
+        self.contexts = [np.zeros(0, np.int64)]
         self.counts: list[np.ndarray] = []
         self.first: list[np.ndarray] = []
 
@@ -199,133 +187,65 @@ class Block:
             good = (last >= 0) & np.append(self.counts[-1] >= least, False)[last]
             ends = np.flatnonzero(good[1:] & good[:-1]) + 1
         distinct, inverse = np.unique(last[ends - 1] * len(digests) + tokens[ends], return_inverse=True)
-        context, suffix = distinct // len(digests), np.empty(len(distinct), np.int64)
-        suffix[inverse] = last[ends]
+        context = distinct // len(digests)
         self.keys.append(mix64(self.keys[-1][context] * CHAIN + digests[distinct % len(digests)] + np.uint64(len(self.places) + 1)))
         place = np.full(len(tokens), -1, np.int64)
         place[ends] = inverse
         self.places.append(place)
         self.contexts.append(context)
-        self.suffixes.append(suffix)
-
-    def sorted_keys(self, start: int, stop: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the levels from ``start`` to ``stop``: the order of the (chosen) keys and both parts of them in that order."""
-        joined = np.concatenate(self.keys[start:stop])
-        # The lowest bit of the shorter part tells words, which make up the total, from all else.
-        short = joined[:, 1].astype(np.uint16) & np.uint16(0xFFFE)
-        if start == 0:
-            short[1 : len(self.keys[0])] |= np.uint16(1)
-        at = np.arange(len(joined)) if chosen is None else np.flatnonzero(chosen)
-        order = at[np.argsort(joined[at, 0], kind="stable")]
-        return order, joined[order, 0], short[order]
-
-    def training_counts(self, start: int, stop: int) -> np.ndarray:
-        inside = np.repeat(self.train, self.sizes)
-        return np.concatenate([np.bincount(p[inside & (p >= 0)], minlength=len(k)) for p, k in zip(self.places[start:stop], self.keys[start:stop], strict=True)])
-
-    def receive(self, answers: pa.Table, rounds: list[tuple[int, int]], least: int) -> None:
-        """Takes the corpus counts of all rounds so far, and adds the n-grams that they tell of."""
-        answers = answers.sort_by("range")
-        for kind, (start, stop) in enumerate(rounds):
-            while len(self.places) < stop:
+
+    def ordered(self, level: int, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The (chosen) n-grams of a level in the order of their keys, and the keys."""
+        at = np.arange(len(self.keys[level])) if chosen is None else np.flatnonzero(chosen)
+        keys = self.keys[level][at]
+        if level:
+            keys = keys >> np.uint64(64 - self.bits)
+        order = np.argsort(keys, kind="stable")
+        return at[order], keys[order]
+
+    def ask(self, kind: int, level: int, ranges: int, numbers: np.ndarray, chosen: np.ndarray | None = None) -> pa.Table:
+        at, keys = self.ordered(level, chosen)
+        rows = asked(self.number, keys, self.bits if level else 64, ranges, {"numbers": numbers[at].astype(np.uint64)})
+        return rows.append_column("kind", pa.array([kind] * len(rows), pa.int32()))
+
+    def ask_counts(self, level: int, ranges: int) -> pa.Table:
+        places = self.places[level]
+        inside = np.repeat(self.train, self.sizes) & (places >= 0)
+        return self.ask(level, level, ranges, np.bincount(places[inside], minlength=len(self.keys[level])))
+
+    def receive(self, answers: pa.Table, levels: int, least: int) -> None:
+        """Takes the corpus counts of so many levels, and adds the n-grams that they tell of."""
+        for level in range(levels):
+            if level:
                 self.lengthen(least)
-            order, _, _ = self.sorted_keys(start, stop)
-            found = np.zeros(len(order), np.int64)
-            found[order] = _joined(answers, kind, np.int64)
-            for part in np.split(found, np.cumsum([len(k) for k in self.keys[start:stop]])[:-1]):
-                self.counts.append(part >> 1)
-                self.first.append((part & 1).astype(bool))
-
-    def states(self, least: int) -> np.ndarray:
-        """Whether each n-gram below the longest may be a state."""
-        return np.concatenate([c >= least for c in self.counts[:-1]])
-
-    def probabilities(self, scale: float) -> list[np.ndarray]:
-        """By length; only those of words and of kept n-grams mean anything."""
-        out = [(self.counts[0] + SMOOTH) / scale]
-        for n in range(1, len(self.counts)):
-            out.append(np.maximum(self.counts[n] - DISCOUNT, 0.0) / np.maximum(self.counts[n - 1][self.contexts[n]], 1))
-        return out
-
-
-def _joined(answers: pa.Table, kind: int, number) -> np.ndarray:
-    own = answers.filter(pa.array(answers["kind"].to_numpy() == kind))
-    return np.concatenate([np.zeros(0, number), *unpacked(own, "found", number)])
-
-
-def _parts(block: int, long: np.ndarray, short: np.ndarray, ranges: int, more: dict[str, np.ndarray]) -> pa.Table:
-    """A row for each range of keys; the keys are sorted."""
-    bounds = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
-    cuts = [0, *np.searchsorted(long, bounds).tolist(), len(long)]
-    filled = [(r, a, b) for r, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-    columns = {
-        "block": pa.array([block] * len(filled), pa.int64()),
-        "range": pa.array([r for r, _, _ in filled], pa.int32()),
-        "n": pa.array([b - a for _, a, b in filled], pa.int32()),
-        "long": pa.array([pack(np.diff(long[a:b], prepend=np.uint64(0))) for _, a, b in filled], pa.binary()),
-        "short": pa.array([pack(short[a:b]) for _, a, b in filled], pa.binary()),
-    }
-    for name, values in more.items():
-        columns[name] = pa.array([pack(values[a:b]) for _, a, b in filled], pa.binary())
-    return pa.table(columns)
-
-
-def _same_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that brings equal keys together, where each key's rows begin in it, and the shorter halves."""
-    long = np.concatenate([np.cumsum(x, dtype=np.uint64) for x in unpacked(table, "long", np.uint64)])
-    short = np.concatenate(unpacked(table, "short", np.uint16))
-    order = np.argsort(long, kind="stable")
-    same, other = long[order][1:] == long[order][:-1], short[order][1:] != short[order][:-1]
-    if (same & other).any():
-        order = np.lexsort((short, long))
-        same, other = long[order][1:] == long[order][:-1], short[order][1:] != short[order][:-1]
-    return order, np.flatnonzero(np.concatenate([[True], ~same | other])), short
-
-
-def _spread(order: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.empty(len(order), values.dtype)
-    out[order] = np.repeat(values, np.diff(starts, append=len(order)))
-    return out
-
-
-def _answers(table: pa.Table, kind: int, values: np.ndarray, total: int = 0, kinds: int = 0) -> pa.Table:
-    cuts = np.cumsum([0, *table["n"].to_pylist()])
-    first = [True] + [False] * (table.num_rows - 1)
-    return pa.table(
-        {
-            "block": table["block"],
-            "range": table["range"],
-            "kind": pa.array([kind] * table.num_rows, pa.int32()),
-            "n": table["n"],
-            "found": pa.array([pack(values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()),
-            "total": pa.array([total * f for f in first], pa.int64()),
-            "kinds": pa.array([kinds * f for f in first], pa.int64()),
-        }
-    )
-
-
-ANSWERS = "block long, range int, kind int, n int, found binary, total long, kinds long"
-KEYS = "block long, range int, n int, long binary, short binary"
-
-
-def add_counts(table: pa.Table, kind: int) -> pa.Table:
-    """Of one range: twice the sum of each key's counts, plus 1 for the first block that holds it."""
-    table = table.sort_by("block")
-    order, starts, short = _same_keys(table)
-    sums = np.add.reduceat(np.concatenate(unpacked(table, "counts", np.int64))[order], starts)
-    found = _spread(order, starts, sums * 2)
-    found[order[starts]] += 1
-    words = (short[order[starts]] & 1).astype(bool)
-    return _answers(table, kind, found, int(sums[words].sum()), int((sums[words] > 0).sum()))
-
-
-def add_weights(table: pa.Table) -> pa.Table:
-    """Of one range: each context's backoff weight as a log; 0 where no arc leaves it."""
-    table = table.sort_by("block")
-    order, starts, _ = _same_keys(table)
-    own, lower = (np.add.reduceat(np.concatenate(unpacked(table, c, np.float64))[order], starts) for c in ("own", "lower"))
-    weights = np.where(own > 0, np.log10(np.maximum(1 - own, 1e-12) / np.maximum(1 - lower, 1e-12)), 0.0)
-    return _answers(table, WEIGHTS, _spread(order, starts, weights))
+            found = np.zeros(len(self.keys[level]), np.uint64)
+            found[self.ordered(level)[0]] = of_kind(answers, level)
+            self.counts.append((found >> np.uint64(1)).astype(np.int64))
+            self.first.append((found & np.uint64(1)).astype(bool))
+
+
+def of_kind(answers: pa.Table, kind: int) -> np.ndarray:
+    return answered(answers.filter(pa.array(answers["kind"].to_numpy() == kind)), np.uint64)
+
+
+SENT = f"{KEYS}, numbers binary, kind int"
+SENT_NAMES = ["block", "range", "n", "keys", "numbers", "kind"]
+FOUND = f"{ANSWERS}, kind int, total long, kinds long"
+
+
+def add_up(table: pa.Table, longest: int) -> pa.Table:
+    """Of one range and kind: twice the sum of each key's counts, plus 1 for the first block that holds it; sums of weights alone."""
+    own, kind, n = Range(table), table["kind"][0].as_py(), len(table)
+    sums = own.sums("numbers", np.uint64)
+    total = kinds = 0
+    if kind == 0:
+        words = sums[own.keys[own.order[own.starts]] != np.frombuffer(digest(START), np.uint64)[0]]
+        total, kinds = int(words.sum()), int((words > 0).sum())
+    found = own.spread(sums.astype(np.uint64))
+    if kind < longest:
+        found = found * np.uint64(2) + own.first()
+    more = {"kind": pa.array([kind] * n, pa.int32()), "total": pa.array([total] + [0] * (n - 1), pa.int64()), "kinds": pa.array([kinds] + [0] * (n - 1), pa.int64())}
+    return pa.table(own.answers(found) | more)
 
 
 def score_texts(docs: DataFrame, training, order: int = 2, least: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,92 +259,82 @@ def score_texts(docs: DataFrame, training, order: int = 2, least: int = 2, id_co
     id_type = rows.schema["id"].dataType.simpleString()
     cut = rows.mapInArrow(lambda batches: cut_blocks(batches, TaskContext.get().partitionId()), f"block long, ids array<{id_type}>, n_texts long, n_tokens long, n_words long, train binary, sizes binary, tokens binary, digests binary")
     blocks = written(cut, "blocks")
-    ranges = max(1, math.ceil((blocks.agg(F.sum("n_tokens")).first()[0] or 0) / (BLOCK_BYTES / 6)))
-    rounds = [(0, 2), *[(n - 1, n) for n in range(3, order + 1)]]
+    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+    ranges, bits = max(1, math.ceil(tokens / (BLOCK_BYTES / 6))), min(64, tokens.bit_length() + MORE_BITS)
 
-    def count_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask_first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block = Block(pa.Table.from_batches([batch.slice(i, 1)]))
+                block = Block(pa.Table.from_batches([batch.slice(i, 1)]), bits)
                 block.lengthen(least)
-                yield from sent_counts(block, 0).to_batches()
-
-    def sent_counts(block: Block, kind: int) -> pa.Table:
-        keys, long, short = block.sorted_keys(*rounds[kind])
-        return _parts(block.number, long, short, ranges, {"counts": block.training_counts(*rounds[kind])[keys].astype(np.int64)})
+                for level in range(2):
+                    yield from block.ask_counts(level, ranges).select(SENT_NAMES).to_batches()
 
-    def count_longer(kind: int):
-        def count(table: pa.Table, answers: pa.Table) -> pa.Table:
-            block = Block(table)
-            block.receive(answers, rounds[:kind], least)
+    def ask_longer(level: int):
+        def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
+            block = Block(table, bits)
+            block.receive(answers, level, least)
             block.lengthen(least)
-            return sent_counts(block, kind)
+            return block.ask_counts(level, ranges).select(SENT_NAMES)
 
-        return count
+        return ask
+
+    def ask_weights(table: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block(table, bits)
+        block.receive(answers, order, least)
+        asks = []
+        for n in range(1, order):
+            mine = block.first[n] & (block.counts[n] >= least)
+            # Twice a count less one half is an integer.
+            halves = np.bincount(block.contexts[n][mine], 2 * block.counts[n][mine] - 1, len(block.keys[n - 1]))
+            asks.append(block.ask(order + n - 1, n - 1, ranges, halves, block.counts[n - 1] >= least))
+        return pa.concat_tables(asks).select(SENT_NAMES)
 
-    def summed(grams: DataFrame, kind: int) -> DataFrame:
-        return written(grams.groupBy("range").applyInArrow(lambda table: add_counts(table, kind), ANSWERS), "gram-counts")
+    def with_blocks(answers: DataFrame):
+        return blocks.groupBy("block").cogroup(answers.groupBy("block"))
 
-    def release() -> None:
+    def added(sent: DataFrame, name: str) -> DataFrame:
+        found = written(sent.groupBy("kind", "range").applyInArrow(lambda table: add_up(table, order), FOUND), name)
         gc.collect()  # py4j's objects are cycles; until they go, the JVM keeps the finished plans and their shuffles
         release_shuffles(spark)
+        return found
 
-    counted = summed(blocks.mapInArrow(count_first, f"{KEYS}, counts binary"), 0)
-    release()
-    sums = counted.agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).first()
+    known = added(blocks.mapInArrow(ask_first, SENT), "gram-counts")
+    sums = known.agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).first()
     total = sums["total"] or 0
     scale = total + SMOOTH * ((sums["kinds"] or 0) + 1)
-    for kind in range(1, len(rounds)):
-        grams = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(count_longer(kind), f"{KEYS}, counts binary")
-        counted = counted.unionByName(summed(grams, kind))
-        del grams
-        release()
-
-    def add_contexts(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table)
-        block.receive(answers, rounds, least)
-        p = block.probabilities(scale)
-        own, lower = [], []
-        for n in range(1, order):
-            mine = block.first[n] & (block.counts[n] >= least)
-            context, size = block.contexts[n][mine], len(block.counts[n - 1])
-            own.append(np.bincount(context, p[n][mine], size))
-            lower.append(np.bincount(context, p[n - 1][block.suffixes[n][mine]], size))
-        keys, long, short = block.sorted_keys(0, order - 1, block.states(least))
-        return _parts(block.number, long, short, ranges, {"own": np.concatenate(own)[keys], "lower": np.concatenate(lower)[keys]})
-
-    contexts = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(add_contexts, f"{KEYS}, own binary, lower binary")
-    weighed = written(contexts.groupBy("range").applyInArrow(add_weights, ANSWERS), "backoff-weights")
-    del contexts
-    release()
+    for level in range(2, order):
+        known = known.unionByName(added(with_blocks(known).applyInArrow(ask_longer(level), SENT), "gram-counts"))
+    known = known.unionByName(added(with_blocks(known).applyInArrow(ask_weights, SENT), "discounted-counts"))
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block(table)
-        block.receive(answers, rounds, least)
-        levels = [len(k) for k in block.keys[:-1]]
-        weights = np.zeros(sum(levels))
-        keys, _, _ = block.sorted_keys(0, order - 1, block.states(least))
-        weights[keys] = _joined(answers.sort_by("range"), WEIGHTS, np.float64)
-        weights = np.split(weights, np.cumsum(levels)[:-1])
-        p, tokens = block.probabilities(scale), block.places[0]
-        base = np.log10(p[0])[tokens]
-        path = base.copy()
+        block = Block(table, bits)
+        block.receive(answers, order, least)
+        tokens = block.places[0]
+        base = (block.counts[0] + SMOOTH) / scale
+        path = base[tokens]
+        base = np.log10(base)[tokens]
         for n in range(1, order):
+            size = len(block.keys[n - 1])
+            halves = np.zeros(size)
+            halves[block.ordered(n - 1, block.counts[n - 1] >= least)[0]] = of_kind(answers, order + n - 1)
+            weight = 1 - halves / np.maximum(2 * block.counts[n - 1], 1)
+            kept = block.counts[n] >= least
+            share = np.where(kept, (block.counts[n] - DISCOUNT) / np.maximum(block.counts[n - 1][block.contexts[n]], 1), 0.0)
             # The context of a token ends at the token before; without an arc from it, its failure arc is taken.
             before = np.concatenate([[-1], block.places[n - 1][:-1]])
             at = np.flatnonzero((before >= 0) & (tokens != 0))
-            path[at] += weights[n - 1][before[at]]
-            kept = block.counts[n] >= least
-            at = np.flatnonzero((block.places[n] >= 0) & np.append(kept, False)[block.places[n]])
-            path[at] = np.log10(p[n], out=np.zeros(len(kept)), where=kept)[block.places[n][at]]
-        known = (block.counts[0] > 0)[tokens].astype(np.int64)
-        for values in (base, path, known):
+            path[at] = path[at] * weight[before[at]]
+            at = np.flatnonzero(block.places[n] >= 0)
+            path[at] += share[block.places[n][at]]
+        path = np.log10(path)
+        seen = (block.counts[0] > 0)[tokens].astype(np.int64)
+        for values in (base, path, seen):
             values[block.begins] = 0
-        n_known, base, path = (np.add.reduceat(x, block.begins) for x in (known, base, path))
+        n_known, base, path = (np.add.reduceat(x, block.begins) for x in (seen, base, path))
         return pa.table({id_col: block.ids, "n_tokens": block.sizes - 1, "n_known": n_known, "train_tokens": np.full(len(path), total, np.int64), "base_score": base, "score": path})
 
-    scored = blocks.groupBy("block").cogroup(counted.unionByName(weighed).groupBy("block"))
-    return scored.applyInArrow(score, f"`{id_col}` {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_blocks(known).applyInArrow(score, f"`{id_col}` {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,24 +14,25 @@ TEXTS = ["The cat sat on the mat", "the cat sat", None, "", "a cat and the cat s
 
 
 def brute(texts, ids):
-    """Bigram backoff by definition, over dictionaries."""
+    """A bigram model with discounts of one half by definition, over dictionaries."""
     split = [(t or "").encode().lower().split() for t in texts]
     train = [w for w, i in zip(split, ids) if zlib.crc32(str(i).encode()) % 10 != 0]
     c = Counter(w for t in train for w in [*t, b""])
     n, v = sum(c.values()), len(c)
     scale = n + 0.1 * (v + 1)
     uni = lambda w: (c[w] + 0.1) / scale
-    least, common = max(2, math.ceil(1e-5 * n)), max(2, math.ceil(2.5e-7 * n))
-    assert least == common == 2
     pairs = Counter(p for t in train for p in zip([None, *t], [*t, b""]))
     kept = {p: k for p, k in pairs.items() if k >= 2 and (p[0] is None or c[p[0]] >= 2) and c[p[1]] >= 2}
     seen = lambda h: len(train) if h is None else c[h]
-    p = {g: (k - 0.5) / max(k, seen(g[0])) for g, k in kept.items()}
-    bow = {h: max(1 - sum(x for g, x in p.items() if g[0] == h), 1e-12) / max(1 - sum(uni(g[1]) for g in p if g[0] == h), 1e-12) for h in {g[0] for g in p}}
+    share = {g: (k - 0.5) / seen(g[0]) for g, k in kept.items()}
+    left = Counter()
+    for g, x in share.items():
+        left[g[0]] += x
+    chance = lambda g: share.get(g, 0) + (1 - left[g[0]]) * uni(g[1])
     out = {}
     for i, t in zip(ids, split):
         base = sum(math.log10(uni(w)) for w in [*t, b""])
-        score = sum(math.log10(p[g]) if g in p else math.log10(bow.get(g[0], 1) * uni(g[1])) for g in zip([None, *t], [*t, b""]))
+        score = sum(math.log10(chance(g)) for g in zip([None, *t], [*t, b""]))
         out[i] = (len(t) + 1, sum(c[w] > 0 for w in [*t, b""]), n, base, score)
     return out
 
@@ -87,18 +88,15 @@ def test_rare_trigrams_of_a_large_corpus_are_kept(spark, monkeypatch):
     c = Counter(tuple(t[i : i + n]) for t in marked for n in (1, 2, 3) for i in range(len(t) - n + 1))
     total, kinds = sum(map(len, marked)) - len(texts), sum(len(g) == 1 for g in c) - 1
     assert math.ceil(1e-5 * total) > 3
-    p = {g: (k + 0.1) / (total + 0.1 * (kinds + 1)) if len(g) == 1 else (k - 0.5) / c[g[:-1]] for g, k in c.items() if len(g) == 1 or k >= 2}
-    own, lower = Counter(), Counter()
-    for g in p:
-        if len(g) > 1:
-            own[g[:-1]] += p[g]
-            lower[g[:-1]] += p[g[1:]]
+    share = {g: (k - 0.5) / c[g[:-1]] for g, k in c.items() if len(g) > 1 and k >= 2}
+    left = Counter()
+    for g, x in share.items():
+        left[g[:-1]] += x
 
     def chance(g):
-        if g in p:
-            return p[g]
-        h = g[:-1]
-        return chance(g[1:]) * (max(1 - own[h], 1e-12) / max(1 - lower[h], 1e-12) if h in own else 1)
+        if len(g) == 1:
+            return (c[g] + 0.1) / (total + 0.1 * (kinds + 1))
+        return share.get(g, 0) + (1 - left[g[:-1]]) * chance(g[1:])
 
     for i, t in enumerate(marked):
         want = sum(math.log10(chance(tuple(t[max(0, e - 2) : e + 1]))) for e in range(1, len(t)))
