@@ -5,23 +5,27 @@ marks, since no piece holds a mark behind another symbol. The distinct marked wo
 which is a depth-first walk of their trie: a word takes over the forward states of the prefix that it shares with the
 word before it and only adds the states of its own symbols.
 
-The named method keeps a Viterbi score for each prefix. The dealt model is a BPE model, whose pieces have merge ranks
-and not probabilities, so the best sum of scores is not what the library gives. The forward state here is what BPE has
-in its place: the one piece that ends the encoding of the prefix. It is the piece whose joint with the state at its
-start survives all merges, which two pieces decide between them. The walk, the reuse and the trace back are the same.
+Unigram models. The forward state of a prefix is its best score with the piece that ends it, as in Viterbi's algorithm;
+the pieces are traced back from the word's end.
 
-Symbols outside the vocabulary become their UTF-8 bytes. Words that begin with several marks are merged pair by pair,
-because the pieces of blanks share one rank.
+BPE models. Their pieces have merge ranks and not probabilities, so the best sum of scores is not what the library gives.
+The forward state is what BPE has in its place: the one piece that ends the encoding of the prefix. It is the piece whose
+joint with the state at its start survives all merges, which two pieces decide between them. The walk, the reuse and the
+trace back are the same. Words that begin with several marks are merged pair by pair from a heap, because the pieces of
+blanks share one rank.
+
+Symbols outside the vocabulary become their UTF-8 bytes.
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text; texts are used whole, whatever their
 length; repeated rows each get a row; an empty table gives no rows; columns other than the id and the text are passed on
-by ``encode`` only where asked for.
+only where asked for; pieces that spell no valid UTF-8 decode with replacement characters.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +36,11 @@ from pyspark.sql import functions as F
 from briefloom.llm.common import read_table, text_slices
 
 MARK = "▁"
+#: What the library takes off the least score for a symbol that no piece spells.
+UNKNOWN_PENALTY = 10.0
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NEVER = 1 << 60
-MEMO_PAIRS, MEMO_WORDS, SLICE = 400_000, 250_000, 4 << 20
+MEMO_PAIRS, MEMO_WORDS, SLICE = 400_000, 600_000, 4 << 20
 
 _loaded: dict[int, PieceTrie] = {}
 
@@ -52,24 +58,28 @@ class PieceTexts:
         library = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [library.id_to_piece(i) for i in range(library.get_piece_size())]
         spelled = [bytes([int(name[1:-1], 16)]) if library.is_byte(i) else name.encode() for i, name in enumerate(names)]
-        self.spelled, self.spelled_sizes = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int64)
+        self.spelled = pa.array(spelled, pa.binary())
 
     def decode(self, ids: Iterable[int]) -> str:
-        ids = np.fromiter(ids, np.int64)
-        return self.decode_all(ids, np.array([0, len(ids)]))[0]
+        ids = np.fromiter(ids, np.int32)
+        return self.decode_all(ids, np.array([0, len(ids)]))[0].as_py()
 
-    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    def decode_all(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The texts of all piece ids, one text after another."""
-        sizes = self.spelled_sizes[ids]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        begins = (np.cumsum(self.spelled_sizes) - self.spelled_sizes)[ids]
-        data = self.spelled[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], sizes)].tobytes()
-        cuts = ends[offsets].tolist()
-        return [data[a:b].decode("utf-8", "replace").replace(MARK, " ")[1:] for a, b in zip(cuts, cuts[1:], strict=False)]
+        # The spelled pieces lie one behind another, so a text is what lies between its first and its last.
+        _, begins, data = self.spelled.take(pa.array(ids, pa.int32())).buffers()
+        cuts = np.frombuffer(begins, np.int32)[offsets] if len(ids) else np.zeros(len(offsets), np.int32)
+        joined = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(cuts.tobytes()), data])
+        joined = pc.replace_substring(joined, MARK.encode(), b" ")
+        whole = pc.binary_replace_slice(joined, start=0, stop=1, replacement=b"")  # without the blank in front
+        try:
+            return whole.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
 
 
 class PieceTrie(PieceTexts):
-    """Pieces of a BPE model with byte fallback and the forward walk over sorted words."""
+    """Pieces of a BPE or unigram model with byte fallback and the forward walk over sorted words."""
 
     def __init__(self, model: bytes):
         import sentencepiece
@@ -81,22 +91,24 @@ class PieceTrie(PieceTexts):
         self.ids = {self.text[i]: i for i in plain}
         self.bytes = {int(self.text[i][1:-1], 16): i for i in range(size) if library.is_byte(i)}
         super().__init__(model)
+        self.score = {i: library.get_score(i) for i in plain}
+        # Scores of a BPE model are the negative times of its merges, those of a unigram model log-probabilities.
+        self.unigram = any(x != int(x) for x in self.score.values())
+        self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         # A piece's rank is the time of its merge; single symbols are there from the start.
-        self.rank = {i: 0 if len(self.text[i]) == 1 else 1 - int(library.get_score(i)) for i in plain}
+        self.rank = {} if self.unigram else {i: 0 if len(self.text[i]) == 1 else 1 - int(self.score[i]) for i in plain}
         self.left: dict[int, list[tuple[int, int]]] = {}
         self.right: dict[int, list[tuple[int, int]]] = {}
-        for i in plain:
+        for i in [] if self.unigram else plain:
             self._spines(i)
-        self.nodes: dict[int, int] = {}  # the vocabulary's trie: node << 21 | symbol to node
-        self.piece_at = [-1]
+        # The vocabulary's trie: a node is the piece that ends there, or -1, and the nodes behind it by symbol.
+        self.root: dict[str, list] = {}
         for piece, i in self.ids.items():
-            if i in self.left:
-                node = 0
-                for symbol in piece:
-                    node = self.nodes.setdefault(node << 21 | ord(symbol), len(self.piece_at))
-                    if node == len(self.piece_at):
-                        self.piece_at.append(-1)
-                self.piece_at[node] = i
+            if self.unigram or i in self.left:
+                behind = self.root
+                for symbol in piece[:-1]:
+                    behind = behind.setdefault(symbol, [-1, {}])[1]
+                behind.setdefault(piece[-1], [-1, {}])[0] = i
         # Symbols that no piece joins with a letter: a word may be cut between the two.
         beside = {x for p in self.ids for a, b in zip(p, p[1:], strict=False) for x, y in ((a, b), (b, a)) if y.isalpha()}
         apart = re.escape("".join(c for c in ".,;:!?\n" if c not in beside))
@@ -105,16 +117,24 @@ class PieceTrie(PieceTexts):
         self.memo: dict[str, list[int]] = {}
 
     def merged(self, word: str) -> list[str]:
-        """Merges pair by pair, the best rank first and the leftmost of equals."""
-        parts = list(word)
-        while len(parts) > 1:
-            ranks = [self.rank[i] if (i := self.ids.get(a + b)) is not None else NEVER for a, b in zip(parts, parts[1:], strict=False)]
-            least = min(ranks)
-            if least == NEVER:
-                break
-            at = ranks.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Merges pair by pair, the best rank first and the leftmost of equals; a heap holds the pairs that can merge."""
+        parts, n = list(word), len(word)
+        behind, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(self.rank[i], at, 2) for at in range(n - 1) if (i := self.ids.get(parts[at] + parts[at + 1])) is not None]
+        heapify(heap)
+        while heap:
+            _, at, size = heappop(heap)
+            other = behind[at]
+            if not parts[at] or other >= n or len(parts[at]) + len(parts[other]) != size:
+                continue  # one of the two has merged meanwhile
+            parts[at], parts[other] = parts[at] + parts[other], ""
+            behind[at] = behind[other]
+            if behind[at] < n:
+                before[behind[at]] = at
+            for a, b in ((before[at], at), (at, behind[at])):
+                if a >= 0 and b < n and (i := self.ids.get(parts[a] + parts[b])) is not None:
+                    heappush(heap, (self.rank[i], a, len(self.text[i])))
+        return [p for p in parts if p]
 
     def _spines(self, i: int) -> None:
         """The pieces at both edges of a piece while it is merged, each with the time of its end; none if out of reach."""
@@ -163,27 +183,28 @@ class PieceTrie(PieceTexts):
         """Piece ids of sorted words.
 
         ``states`` holds (piece, start) of every prefix of the current word, and ``open_at`` the places from which a
-        piece may still reach beyond the prefix, with their nodes of the vocabulary's trie.
+        piece may still reach beyond the prefix, with what follows there in the vocabulary's trie.
         """
         states: list[tuple[int, int]] = [(0, 0)]
-        open_at: list[list[tuple[int, int]]] = [[(0, 0)]]
-        last, nodes, piece_at, fits = "", self.nodes, self.piece_at, self._fits
+        open_at: list[list[tuple[int, dict]]] = [[(0, self.root)]]
+        last, root, fits, spell = "", self.root, self._fits, self.bytes
         for word in words:
             shared, most = 0, min(len(last), len(word))
             while shared < most and last[shared] == word[shared]:
                 shared += 1
             del states[shared + 1 :], open_at[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                symbol, state, reach = ord(word[end - 1]), None, []
-                for start, node in open_at[-1]:
-                    node = nodes.get(node << 21 | symbol)
-                    if node is not None:
-                        reach.append((start, node))
-                        piece = piece_at[node]
+            reach = open_at[-1]
+            for end, symbol in enumerate(word[shared:], shared + 1):
+                state, before, reach = None, reach, []
+                for start, behind in before:
+                    if (node := behind.get(symbol)) is not None:
+                        piece, further = node
+                        if further:
+                            reach.append((start, further))
                         if state is None and piece >= 0 and (start == 0 or fits(states[start][0], piece)):
                             state = (piece, start)
-                reach.append((end, 0))
-                states.append(state or (-1 - symbol, end - 1))
+                reach.append((end, root))
+                states.append(state or (-1 - ord(symbol), end - 1))
                 open_at.append(reach)
             last, out, at = word, [], len(word)
             while at:
@@ -191,12 +212,58 @@ class PieceTrie(PieceTexts):
                 if piece >= 0:
                     out.append(piece)
                 else:
-                    out.extend(self.bytes[b] for b in reversed(chr(-1 - piece).encode()))
+                    out.extend(spell[b] for b in reversed(chr(-1 - piece).encode()))
                 at = start
             out.reverse()
             yield out
 
+    def walk_scores(self, words: list[str]) -> Iterator[list[int]]:
+        """Piece ids of sorted words by the best sum of scores; ``best`` has that sum for every prefix of the current word."""
+        states: list[tuple[int, int]] = [(0, 0)]
+        best: list[float] = [0.0]
+        open_at: list[list[tuple[int, dict]]] = [[(0, self.root)]]
+        last, score = "", self.score
+        for word in words:
+            shared, most = 0, min(len(last), len(word))
+            while shared < most and last[shared] == word[shared]:
+                shared += 1
+            del states[shared + 1 :], best[shared + 1 :], open_at[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                symbol, reach, top, state, alone = word[end - 1], [], 0.0, None, False
+                for start, behind in open_at[-1]:
+                    if (node := behind.get(symbol)) is not None:
+                        piece, further = node
+                        reach.append((start, further))
+                        if piece >= 0:
+                            alone |= start == end - 1
+                            total = best[start] + score[piece]
+                            if state is None or total > top:
+                                state, top = (piece, start), total
+                if not alone and (state is None or best[end - 1] + self.unknown > top):
+                    state, top = (-1 - ord(symbol), end - 1), best[end - 1] + self.unknown
+                reach.append((end, self.root))
+                states.append(state)
+                best.append(top)
+                open_at.append(reach)
+            last = word
+            yield self._traced(states, len(word))
+
+    def _traced(self, states: list[tuple[int, int]], at: int) -> list[int]:
+        out = []
+        while at:
+            piece, start = states[at]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out.extend(self.bytes[b] for b in reversed(chr(-1 - piece).encode()))
+            at = start
+        out.reverse()
+        return out
+
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
+        if self.unigram:
+            plain = sorted(words)
+            return dict(zip(plain, self.walk_scores(plain), strict=True))
         stems = {w: self.cut.split(w) if self.cut else [w] for w in words if not w.startswith(MARK + MARK)}
         plain = sorted(set().union(*stems.values()))
         known = dict(zip(plain, self.walk(plain), strict=True))
@@ -242,21 +309,28 @@ def _trie(model: bytes) -> PieceTrie:
     return _loaded[key]
 
 
-def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in ``keep`` with ``pieces`` (array of piece ids) and ``n_pieces`` of every row."""
+def _pieces_and_texts(trie: PieceTrie, texts: pa.Array, decoded: bool) -> list[pa.Array]:
+    ids, offsets = trie.encode([t or "" for t in texts.to_pylist()])
+    pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+    return [pieces, pa.array(np.diff(offsets), pa.int64()), *([trie.decode_all(ids, offsets)] if decoded else [])]
+
+
+def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The columns in ``keep`` with ``pieces`` (array of piece ids) and ``n_pieces`` of every row.
+
+    ``decoded`` adds the text that the pieces decode to, as ``decode`` would, in the same pass.
+    """
     with open(model_file, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # one model file, whatever the input
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    names = list(keep)
+    made = ["pieces", "n_pieces", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "_text", SLICE):
-            ids, offsets = _trie(shared.value).encode([t or "" for t in batch["_text"].to_pylist()])
-            pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pieces, pa.array(np.diff(offsets), pa.int64())], [*names, "pieces", "n_pieces"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_pieces_and_texts(_trie(shared.value), batch["_text"], decoded)], [*keep, *made])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]] if names else []
-    return rows.mapInArrow(run, ", ".join([*fields, "pieces array<int>", "n_pieces long"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
+    return rows.mapInArrow(run, ", ".join([*fields, *(f"{c} {t}" for c, t in zip(made, ("array<int>", "long", "string"), strict=False))]))
 
 
 def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces") -> DataFrame:
@@ -268,13 +342,13 @@ def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces") -> Data
         pieces = PieceTexts(shared.value)
         for batch in batches:
             counts = np.asarray(pc.fill_null(pc.list_value_length(batch[pieces_col]), 0), np.int64)
-            group = np.cumsum(counts) // (SLICE // 32)
+            group = np.cumsum(counts) // (SLICE // 4)
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
             for start, end in zip(cuts, cuts[1:], strict=False):
                 part = batch.slice(start, end - start)
                 ids = part[pieces_col].flatten().to_numpy(zero_copy_only=False)
                 texts = pieces.decode_all(ids, np.concatenate([[0], np.cumsum(counts[start:end])]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{fields}, decoded string")
@@ -282,4 +356,4 @@ def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces") -> Data
 
 def encode_query(spark: SparkSession, sf_dir: str, model_file: str) -> DataFrame:
     """Every document's pieces, and the text that they decode to."""
-    return decode(encode(read_table(spark, sf_dir, "documents"), model_file), model_file)
+    return encode(read_table(spark, sf_dir, "documents"), model_file, decoded=True)

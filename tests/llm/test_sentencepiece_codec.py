@@ -72,5 +72,43 @@ def test_decoding_many_texts_is_the_library_s(library, trie):
     ids = [library.encode(t) for t in some] + [[], [trie.bytes[0xE6], trie.bytes[0x97]]]
     offsets = np.cumsum([0, *map(len, ids)])
     flat = np.array([i for x in ids for i in x], np.int64)
-    assert trie.decode_all(flat, offsets)[: len(some)] == library.decode(ids[: len(some)])
-    assert trie.decode_all(flat, offsets)[len(some)] == "" and trie.decode([]) == ""
+    found = trie.decode_all(flat, offsets).to_pylist()
+    assert found[: len(some)] == library.decode(ids[: len(some)])
+    assert found[len(some)] == "" and trie.decode([]) == ""
+
+
+def test_long_runs_of_blanks_and_letters(library, trie):
+    for text in (" " * 50_000 + "x", "a" + " " * 4_999 + "b" + " " * 333, "\n" * 5_000, "ab " * 20_000):
+        ids, offsets = trie.encode([text])
+        assert ids.tolist() == library.encode(text) and trie.decode_all(ids, offsets).to_pylist() == [text]
+
+
+def unigram_model(pieces):
+    """A serialized model of scored pieces with byte fallback; nothing is trained."""
+
+    def field(number, kind, data):
+        return bytes([number << 3 | kind]) + data if number < 16 else bytes([number << 3 & 0x7F | kind | 0x80, number >> 4]) + data
+
+    def sized(number, data):
+        size = bytes([len(data) & 0x7F | 0x80, len(data) >> 7]) if len(data) > 127 else bytes([len(data)])
+        return field(number, 2, size + data)
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)], *[(p, s, 1) for p, s in pieces.items()]]
+    body = b"".join(sized(1, sized(1, p.encode()) + field(2, 5, np.float32(s).tobytes()) + field(3, 0, bytes([kind]))) for p, s, kind in rows)
+    trainer = field(3, 0, b"\x01") + field(35, 0, b"\x01")
+    return body + sized(2, trainer) + sized(3, field(4, 0, b"\x00"))
+
+
+def test_unigram_models_take_the_best_sum_of_scores():
+    rng = random.Random(5)
+    names = {"▁", *"abcdé", *("▁" * (rng.random() < 0.4) + "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 5))) for _ in range(150))}
+    model = unigram_model({p: -rng.uniform(1, 12) for p in sorted(names)})
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    trie = PieceTrie(model)
+    assert trie.unigram
+    some = ["", "abcd", "zzz ab", " a  b ", *["".join(rng.choice("aabbccddé  z日") for _ in range(rng.randrange(40))) for _ in range(500)]]
+    ids, offsets = trie.encode(some)
+    for i, text in enumerate(some):
+        own = ids[offsets[i] : offsets[i + 1]]
+        assert own.tolist() == library.encode(text)
+    assert trie.decode_all(ids, offsets).to_pylist() == some
