@@ -294,18 +294,22 @@ def score_texts(docs: DataFrame, training, order: int = 2, least: int = 2, id_co
         return blocks.groupBy("block").cogroup(answers.groupBy("block"))
 
     def added(sent: DataFrame, name: str) -> DataFrame:
-        found = written(sent.groupBy("kind", "range").applyInArrow(lambda table: add_up(table, order), FOUND), name)
+        return written(sent.groupBy("kind", "range").applyInArrow(lambda table: add_up(table, order), FOUND), name)
+
+    def release() -> None:
         gc.collect()  # py4j's objects are cycles; until they go, the JVM keeps the finished plans and their shuffles
         release_shuffles(spark)
-        return found
 
     known = added(blocks.mapInArrow(ask_first, SENT), "gram-counts")
+    release()
     sums = known.agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).first()
     total = sums["total"] or 0
     scale = total + SMOOTH * ((sums["kinds"] or 0) + 1)
     for level in range(2, order):
         known = known.unionByName(added(with_blocks(known).applyInArrow(ask_longer(level), SENT), "gram-counts"))
+        release()
     known = known.unionByName(added(with_blocks(known).applyInArrow(ask_weights, SENT), "discounted-counts"))
+    release()
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(table, bits)
