@@ -5,8 +5,7 @@ symbols, and if none of them is known to four, three, two and one; the mean of t
 with the highest sum wins; its score is the softmax of the mean word evidence, counted for at most ``EVIDENCE`` words.
 
 The model is fitted on a bounded sample of labelled rows: ``sample`` rows a language on average, picked by a hash of the
-id. Words and n-grams that make up ``share`` of their language's sample and occur twice are kept, so that at most
-1 / share of a kind can be, whatever the texts' lengths.
+id. All of the sample's words and n-grams that occur twice are kept, so the sample bounds the model.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0, as is every text when no row is
 labelled; evidence for none of the languages gives the first language by name with 1 / number of languages; equal sums
@@ -21,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +128,7 @@ class Predictor:
         return [self.model.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0)
 
 
-def fit_language_model(labelled: DataFrame, sample: int = 3000, share: float = 5e-6, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BackoffModel:
+def fit_language_model(labelled: DataFrame, sample: int = 3000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> BackoffModel:
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     sizes = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().collect()}
     part = F.lit(1.0)
@@ -152,24 +152,21 @@ def fit_language_model(labelled: DataFrame, sample: int = 3000, share: float = 5
 
     counts = picked.mapInArrow(count, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).persist()
     totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-    least = F.lit(2)
-    for (language, kind), n in totals.items():
-        least = F.when((F.col("lang") == language) & (F.col("kind") == kind), F.lit(max(2, int(share * n)))).otherwise(least)
-    model = BackoffModel.fit(counts.where(F.col("n") >= least).select("lang", "kind", "item", "n").toLocalIterator(), totals)
+    model = BackoffModel.fit(counts.where("n > 1").select("lang", "kind", "item", "n").toLocalIterator(), totals)
     counts.unpersist()
     return model
 
 
-def predict_languages(rows: DataFrame, model: BackoffModel, text_col: str) -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` to ``rows``, which must not have columns of these names."""
-    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.table))  # bounded by the model's shares
-    at = rows.columns.index(text_col)
+def predict_languages(rows: DataFrame, model: BackoffModel, column: str, field: int | None = None) -> DataFrame:
+    """Adds ``lang_pred`` and ``score`` to ``rows``, which must not have columns of these names; texts are in ``column``, or in that field of it."""
+    shared = rows.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams, model.table))  # bounded by the model's sample
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predictor = None
-        for batch in text_slices(batches, text_col, SLICE):
+        for batch in text_slices(batches, column, SLICE, field):
             predictor = predictor or Predictor(BackoffModel(*shared.value))
-            names, scores = predictor.predict([t or "" for t in batch.column(at).to_pylist()])
+            texts = batch[column] if field is None else pc.struct_field(batch[column], [field])
+            names, scores = predictor.predict([t or "" for t in texts.to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -191,8 +188,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language is recognised with a score of ``least`` or more, with the columns of ``docs``."""
     model = fit_language_model(docs.where(~held_out(id_col)), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"))
-    scored = predict_languages(packed, model, "_text")
+    scored = predict_languages(docs.select(F.struct("*").alias("_row")), model, "_row", docs.columns.index(text_col))
     return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
 
 
