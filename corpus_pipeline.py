@@ -1,8 +1,13 @@
 """The corpus pipeline: documents in, encoded documents out.
 
 Each stage reads what the stage before it wrote, works on all of it, and passes on the columns of ``documents``; the
-last one returns the piece ids and the text that they decode to. Rows leave where a stage's decision says so: texts in no known language, all but one of
-each group of near copies, and texts that hold a benchmark item. Repeated lines leave their texts.
+last one returns the piece ids and the text that they decode to. Rows leave where a stage's decision says so: texts in no
+known language, all but one of each group of near copies, and texts that hold a benchmark item. Repeated lines leave their
+texts.
+
+Defined cases: rows with a null or empty text, or one without letters, leave with the first stage; rows with a null id
+stay where their text may stay; of rows with equal id and text one stays; stages decide by the row's text, not by its id
+alone; an empty table gives no rows; columns beyond id, text, lang and source are passed on up to the last stage.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from briefloom.llm.jaccard_join import one_of_each
 from briefloom.llm.language_id import keep_identified
 from briefloom.llm.line_dedup import without_repeated_lines
 from briefloom.llm.registry import tokenizer_file
-from briefloom.llm.sentencepiece_codec import decode, encode
+from briefloom.llm.sentencepiece_codec import encode
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = tokenizer_file("piece_bpe_32k.model")
-    return decode(encode(docs, model, keep=("doc_id", "lang", "source")), model)
+    return encode(docs, tokenizer_file("piece_bpe_32k.model"), keep=("doc_id", "lang", "source"), decoded=True)
 
 
 STAGES = [
