@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from briefloom.llm.common import crc_bucket, read_table, text_slices
 
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST, EVIDENCE, SMOOTHING, MEMO_WORDS, SLICE = 5, 12, 0.5, 250_000, 4 << 20
+LONGEST, EVIDENCE, SMOOTHING, MEMO_WORDS, SLICE = 5, 12, 0.5, 250_000, 2 << 20
 
 
 def words_of(text: str) -> list[str]:

@@ -40,9 +40,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NEVER = 1 << 60
-MEMO_PAIRS, MEMO_WORDS, SLICE = 400_000, 600_000, 4 << 20
-
-_loaded: dict[int, PieceTrie] = {}
+MEMO_PAIRS, MEMO_WORDS, SLICE = 400_000, 400_000, 2 << 20
 
 
 def marked_words(text: str) -> list[str]:
@@ -301,14 +299,6 @@ class PieceTrie(PieceTexts):
         return ids, np.concatenate([[0], ends])[bounds]
 
 
-def _trie(model: bytes) -> PieceTrie:
-    key = hash(model)
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = PieceTrie(model)
-    return _loaded[key]
-
-
 def _pieces_and_texts(trie: PieceTrie, texts: pa.Array, decoded: bool) -> list[pa.Array]:
     ids, offsets = trie.encode([t or "" for t in texts.to_pylist()])
     pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
@@ -326,8 +316,10 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
     made = ["pieces", "n_pieces", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = None  # one for each task, so that a worker keeps nothing between tasks
         for batch in text_slices(batches, "_text", SLICE):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_pieces_and_texts(_trie(shared.value), batch["_text"], decoded)], [*keep, *made])
+            trie = trie or PieceTrie(shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_pieces_and_texts(trie, batch["_text"], decoded)], [*keep, *made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
     return rows.mapInArrow(run, ", ".join([*fields, *(f"{c} {t}" for c, t in zip(made, ("array<int>", "long", "string"), strict=False))]))
