@@ -15,8 +15,11 @@ STOP_WORDS = (
     "first", "into", "但", "ai", "llm", "model", "models", "open", "source", "using", "use", "launch", "launches", "launching", "introducing", "introduces", "announcing",
     "announces", "release", "releases", "released", "update", "updates", "available", "blog", "news", "post", "com", "www", "http", "https",
 )
+# What a title is freed of, and what counts as a word in it.
 HYPE = "(?U)[^\\w一-鿿]+|(独家|详解|速递|刚刚|突发|重磅|报道|：|:)"
 WORDS = r"[a-z][a-z0-9]*(?:[.-][a-z0-9]+)*|\d+(?:\.\d+)*"
+# The share of words that titles of one entity have in common; the least length and the similarity of a title within another one.
+SHARED_WORDS, LEAST_CONTAINED, CONTAINED = 0.55, 16, 0.92
 
 
 def normalize_title(title: Column) -> Column:
@@ -35,26 +38,31 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))))
 
 
-def _name(word: Column) -> Column:
+def is_name(word: Column) -> Column:
     return (F.length(word) >= 4) & ~word.rlike(r"\d")
 
 
-def entity_match(a: Column, b: Column, least: float = 0.55) -> Column:
-    """Two anchor lists share a name, a version that is no year, an adjacent pair and most of their words."""
+def is_version(word: Column) -> Column:
+    """Holds a digit and is no year."""
+    return word.rlike(r"\d") & ~word.rlike(r"^(?:19|20)\d{2}$")
+
+
+def grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters."""
+    at = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.substr(text, i, F.lit(size))))
+
+
+def entity_match(a: Column, b: Column, least: float = SHARED_WORDS) -> Column:
+    """Two anchor lists share a name, a version, an adjacent pair and most of their words."""
     shared = F.array_intersect(a, b)
-    version = F.exists(shared, lambda w: w.rlike(r"\d") & ~w.rlike(r"^(?:19|20)\d{2}$"))
-    return (
-        (F.size(shared) >= 2)
-        & F.exists(shared, _name)
-        & version
-        & F.arrays_overlap(bigrams(a), bigrams(b))
-        & (F.size(shared) / F.size(F.array_union(a, b)) >= least)
-    )
+    most = F.size(shared) / F.size(F.array_union(a, b)) >= least
+    return F.exists(shared, is_name) & F.exists(shared, is_version) & F.arrays_overlap(bigrams(a), bigrams(b)) & most
 
 
 def context_match(a: Column, b: Column) -> Column:
     """Anchor lists of title and summary share two pairs and two names, or one pair and four names."""
-    names = F.size(F.filter(F.array_intersect(a, b), _name))
+    names = F.size(F.filter(F.array_intersect(a, b), is_name))
     pairs = F.size(F.array_intersect(bigrams(a), bigrams(b)))
     return ((pairs >= 2) & (names >= 2)) | ((pairs >= 1) & (names >= 4))
 
@@ -74,7 +82,7 @@ def contained(a: Column, b: Column) -> Column:
     """One of two texts has 16 characters or more and is within the other."""
     shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
     longer = F.when(F.length(a) <= F.length(b), b).otherwise(a)
-    return (F.length(shorter) >= 16) & F.contains(longer, shorter)
+    return (F.length(shorter) >= LEAST_CONTAINED) & F.contains(longer, shorter)
 
 
 def title_similarity(a: Column, b: Column) -> Column:
@@ -82,6 +90,6 @@ def title_similarity(a: Column, b: Column) -> Column:
     return (
         F.when((a == "") | (b == ""), F.lit(0.0))
         .when(a == b, F.lit(1.0))
-        .when(contained(a, b), F.lit(0.92))
+        .when(contained(a, b), F.lit(CONTAINED))
         .otherwise(sequence_ratio(a, b))
     )

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CJK = "[一-鿿]"
 
@@ -89,14 +93,18 @@ def cut_promotion(body: Column, pattern: str) -> Column:
     return F.when(at - 1 >= F.length(body) * 0.6, F.rtrim(F.substr(body, F.lit(1), at - 1))).otherwise(body)
 
 
-def pack_paragraphs(text: Column, limit: int) -> Column:
-    """Paragraphs in order, joined into chunks of at most ``limit`` characters; a longer one is a chunk of its own."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\n+"), lambda p: F.trim(p)), lambda p: p != "")
+@F.pandas_udf(T.StringType())
+def _checked(patterns: pd.Series) -> pd.Series:
+    def valid(pattern: str) -> bool:
+        try:
+            re.compile(pattern)
+        except re.error:
+            return False
+        return True
+
+    return patterns.map(lambda p: p if p and valid(p) else None)
 
-    def add(chunks: Column, part: Column) -> Column:
-        last = F.element_at(chunks, -1)
-        fits = (F.size(chunks) > 0) & (F.length(F.try_element_at(chunks, F.lit(-1))) + 1 + F.length(part) <= limit)
-        joined = F.concat(F.slice(chunks, F.lit(1), F.size(chunks) - 1), F.array(F.concat_ws("\n", last, part)))
-        return F.when(fits, joined).otherwise(F.concat(chunks, F.array(part)))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), add)
+def valid_pattern(pattern: Column) -> Column:
+    """A pattern of a configuration row; null where it is no regular expression, so that the default holds."""
+    return _checked(pattern)

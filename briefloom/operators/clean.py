@@ -32,10 +32,15 @@ def can_backfill(link: Column) -> Column:
     return link.rlike("^https?://") & ~link.contains("arxiv.org/")
 
 
+def valid_feeds(feeds: DataFrame) -> DataFrame:
+    """Configured feeds whose regular expressions compile; those that do not are null, so that the default holds."""
+    return feeds.withColumns({c: text.valid_pattern(F.col(c)) for c in ("keyword_regex", "title_exclude_regex") if c in feeds.columns})
+
+
 def tag_reasons(items: DataFrame, config: EngineConfig, typed_reason: Column | None = None) -> DataFrame:
     """Adds drop_reason (null for kept items), needs_fulltext and window_only.
 
-    Items need: title, url, body, published_ms, heat_keep, fetch_method, lookback_hours, keyword_regex,
+    Feeds come through ``valid_feeds``. Items need: title, url, body, published_ms, heat_keep, fetch_method, lookback_hours, keyword_regex,
     keyword_min_hits, title_exclude_regex, min_content_chars. ``window_only`` marks items that only their age drops.
     """
     title, link = text.strip_html(F.col("title")), url.normalize_url(F.col("url"))

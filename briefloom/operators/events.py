@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -12,56 +12,48 @@ from pyspark.sql import functions as F
 from briefloom.functions import similarity
 from briefloom.schema import EVENT_GROUPS
 
-_HYPE = re.compile(similarity.HYPE.replace("(?U)", ""))
-_WORDS = re.compile(similarity.WORDS)
 
 
-def _normal(title: str) -> str:
-    return _HYPE.sub("", (title or "").strip().lower())
+@dataclass(frozen=True)
+class Title:
+    """What the same-event test needs to know of a title, all of it computed as columns."""
 
+    text: str
+    words: frozenset[str]
+    names: frozenset[str]
+    versions: frozenset[str]
+    pairs: frozenset[str]
 
-def _anchors(text: str) -> list[str]:
-    return [w for w in _WORDS.findall((text or "").lower()) if w not in similarity.STOP_WORDS and (len(w) >= 3 or any(map(str.isdigit, w)))]
+    @staticmethod
+    def columns(title: Column) -> dict[str, Column]:
+        words = similarity.anchors(title)
+        return {"_text": similarity.normalize_title(title), "_words": words, "_names": F.filter(words, similarity.is_name), "_versions": F.filter(words, similarity.is_version), "_pairs": similarity.bigrams(words)}
 
+    def same_entity(self, other: Title) -> bool:
+        if self.pairs.isdisjoint(other.pairs) or self.names.isdisjoint(other.names) or self.versions.isdisjoint(other.versions):
+            return False
+        return len(self.words & other.words) >= similarity.SHARED_WORDS * len(self.words | other.words)
 
-def _ratio(a: str, b: str, least: float) -> bool:
-    if not a or not b:
-        return False
-    if a == b:
-        return True
-    short, long = sorted((a, b), key=len)
-    if len(short) >= 16 and short in long:
-        return least <= 0.92
-    matcher = SequenceMatcher(None, a, b)
-    return matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least
+    def alike(self, other: Title, least: float) -> bool:
+        a, b = self.text, other.text
+        if not a or not b or a == b:
+            return a == b != ""
+        if min(len(a), len(b)) >= similarity.LEAST_CONTAINED and (a in b or b in a):
+            return least <= similarity.CONTAINED
+        if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+            return False
+        matcher = SequenceMatcher(None, a, b)
+        return matcher.quick_ratio() >= least and matcher.ratio() >= least
 
 
-def _same_entity(a: list[str], b: list[str]) -> bool:
-    shared = set(a) & set(b)
-    digit = lambda w: any(map(str.isdigit, w))
-    return (
-        len(shared) >= 2
-        and any(len(w) >= 4 and not digit(w) for w in shared)
-        and any(digit(w) and not re.fullmatch(r"(?:19|20)\d{2}", w) for w in shared)
-        and bool(set(zip(a, a[1:])) & set(zip(b, b[1:])))
-        and len(shared) >= 0.55 * len(set(a) | set(b))
-    )
-
-
-def same_event(a: str, b: str, least: float = 0.85) -> bool:
-    """For the sequential fold; ``similarity`` has the same test as Column expressions."""
-    return _ratio(_normal(a), _normal(b), least) or _same_entity(_anchors(a), _anchors(b))
-
-
-def lead(titles: list[str], least: float = 0.85) -> list[int]:
+def lead(titles: list[Title], least: float = 0.85) -> list[int]:
     """The leader's place for each title: the first leader before it that is the same event, else itself."""
-    leaders: list[int] = []
+    leaders: dict[int, Title] = {}
     out = []
     for i, title in enumerate(titles):
-        found = next((j for j in leaders if same_event(titles[j], title, least)), None)
-        if found is None:
-            leaders.append(i)
-        out.append(i if found is None else found)
+        out.append(next((j for j, other in leaders.items() if other.same_entity(title) or other.alike(title, least)), i))
+        if out[-1] == i:
+            leaders[i] = title
     return out
 
 
@@ -75,9 +67,12 @@ def cluster(items: DataFrame, by: list[str], title: str, order: list[str], least
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order, kind="stable").reset_index(drop=True)
-        return group[names].assign(event=lead(group[title].fillna("").tolist(), least))
+        titles = [Title(text, *map(frozenset, lists)) for text, *lists in group[known].itertuples(index=False)]
+        return group[names].assign(event=lead(titles, least))
 
-    return items.groupBy(*by).applyInPandas(walk, schema)
+    made = Title.columns(F.col(title))
+    known = list(made)
+    return items.withColumns(made).groupBy(*by).applyInPandas(walk, schema)
 
 
 def best_members(clustered: DataFrame, by: list[str], preference: Column, order: list[str]) -> DataFrame:
@@ -102,21 +97,47 @@ def group_members(members: DataFrame, by: list[str], source: str, url: str, grou
     return kept.groupBy(*by, group).agg(listed.alias("items"), F.count("*").alias("n"), F.first(place).alias("place"))
 
 
-def pool_matches(signals: DataFrame, pool: DataFrame, id_col: str, text: str, stamp: str, days: int = 3) -> DataFrame:
-    """(signal_id, pool_id) of the same event by context, with stamps at most ``days`` days apart where both are known.
+def pool_matches(signals: DataFrame, pool: DataFrame, id_col: str, title: str, summary: str, stamp: str, days: int = 3, least: float = 0.85) -> DataFrame:
+    """(signal_id, pool_id) of the same event.
 
-    The test needs a shared adjacent pair of anchors, so pairs meet by one of those and are verified once.
+    Titles that are equal, within one another or alike match whatever their dates, and so do titles that share an entity;
+    titles and summaries that share a context match with stamps at most ``days`` days apart, where both are known. Each
+    of these ways has something that a match must share, by which the pairs meet: the title, the first characters of the
+    shorter one, a pair of characters, an adjacent pair of words. The signals are a stated set, as of a brief.
     """
 
     def sided(rows: DataFrame, name: str) -> DataFrame:
-        words = similarity.anchors(F.col(text))
-        return rows.select(F.col(id_col).alias(f"{name}_id"), F.col(stamp).alias(f"{name}_ms"), words.alias(f"{name}_words"))
+        text = F.concat_ws(" ", F.col(title), F.coalesce(F.col(summary), F.lit("")))
+        columns = {"id": F.col(id_col), "ms": F.col(stamp), "title": similarity.normalize_title(F.col(title)), "words": similarity.anchors(F.col(title)), "context": similarity.anchors(text)}
+        return rows.select(*[c.alias(f"{name}_{k}") for k, c in columns.items()])
 
     left, right = sided(signals, "signal"), sided(pool, "pool")
-    met = left.withColumn("pair", F.explode(similarity.bigrams(F.col("signal_words")))).join(right.withColumn("pair", F.explode(similarity.bigrams(F.col("pool_words")))), "pair").drop("pair")
-    near = F.col("signal_ms").isNull() | F.col("pool_ms").isNull() | (F.abs(F.col("signal_ms") - F.col("pool_ms")) <= days * 86_400_000)
-    right_pair = near & (F.col("signal_id") != F.col("pool_id")) & similarity.context_match(F.col("signal_words"), F.col("pool_words"))
-    return met.where(right_pair).select("signal_id", "pool_id").distinct()
+    a, b, other = F.col("signal_title"), F.col("pool_title"), F.col("signal_id") != F.col("pool_id")
+    ids = ("signal_id", "pool_id")
+    equal = left.where(a != "").join(right, (a == b) & other).select(*ids)
+
+    size = similarity.LEAST_CONTAINED
+    found = []
+    for short, long in (("signal", "pool"), ("pool", "signal")):
+        x, y = (left, right) if short == "signal" else (right, left)
+        heads = x.where(F.length(f"{short}_title") >= size).withColumn("gram", F.left(f"{short}_title", F.lit(size)))
+        grams = y.withColumn("gram", F.explode(similarity.grams(F.col(f"{long}_title"), size)))
+        found.append(heads.join(grams, "gram").where(other & F.contains(f"{long}_title", F.col(f"{short}_title"))).select(*ids))
+    within = found[0].unionByName(found[1]) if least <= similarity.CONTAINED else found[0].limit(0)
+
+    # The longest run that titles with a ratio above .8 share has two characters or more.
+    near = other & (a != b) & (similarity.ratio_bound(a, b) >= least)
+    met = left.select("signal_id", "signal_title", F.explode(similarity.grams(a, 2)).alias("gram")).join(right.select("pool_id", "pool_title", F.explode(similarity.grams(b, 2)).alias("gram")), "gram")
+    alike = met.where(near).drop("gram").distinct().where(similarity.sequence_ratio(a, b) >= least).select(*ids)
+
+    def by_pairs(column: str) -> DataFrame:
+        x = left.withColumn("pair", F.explode(similarity.bigrams(F.col(f"signal_{column}"))))
+        return x.join(right.withColumn("pair", F.explode(similarity.bigrams(F.col(f"pool_{column}")))), "pair").where(other)
+
+    entity = by_pairs("words").where(similarity.entity_match(F.col("signal_words"), F.col("pool_words"))).select(*ids)
+    close = F.coalesce(F.abs(F.col("signal_ms") - F.col("pool_ms")) <= days * 86_400_000, F.lit(True))
+    context = by_pairs("context").where(close & similarity.context_match(F.col("signal_context"), F.col("pool_context"))).select(*ids)
+    return equal.unionByName(within).unionByName(alike).unionByName(entity).unionByName(context).distinct()
 
 
 def consume_once(matches: DataFrame, order: DataFrame) -> DataFrame:

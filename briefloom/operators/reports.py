@@ -12,7 +12,7 @@ def contribution(entries: DataFrame, sources: DataFrame, key: str, stamp: str) -
     known = sources.select(key, F.lit(True).alias("known"))
     met = counts.join(known, key, "full_outer").select(key, F.coalesce("n", F.lit(0)).alias("n"), "last_ms", F.coalesce("known", F.lit(False)).alias("in_param"))
     total = met.agg(F.sum("n").alias("total"))
-    return met.crossJoin(F.broadcast(total)).select(key, "n", "last_ms", "in_param", (100.0 * F.col("n") / F.nullif(F.col("total"), F.lit(0))).alias("share"))  # one row with one number is broadcast
+    return met.crossJoin(F.broadcast(total)).select(key, "n", "last_ms", "in_param", (100.0 * F.col("n") / F.nullif(F.col("total"), F.lit(0))).alias("share")).withColumn("rank", F.rank().over(Window.orderBy(F.desc("n"))))  # one row with one number is broadcast; sources are a small configuration table
 
 
 def source_statistics(attempted: DataFrame, cleaned: DataFrame, final: DataFrame, window: DataFrame, key: str) -> DataFrame:

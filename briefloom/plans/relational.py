@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from briefloom.config import EngineConfig, Quotas
-from briefloom.functions import dates, scoring, similarity
+from briefloom.functions import dates, scoring, similarity, text
 from briefloom.operators import briefs, clean, events, reports, select, social, typed
 from briefloom.plans.registry import query
-from briefloom.plans.views import ENTRIES, NOW_MS, SOURCES, entries, sources_dim, table
+from briefloom.plans.views import ENTRIES, NOW_MS, SOURCES, START_MS, entries, sources_dim, table
 
 CONFIG = EngineConfig(now_ms=NOW_MS)
 WITH = f"WITH {ENTRIES}, {SOURCES}"
@@ -17,13 +17,14 @@ WITH = f"WITH {ENTRIES}, {SOURCES}"
 KEYWORD = "tion"
 TAGGED_SQL = f"""{WITH}, raw AS (
   SELECT e.*, s.lookback_hours, s.fetch_method, CASE WHEN doc_id % 50 = 0 THEN '' ELSE title END AS t,
-    CASE WHEN doc_id % 40 = 1 THEN NULL ELSE published_ms END AS pub, left(body, 60) AS k
+    CASE WHEN doc_id % 40 = 1 THEN NULL ELSE published_ms END AS pub, md5(body) AS k
   FROM entries e JOIN sources_dim s USING (source_id)
 ), tagged AS (
   SELECT *, CASE WHEN trim(t) = '' THEN 'missing_title_url' WHEN regexp_matches(t, '(?i)^zu') THEN 'title_exclude_regex' WHEN pub IS NULL THEN 'missing_or_invalid_date'
     WHEN NOT {NOW_MS} - pub < lookback_hours * 3600000 THEN 'lookback'
+    WHEN length(t || ' ' || body) < 1500 AND doc_id % 3 = 0 AND fetch_method NOT IN ('Media', 'Social') THEN 'min_content_chars'
     WHEN NOT (regexp_matches(t, '(?i)tion') OR len(regexp_extract_all(body, '(?i)tion')) >= CASE WHEN fetch_method = 'Podcast' THEN 3 ELSE 2 END) AND fetch_method <> 'Social' AND NOT fetch_method = 'Podcast' THEN 'keyword_regex'
-    WHEN fetch_method = 'Podcast' AND NOT (regexp_matches(t, '(?i)tion') OR len(regexp_extract_all(body[1:1600], '(?i)tion')) >= 3) THEN 'keyword_regex' END AS r0
+    WHEN fetch_method = 'Podcast' AND NOT (regexp_matches(t, '(?i)tion') OR len(regexp_extract_all(body[1:1600], '(?i)tion')) >= 3) THEN 'keyword_regex' WHEN account % 11 = 0 THEN 'typed_filter' END AS r0
   FROM raw
 ), deduped AS (
   SELECT *, CASE WHEN r0 IS NULL AND row_number() OVER (PARTITION BY r0 IS NULL, k ORDER BY doc_id) > 1 THEN 'dup_round' ELSE r0 END AS r1 FROM tagged
@@ -38,20 +39,20 @@ def funnel_items(spark, d):
         {
             "title": F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.col("title")),
             "published_ms": F.when(F.col("doc_id") % 40 != 1, F.col("published_ms")),
-            "url": F.concat(F.lit("https://e.org/"), F.col("doc_id").cast("string")),
+            "url": F.concat(F.when(F.col("doc_id") % 3 == 0, "https://arxiv.org/abs/").otherwise("https://e.org/"), F.col("doc_id").cast("string")),
             "heat_keep": F.lit(False),
             "keyword_regex": F.lit(KEYWORD),
             "keyword_min_hits": F.lit(2),
             "title_exclude_regex": F.lit("^zu"),
-            "min_content_chars": F.lit(0),
-            "key": F.left(F.col("body"), F.lit(60)),
+            "min_content_chars": F.lit(1500),
+            "key": F.md5(F.col("body")),
         }
     )
 
 
 def tagged_items(spark, d):
     config = EngineConfig(now_ms=NOW_MS, kept_per_feed=3)
-    return clean.clean(funnel_items(spark, d), config, "key", "source_id", ["doc_id"])
+    return clean.clean(funnel_items(spark, d), config, "key", "source_id", ["doc_id"], F.col("account") % 11 == 0)
 
 
 @query("funnel_counts", f"{TAGGED_SQL} SELECT coalesce(drop_reason, 'kept') AS drop_reason, count(*) AS n FROM capped GROUP BY 1")
@@ -64,7 +65,7 @@ def funnel_rows(spark, d):
     return tagged_items(spark, d).select("doc_id", "drop_reason")
 
 
-@query("window_drop_audit", f"""{TAGGED_SQL} SELECT source_id, count(*) AS n FROM capped WHERE r0 = 'lookback' AND (fetch_method = 'Social' OR (fetch_method = 'Podcast' AND (regexp_matches(t, '(?i)tion') OR len(regexp_extract_all(body[1:1600], '(?i)tion')) >= 3))
+@query("window_drop_audit", f"""{TAGGED_SQL} SELECT source_id, count(*) AS n FROM capped WHERE r0 = 'lookback' AND NOT (length(t || ' ' || body) < 1500 AND doc_id % 3 = 0 AND fetch_method NOT IN ('Media', 'Social')) AND (fetch_method = 'Social' OR (fetch_method = 'Podcast' AND (regexp_matches(t, '(?i)tion') OR len(regexp_extract_all(body[1:1600], '(?i)tion')) >= 3))
   OR (fetch_method NOT IN ('Social', 'Podcast') AND (regexp_matches(t, '(?i)tion') OR len(regexp_extract_all(body, '(?i)tion')) >= 2))) GROUP BY source_id""")
 def window_drop_audit(spark, d):
     tagged = clean.tag_reasons(funnel_items(spark, d), CONFIG)
@@ -85,9 +86,9 @@ def source_stats(spark, d):
     return reports.source_statistics(sources_dim(spark), passed, tagged.where("drop_reason IS NULL"), tagged.where("drop_reason = 'lookback'"), "source_id")
 
 
-@query("dedup_first", f"WITH {ENTRIES} SELECT k, min(doc_id) AS doc_id FROM (SELECT left(body, 40) AS k, doc_id FROM entries) GROUP BY k")
+@query("dedup_first", f"WITH {ENTRIES} SELECT k, min(doc_id) AS doc_id FROM (SELECT md5(body) AS k, doc_id FROM entries) GROUP BY k")
 def dedup_first(spark, d):
-    rows = entries(spark, d).select(F.left("body", F.lit(40)).alias("k"), "doc_id")
+    rows = entries(spark, d).select(F.md5("body").alias("k"), "doc_id")
     return clean.first_by(rows, "k", ["doc_id"])
 
 
@@ -140,7 +141,7 @@ def candidate_window(spark, d):
     return met.where(clean.in_selection_window(F.col("published_ms"), F.col("lookback_hours"), NOW_MS)).select("doc_id")
 
 
-@query("contribution", f"{WITH}, c AS (SELECT source_id, count(*) AS n, max(published_ms) AS last_ms FROM entries WHERE source_id <> 'src3' OR doc_id % 2 = 0 GROUP BY 1), s AS (SELECT source_id FROM sources_dim WHERE n <> 4) SELECT coalesce(c.source_id, s.source_id) AS source_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n, last_ms, s.source_id IS NOT NULL AS in_param, round(100.0 * coalesce(c.n, 0) / sum(coalesce(c.n, 0)) OVER (), 6) AS share FROM c FULL JOIN s ON c.source_id = s.source_id")
+@query("contribution", f"{WITH}, c AS (SELECT source_id, count(*) AS n, max(published_ms) AS last_ms FROM entries WHERE source_id <> 'src3' OR doc_id % 2 = 0 GROUP BY 1), s AS (SELECT source_id FROM sources_dim WHERE n <> 4) SELECT coalesce(c.source_id, s.source_id) AS source_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n, last_ms, s.source_id IS NOT NULL AS in_param, round(100.0 * coalesce(c.n, 0) / sum(coalesce(c.n, 0)) OVER (), 6) AS share, CAST(rank() OVER (ORDER BY coalesce(c.n, 0) DESC) AS INT) AS rank FROM c FULL JOIN s ON c.source_id = s.source_id")
 def contribution(spark, d):
     rows = entries(spark, d).where("source_id <> 'src3' OR doc_id % 2 = 0")
     out = reports.contribution(rows, sources_dim(spark).where("n <> 4"), "source_id", "published_ms")
@@ -314,16 +315,18 @@ def recent_context(spark, d):
     return recent.groupBy("account").agg(F.count("*").alias("today"))
 
 
-def versioned(spark, d):
-    """Short titles that share a product name and differ in version."""
-    return entries(spark, d).where("doc_id < 120").select("doc_id", "published_ms", F.format_string("Acme Studio %d update note %d", F.col("doc_id") % 6 + 3, F.floor(F.col("doc_id") / 40)).alias("title"), "tier", "priority", "content_type", "source_id", F.length("body").alias("body_length"))
+def headline():
+    """The first sentence of an entry's first line."""
+    return F.substring_index("title", ". ", 1)
 
 
-@query("entity_match_pairs", f"""WITH {ENTRIES}, t AS (SELECT doc_id, CAST(doc_id % 6 + 3 AS VARCHAR) AS v, CAST(doc_id // 40 AS VARCHAR) AS k FROM entries WHERE doc_id < 120), w AS (SELECT doc_id, ['acme', 'studio', v, 'note', k] AS ws FROM t),
-b AS (SELECT doc_id, list_distinct(ws) AS s, list_distinct(list_transform(range(1, 5), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM w)
-SELECT a.doc_id AS a, b.doc_id AS b FROM b a JOIN b ON a.doc_id < b.doc_id WHERE len(list_intersect(a.g, b.g)) > 0 AND len(list_filter(list_intersect(a.s, b.s), lambda x: regexp_matches(x, '[0-9]'))) > 0 AND len(list_intersect(a.s, b.s)) >= 0.55 * len(list_distinct(list_concat(a.s, b.s)))""")
+@query("entity_match_pairs", rf"""WITH {ENTRIES}, t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(source_id || ' ' || split_part(title, '. ', 1)), '{similarity.WORDS}'), lambda w: NOT list_contains({list(similarity.STOP_WORDS)}, w) AND (length(w) >= 3 OR regexp_matches(w, '[0-9]'))) AS ws FROM entries),
+b AS (SELECT doc_id, list_distinct(ws) AS s, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM t)
+SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM (SELECT *, unnest(g) AS pair FROM b) a JOIN (SELECT *, unnest(g) AS pair FROM b) b ON a.pair = b.pair AND a.doc_id < b.doc_id
+WHERE len(list_filter(list_intersect(a.s, b.s), lambda x: length(x) >= 4 AND NOT regexp_matches(x, '[0-9]'))) > 0 AND len(list_filter(list_intersect(a.s, b.s), lambda x: regexp_matches(x, '[0-9]') AND NOT regexp_matches(x, '^(19|20)[0-9][0-9]$'))) > 0
+  AND len(list_intersect(a.s, b.s)) >= 0.55 * len(list_distinct(list_concat(a.s, b.s)))""")
 def entity_match_pairs(spark, d):
-    words = versioned(spark, d).select("doc_id", similarity.anchors(F.col("title")).alias("words"))
+    words = entries(spark, d).select("doc_id", similarity.anchors(F.concat_ws(" ", "source_id", headline())).alias("words"))
     left = words.select(F.col("doc_id").alias("a"), F.col("words").alias("x"), F.explode(similarity.bigrams(F.col("words"))).alias("pair"))
     right = words.select(F.col("doc_id").alias("b"), F.col("words").alias("y"), F.explode(similarity.bigrams(F.col("words"))).alias("pair"))
     return left.join(right, "pair").where((F.col("a") < F.col("b")) & similarity.entity_match(F.col("x"), F.col("y"))).select("a", "b").distinct()
@@ -338,12 +341,26 @@ def title_sim_pairs(spark, d):
     return a.join(b, near).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), similarity.title_similarity(F.col("a.t"), F.col("b.t")).alias("similarity"))
 
 
+def titled_pages(spark, d):
+    """All pages with their title, their first paragraph as the summary, and a source's rank and times by number."""
+    n = F.col("page_id")
+    return table(spark, d, "pages").select(
+        "page_id",
+        F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"),
+        text.strip_html(F.regexp_extract("html", r"(?is)<p\b[^>]*>(.*?)</p>", 1)).alias("summary"),
+        (START_MS + (n * 7919 % 43200) * 60_000).alias("published_ms"),
+        F.concat(F.lit("L"), (n % 4 + 1).cast("string")).alias("tier"),
+        F.concat(F.lit("P"), (n % 3).cast("string")).alias("priority"),
+        F.length("html").alias("size"),
+    )
+
+
 @query("event_clusters")
 def event_clusters(spark, d):
-    rows = versioned(spark, d).withColumn("day", F.lit("2024-01-30"))
-    clustered = events.cluster(rows, ["day"], "title", ["doc_id"])
-    prefer = scoring.prefer(F.col("tier"), F.col("priority"), F.col("content_type"), F.col("published_ms"), F.col("body_length"))
-    return events.best_members(clustered, ["day"], prefer, ["doc_id"]).select("doc_id", "event", "is_best", "members")
+    rows = titled_pages(spark, d).withColumn("day", dates.cn_day(F.col("published_ms"))).drop("summary")
+    clustered = events.cluster(rows, ["day"], "title", ["page_id"])
+    prefer = scoring.prefer(F.col("tier"), F.col("priority"), F.lit("文章"), F.col("published_ms"), F.col("size"))
+    return events.best_members(clustered, ["day"], prefer, ["page_id"]).select("page_id", "day", "event", "is_best", "members")
 
 
 @query("event_groups", f"WITH {ENTRIES} SELECT source_id, grp, count(*) AS n FROM (SELECT source_id, doc_id, CASE WHEN tier = 'L1' THEN '官方来源' WHEN content_type = '论文' THEN '交叉验证' WHEN tier IN ('L2', 'L3') THEN '相关报道' ELSE '补充视角' END AS grp FROM entries WHERE doc_id % 6 <> 0) GROUP BY 1, 2")
@@ -355,124 +372,18 @@ def event_groups(spark, d):
 
 @query("pool_enrich")
 def pool_enrich(spark, d):
-    rows = versioned(spark, d)
-    return events.pool_matches(rows.where("doc_id < 20"), rows, "doc_id", "title", "published_ms")
+    rows = titled_pages(spark, d)  # a brief's signals, every twentieth page, against all pages
+    return events.pool_matches(rows.where("page_id % 20 = 0"), rows, "page_id", "title", "summary", "published_ms")
 
 
 @query("consume_once")
 def consume_once(spark, d):
-    rows = versioned(spark, d).where("doc_id < 60")
-    return events.consume_once(events.pool_matches(rows, rows, "doc_id", "title", "published_ms"), rows.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("place")))
+    rows = titled_pages(spark, d).where("page_id % 20 = 0")
+    return events.consume_once(events.pool_matches(rows, rows, "page_id", "title", "summary", "published_ms"), rows.select(F.col("page_id").alias("id"), F.col("page_id").alias("place")))
 
 
 @query("novelty_band")
 def novelty_band(spark, d):
-    items = table(spark, d, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("id"), "text")
-    found = social.nearest(items, table(spark, d, "benchmark").where("item_id % 4 = 1").select("text"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")  # every twentieth item against all others
+    found = social.nearest(items.where("id % 20 = 0"), items.where("id % 20 <> 0").select("text"))
     return found.select("id", scoring.novelty_points(F.col("similarity")).alias("points"))
-
-
-@query("union_sources", "SELECT kind, count(*) AS n FROM (SELECT 'documents' AS kind FROM documents UNION ALL SELECT 'pages' FROM pages UNION ALL SELECT 'conversations' FROM conversations) GROUP BY 1")
-def union_sources(spark, d):
-    parts = [table(spark, d, t).select(F.lit(t).alias("kind"), F.lit(1).alias(t)) for t in ("documents", "pages", "conversations")]
-    return parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True).groupBy("kind").agg(F.count("*").alias("n"))
-
-
-@query("key_union", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels")
-def key_union(spark, d):
-    return table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id").union(table(spark, d, "labels").select("doc_id")).distinct()
-
-
-@query("key_except", "SELECT event_id AS id FROM events EXCEPT SELECT doc_id FROM documents")
-def key_except(spark, d):
-    return table(spark, d, "events").select(F.col("event_id").alias("id")).subtract(table(spark, d, "documents").select("doc_id"))
-
-
-@query("token_intersect", "SELECT a.item_id AS a, b.item_id AS b, CAST(len(list_intersect(list_distinct(string_split(a.text, ' ')), list_distinct(string_split(b.text, ' ')))) AS BIGINT) AS shared FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1")
-def token_intersect(spark, d):
-    items = table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("w"))
-    a, b = items.alias("a"), items.withColumn("item_id", F.col("item_id") - 1).alias("b")
-    return a.join(b, F.col("a.item_id") == F.col("b.item_id")).select(F.col("a.item_id").alias("a"), (F.col("b.item_id") + 1).alias("b"), F.size(F.array_intersect("a.w", "b.w")).cast("long").alias("shared"))
-
-
-@query("section_fill", "SELECT doc_id, line_no, last_value(CASE WHEN line_no % 4 = 0 THEN line_no END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents)")
-def section_fill(spark, d):
-    """Each line's section: the last heading at or before it."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", F.col("at").cast("long").alias("line_no"))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    return lines.withColumn("section", F.last(F.when(F.col("line_no") % 4 == 0, F.col("line_no")), ignorenulls=True).over(order))
-
-
-@query("status_sync", f"WITH {SOURCES} SELECT s.source_id, c.c_name AS name FROM sources_dim s LEFT JOIN customer c ON c.c_custkey = s.n")
-def status_sync(spark, d):
-    catalog = table(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("n"), F.col("c_name").alias("name"))
-    return sources_dim(spark).join(catalog, "n", "left").select("source_id", "name")
-
-
-@query("backfill_candidates", f"WITH {ENTRIES} SELECT doc_id, abs(published_ms - (published_ms + (doc_id % 9 - 4) * 3600000)) <= 10800000 AS candidate FROM entries")
-def backfill_candidates(spark, d):
-    collected = F.col("published_ms") + (F.col("doc_id") % 9 - 4) * 3_600_000
-    return entries(spark, d).select("doc_id", (F.abs(F.col("published_ms") - collected) <= 10_800_000).alias("candidate"))
-
-
-@query("fulltext_backfill", f"WITH {ENTRIES} SELECT doc_id FROM (SELECT doc_id, length(body) < 300 AS needs FROM entries) ORDER BY needs DESC, doc_id LIMIT 40")
-def fulltext_backfill(spark, d):
-    return entries(spark, d).select("doc_id", (F.length("body") < 300).alias("needs")).orderBy(F.desc("needs"), "doc_id").limit(40).select("doc_id")
-
-
-@query("precision_recall", "SELECT count(*) FILTER (quality = 1 AND toxic = 0) / nullif(count(*) FILTER (toxic = 0), 0) AS precision, count(*) FILTER (quality = 1 AND toxic = 0) / nullif(count(*) FILTER (quality = 1), 0) AS recall FROM labels")
-def precision_recall(spark, d):
-    return reports.precision_recall(table(spark, d, "labels"), F.col("toxic") == 0, F.col("quality") == 1)
-
-
-@query("trending_keep", f"WITH {ENTRIES} SELECT doc_id, CASE WHEN age <= 7 THEN NOT (up > 0 AND up < 5) WHEN age > 30 THEN false ELSE up >= 100 END AS keep, age > 7 AND age <= 30 AND up >= 100 AS heat_keep FROM (SELECT doc_id, doc_id % 150 AS up, ({NOW_MS} - published_ms) / 86400000.0 AS age FROM entries)")
-def trending_keep(spark, d):
-    out = clean.keep_trending(F.col("published_ms"), F.col("doc_id") % 150, F.lit(0), 5, NOW_MS)
-    return entries(spark, d).select("doc_id", out["keep"].alias("keep"), out["heat_keep"].alias("heat_keep"))
-
-
-@query("repo_list", "SELECT p_partkey FROM (SELECT p_partkey, p_retailprice, p_partkey % 2 = 0 AS is_new, row_number() OVER (PARTITION BY p_partkey % 2 = 0 ORDER BY p_retailprice DESC, p_partkey) AS nth FROM part) WHERE NOT is_new OR nth <= 6 ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
-def repo_list(spark, d):
-    parts = table(spark, d, "part").select("p_partkey", "p_retailprice")
-    return select.repo_list(parts, 20, [F.desc("p_retailprice"), "p_partkey"], F.col("p_partkey") % 2 == 0).select("p_partkey")
-
-
-@query("evidence_budget", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn ROWS UNBOUNDED PRECEDING) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS nth FROM conversations) WHERE total <= 1500 OR nth = 1")
-def evidence_budget(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
-    return clean.within_budget(rows, "conv_id", [F.desc("size"), "turn"], "size", 1500).select("conv_id", "turn")
-
-
-# Plain relational coverage beyond the reference's own operators.
-
-
-@query("cube_orders", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
-def cube_orders(spark, d):
-    return table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
-
-
-@query("rollup_sales", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-def rollup_sales(spark, d):
-    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("quantity"))
-
-
-@query("lag_lead", "SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-def lag_lead(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
-
-
-@query("rows_frame", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS total FROM events")
-def rows_frame(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-2, 0)
-    return table(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"))
-
-
-@query("asof_orders", "SELECT e.event_id, max(o.o_orderkey) AS o_orderkey FROM events e JOIN orders o ON o.o_custkey = e.user_id AND o.o_orderkey <= e.event_id GROUP BY 1")
-def asof_orders(spark, d):
-    """The last order of the user at or before each event: both sides in one order per user, carried forward."""
-    left = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("at"), F.lit(1).alias("side"), "event_id", F.lit(None).cast("long").alias("o_orderkey"))
-    right = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("at"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("event_id"), "o_orderkey")
-    w = Window.partitionBy("k").orderBy("at", "side")
-    met = left.unionByName(right).withColumn("o_orderkey", F.last("o_orderkey", ignorenulls=True).over(w))
-    return met.where("side = 1 AND o_orderkey IS NOT NULL").select("event_id", "o_orderkey")

@@ -230,11 +230,9 @@ def readme_parse(spark, d):
     return table(spark, d, "documents").select("doc_id", html.readme_to_text("text").alias("text"))
 
 
-@query("split_chunks", """WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\n+', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ps FROM documents),
-w AS (SELECT doc_id, ps, 0 AS i, 0 AS chunks, 0 AS size FROM p UNION ALL SELECT doc_id, ps, i + 1, CASE WHEN i > 0 AND size + 1 + length(ps[i + 1]) <= 600 THEN chunks ELSE chunks + 1 END, CASE WHEN i > 0 AND size + 1 + length(ps[i + 1]) <= 600 THEN size + 1 + length(ps[i + 1]) ELSE length(ps[i + 1]) END FROM w WHERE i < len(ps))
-SELECT doc_id, CAST(max(chunks) AS BIGINT) AS chunks FROM w GROUP BY doc_id""")
+@query("split_chunks")
 def split_chunks(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.pack_paragraphs(F.col("text"), 600)).cast("long").alias("chunks"))
+    return table(spark, d, "documents").select("doc_id", F.size(html.pack_paragraphs(F.col("text"), 600)).cast("long").alias("chunks"))
 
 
 @query("transcript_lines", "SELECT doc_id, CAST(2 AS BIGINT) AS n, CAST((doc_id % 60) * 60 + 5 AS BIGINT) AS last FROM documents")

@@ -73,27 +73,34 @@ def threads(posts: DataFrame, key: str) -> DataFrame:
 def upserting(path: str, key: str, order: str):
     """A foreachBatch sink: the table at ``path`` keeps the newest row of each key, however often a batch is repeated.
 
-    The new table is written beside the old one and its folder named in a pointer file, so a reader never sees half of it.
+    The new table is written to a folder of its own, whatever the batch's number, and named in a pointer file with a number
+    of its own sequence. A reader never sees half a table, a repeated batch changes nothing, and a restart with a new
+    checkpoint goes on from the table that is there. One query writes to a table at a time.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = read_upserted(spark, path)
-        rows = batch if old is None else old.unionByName(batch, allowMissingColumns=True)
+        last = _last_version(spark, path)
+        rows = batch if last is None else spark.read.parquet(f"{path}/{last['folder']}").unionByName(batch, allowMissingColumns=True)
         newest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/version={number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").json(f"{path}/_versions")
+        folder = f"table-{uuid.uuid4().hex}"
+        newest.write.parquet(f"{path}/{folder}")
+        spark.createDataFrame([(1 + (last["version"] if last else 0), folder)], "version long, folder string").coalesce(1).write.mode("append").json(f"{path}/_versions")
 
     return write
 
 
-def read_upserted(spark, path: str) -> DataFrame | None:
-    """The newest finished version of an upserted table; None before the first."""
+def _last_version(spark, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         return None
-    version = spark.read.schema("version long").json(f"{path}/_versions").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/version={version}")
+    return spark.read.schema("version long, folder string").json(f"{path}/_versions").orderBy(F.desc("version")).first()
+
+
+def read_upserted(spark, path: str) -> DataFrame | None:
+    """The newest finished version of an upserted table; None before the first."""
+    last = _last_version(spark, path)
+    return None if last is None else spark.read.parquet(f"{path}/{last['folder']}")
 
 
 def shared_folder(spark: SparkSession) -> str:

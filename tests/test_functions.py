@@ -52,8 +52,8 @@ def test_text(value):
     assert value(text.keyword_ok(F.lit("x"), F.lit("ai ai"), F.lit("ai"), F.lit(3))) is False
     assert value(text.podcast_keyword_ok(F.lit("x"), F.lit("ai " * 2 + "z" * 1600 + "ai"), F.lit("ai"), F.lit(1))) is False
     assert value(text.bullet_title(F.lit("结论：内容，其余"), F.lit("要点 2"))) == "结论"
-    assert value(text.pack_paragraphs(F.lit("aa\n\nbb\ncccc\nd"), 5)) == ["aa\nbb", "cccc", "d"]
-    assert value(text.pack_paragraphs(F.lit(None).cast("string"), 5)) == []
+    assert value(html.pack_paragraphs(F.lit("aa\n\nbb\n\ncccc\nd\n\n\n\ne"), 6)) == ["aa\n\nbb", "cccc\nd", "e"]
+    assert value(html.pack_paragraphs(F.lit(None).cast("string"), 5)) == [] and html.chunks_of("x" * 14 + "\n\ny", 6) == ["xxxxxx", "xxxxxx", "xx\n\ny"]
     long = "\n".join(f"## Part {i}\n" + "x" * 700 for i in range(3))
     assert value(text.structured_long_form(F.lit(long))) is True and value(text.structured_long_form(F.lit(long[:1500]))) is False
     assert value(text.headings_need_translation(F.lit("## 中文\n## Only Latin"))) is True
@@ -96,6 +96,9 @@ def test_scores(value):
     assert value(scoring.paper_signal(F.lit("A"), F.lit("short"), F.lit(""))) == 40
     assert [value(scoring.novelty_points(F.lit(x))) for x in (None, 0.1, 0.5, 0.7, 0.9)] == [20, 20, 12, 4, 0]
     assert value(scoring.prefer(F.lit(None).cast("string"), F.lit("P2"), F.lit("文章"), F.lit(5), F.lit(1)))["points"] == 20
+    points = lambda tier, kind: value(scoring.prefer(F.lit(tier), F.lit("p0"), F.lit(kind), F.lit(5), F.lit(1)))["points"]
+    assert [points("l1 官方", "Company Blog"), points("L1", "企业官方号"), points("L1", "Research"), points("x", "文章")] == [76, 76, 68, 42]
+    assert value(text.valid_pattern(F.lit("[bad("))) is None and value(text.valid_pattern(F.lit("a|b"))) == "a|b"
 
 
 def test_same_event_anchors(value):

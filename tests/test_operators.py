@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from briefloom.config import EngineConfig, Quotas
+from briefloom.functions import similarity
 from briefloom.operators import briefs, clean, events, reports, select, social, typed
 from briefloom.plans import relational
 from briefloom.sources import sinks
@@ -76,22 +77,47 @@ def test_least_videos_keep_rank_order(spark):
     assert [r["rk"] for r in out] == [1, 2, 3, 8]
 
 
-def test_same_event_titles():
-    for a, b in (("Introducing Acme Opus 5", "Acme Opus 5 来了"), ("Quantum chips get cheaper", "Quantum chips get cheaper!")):
-        assert events.same_event(a, b)
-    for a, b in (("Acme Opus 5", "Acme Sonnet 5"), ("Optimization", "On the optimization of very large systems"), ("Summit 2026 day one", "Summit 2026 day two recap of robots"), ("", "x")):
-        assert not events.same_event(a, b)
-    assert events.lead(["Acme Opus 5 out", "else entirely", "Acme Opus 5 out now"]) == [0, 1, 0]
+def test_same_event_titles(spark):
+    pairs = [("Introducing Acme Opus 5", "Acme Opus 5 来了"), ("Quantum chips get cheaper", "Quantum chips get cheaper!"), ("Acme Opus 5", "Acme Sonnet 5"), ("Optimization", "On the optimization of very large systems"), ("Summit 2026 day one", "Summit 2026 day two recap of robots"), ("", "x"), ("", "")]
+    rows = spark.createDataFrame([(i, j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "day int, n int, t string")
+    out = {(r["day"], r["n"]): r["event"] for r in events.cluster(rows, ["day"], "t", ["n"]).collect()}
+    assert [out[i, 1] for i in range(len(pairs))] == [0, 0, 1, 1, 1, 1, 1]
+    more = spark.createDataFrame([(1, i, t) for i, t in enumerate(("Acme Opus 5 out", "else entirely", "Acme Opus 5 out now"))], "day int, n int, t string")
+    assert [r["event"] for r in events.cluster(more, ["day"], "t", ["n"]).orderBy("n").collect()] == [0, 1, 0]
+
+
+def test_pool_matches_by_brute_force(spark):
+    """All pairs of some thirty titles by the three tests, over Python values."""
+    from difflib import SequenceMatcher
+
+    titles = ["大模型发布会今天举行", "大模型发布会今天举行！", "大模型发布会昨天举行", "Acme Studio 7 ships", "Acme Studio 7 ships today", "Acme Studio 8 ships", "The Quantum chips get much cheaper", "Why quantum chips get much cheaper now", "完全不同", "", None, "ab", "ba", "abcdefghijklmnopq", "xx abcdefghijklmnopq yy", "abcdefghijklmnoqp"]
+    summary = {3: "Jeff Dean opens Discovery Loop", 8: "Jeff Dean and the Discovery Loop", 12: "Jeff Dean: Discovery Loop"}
+    stamps = {12: 9 * 86_400_000, 4: 20 * 86_400_000}
+    rows = spark.createDataFrame([(i, t, summary.get(i), stamps.get(i, 5)) for i, t in enumerate(titles)], "id long, t string, s string, ms long")
+    columns = rows.select("id", "ms", *[c.alias(k) for k, c in events.Title.columns(F.col("t")).items()], F.array_distinct(similarity.anchors(F.concat_ws(" ", "t", F.coalesce("s", F.lit(""))))).alias("context"), similarity.bigrams(similarity.anchors(F.concat_ws(" ", "t", F.coalesce("s", F.lit(""))))).alias("near")).collect()
+    want = set()
+    for x in columns:
+        for y in columns:
+            a, b = x["_text"], y["_text"]
+            ratio = 0 if not a or not b else 1 if a == b else 0.92 if min(len(a), len(b)) >= 16 and (a in b or b in a) else SequenceMatcher(None, a, b).ratio()
+            entity = events.Title("", *map(frozenset, (x["_words"], x["_names"], x["_versions"], x["_pairs"]))).same_entity(events.Title("", *map(frozenset, (y["_words"], y["_names"], y["_versions"], y["_pairs"]))))
+            names = [w for w in set(x["context"]) & set(y["context"]) if len(w) >= 4 and not any(map(str.isdigit, w))]
+            pairs = set(x["near"]) & set(y["near"])
+            context = abs(x["ms"] - y["ms"]) <= 3 * 86_400_000 and (len(pairs) >= 2 and len(names) >= 2 or len(pairs) >= 1 and len(names) >= 4)
+            if x["id"] != y["id"] and (ratio >= 0.85 or entity or context):
+                want.add((x["id"], y["id"]))
+    found = {(r["signal_id"], r["pool_id"]) for r in events.pool_matches(rows, rows, "id", "t", "s", "ms").collect()}
+    assert found == want and {(0, 1), (3, 4), (3, 8)} <= want and (3, 12) not in want
 
 
 def test_events_groups_and_matches(spark):
     rows = spark.createDataFrame([("d", "s1", "https://e.org/A/", "官方来源", 1), ("d", "S1", "https://e.org/a", "官方来源", 2), ("d", "s2", "", "相关报道", 3), ("d", "s3", "https://e.org/a", "相关报道", 4)], "day string, source string, url string, grp string, ord int")
     out = {r["grp"]: r["n"] for r in events.group_members(rows, ["day"], "source", "url", "grp", ["ord"]).collect()}
     assert out == {"官方来源": 1, "相关报道": 1}
-    signals = spark.createDataFrame([(1, "Jeff Dean opens Discovery Loop lab", 0), (2, "Discovery Loop: why Jeff Dean left", 1), (3, "Discovery Loop: why Jeff Dean left", 9 * 86_400_000), (4, "other", None)], "id long, t string, ms long")
-    found = {(r["signal_id"], r["pool_id"]) for r in events.pool_matches(signals.where("id = 1"), signals, "id", "t", "ms").collect()}
+    signals = spark.createDataFrame([(1, "Jeff Dean opens Discovery Loop lab", 0), (2, "Discovery Loop: why Jeff Dean left", 1), (3, "Discovery Loop: why Jeff Dean left", 9 * 86_400_000), (4, "other", None)], "id long, t string, ms long").withColumn("s", F.lit(""))
+    found = {(r["signal_id"], r["pool_id"]) for r in events.pool_matches(signals.where("id = 1"), signals, "id", "t", "s", "ms").collect()}
     assert found == {(1, 2)}
-    taken = events.consume_once(events.pool_matches(signals, signals, "id", "t", "ms"), signals.select("id", F.col("id").alias("place")))
+    taken = events.consume_once(events.pool_matches(signals, signals, "id", "t", "s", "ms"), signals.select("id", F.col("id").alias("place")))
     assert {r["id"]: r["taken_by"] for r in taken.collect()} == {1: None, 2: 1, 3: None, 4: None}
 
 
@@ -150,6 +176,10 @@ def test_upserting_sink_may_be_repeated(spark, tmp_path):
     sink(spark.createDataFrame([(1, 2, "c")], "k int, at int, v string"), 1)
     sink(spark.createDataFrame([(1, 2, "c")], "k int, at int, v string"), 2)
     assert {(r["k"], r["v"]) for r in incremental.read_upserted(spark, path).collect()} == {(1, "c"), (2, "b")}
+    restarted = incremental.upserting(path, "k", "at")  # a new checkpoint counts its batches from 0 again
+    for _ in range(2):
+        restarted(spark.createDataFrame([(9, 3, "d")], "k int, at int, v string"), 0)
+    assert {(r["k"], r["v"]) for r in incremental.read_upserted(spark, path).collect()} == {(1, "c"), (2, "b"), (9, "d")}
 
 
 def test_entry_and_registry(spark):
