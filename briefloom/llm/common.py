@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -91,6 +94,26 @@ def byte_texts(array: pa.Array) -> list[bytes]:
     return pc.fill_null(array, "").cast(pa.binary()).to_pylist()
 
 
+def tidy(function):
+    """A task's function over batches that gives its memory back at the end; the worker may wait long for its next task."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Returns freed memory of Python, Arrow and the C library to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit values (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import byte_texts, read_table, text_slices
+from briefloom.llm.common import byte_texts, read_table, text_slices, tidy
 
 K1, B = 1.2, 0.75
 SHARE, OVERLAP, SHINGLE = 0.5, 0.8, 5
@@ -202,7 +202,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
             )
 
     kind = rows.schema["item_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"item_id {kind}, text string, length long, terms array<binary>, times array<long>")
+    return rows.mapInArrow(tidy(run), f"item_id {kind}, text string, length long, terms array<binary>, times array<long>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -225,16 +225,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         index = BlockMaxIndex(postings, len(texts), totals["mean"], totals["n"])
         parts = [tuple(terms_of(p.encode()) for p in question_and_answer(text)) for _, text in texts]
         shared = spark.sparkContext.broadcast((index, [i for i, _ in texts], parts, max(16, totals["longest"])))
-        found = found.unionByName(rows.mapInArrow(_searcher(shared, rows.schema["_id"].dataType), out_schema))
+        found = found.unionByName(rows.mapInArrow(tidy(_searcher(shared)), out_schema))
     items.unpersist()
     return found.withColumnRenamed("_id", id_col)
 
 
-def _searcher(shared, id_type):
+def _searcher(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, names, parts, cell = shared.value
         passages = PassageFilter(index, cell)
-        for batch in text_slices(batches, "text", 8 << 20):
+        for batch in text_slices(batches, "text", 2 << 20):
             texts = [terms_of(t) for t in byte_texts(batch["text"])]
             best: dict[tuple[int, int], float] = {}
             for text, at in passages.open_passages(texts):

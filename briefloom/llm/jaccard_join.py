@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import byte_texts, discard, mix64, read_table, text_slices, written
+from briefloom.llm.common import byte_texts, discard, give_back, mix64, read_table, text_slices, tidy, written
 from briefloom.llm.components import connected_components
 from briefloom.llm.exchange import ANSWERS, KEYS, Range, answered, asked
 from briefloom.llm.shingles import shingle_sets
@@ -196,6 +196,8 @@ def sign(block: pa.Table, answers: pa.Table, percent: int, size: int, bits: int,
         digests = pa.array([hashlib.sha256(t).digest() for t in byte_texts(batch["text"])], pa.binary())
         columns = [batch["_id"], digests, as_binary(ids, sizes == 0), pa.array(sizes, pa.int64()), lists, pa.array(equal, pa.list_(pa.binary())), pa.array(cross, pa.list_(pa.binary())), texts]
         out.append(pa.table(columns, ["_id", "digest", "set_id", "n", "entries", "equal", "cross", "text"]))
+    del own
+    give_back()
     return pa.concat_tables(out)
 
 
@@ -216,7 +218,7 @@ def signatures(docs: DataFrame, percent: int, size: int) -> DataFrame:
                 block = Block(rows.as_py(), size, bits)
                 yield from asked(number, block.keys, bits, ranges, {"counts": block.counts.astype(np.uint32)}).to_batches()
 
-    counted = blocks.select("block", "rows").mapInArrow(ask, f"{KEYS}, counts binary").groupBy("range").applyInArrow(count_keys, f"{ANSWERS}, lists long, entries long")
+    counted = blocks.select("block", "rows").mapInArrow(tidy(ask), f"{KEYS}, counts binary").groupBy("range").applyInArrow(count_keys, f"{ANSWERS}, lists long, entries long")
     counted = written(counted, "shingle-classes")
     sums = counted.agg(F.sum("lists").alias("lists"), F.sum("entries").alias("entries")).first()
     boundary = choose_boundary((sums["entries"] or 0) / max(1, sums["lists"] or 0), percent)
@@ -320,7 +322,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Dat
             shared = np.bincount(rows[1:][same], minlength=len(n))
             yield batch.filter(pa.array(100 * shared >= percent * (n + m - shared))).select(["a", "b"])
 
-    links = written(met.mapInArrow(compare, "a binary, b binary"), "links")
+    links = written(met.mapInArrow(tidy(compare), "a binary, b binary"), "links")
     discard(texts)
     return links
 

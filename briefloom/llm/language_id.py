@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import crc_bucket, read_table, text_slices
+from briefloom.llm.common import crc_bucket, read_table, text_slices, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST, EVIDENCE, SMOOTHING, MEMO_WORDS, SLICE = 5, 12, 0.5, 250_000, 2 << 20
@@ -150,7 +150,7 @@ def fit_language_model(labelled: DataFrame, sample: int = 3000, id_col: str = "d
                 for kind, table in tables.items():
                     yield pa.RecordBatch.from_arrays([pa.array([language] * len(table)), pa.array([kind] * len(table), pa.int32()), pa.array(list(table)), pa.array(list(table.values()), pa.int64())], ["lang", "kind", "item", "n"])
 
-    counts = picked.mapInArrow(count, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).persist()
+    counts = picked.mapInArrow(tidy(count), "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).persist()
     totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
     model = BackoffModel.fit(counts.where("n > 1").select("lang", "kind", "item", "n").toLocalIterator(), totals)
     counts.unpersist()
@@ -170,7 +170,7 @@ def predict_languages(rows: DataFrame, model: BackoffModel, column: str, field:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(predict, f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(tidy(predict), f"{fields}, lang_pred string, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

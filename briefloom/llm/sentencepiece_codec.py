@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import read_table, text_slices
+from briefloom.llm.common import read_table, text_slices, tidy
 
 MARK = "▁"
 #: What the library takes off the least score for a symbol that no piece spells.
@@ -322,7 +322,7 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_pieces_and_texts(trie, batch["_text"], decoded)], [*keep, *made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]
-    return rows.mapInArrow(run, ", ".join([*fields, *(f"{c} {t}" for c, t in zip(made, ("array<int>", "long", "string"), strict=False))]))
+    return rows.mapInArrow(tidy(run), ", ".join([*fields, *(f"{c} {t}" for c, t in zip(made, ("array<int>", "long", "string"), strict=False))]))
 
 
 def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces") -> DataFrame:
@@ -343,7 +343,7 @@ def decode(rows: DataFrame, model_file: str, pieces_col: str = "pieces") -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, decoded string")
+    return rows.mapInArrow(tidy(run), f"{fields}, decoded string")
 
 
 def encode_query(spark: SparkSession, sf_dir: str, model_file: str) -> DataFrame:
