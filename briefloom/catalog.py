@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from briefloom.plans import registry, relational, scalars, streams
+from briefloom.plans import articles, registry, relational, scalars, streams
 
-assert relational and scalars and streams  # importing a module registers its queries
+assert articles and relational and scalars and streams  # importing a module registers its queries
 
 
 def queries() -> dict[str, registry.Query]:

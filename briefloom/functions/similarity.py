@@ -32,7 +32,7 @@ def anchors(text: Column) -> Column:
     return F.filter(words, lambda w: ~w.isin(*STOP_WORDS) & ((F.length(w) >= 3) | w.rlike(r"\d")))
 
 
-def _bound(value: Column, function) -> Column:
+def bound(value: Column, function) -> Column:
     """``function`` of a value that is computed once, however often the function uses it."""
     return F.element_at(F.transform(F.array(value), function), 1)
 
@@ -40,7 +40,7 @@ def _bound(value: Column, function) -> Column:
 def bigrams(words: Column) -> Column:
     """Distinct adjacent pairs."""
     pairs = lambda w: F.slice(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)), F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))
-    return F.array_distinct(_bound(words, pairs))
+    return F.array_distinct(bound(words, pairs))
 
 
 def is_name(word: Column) -> Column:
@@ -55,7 +55,7 @@ def is_version(word: Column) -> Column:
 def grams(text: Column, size: int) -> Column:
     """Distinct runs of ``size`` characters."""
     runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - size + 1, F.lit(1))), lambda i: F.substr(t, i, F.lit(size)))
-    return F.array_distinct(F.filter(_bound(text, runs), lambda g: F.length(g) == size))
+    return F.array_distinct(F.filter(bound(text, runs), lambda g: F.length(g) == size))
 
 
 def entity_match(a: Column, b: Column, least: float = SHARED_WORDS) -> Column:

@@ -1,0 +1,74 @@
+"""Media, comments, videos and papers: joins and aggregates by key."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from briefloom.functions.text import filled
+
+
+def thread_media(posts: DataFrame, media: DataFrame, thread: str, place: str) -> DataFrame:
+    """Photos and other media of each thread, each key once, in the order of its first post.
+
+    ``posts`` has ``media_keys``; ``media`` has ``media_key``, ``type`` and ``url``, one row a key. Keys that are not in ``media``
+    stay with an empty address, among the other media. A thread's media come from its own posts, so a row stays small.
+    """
+    keys = posts.select(thread, place, F.posexplode("media_keys").alias("nth", "media_key")).where("media_key <> ''")
+    first = keys.groupBy(thread, "media_key").agg(F.min(F.struct(place, "nth")).alias("at"))
+    known = first.join(media.select("media_key", "type", "url"), "media_key", "left")
+    photo = F.coalesce(F.col("type") == "photo", F.lit(False))
+    asset = F.struct("at", F.col("media_key").alias("id"), F.coalesce("url", F.lit("")).alias("url"))
+    in_order = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, asset))), lambda a: F.struct(a["id"].alias("id"), a["url"].alias("url")))
+    return known.groupBy(thread).agg(in_order(photo).alias("images"), in_order(~photo).alias("videos"))
+
+
+def top_comments(comments: DataFrame, video: str, likes: Column, order: list[str], most: int = 5) -> DataFrame:
+    """The comments of each video with most likes; null likes count as none."""
+    window = Window.partitionBy(video).orderBy(F.coalesce(likes, F.lit(0)).desc(), *order)
+    return comments.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= most)
+
+
+def channel_videos(playlist: DataFrame, details: DataFrame, channels: DataFrame) -> DataFrame:
+    """The public videos of each channel's playlist, without shorts under a minute and live streams unless the channel takes them.
+
+    ``playlist``: ``channel_id``, ``video_id``, ``place``; ``details``: ``video_id``, ``privacy``, ``seconds``, ``live`` (null: none);
+    ``channels``: ``channel_id``, ``include_shorts``, ``include_live``. An unknown length (0 or null) is no short.
+    """
+    short = (F.col("seconds") > 0) & (F.col("seconds") < 60)
+    live = F.coalesce(filled(F.col("live")), F.lit("none")) != "none"
+    wanted = lambda holds, name: ~F.coalesce(holds, F.lit(False)) | F.coalesce(F.col(name), F.lit(False))
+    public = details.where("privacy = 'public'")
+    return playlist.join(public, "video_id").join(channels, "channel_id", "left").where(wanted(short, "include_shorts") & wanted(live, "include_live"))
+
+
+def merged_papers(mentions: DataFrame) -> DataFrame:
+    """One row a paper from mentions (``paper``, ``place``, ``title``, ``published``, ``upvotes``): the last title that is set, the first
+    date that is set, the most upvotes, and the first place."""
+    title = F.when(F.length("title") > 3, F.col("title"))
+    return mentions.where("paper <> ''").groupBy("paper").agg(
+        F.max_by(title, F.when(title.isNotNull(), F.col("place"))).alias("title"),
+        F.min_by(filled(F.col("published")), F.when(filled(F.col("published")).isNotNull(), F.col("place"))).alias("published"),
+        F.coalesce(F.max("upvotes"), F.lit(0.0)).alias("upvotes"),
+        F.min("place").alias("place"),
+    )
+
+
+def transcript_index(episodes: DataFrame) -> DataFrame:
+    """(key, transcripts): an episode's transcripts under its guid, link and title; of equal keys the last episode wins."""
+    keys = F.array_distinct(F.transform(F.array("guid", "link", "title"), lambda k: F.trim(k)))
+    listed = F.filter("transcripts", lambda t: F.trim(t["url"]) != "")
+    rows = episodes.select(F.explode(keys).alias("key"), "place", listed.alias("transcripts")).where("key <> ''")
+    return rows.groupBy("key").agg(F.max_by("transcripts", "place").alias("transcripts"))
+
+
+def audio_enclosure(enclosures: Column) -> Column:
+    """The first enclosure (``href``, ``type``, ``rel``, ``length``) that is audio or says that it is one; null if there is none."""
+    fits = lambda e: (F.coalesce(e["href"], F.lit("")) != "") & (F.coalesce(e["type"], F.lit("")).startswith("audio/") | (F.coalesce(e["rel"], F.lit("")) == "enclosure"))
+    return F.get(F.filter(enclosures, fits), F.lit(0))
+
+
+def entry_image(own: Column, thumbnails: Column, feed: Column) -> Column:
+    """An entry's picture: its own, else its first thumbnail with an address, else the feed's; empty if none is set."""
+    thumb = F.get(F.filter(thumbnails, lambda u: u != ""), F.lit(0))
+    return F.coalesce(filled(own), thumb, filled(feed), F.lit(""))
