@@ -25,7 +25,6 @@ repeated rows each get a row; an empty table gives no rows; columns other than t
 
 from __future__ import annotations
 
-import gc
 import math
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -37,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import byte_texts, crc_bucket, mix64, read_table, release_shuffles, text_slices, written
+from briefloom.llm.common import byte_texts, crc_bucket, mix64, read_table, text_slices, written
 from briefloom.llm.exchange import ANSWERS, KEYS, Range, answered, asked, pack, unpack
 
 END, START = b"", b" "  # no word is empty or holds a blank
@@ -296,20 +295,13 @@ def score_texts(docs: DataFrame, training, order: int = 2, least: int = 2, id_co
     def added(sent: DataFrame, name: str) -> DataFrame:
         return written(sent.groupBy("kind", "range").applyInArrow(lambda table: add_up(table, order), FOUND), name)
 
-    def release() -> None:
-        gc.collect()  # py4j's objects are cycles; until they go, the JVM keeps the finished plans and their shuffles
-        release_shuffles(spark)
-
     known = added(blocks.mapInArrow(ask_first, SENT), "gram-counts")
-    release()
     sums = known.agg(F.sum("total").alias("total"), F.sum("kinds").alias("kinds")).first()
     total = sums["total"] or 0
     scale = total + SMOOTH * ((sums["kinds"] or 0) + 1)
     for level in range(2, order):
         known = known.unionByName(added(with_blocks(known).applyInArrow(ask_longer(level), SENT), "gram-counts"))
-        release()
     known = known.unionByName(added(with_blocks(known).applyInArrow(ask_weights, SENT), "discounted-counts"))
-    release()
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         block = Block(table, bits)

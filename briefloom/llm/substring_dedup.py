@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import mix64, read_table, release_shuffles, text_bytes, text_slices, written
+from briefloom.llm.common import mix64, read_table, text_bytes, text_slices, written
 
 MIN, GRAM = 100, 32
 LEFT = MIN - GRAM  # bytes in front of an anchor that a window around it can reach; behind its start it reaches MIN
@@ -426,7 +426,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = anchor_rows(docs).repartition(partitions, "key").sortWithinPartitions("key", "ctx", "doc", "copy", "a")
     first = written(met.mapInArrow(resolve, ROW), "anchors")
-    release_shuffles(docs.sparkSession)
     probes = first.where(F.col("kind") == PROBE).select(F.col("ctx").alias("gram"), "doc", "copy", "a", "b").distinct()
     hot = probes.groupBy("gram").count().where(F.col("count") > HOT).select("gram", F.lit(True).alias("hot"))
     probes = probes.join(hot, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
@@ -434,7 +433,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     fragments = fragment_rows(docs.join(grouped, ["doc", "copy"]).select("doc", "copy", "text", "probes"))
     met = fragments.repartition(partitions, "key").sortWithinPartitions("key", "ctx", "doc", "copy", "a")
     second = written(met.mapInArrow(sort_fragments, ROW).where(F.col("kind") == SPAN), "fragments")
-    release_shuffles(docs.sparkSession)
     spans = first.where(F.col("kind") == SPAN).unionByName(second)
     return spans.select("doc", "copy", F.col("a").alias("start"), F.col("b").alias("end"))
 
