@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from briefloom.llm import line_dedup
+from briefloom.llm import line_dedup, merkle
 from briefloom.llm.decontamination import decontamination_query
 from briefloom.llm.jaccard_join import jaccard_query
 from briefloom.llm.language_id import language_id_query
@@ -43,8 +43,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_top_k": top_k_query,
         "op9_jaccard_join": jaccard_query,
         "op10_line_dedup": line_dedup.line_dedup_query,
+        "op11_merkle_manifest": merkle.manifest_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.LINE_DEDUP_SQL}
+    return {"op10_line_dedup": line_dedup.LINE_DEDUP_SQL, "op11_merkle_manifest": merkle.MANIFEST_SQL}
