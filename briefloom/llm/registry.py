@@ -13,6 +13,7 @@ from briefloom.llm.jaccard_join import jaccard_query
 from briefloom.llm.language_id import language_id_query
 from briefloom.llm.lm_scoring import lm_query
 from briefloom.llm.sentencepiece_codec import encode_query
+from briefloom.llm.simhash import simhash_query
 from briefloom.llm.substring_dedup import substring_query
 from briefloom.llm.token_counts import token_count_query
 from briefloom.llm.top_k import top_k_query
@@ -44,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": jaccard_query,
         "op10_line_dedup": line_dedup.line_dedup_query,
         "op11_merkle_manifest": merkle.manifest_query,
+        "op12_simhash": simhash_query,
     }
 
 
