@@ -18,6 +18,7 @@ from briefloom.llm.substring_dedup import substring_query
 from briefloom.llm.token_counts import token_count_query
 from briefloom.llm.top_k import top_k_query
 from briefloom.llm.url_filter import url_filter_query
+from briefloom.llm.vector_codes import VECTOR_CODES_SQL, vector_codes_query
 
 #: The URL rules of the contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -46,8 +47,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": line_dedup.line_dedup_query,
         "op11_merkle_manifest": merkle.manifest_query,
         "op12_simhash": simhash_query,
+        "op13_vector_codes": vector_codes_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.LINE_DEDUP_SQL, "op11_merkle_manifest": merkle.MANIFEST_SQL}
+    return {"op10_line_dedup": line_dedup.LINE_DEDUP_SQL, "op11_merkle_manifest": merkle.MANIFEST_SQL, "op13_vector_codes": VECTOR_CODES_SQL}
