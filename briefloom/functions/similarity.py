@@ -78,6 +78,21 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def ratio_from(least: float):
+    """A function of two texts: difflib's ratio where it is ``least`` or more, else null; cheap bounds are tried first."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        def of(x: str, y: str) -> float | None:
+            matcher = SequenceMatcher(None, x, y)
+            found = matcher.ratio() if matcher.quick_ratio() >= least else 0.0
+            return found if found >= least else None
+
+        return pd.Series([of(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return ratio
+
+
 def ratio_bound(a: Column, b: Column) -> Column:
     """No ratio of two texts is above this, by their lengths."""
     return 2.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.lit(1), F.length(a) + F.length(b))

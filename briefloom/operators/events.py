@@ -2,84 +2,112 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefloom.functions import similarity
+from briefloom.operators import pairs
 from briefloom.schema import EVENT_GROUPS
+from briefloom.storage import written
 
 
+def same_event_edges(nodes: DataFrame, least: float = 0.85) -> DataFrame:
+    """(grp, late, early) for nodes (grp, place, text, words) of one group of which the later one reports what the earlier does.
 
-@dataclass(frozen=True)
-class Title:
-    """What the same-event test needs to know of a title, all of it computed as columns."""
-
-    text: str
-    words: frozenset[str]
-    names: frozenset[str]
-    versions: frozenset[str]
-    pairs: frozenset[str]
+    ``text`` is the normalised title and ``words`` its anchors. Titles are the same event if they are equal, one is within the
+    other, their ratio reaches ``least``, or they name the same entity and version. Pairs meet by what such titles must
+    share; no test runs on all pairs.
+    """
+    titles = written(nodes.where("text <> ''").select("grp", F.col("text").alias("t")).distinct().withColumn("id", F.monotonically_increasing_id()), "titles")
+    near = pairs.similar_titles(titles, least)
+    sides = {side: titles.select(F.col("id").alias(side), F.col("t").alias(f"{side}_text"), *(["grp"] if side == "a" else [])) for side in "ab"}
+    texts = near.join(sides["a"], "a").join(sides["b"], "b").select("grp", "contained", "a_text", "b_text")
+    places = nodes.select("grp", "place", "text")
+    met = texts.join(places.select("grp", F.col("place").alias("a"), F.col("text").alias("a_text")), ["grp", "a_text"]).join(places.select("grp", F.col("place").alias("b"), F.col("text").alias("b_text")), ["grp", "b_text"])
+    first = F.col("a") < F.col("b")
+    ordered = met.select("grp", "contained", F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early"), F.when(first, F.col("b_text")).otherwise(F.col("a_text")).alias("x"), F.when(first, F.col("a_text")).otherwise(F.col("b_text")).alias("y"))
+    inside = F.col("contained") & F.lit(least <= similarity.CONTAINED)
+    # A title within another has a similarity of its own, whatever the ratio.
+    alike = ordered.where(inside | ~F.col("contained")).where(inside | similarity.ratio_from(least)("x", "y").isNotNull()).select("grp", "late", "early")
+
+    one = places.where("text <> ''")
+    equal = one.join(one.withColumnRenamed("place", "early"), ["grp", "text"]).where(F.col("early") < F.col("place")).select("grp", F.col("place").alias("late"), "early")
+
+    share = _entity_share(F.col("words"))
+    named = written(nodes.where(F.exists("words", similarity.is_name) & F.exists("words", similarity.is_version)).select("grp", "place", "words").withColumn("id", F.monotonically_increasing_id()), "named")
+    sets = named.select("grp", "id", F.array_distinct("words").alias("tokens"), share.alias("need"), F.size(F.array_distinct("words")).alias("size"))
+    fits = lambda x, y: F.least(x["size"], y["size"]) >= (similarity.SHARED_WORDS - pairs.SLACK) * F.greatest(x["size"], y["size"])
+    asked = pairs.overlap_candidates(sets, fits)
+    both = asked.join(named.select(F.col("id").alias("a"), "grp", F.col("place").alias("pa"), F.col("words").alias("wa")), "a").join(named.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("words").alias("wb")), "b")
+    entity = both.where(similarity.entity_match(F.col("wa"), F.col("wb"))).select("grp", F.greatest("pa", "pb").alias("late"), F.least("pa", "pb").alias("early"))
+    return alike.unionByName(equal).unionByName(entity).distinct()
+
+
+def title_pairs(items: DataFrame, id_col: str, title: str, least: float = 0.85) -> DataFrame:
+    """(a, b, similarity) of different normalised titles that reach ``least``; a title stands under the smallest id that has it.
+
+    Items of equal titles are one title, as ``title_classes`` says; an empty title has no pair.
+    """
+    titles = written(title_classes(items, id_col, title).groupBy("text").agg(F.min("class").alias("id")).where("text <> ''"), "titles")
+    near = pairs.similar_titles(titles.select(F.lit(0).alias("grp"), "id", F.col("text").alias("t")), least)
+    met = near.join(titles.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(titles.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+    found = met.withColumn("similarity", F.when(F.col("contained"), similarity.CONTAINED).otherwise(similarity.ratio_from(least)("x", "y")))
+    return found.where(F.col("similarity") >= least).select("a", "b", "similarity")
 
-    @staticmethod
-    def columns(title: Column) -> dict[str, Column]:
-        words = similarity.anchors(title)
-        return {"_text": similarity.normalize_title(title), "_words": words, "_names": F.filter(words, similarity.is_name), "_versions": F.filter(words, similarity.is_version), "_pairs": similarity.bigrams(words)}
 
-    def same_entity(self, other: Title) -> bool:
-        if self.pairs.isdisjoint(other.pairs) or self.names.isdisjoint(other.names) or self.versions.isdisjoint(other.versions):
-            return False
-        return len(self.words & other.words) >= similarity.SHARED_WORDS * len(self.words | other.words)
+def title_classes(items: DataFrame, id_col: str, title: str) -> DataFrame:
+    """(id, text, class): each item's normalised title and the smallest id that has the same one."""
+    named = items.select(F.col(id_col).alias("id"), similarity.normalize_title(F.col(title)).alias("text"))
+    return named.join(named.groupBy("text").agg(F.min("id").alias("class")), "text").select("id", "text", "class")
 
-    def alike(self, other: Title, least: float) -> bool:
-        a, b = self.text, other.text
-        if not a or not b or a == b:
-            return a == b != ""
-        if min(len(a), len(b)) >= similarity.LEAST_CONTAINED and (a in b or b in a):
-            return least <= similarity.CONTAINED
-        if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
-            return False
-        matcher = SequenceMatcher(None, a, b)
-        return matcher.quick_ratio() >= least and matcher.ratio() >= least
 
+def leaders(edges: DataFrame) -> DataFrame:
+    """(grp, late, early): of a greedy walk, the members and the leader that each joins, from all edges (grp, late, early).
 
-def lead(titles: list[Title], least: float = 0.85) -> list[int]:
-    """The leader's place for each title: the first leader before it that is the same event, else itself."""
-    leaders: dict[int, Title] = {}
-    out = []
-    for i, title in enumerate(titles):
-        out.append(next((j for j, other in leaders.items() if other.same_entity(title) or other.alike(title, least)), i))
-        if out[-1] == i:
-            leaders[i] = title
-    return out
+    In the walk a row joins the earliest leader that it has an edge to, and else becomes a leader. Here all rows without an
+    earlier open neighbour lead at once and take their later neighbours; what is left goes into the next round. Rounds
+    follow the longest chain of decisions that wait for one another, not the number of rows.
+    """
+    edges = written(edges.distinct(), "edges")
+    open_, members = edges, None
+    while not open_.isEmpty():
+        waiting = open_.select("grp", F.col("late").alias("early")).distinct()
+        lead = open_.select("grp", "early").distinct().join(waiting, ["grp", "early"], "left_anti")
+        taken = written(open_.join(lead, ["grp", "early"]).select("grp", "late").distinct(), "members")
+        members = taken if members is None else members.unionByName(taken)
+        open_ = open_.join(taken, ["grp", "late"], "left_anti").join(taken.withColumnRenamed("late", "early"), ["grp", "early"], "left_anti")
+        open_ = written(open_.select(*edges.columns), "edges")
+    if members is None:
+        return edges
+    led = edges.join(members.withColumnRenamed("late", "early"), ["grp", "early"], "left_anti").join(members, ["grp", "late"])
+    return led.groupBy("grp", "late").agg(F.min("early").alias("early"))
 
 
 def cluster(items: DataFrame, by: list[str], title: str, order: list[str], least: float = 0.85) -> DataFrame:
     """Leader clustering within each group of ``by`` (a brief's candidates, a day): adds ``event``, the leader's place.
 
-    The walk depends on its order, so a group is one task; groups are what a brief's quotas have left over.
+    The place is the value of ``order``, a struct where that is more than one column; it must tell the rows of a group apart.
+    A group may hold any share of the rows: titles meet by what they share, and rows of one title count once. Null titles are
+    empty, and an empty title is alike to none.
     """
-    names = items.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema) + ", event long"
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable").reset_index(drop=True)
-        titles = [Title(text, *map(frozenset, lists)) for text, *lists in group[known].itertuples(index=False)]
-        return group[names].assign(event=lead(titles, least))
-
-    made = Title.columns(F.col(title))
-    known = list(made)
-    return items.withColumns(made).groupBy(*by).applyInPandas(walk, schema)
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    marks = items.withColumns({"_grp": F.struct(*by), "_place": place, "_text": similarity.normalize_title(F.col(title)), "_words": similarity.anchors(F.col(title))})
+    shown = marks.where("_text <> ''")
+    nodes = written(shown.groupBy(F.col("_grp").alias("grp"), F.col("_text").alias("text"), F.col("_words").alias("words")).agg(F.min("_place").alias("place")), "nodes")
+    led = leaders(same_event_edges(nodes, least)).withColumnRenamed("late", "place")
+    ends = nodes.join(led, ["grp", "place"], "left").select(F.col("grp").alias("_grp"), F.col("text").alias("_text"), F.col("words").alias("_words"), F.coalesce("early", "place").alias("event"))
+    met = marks.join(ends, ["_grp", "_text", "_words"], "left")
+    return met.select(*items.columns, F.coalesce("event", "_place").alias("event"))
 
 
 def best_members(clustered: DataFrame, by: list[str], preference: Column, order: list[str]) -> DataFrame:
     """Adds ``is_best`` (the preferred member of its event; earlier rows win ties) and ``members``."""
-    window = Window.partitionBy(*by, "event")
-    rank = F.row_number().over(window.orderBy(F.desc(preference), *order))
-    return clustered.withColumns({"is_best": rank == 1, "members": F.count("*").over(window)})
+    place = F.struct(*order)
+    rows = clustered.withColumn("_prefer", preference)
+    firsts = rows.groupBy(*by, "event", "_prefer").agg(F.min(place).alias("_first"), F.count("*").alias("_n"))
+    best = firsts.groupBy(*by, "event").agg(F.max(F.struct("_prefer", "_first"))["_first"].alias("_best"), F.sum("_n").alias("members"))
+    met = rows.join(best, [*by, "event"])
+    return met.withColumn("is_best", place == F.col("_best")).drop("_prefer", "_best")
 
 
 def event_group(is_primary: Column, tier: Column, content_type: Column) -> Column:
@@ -102,8 +130,8 @@ def pool_matches(signals: DataFrame, pool: DataFrame, id_col: str, title: str, s
 
     Titles that are equal, within one another or alike match whatever their dates, and so do titles that share an entity;
     titles and summaries that share a context match with stamps at most ``days`` days apart, where both are known. Each
-    of these ways has something that a match must share, by which the pairs meet: the title, the first characters of the
-    shorter one, a pair of characters, an adjacent pair of words. The signals are a stated set, as of a brief.
+    of these ways has something that a match must share, by which the pairs meet: the title, the rarest run of the shorter
+    one, pairs of characters, most words of a title, four names and adjacent pairs of words. ``least`` is above 5/6.
     """
 
     def sided(rows: DataFrame, name: str) -> DataFrame:
@@ -116,46 +144,50 @@ def pool_matches(signals: DataFrame, pool: DataFrame, id_col: str, title: str, s
     ids = ("signal_id", "pool_id")
     equal = left.where(a != "").join(right, (a == b) & other).select(*ids)
 
-    size = similarity.LEAST_CONTAINED
-    found = []
-    for short, long in (("signal", "pool"), ("pool", "signal")):
-        x, y = (left, right) if short == "signal" else (right, left)
-        heads = x.where(F.length(f"{short}_title") >= size).withColumn("gram", F.left(f"{short}_title", F.lit(size)))
-        grams = y.withColumn("gram", F.explode(similarity.grams(F.col(f"{long}_title"), size)))
-        found.append(heads.join(grams, "gram").where(other & F.contains(f"{long}_title", F.col(f"{short}_title"))).select(*ids))
-    within = found[0].unionByName(found[1]) if least <= similarity.CONTAINED else found[0].limit(0)
-
-    # The longest run that titles with a ratio above .8 share has two characters or more.
-    near = other & (a != b) & (similarity.ratio_bound(a, b) >= least)
-    met = left.select("signal_id", "signal_title", F.explode(similarity.grams(a, 2)).alias("gram")).join(right.select("pool_id", "pool_title", F.explode(similarity.grams(b, 2)).alias("gram")), "gram")
-    alike = met.where(near).drop("gram").distinct().where(similarity.sequence_ratio(a, b) >= least).select(*ids)
-
-    def by_pairs(column: str) -> DataFrame:
-        x = left.withColumn("pair", F.explode(similarity.bigrams(F.col(f"signal_{column}"))))
-        return x.join(right.withColumn("pair", F.explode(similarity.bigrams(F.col(f"pool_{column}")))), "pair").where(other)
-
-    entity = by_pairs("words").where(similarity.entity_match(F.col("signal_words"), F.col("pool_words"))).select(*ids)
+    # Distinct titles of both sides meet by what alike titles share; the matcher's first text is the signal's.
+    asked = left.select(F.col("signal_title").alias("t"), F.lit(True).alias("asked")).unionByName(right.select(F.col("pool_title").alias("t"), F.lit(False).alias("asked")))
+    titles = asked.where("t <> ''").groupBy("t").agg(F.max("asked").alias("asked")).withColumn("grp", F.lit(0))
+    titles = written(titles.withColumn("id", F.monotonically_increasing_id()), "titles")
+    near = pairs.similar_titles(titles.select("grp", "id", "t"), least)
+    found = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "contained"))
+    texts = found.join(titles.where("asked").select(F.col("id").alias("a"), F.col("t").alias("signal_title")), "a").join(titles.select(F.col("id").alias("b"), F.col("t").alias("pool_title")), "b")
+    inside = F.col("contained") & F.lit(least <= similarity.CONTAINED)
+    like = texts.where(inside | ~F.col("contained")).where(inside | similarity.ratio_from(least)("signal_title", "pool_title").isNotNull())
+    alike = like.select("signal_title", "pool_title").join(left.select("signal_id", "signal_title"), "signal_title").join(right.select("pool_id", "pool_title"), "pool_title").where(other).select(*ids)
+
+    columns = ["id", "ms", "words", "context"]
+    both = [side.select(F.lit(n).alias("side"), *[F.col(f"{name}_{k}").alias(k) for k in columns]) for n, (name, side) in enumerate((("signal", left), ("pool", right)))]
+    rows = written(both[0].unionByName(both[1]).withColumn("row", F.monotonically_increasing_id()), "sided")
+    across = lambda x, y: x["size"] != y["size"]
+
+    def met(tokens: Column, need: Column) -> DataFrame:
+        sets = rows.select(F.lit(0).alias("grp"), F.col("row").alias("id"), tokens.alias("tokens"), need.alias("need"), F.col("side").alias("size"))
+        found = pairs.overlap_candidates(sets, across)
+        ends = [rows.where(F.col("side") == n).select(F.col("row").alias(f"{name}_row"), *[F.col(k).alias(f"{name}_{k}") for k in columns]) for n, name in ((0, "signal"), (1, "pool"))]
+        crossed = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return crossed.join(ends[0], F.col("a") == F.col("signal_row")).join(ends[1], F.col("b") == F.col("pool_row")).where(other)
+
+    entity = met(F.array_distinct("words"), _entity_share(F.col("words"))).where(similarity.entity_match(F.col("signal_words"), F.col("pool_words"))).select(*ids)
+    # Two pairs and two names, or one pair and four names: four of both together at least.
+    marks = F.concat(similarity.bigrams(F.col("context")), F.array_distinct(F.filter("context", similarity.is_name)))
     close = F.coalesce(F.abs(F.col("signal_ms") - F.col("pool_ms")) <= days * 86_400_000, F.lit(True))
-    context = by_pairs("context").where(close & similarity.context_match(F.col("signal_context"), F.col("pool_context"))).select(*ids)
-    return equal.unionByName(within).unionByName(alike).unionByName(entity).unionByName(context).distinct()
+    context = met(marks, F.lit(4)).where(close & similarity.context_match(F.col("signal_context"), F.col("pool_context"))).select(*ids)
+    return equal.unionByName(alike).unionByName(entity).unionByName(context).distinct()
+
+
+def _entity_share(words: Column) -> Column:
+    """Common words that a title needs with any other one of its entity: most of its own, and two."""
+    return F.greatest(F.ceil(F.size(F.array_distinct(words)) * similarity.SHARED_WORDS - pairs.SLACK), F.lit(2)).cast("int")
 
 
 def consume_once(matches: DataFrame, order: DataFrame) -> DataFrame:
     """Of ranked signals (id, place) and matches (signal_id, pool_id) among them, those that stay and what each takes in.
 
-    A signal that an earlier one has taken in is neither shown nor takes in others; (id, taken_by) for all signals. The
-    walk is over one brief's signals, whose number the quotas bound.
+    A signal that an earlier one has taken in is neither shown nor takes in others; (id, taken_by) for all signals. That is
+    the walk of ``leaders`` over the matches of earlier signals with later ones.
     """
-    pairs = matches.groupBy("signal_id").agg(F.collect_set("pool_id").alias("peers"))
-    rows = order.join(pairs, F.col("id") == F.col("signal_id"), "left").select("id", "place", "peers")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        taken: dict = {}
-        for row in group.sort_values("place").itertuples():
-            if row.id not in taken and row.peers is not None:
-                for peer in row.peers:
-                    if peer != row.id and peer not in taken:
-                        taken[peer] = row.id
-        return pd.DataFrame({"id": group["id"], "taken_by": group["id"].map(taken).astype("Int64")})
-
-    return rows.withColumn("_brief", F.lit(1)).groupBy("_brief").applyInPandas(walk, "id long, taken_by long")
+    asked = order.select(F.col("id").alias("signal_id"), F.struct("place", "id").alias("early"))
+    peer = order.select(F.col("id").alias("pool_id"), F.struct("place", "id").alias("late"))
+    edges = matches.join(asked, "signal_id").join(peer, "pool_id").where("early < late").select(F.lit(0).alias("grp"), "late", "early")
+    taken = leaders(edges).select(F.col("late.id").alias("id"), F.col("early.id").alias("taken_by"))
+    return order.select("id").join(taken, "id", "left")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,27 +46,53 @@ def newest_id(ids: Column) -> Column:
 
 
 def nearest(items: DataFrame, corpus: DataFrame, block: int = 256, id_col: str = "id", text: str = "text") -> DataFrame:
-    """(id, similarity) of the most similar corpus text by sequence ratio; null without one.
+    """(id, similarity) of the corpus text that is most alike by sequence ratio, other than the item's own; null without one.
 
-    The stated items meet the corpus in blocks of rows, and each block answers with one number an item.
+    The items are a stated set. Blocks of items meet blocks of distinct corpus texts; a block states one number an item. In a
+    block, the characters that two texts have in common bound their ratio, for all pairs at once; an item is compared in the
+    order of its bounds and only while a bound is above what it has found. Items of null or blank text have no similarity.
     """
-    short = lambda c: F.left(F.regexp_replace(F.lower(c), r"\s+", " "), F.lit(800))
-    texts = corpus.select(short(F.col(text)).alias("t")).where(F.col("t") != "").distinct()
-    blocks = max(1, -(-texts.count() // block))
-    dealt = texts.groupBy(F.pmod(F.xxhash64("t"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("t").alias("others"))
-    asked = items.select(F.col(id_col).alias("id"), short(F.col(text)).alias("sample")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    @F.pandas_udf("double")
-    def best(samples: pd.Series, others: pd.Series) -> pd.Series:
-        def most(sample: str, texts) -> float:
-            top = 0.0
-            for other in texts:
-                matcher = SequenceMatcher(None, sample, other)
-                if matcher.real_quick_ratio() > top and matcher.quick_ratio() > top:
-                    top = max(top, matcher.ratio())
-            return top
-
-        return pd.Series([most(s, o) if s and o is not None else None for s, o in zip(samples, others, strict=True)])
-
-    met = asked.join(dealt, "block", "left").withColumn("similarity", best("sample", "others"))
-    return met.groupBy("id").agg(F.max("similarity").alias("similarity"))
+    short = F.left(F.regexp_replace(F.lower(F.col(text)), r"\s+", " "), F.lit(800))
+    texts = corpus.select(F.col(id_col).alias("own"), short.alias("t")).where(F.coalesce("t", F.lit("")) != "")
+    texts = texts.groupBy("t").agg(F.slice(F.collect_set("own"), 1, 2).alias("owners"))  # a text of two rows is not an item's own only
+    asked = items.select(F.col(id_col).alias("id"), short.alias("t"))
+    known = asked.where(F.coalesce("t", F.lit("")) != "")
+    counts = [max(1, -(-rows.count() // block)) for rows in (known, texts)]
+    deal = lambda rows, n: F.pmod(F.xxhash64("t"), F.lit(n)).cast("int")
+    left = known.withColumns({"x": deal(known, counts[0]), "y": F.explode(F.sequence(F.lit(0), F.lit(counts[1] - 1)))})
+    right = texts.withColumns({"y": deal(texts, counts[1]), "x": F.explode(F.sequence(F.lit(0), F.lit(counts[0] - 1)))})
+
+    def best(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        found = [_most_alike(i, t, others, bounds) for i, t, bounds in zip(some["id"], some["t"], _ratio_bounds(list(some["t"]), list(others["t"])), strict=True)]
+        return pd.DataFrame({"id": some["id"], "similarity": found})
+
+    kind = items.schema[id_col].dataType.simpleString()
+    met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(best, f"id {kind}, similarity double")
+    most = met.groupBy("id").agg(F.max("similarity").alias("similarity"))
+    return asked.select("id").distinct().join(most, "id", "left")
+
+
+def _ratio_bounds(some: list[str], others: list[str]) -> np.ndarray:
+    """For each text and each other one, a number that their ratio does not exceed."""
+    place = {c: k for k, c in enumerate(sorted(set("".join(some)) | set("".join(others))))}
+    counts = []
+    for texts in (some, others):
+        table = np.zeros((len(texts), len(place)), np.int16)
+        for row, text in zip(table, texts, strict=True):
+            for c, n in Counter(text).items():
+                row[place[c]] = n
+        counts.append(table)
+    sizes = [np.array([max(1, len(t)) for t in texts]) for texts in (some, others)]
+    common = np.array([np.minimum(row, counts[1]).sum(1) for row in counts[0]]).reshape(len(some), len(others))
+    return 2 * common / (sizes[0][:, None] + sizes[1][None, :])
+
+
+def _most_alike(own: object, text: str, others: pd.DataFrame, bounds: np.ndarray) -> float | None:
+    top = None
+    for k in np.argsort(-bounds, kind="stable"):
+        if top is not None and bounds[k] <= top:
+            break
+        owners = others["owners"].iloc[k]
+        if len(owners) > 1 or list(owners) != [own]:
+            top = max(top or 0.0, SequenceMatcher(None, text, others["t"].iloc[k]).ratio())
+    return top

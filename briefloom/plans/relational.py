@@ -332,15 +332,6 @@ def entity_match_pairs(spark, d):
     return left.join(right, "pair").where((F.col("a") < F.col("b")) & similarity.entity_match(F.col("x"), F.col("y"))).select("a", "b").distinct()
 
 
-@query("title_sim_pairs")
-def title_sim_pairs(spark, d):
-    titles = table(spark, d, "benchmark").select("item_id", similarity.normalize_title(F.substring_index("text", "\n", 1)).alias("t"))
-    a, b = titles.alias("a"), titles.alias("b")
-    # Lengths bound the ratio, but not a title within another; no other condition loses no pair.
-    near = (F.col("a.item_id") < F.col("b.item_id")) & ((similarity.ratio_bound(F.col("a.t"), F.col("b.t")) >= 0.3) | similarity.contained(F.col("a.t"), F.col("b.t")))
-    return a.join(b, near).select(F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), similarity.title_similarity(F.col("a.t"), F.col("b.t")).alias("similarity"))
-
-
 def titled_pages(spark, d):
     """All pages with their title, their first paragraph as the summary, and a source's rank and times by number."""
     n = F.col("page_id")
@@ -355,6 +346,12 @@ def titled_pages(spark, d):
     )
 
 
+@query("title_sim_pairs")
+def title_sim_pairs(spark, d):
+    """Different titles of all pages that are as alike as one event's are."""
+    return events.title_pairs(titled_pages(spark, d), "page_id", "title")
+
+
 @query("event_clusters")
 def event_clusters(spark, d):
     rows = titled_pages(spark, d).withColumn("day", dates.cn_day(F.col("published_ms"))).drop("summary")
@@ -378,14 +375,17 @@ def pool_enrich(spark, d):
 
 @query("consume_once")
 def consume_once(spark, d):
-    rows = titled_pages(spark, d).where("page_id % 20 = 0")
-    return events.consume_once(events.pool_matches(rows, rows, "page_id", "title", "summary", "published_ms"), rows.select(F.col("page_id").alias("id"), F.col("page_id").alias("place")))
+    """All pages as the signals of one brief, by number: each takes in the later ones of its event."""
+    rows = titled_pages(spark, d)
+    found = events.pool_matches(rows, rows, "page_id", "title", "summary", "published_ms")
+    return events.consume_once(found, rows.select(F.col("page_id").alias("id"), F.col("page_id").alias("place")))
 
 
 @query("novelty_band")
 def novelty_band(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")  # every twentieth item against all others
-    found = social.nearest(items.where("id % 20 = 0"), items.where("id % 20 <> 0").select("text"))
+    """Every twentieth item against all other ones."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    found = social.nearest(items.where("id % 20 = 0"), items)
     return found.select("id", scoring.novelty_points(F.col("similarity")).alias("points"))
 
 

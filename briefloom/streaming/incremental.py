@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from briefloom.config import DAY_MS
+from briefloom.storage import shared_folder
 
 
 def plausible(stamp: Column, now: Column, days: int = 2) -> Column:
@@ -103,17 +103,6 @@ def read_upserted(spark, path: str) -> DataFrame | None:
     return None if last is None else spark.read.parquet(f"{path}/{last['folder']}")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local session without the setting gets one of its own."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="briefloom-")
-    return folder.rstrip("/")
-
-
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there, into a fresh folder of ``spark.checkpoint.dir``, and reads its rows back.
 

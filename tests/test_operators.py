@@ -1,13 +1,10 @@
 import json
 import random
-from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from briefloom.config import EngineConfig, Quotas
-from briefloom.functions import similarity
 from briefloom.operators import briefs, clean, events, reports, select, social, typed
-from briefloom.plans import relational
 from briefloom.sources import sinks
 from briefloom.sources.cursor import AccountPosts, AccountStream
 from briefloom.streaming import incremental
@@ -86,30 +83,6 @@ def test_same_event_titles(spark):
     assert [r["event"] for r in events.cluster(more, ["day"], "t", ["n"]).orderBy("n").collect()] == [0, 1, 0]
 
 
-def test_pool_matches_by_brute_force(spark):
-    """All pairs of some thirty titles by the three tests, over Python values."""
-    from difflib import SequenceMatcher
-
-    titles = ["大模型发布会今天举行", "大模型发布会今天举行！", "大模型发布会昨天举行", "Acme Studio 7 ships", "Acme Studio 7 ships today", "Acme Studio 8 ships", "The Quantum chips get much cheaper", "Why quantum chips get much cheaper now", "完全不同", "", None, "ab", "ba", "abcdefghijklmnopq", "xx abcdefghijklmnopq yy", "abcdefghijklmnoqp"]
-    summary = {3: "Jeff Dean opens Discovery Loop", 8: "Jeff Dean and the Discovery Loop", 12: "Jeff Dean: Discovery Loop"}
-    stamps = {12: 9 * 86_400_000, 4: 20 * 86_400_000}
-    rows = spark.createDataFrame([(i, t, summary.get(i), stamps.get(i, 5)) for i, t in enumerate(titles)], "id long, t string, s string, ms long")
-    columns = rows.select("id", "ms", *[c.alias(k) for k, c in events.Title.columns(F.col("t")).items()], F.array_distinct(similarity.anchors(F.concat_ws(" ", "t", F.coalesce("s", F.lit(""))))).alias("context"), similarity.bigrams(similarity.anchors(F.concat_ws(" ", "t", F.coalesce("s", F.lit(""))))).alias("near")).collect()
-    want = set()
-    for x in columns:
-        for y in columns:
-            a, b = x["_text"], y["_text"]
-            ratio = 0 if not a or not b else 1 if a == b else 0.92 if min(len(a), len(b)) >= 16 and (a in b or b in a) else SequenceMatcher(None, a, b).ratio()
-            entity = events.Title("", *map(frozenset, (x["_words"], x["_names"], x["_versions"], x["_pairs"]))).same_entity(events.Title("", *map(frozenset, (y["_words"], y["_names"], y["_versions"], y["_pairs"]))))
-            names = [w for w in set(x["context"]) & set(y["context"]) if len(w) >= 4 and not any(map(str.isdigit, w))]
-            pairs = set(x["near"]) & set(y["near"])
-            context = abs(x["ms"] - y["ms"]) <= 3 * 86_400_000 and (len(pairs) >= 2 and len(names) >= 2 or len(pairs) >= 1 and len(names) >= 4)
-            if x["id"] != y["id"] and (ratio >= 0.85 or entity or context):
-                want.add((x["id"], y["id"]))
-    found = {(r["signal_id"], r["pool_id"]) for r in events.pool_matches(rows, rows, "id", "t", "s", "ms").collect()}
-    assert found == want and {(0, 1), (3, 4), (3, 8)} <= want and (3, 12) not in want
-
-
 def test_events_groups_and_matches(spark):
     rows = spark.createDataFrame([("d", "s1", "https://e.org/A/", "官方来源", 1), ("d", "S1", "https://e.org/a", "官方来源", 2), ("d", "s2", "", "相关报道", 3), ("d", "s3", "https://e.org/a", "相关报道", 4)], "day string, source string, url string, grp string, ord int")
     out = {r["grp"]: r["n"] for r in events.group_members(rows, ["day"], "source", "url", "grp", ["ord"]).collect()}
@@ -125,8 +98,8 @@ def test_social(spark):
     posts = spark.createDataFrame([(1, 2, "b", 3), (1, 1, "a", None), (2, 1, "c", 1)], "conv long, turn int, text string, likes int")
     merged = {r["conv"]: (r["body"], r["thread_count"], r["root"], r["likes"]) for r in social.merge_threads(posts, "conv", "turn", "text", ["likes"]).collect()}
     assert merged == {1: ("a\n\nb", 2, "a", 3), 2: ("c", 1, "c", 1)}
-    near = social.nearest(spark.createDataFrame([(1, "abcd"), (2, None)], "id long, text string"), spark.createDataFrame([("abcx",), ("zzzz",), (None,)], "text string"), block=1)
-    assert {r["id"]: r["similarity"] for r in near.collect()} == {1: 0.75, 2: 0.0} or {r["id"]: r["similarity"] for r in near.collect()} == {1: 0.75, 2: None}
+    near = social.nearest(spark.createDataFrame([(1, "abcd"), (2, None)], "id long, text string"), spark.createDataFrame([(7, "abcx"), (8, "zzzz"), (9, None)], "id long, text string"), block=1)
+    assert {r["id"]: r["similarity"] for r in near.collect()} == {1: 0.75, 2: None}
 
 
 def test_reports_and_briefs(spark):
@@ -189,21 +162,6 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_title_pairs_meet_whatever_their_first_characters(spark, tmp_path):
-    titles = ["the quick brown fox jumps", "quick brown fox jumps", "tge quick brown fox jumps", "y" * 150 + "quickbrownfoxjumps" + "y" * 150, "quickbrownfoxjump", "zzz", "quick brown fox jumps\nmore", "", None]
-    spark.createDataFrame(list(enumerate(titles)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {(r["a"], r["b"]): r["similarity"] for r in relational.title_sim_pairs(spark, str(tmp_path)).collect()}
-    clean = [(t or "").split("\n")[0].replace(" ", "") for t in titles]
-    want = {}
-    for i, a in enumerate(clean):
-        for j, b in list(enumerate(clean))[i + 1 :]:
-            short, long = sorted((a, b), key=len)
-            inside = len(short) >= 16 and short in long
-            if inside or 2 * len(short) / max(1, len(a) + len(b)) >= 0.3:
-                want[i, j] = 0.0 if not short else 1.0 if a == b else 0.92 if inside else SequenceMatcher(None, a, b).ratio()
-    assert got == want and {(0, 1), (0, 2), (1, 3)} <= set(got)
-
-
 def test_drained_streams_leave_no_rows_in_the_driver(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "k long, v string").repartition(2).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("k long, v string").parquet(f"{tmp_path}/in")
