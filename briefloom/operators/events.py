@@ -35,8 +35,8 @@ def same_event_edges(nodes: DataFrame, least: float = 0.85) -> DataFrame:
 
     share = _entity_share(F.col("words"))
     named = written(nodes.where(F.exists("words", similarity.is_name) & F.exists("words", similarity.is_version)).select("grp", "place", "words").withColumn("id", F.monotonically_increasing_id()), "named")
-    sets = named.select("grp", "id", F.array_distinct("words").alias("tokens"), share.alias("need"), F.size(F.array_distinct("words")).alias("size"))
-    fits = lambda x, y: F.least(x["size"], y["size"]) >= (similarity.SHARED_WORDS - pairs.SLACK) * F.greatest(x["size"], y["size"])
+    sets = named.select("grp", "id", F.array_distinct("words").alias("tokens"), share.alias("need"), F.size(F.array_distinct("words")).alias("known"))
+    fits = lambda x, y: F.least(x, y) >= (similarity.SHARED_WORDS - pairs.SLACK) * F.greatest(x, y)
     asked = pairs.overlap_candidates(sets, fits)
     both = asked.join(named.select(F.col("id").alias("a"), "grp", F.col("place").alias("pa"), F.col("words").alias("wa")), "a").join(named.select(F.col("id").alias("b"), F.col("place").alias("pb"), F.col("words").alias("wb")), "b")
     entity = both.where(similarity.entity_match(F.col("wa"), F.col("wb"))).select("grp", F.greatest("pa", "pb").alias("late"), F.least("pa", "pb").alias("early"))
@@ -158,10 +158,10 @@ def pool_matches(signals: DataFrame, pool: DataFrame, id_col: str, title: str, s
     columns = ["id", "ms", "words", "context"]
     both = [side.select(F.lit(n).alias("side"), *[F.col(f"{name}_{k}").alias(k) for k in columns]) for n, (name, side) in enumerate((("signal", left), ("pool", right)))]
     rows = written(both[0].unionByName(both[1]).withColumn("row", F.monotonically_increasing_id()), "sided")
-    across = lambda x, y: x["size"] != y["size"]
+    across = lambda x, y: x != y
 
     def met(tokens: Column, need: Column) -> DataFrame:
-        sets = rows.select(F.lit(0).alias("grp"), F.col("row").alias("id"), tokens.alias("tokens"), need.alias("need"), F.col("side").alias("size"))
+        sets = rows.select(F.lit(0).alias("grp"), F.col("row").alias("id"), tokens.alias("tokens"), need.alias("need"), F.col("side").alias("known"))
         found = pairs.overlap_candidates(sets, across)
         ends = [rows.where(F.col("side") == n).select(F.col("row").alias(f"{name}_row"), *[F.col(k).alias(f"{name}_{k}") for k in columns]) for n, name in ((0, "signal"), (1, "pool"))]
         crossed = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))

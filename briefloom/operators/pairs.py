@@ -25,7 +25,11 @@ from briefloom.functions import similarity
 from briefloom.storage import written
 
 #: Sets of a list whose pairs are listed; longer lists are split by their next common token. It moves work only.
-MOST = 32
+MOST = 256
+#: Occurrences of a character that a title's bits tell apart.
+BAGS = 4
+#: Words of 64 bits that tell the tokens of two sets apart.
+PARITIES = 8
 #: What rounding of a bound may cost is left to the comparison.
 SLACK = 1e-6
 #: At or below this ratio two titles of two and three characters can be alike without a common pair of neighbours.
@@ -35,50 +39,73 @@ LEAST_RATIO = 5 / 6
 def ranked(sets: DataFrame) -> DataFrame:
     """``sets`` with their tokens in the order of the tokens' frequency within the group; a repeat is a token of its own."""
     single = sets.select("grp", "id", F.explode("tokens").alias("token")).groupBy("grp", "id", "token").agg(F.count("*").alias("times"))
-    single = single.select("grp", "id", F.explode(F.transform(F.sequence(F.lit(1), "times"), lambda k: F.concat_ws("\u0002", "token", k.cast("string")))).alias("token"))
+    single = single.select("grp", "id", F.explode(F.transform(F.sequence(F.lit(1), "times"), lambda k: F.xxhash64("token", k))).alias("token"))
     counts = single.groupBy("grp", "token").agg(F.count("*").alias("n"))
     lists = single.join(counts, ["grp", "token"]).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranks"))
     return sets.drop("tokens").join(lists.select("id", F.col("ranks.token").alias("tokens")), "id")
 
 
-def overlap_candidates(sets: DataFrame, near: Callable[[Column, Column], Column] | None = None, most: int = MOST) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids whose sets (grp, id, tokens, need, size) can share what both need.
+def overlap_candidates(sets: DataFrame, near: Callable[[Column, Column], Column] | None = None, share: Callable[[Column, Column], Column] | None = None, most: int = MOST) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids whose sets (grp, id, tokens, need, known) can share what both need.
 
-    ``need`` is at least 1 and holds for any partner; ids are unique over all groups. ``near`` tests two structs (id, size)
-    before a pair is listed.
+    ``need`` is at least 1 and holds for any partner; ids are unique over all groups. ``near`` tests what is ``known`` of two
+    sets, and ``share`` states what two sets need by what is known of them, where that is more. Tokens and paths are hashes
+    here: equal ones meet, and different ones hardly ever.
     """
-    sets = written(ranked(sets).where(F.size("tokens") >= F.col("need")), "sets")
+    sets = ranked(sets).where(F.size("tokens") >= F.col("need"))
+    sets = written(sets.withColumn("seen", F.struct("id", "need", "known", F.size("tokens").alias("n"), *[p.alias(f"odd{k}") for k, p in enumerate(_parities(F.col("tokens")))])).drop("known"), "sets")
     prefix = F.slice("tokens", 1, F.size("tokens") - F.col("need") + 1)
-    rows = sets.select("grp", "id", "need", "size", F.posexplode(prefix).alias("at", "path"))
+    rows = sets.select("grp", "seen", F.posexplode(prefix).alias("at", "path"))
     found, depth = None, 1
     while True:
-        counts = rows.groupBy("grp", "path").agg(F.count("*").alias("n"), F.max("need").alias("top")).where("n > 1")
+        counts = rows.groupBy("grp", "path").agg(F.count("*").alias("n"), F.max("seen.need").alias("top")).where("n > 1")
         met = written(rows.join(counts, ["grp", "path"]), "lists")
-        light = met.where((F.col("n") <= most) | (F.col("need") <= depth))
-        pairs = _listed(light, near)
+        light = met.where((F.col("n") <= most) | (F.col("seen.need") <= depth))
+        pairs = _listed(light, near, share)
         found = pairs if found is None else found.unionByName(pairs)
         heavy = met.where((F.col("n") > most) & (F.col("top") > depth))
         if heavy.isEmpty():
             return found.distinct()
         depth += 1
-        longer = heavy.select("grp", "id", "need", "size", "at", "path").join(sets.select("id", "tokens"), "id")
+        longer = heavy.select("grp", F.col("seen.id").alias("id"), "at", "path").join(sets.select("id", "need", "seen", "tokens"), "id")
         later = F.slice("tokens", F.col("at") + 2, F.greatest(F.size("tokens") - F.col("need") + depth - F.col("at") - 1, F.lit(0)))
-        opened = longer.select("grp", "id", "need", "size", "at", "path", F.posexplode(later).alias("step", "token"))
-        rows = opened.select("grp", "id", "need", "size", (F.col("at") + 1 + F.col("step")).alias("at"), F.concat_ws("\u0001", "path", "token").alias("path"))
+        opened = longer.select("grp", "seen", "at", "path", F.posexplode(later).alias("step", "token"))
+        rows = opened.select("grp", "seen", (F.col("at") + 1 + F.col("step")).alias("at"), F.xxhash64("path", "token").alias("path"))
 
 
-def _listed(rows: DataFrame, near: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """All pairs within each list of rows."""
-    one = rows.select("grp", "path", F.struct("id", "size").alias("x"))
-    met = one.join(one.withColumnRenamed("x", "y"), ["grp", "path"]).where(F.col("x.id") < F.col("y.id"))
+def _parities(tokens: Column) -> list[Column]:
+    """512 kinds of tokens as bits that say whether a set has an odd number of a kind: a token more or less changes one bit."""
+    kind = lambda t: F.pmod(t, F.lit(PARITIES * 64))
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), (kind(t) % 64).cast("int"))
+    flip = lambda k: lambda bits, t: F.when(F.floor(kind(t) / 64) == k, bits.bitwiseXOR(bit(t))).otherwise(bits)
+    return [F.aggregate(tokens, F.lit(0).cast("long"), flip(k)) for k in range(PARITIES)]
+
+
+def _apart(x: Column, y: Column, names: list[str]) -> Column:
+    """Bits in which two structs differ."""
+    one, *rest = [F.bit_count(x[name].bitwiseXOR(y[name])) for name in names]
+    return sum(rest, one)
+
+
+def _listed(rows: DataFrame, near: Callable[[Column, Column], Column] | None, share: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """The pairs within each list of rows that no bound rules out."""
+    one = rows.select("grp", "path", F.col("seen").alias("x"))
+    x, y = F.col("x"), F.col("y")
+    need = F.greatest(x["need"], y["need"]) if share is None else F.greatest(x["need"], y["need"], share(x["known"], y["known"]))
+    fits = (x["id"] < y["id"]) & (_apart(x, y, [f"odd{k}" for k in range(PARITIES)]) <= x["n"] + y["n"] - 2 * need)
     if near is not None:
-        met = met.where(near(F.col("x"), F.col("y")))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+        fits &= near(x["known"], y["known"])
+    met = one.join(one.withColumnRenamed("x", "y"), ["grp", "path"]).where(fits)
+    return met.select(x["id"].alias("a"), y["id"].alias("b"))
 
 
 def least_common(size: Column, least: float) -> Column:
     """Common pairs of neighbouring characters that a title of ``size`` characters has with any title of that ratio."""
-    both = size + F.ceil(size * (least / (2 - least)) - SLACK)
+    return _common(size + F.ceil(size * (least / (2 - least)) - SLACK), least)
+
+
+def _common(both: Column, least: float) -> Column:
+    """The same for two titles of ``both`` characters together."""
     return F.greatest(F.ceil(both * (1.5 * least - 1) - 1 - SLACK), F.lit(1)).cast("int")
 
 
@@ -94,9 +121,25 @@ def alike_titles(titles: DataFrame, least: float) -> DataFrame:
     if not LEAST_RATIO < least <= 1:
         raise ValueError("titles of a ratio of 5/6 or less need not share anything that they could meet by")
     long_enough = titles.where(F.length("t") >= 2)
-    sets = long_enough.select("grp", "id", _pairs_of_neighbours(F.col("t")).alias("tokens"), least_common(F.length("t"), least).alias("need"), F.length("t").alias("size"))
-    fits = lambda x, y: 2 * F.least(x["size"], y["size"]) >= (least - SLACK) * (x["size"] + y["size"])
-    return overlap_candidates(sets, fits)
+    known = F.struct(F.length("t").alias("size"), *[bits.alias(f"bag{k}") for k, bits in enumerate(_bag(F.col("t")))])
+    sets = long_enough.select("grp", "id", _pairs_of_neighbours(F.col("t")).alias("tokens"), least_common(F.length("t"), least).alias("need"), known.alias("known"))
+
+    def fits(x: Column, y: Column) -> Column:
+        both = x["size"] + y["size"]
+        apart = _apart(x, y, [f"bag{k}" for k in range(BAGS)])
+        return (2 * F.least(x["size"], y["size"]) >= (least - SLACK) * both) & (apart <= (1 - least) * both + SLACK)
+
+    return overlap_candidates(sets, fits, lambda x, y: _common(x["size"] + y["size"], least))
+
+
+def _bag(text: Column) -> list[Column]:
+    """Sixty-four kinds of characters as bits: those that a title has once or more, twice or more, and so on.
+
+    A character more or less changes one bit at most, so titles are apart by at most as many bits as characters are unmatched.
+    """
+    kinds = F.array_sort(F.transform(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), F.lit(64)).cast("int")))
+    mark = lambda k: lambda kinds: F.aggregate(F.sequence(F.lit(k), F.greatest(F.size(kinds), F.lit(k + 1)) - 1), F.lit(0).cast("long"), lambda bits, i: F.when(F.get(kinds, i - k) == F.get(kinds, i), bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.get(kinds, i)))).otherwise(bits))
+    return [similarity.bound(kinds, mark(k)) for k in range(BAGS)]
 
 
 def contained_titles(titles: DataFrame, size: int = similarity.LEAST_CONTAINED) -> DataFrame:

@@ -101,7 +101,7 @@ def test_candidates_lose_no_pair_at_any_list_length(spark, most):
     rng = random.Random(9)
     sets = {i: rng.sample("abcdefghijkl", rng.choice([1, 2, 3, 6, 9])) for i in range(150)}
     need = {i: max(1, len(s) * 2 // 3) for i, s in sets.items()}
-    df = spark.createDataFrame([(0, i, s, need[i], len(s)) for i, s in sets.items()], "grp int, id long, tokens array<string>, need int, size int")
+    df = spark.createDataFrame([(0, i, s, need[i], len(s)) for i, s in sets.items()], "grp int, id long, tokens array<string>, need int, known int")
     got = {(r["a"], r["b"]) for r in pairs.overlap_candidates(df, most=most).collect()}
     want = {(i, j) for i in sets for j in sets if i < j and len(set(sets[i]) & set(sets[j])) >= max(need[i], need[j])}
     assert want <= got
