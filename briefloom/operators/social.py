@@ -11,17 +11,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from briefloom.functions import scoring
+from briefloom.functions.article import stripped
 
+# Kinds of references, and the counts that engagement is made of.
+REFERENCES = {"retweet": "retweeted", "reply": "replied_to", "quote": "quoted"}
+ENGAGEMENT = ("likes", "replies", "reposts", "quotes", "bookmarks")
 
-def merge_threads(posts: DataFrame, thread: str, place: str, text: str, sums: list[str] = ()) -> DataFrame:
-    """One row a thread: its texts in order, how many, the first post's text, and sums of counts."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col(text).alias("text"))))
-    return posts.groupBy(thread).agg(
-        F.array_join(F.transform(ordered, lambda p: p["text"]), "\n\n").alias("body"),
-        F.count("*").alias("thread_count"),
-        F.min_by(text, place).alias("root"),
-        *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in sums],
-    )
+
+# What stands between the posts of a thread, and the longest title with the mark of a longer one.
+BETWEEN_POSTS, TITLE_CHARS, TITLE_CUT = "\n\n---\n\n", 117, "..."
+
+
+def thread_item(posts: Column) -> dict[str, Column]:
+    """What an item says of a thread, from its posts as an array of (place, is_root, id, text, created, ...) in their order.
+
+    Texts are stripped, and blank ones left out; the title is the first text on one line. The root is the post that the
+    conversation is named after, or else the first.
+    """
+    texts = F.filter(F.transform(posts, lambda p: stripped(p["text"])), lambda t: t != "")
+    line = stripped(F.regexp_replace(F.get(texts, F.lit(0)), r"(?U)\s+", " "))
+    roots = F.filter(posts, lambda p: F.coalesce(p["is_root"], F.lit(False)))
+    root = F.coalesce(F.get(roots, F.lit(0)), F.get(posts, F.lit(0)))
+    return {
+        "title": F.concat(F.left(line, F.lit(TITLE_CHARS)), F.when(F.length(line) > TITLE_CHARS, TITLE_CUT).otherwise("")),
+        "body": F.array_join(texts, BETWEEN_POSTS),
+        "thread_count": F.size(posts).cast("long"),
+        "root_id": root["id"],
+        "published_raw": root["created"],
+    }
+
+
+def merge_threads(posts: DataFrame, thread: str, place: str, text: str, post_id: str | None = None, created: str | None = None, references: str | None = None, edits: str | None = None, sums: list[str] = ()) -> DataFrame:
+    """One row a thread, with its texts in order; threads without any text are left out.
+
+    A post without a thread is one of its own, under its id.
+
+    ``post_id`` names the id that the thread of a root carries (default: the place); ``references`` is an array of the kinds of
+    posts that a post refers to, ``edits`` an array of ids with the first version of a post in front; ``sums`` are added up,
+    null as nothing. With likes, replies, reposts, quotes and bookmarks among them, ``engagement`` weighs them.
+    """
+    own = F.col(post_id or place)
+    posts = posts.withColumn("_thread", F.coalesce(F.when(F.col(thread).cast("string") != "", F.col(thread)), own.cast(posts.schema[thread].dataType)))
+    name = F.col("_thread").cast("string")
+    columns = {"place": F.col(place), "is_root": own.cast("string") == name, "id": own, "text": F.col(text), "created": F.col(created) if created else F.lit(None).cast("string")}
+    columns["first_id"] = F.coalesce(F.nullif(F.get(F.col(edits), F.lit(0)).cast("string"), F.lit("")), own.cast("string")) if edits else own.cast("string")
+    kinds = F.array_distinct(F.flatten(F.collect_list(F.coalesce(F.col(references), F.array().cast("array<string>"))))) if references else F.array().cast("array<string>")
+    rows = posts.where(name.isNotNull())
+    ordered = F.array_sort(F.collect_list(F.struct(*[c.alias(k) for k, c in columns.items()])))
+    merged = rows.groupBy(F.col("_thread").alias(thread)).agg(ordered.alias("_posts"), kinds.alias("_kinds"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in sums])
+    item = thread_item(F.col("_posts"))
+    roots = F.filter("_posts", lambda p: F.coalesce(p["is_root"], F.lit(False)))
+    first_id = F.coalesce(F.get(roots, F.lit(0)), F.get("_posts", F.lit(0)))["first_id"]
+    flags = {f"is_{kind}": F.array_contains("_kinds", value) for kind, value in REFERENCES.items()} if references else {}
+    weighed = {"engagement": scoring.engagement(*map(F.col, ENGAGEMENT))} if set(ENGAGEMENT) <= set(sums) else {}
+    out = merged.select(thread, *[c.alias(k) for k, c in item.items()], first_id.alias("canonical_id"), *[c.alias(k) for k, c in flags.items()], *sums, *[c.alias(k) for k, c in weighed.items()])
+    return out.where("body <> ''")
 
 
 def hard_reason(text: Column, body: Column, is_retweet: Column, is_reply: Column, thread: Column, has_media: Column, exclude_replies: Column, least_chars: Column) -> Column:

@@ -236,9 +236,16 @@ def source_diag(spark, d):
     return tagged_items(spark, d).groupBy("source_id").agg(F.count("*").alias("raw"), F.count_if(F.col("drop_reason").isNull()).alias("kept"), F.count_if(F.col("drop_reason") == "lookback").alias("lookback"), F.round(F.avg(F.length("body")), 4).alias("avg_chars"))
 
 
-@query("thread_merge", "SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS body, count(*) AS thread_count, arg_min(text, turn) AS root FROM conversations GROUP BY conv_id")
+@query("thread_merge", rf"""WITH t AS (SELECT conv_id, turn, text, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM conversations)
+SELECT conv_id * 1000 + 1 AS thread, string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) FILTER (s <> '') AS body, count(*) AS thread_count, conv_id * 1000 + coalesce(max(turn) FILTER (turn = 1), min(turn)) AS root_id,
+  left(regexp_replace(arg_min(s, turn) FILTER (s <> ''), '\s+', ' ', 'g'), {social.TITLE_CHARS}) || CASE WHEN length(regexp_replace(arg_min(s, turn) FILTER (s <> ''), '\s+', ' ', 'g')) > {social.TITLE_CHARS} THEN '{social.TITLE_CUT}' ELSE '' END AS title,
+  sum(coalesce(length(text), 0))::BIGINT AS chars
+FROM t GROUP BY conv_id HAVING count(*) FILTER (s <> '') > 0""")
 def thread_merge(spark, d):
-    return social.merge_threads(table(spark, d, "conversations"), "conv_id", "turn", "text")
+    """Turns as posts of the thread that is named after the second one."""
+    number = F.col("conv_id") * 1000
+    posts = table(spark, d, "conversations").select((number + 1).alias("thread"), (number + F.col("turn")).alias("post"), "text", F.length("text").cast("long").alias("chars"))
+    return social.merge_threads(posts, "thread", "post", "text", sums=["chars"]).select("thread", "body", "thread_count", "root_id", "title", "chars")
 
 
 @query("account_cap", f"WITH {ENTRIES} SELECT doc_id FROM (SELECT e.doc_id, e.account, row_number() OVER (PARTITION BY account ORDER BY quality DESC, doc_id) + coalesce(s.stored, 0) AS place FROM entries e LEFT JOIN (SELECT account, count(*) AS stored FROM entries WHERE doc_id % 20 = 0 GROUP BY 1) s USING (account) WHERE e.doc_id % 20 <> 0) WHERE place <= CASE WHEN account % 3 = 0 THEN 5 ELSE 2 END")

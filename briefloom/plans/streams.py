@@ -67,3 +67,18 @@ def stream_threads(spark, d):
     posts = stream(spark, d, "conversations").select("conv_id", "turn", "text")
     seen = incremental.drain(incremental.threads(posts, "conv_id"), f"threads_{uuid.uuid4().hex}", "update")
     return seen.groupBy("conv_id").agg(F.max("posts").alias("posts"), F.max("characters").alias("characters"), F.max("last_turn").alias("last_turn"))
+
+
+@query("stream_quiet_threads", """WITH s AS (
+  SELECT user_id, ts, event_id, event_type, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
+    SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events)
+), g AS (
+  SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 2 HOUR AS quiet_at, count(*) AS posts, string_agg(event_type, ' ' ORDER BY event_id) AS kinds FROM s GROUP BY user_id, session
+)
+SELECT user_id, epoch_us(started) AS started_us, posts, kinds FROM g WHERE epoch_ms(quiet_at) <= (SELECT epoch_ms(max(ts)) FROM events) - 3600000""")
+def stream_quiet_threads(spark, d):
+    """Events of a user as the posts of threads; those that are quiet by the end of the stream, less an hour."""
+    posts = stamped(stream(spark, d, "events")).select("user_id", "ts", "event_id", "event_type")
+    closed = incremental.drain(incremental.quiet_threads(posts, "user_id", "ts", "event_id", "event_type", "2 hours", "1 hour"), "quiet_threads")
+    kinds = F.array_join(F.transform("posts", lambda p: p["text"]), " ")
+    return closed.select("user_id", F.unix_micros("started").alias("started_us"), F.size("posts").cast("long").alias("posts"), kinds.alias("kinds"))

@@ -1,37 +1,31 @@
-"""A streaming source with a cursor per account: each trigger reads what came behind the newest id that was stored.
+"""A source of posts by account, as a table and as a stream, that reads in executors and keeps a cursor for each account.
 
-The offset holds the newest id of each account. Spark commits it with the checkpoint after the sink has written, so a
-failed batch is read again, and the sink's key makes that harmless.
+Each account has one JSON-lines file, which only grows. The cursor of an account is the length of its file that has been
+read; a trigger lists the folder once, and the driver holds a name and a number for each account, never a post. What lies
+between two cursors is cut into ranges of bytes, packed into partitions of even size, and read by tasks. A line belongs to the
+range that its last byte lies in, so ranges may be cut anywhere, a long file is shared by many tasks, and a line that is still
+being written is left for a later trigger.
+
+Spark commits the cursors with the checkpoint after the sink has written, so a failed batch is read again between the same
+cursors. A file that cannot be read, or was shortened, costs its own posts and no others. Malformed lines, and lines
+without a numeric id, are passed over.
 """
 
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
-
+from pyarrow import fs
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-def newer(path: str, account: str, since: int, most: int) -> list[tuple]:
-    """Posts of an account's JSON-lines file with ids above ``since``, oldest first, at most ``most``."""
-    file = os.path.join(path, f"{account}.jsonl")
-    rows = []
-    if os.path.exists(file):
-        with open(file, encoding="utf-8") as lines:
-            for line in lines:
-                try:
-                    post = json.loads(line)
-                    number = int(post["id"])
-                except (ValueError, KeyError, TypeError):  # a malformed line costs no other line
-                    continue
-                if number > since:
-                    rows.append((account, number, post.get("text"), post.get("created_at"), post.get("conversation_id")))
-    return sorted(rows, key=lambda r: r[1])[:most]
+#: Bytes of a partition, and of a step in the search for a line's start.
+PARTITION_BYTES, STEP_BYTES = 32 << 20, 1 << 16
 
 
 class AccountPosts(DataSource):
-    """``format("account_posts")`` with options path, accounts (comma-separated) and most (posts of an account a batch)."""
+    """``format("account_posts")``: option ``path`` names the folder, ``accounts`` a comma-separated choice (default: all files)."""
 
     @classmethod
     def name(cls) -> str:
@@ -43,11 +37,15 @@ class AccountPosts(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return AccountReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         return AccountStream(self.options)
 
-    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
-        raise NotImplementedError("the simple reader serves streams")
+
+@dataclass
+class Ranges(InputPartition):
+    """Ranges (account, start, end) of files that one task reads."""
+
+    value: list[tuple[str, int, int]]
 
 
 def accounts_of(options) -> list[str]:
@@ -56,47 +54,105 @@ def accounts_of(options) -> list[str]:
     return list(dict.fromkeys(filter(None, names)))
 
 
+class Folder:
+    """The files of accounts below a path of any file system that Arrow opens by its address."""
+
+    def __init__(self, options):
+        self.path, self.accounts = options["path"], set(accounts_of(options))
+        self.most = int(options.get("partition_bytes", PARTITION_BYTES))
+
+    def opened(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+
+    def lengths(self) -> dict[str, int]:
+        """The length of each account's file, from one listing."""
+        system, root = self.opened()
+        files = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        found = {f.base_name.removesuffix(".jsonl"): f.size for f in files if f.base_name.endswith(".jsonl") and f.is_file}
+        return {a: n for a, n in sorted(found.items()) if not self.accounts or a in self.accounts}
+
+    def packed(self, start: dict[str, int], end: dict[str, int]) -> list[Ranges]:
+        """Ranges of what lies between two cursors, in partitions of at most ``most`` bytes."""
+        packs, room = [], 0
+        for account, upto in end.items():
+            at = start.get(account, 0)
+            while at < upto:
+                if room <= 0:
+                    packs.append(Ranges([]))
+                    room = self.most
+                step = min(room, upto - at)
+                packs[-1].value.append((account, at, at + step))
+                at, room = at + step, room - step
+        return packs
+
+    def posts(self, ranges: Ranges) -> Iterator[tuple]:
+        system, root = self.opened()
+        for account, start, end in ranges.value:
+            try:
+                with system.open_input_file(f"{root}/{account}.jsonl") as file:
+                    for line in lines_that_end(file, start, end):
+                        if post := parsed(account, line):
+                            yield post
+            except OSError:
+                continue
+
+
+def lines_that_end(file, start: int, end: int) -> Iterator[bytes]:
+    """Lines whose last byte, a line feed, lies in [start, end); their beginnings may lie before."""
+    first = start
+    while first > 0:  # back to the end of the line before
+        step = max(0, first - STEP_BYTES)
+        file.seek(step)
+        at = file.read(first - step).rfind(b"\n")
+        first = step + at + 1 if at >= 0 else step
+        if at >= 0:
+            break
+    file.seek(first)
+    rest, left = b"", end - first
+    while left > 0 and (block := file.read(min(left, STEP_BYTES))):
+        left -= len(block)
+        *whole, rest = (rest + block).split(b"\n")
+        yield from whole
+
+
+def parsed(account: str, line: bytes) -> tuple | None:
+    try:
+        post = json.loads(line)
+        number = int(post["id"])
+    except (ValueError, KeyError, TypeError):
+        return None
+    text = lambda name: None if post.get(name) is None else str(post[name])
+    return account, number, text("text"), text("created_at"), text("conversation_id")
+
+
 class AccountReader(DataSourceReader):
-    """All posts, a partition for each account; an account that fails gives no rows and does not fail the others."""
+    """All posts that have been written in full."""
 
     def __init__(self, options):
-        self.path, self.accounts = options["path"], accounts_of(options)
+        self.folder = Folder(options)
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(a) for a in self.accounts]
+        return self.folder.packed({}, self.folder.lengths()) or [Ranges([])]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        try:
-            yield from newer(self.path, partition.value, -1, 1 << 60)
-        except (ValueError, KeyError):
-            return
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        yield from self.folder.posts(partition)
 
 
-class AccountStream(SimpleDataSourceStreamReader):
+class AccountStream(DataSourceStreamReader):
     def __init__(self, options):
-        self.path, self.accounts, self.most = options["path"], accounts_of(options), int(options.get("most", 100))
+        self.folder = Folder(options)
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {a: -1 for a in self.accounts}
-
-    def _rows(self, account: str, since: int) -> list[tuple]:
-        try:
-            return newer(self.path, account, since, self.most)
-        except (ValueError, KeyError):
-            return []
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        end, out = dict(start), []
-        for account in self.accounts:
-            rows = self._rows(account, start.get(account, -1))
-            if rows:
-                end[account] = rows[-1][1]
-            out += rows
-        return iter(out), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        for account in self.accounts:
-            yield from (r for r in self._rows(account, start.get(account, -1)) if r[1] <= end.get(account, -1))
+        return {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return self.folder.lengths()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.folder.packed(start, end)
+
+    def read(self, partition: Ranges) -> Iterator[tuple]:
+        yield from self.folder.posts(partition)
 
     def commit(self, end: dict) -> None:
-        """The checkpoint keeps the offset."""
+        """The checkpoint keeps the cursors."""

@@ -70,6 +70,27 @@ def threads(posts: DataFrame, key: str) -> DataFrame:
     return posts.groupBy(key).applyInPandasWithState(merge, f"{key} long, posts long, characters long, last_turn long", "posts long, characters long, last_turn long", "update", GroupStateTimeout.NoTimeout)
 
 
+def quiet_threads(posts: DataFrame, thread: str, stamp: str, place: str, text: str, quiet: str, late: str) -> DataFrame:
+    """A thread as one item once it has been quiet: no post of it within ``quiet`` of its last, by the posts' own times.
+
+    A post opens or extends a session of its thread, also between two sessions, which it joins. The watermark, ``late`` behind
+    the newest time, closes sessions: they are emitted once, with their posts in order, and their state goes, so that what is
+    held follows the posts of the last ``quiet`` and ``late``, not all threads. A post that comes after its session was closed
+    but before the watermark makes a new row of its thread, which ``merge_sessions`` joins to the earlier one; posts behind the
+    watermark are dropped. Posts without a thread or time are left out.
+    """
+    known = posts.where(F.col(thread).isNotNull() & F.col(stamp).isNotNull()).withWatermark(stamp, late)
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), F.col(text).alias("text"))))
+    closed = known.groupBy(thread, F.session_window(stamp, quiet).alias("_session")).agg(ordered.alias("posts"))
+    return closed.select(thread, F.col("_session.start").alias("started"), F.col("_session.end").alias("quiet_at"), "posts")
+
+
+def merge_sessions(closed: DataFrame, thread: str) -> DataFrame:
+    """The sessions of each thread as one row: its posts in order, each place once."""
+    one = F.array_sort(F.array_distinct(F.flatten(F.collect_list("posts"))))
+    return closed.groupBy(thread).agg(F.min("started").alias("started"), F.max("quiet_at").alias("quiet_at"), one.alias("posts"))
+
+
 def upserting(path: str, key: str, order: str):
     """A foreachBatch sink: the table at ``path`` keeps the newest row of each key, however often a batch is repeated.
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from briefloom.config import EngineConfig, Quotas
 from briefloom.operators import briefs, clean, events, reports, select, social, typed
 from briefloom.sources import sinks
-from briefloom.sources.cursor import AccountPosts, AccountStream
 from briefloom.streaming import incremental
 
 NOW = 1_706_659_200_000
@@ -95,9 +94,6 @@ def test_events_groups_and_matches(spark):
 
 
 def test_social(spark):
-    posts = spark.createDataFrame([(1, 2, "b", 3), (1, 1, "a", None), (2, 1, "c", 1)], "conv long, turn int, text string, likes int")
-    merged = {r["conv"]: (r["body"], r["thread_count"], r["root"], r["likes"]) for r in social.merge_threads(posts, "conv", "turn", "text", ["likes"]).collect()}
-    assert merged == {1: ("a\n\nb", 2, "a", 3), 2: ("c", 1, "c", 1)}
     near = social.nearest(spark.createDataFrame([(1, "abcd"), (2, None)], "id long, text string"), spark.createDataFrame([(7, "abcx"), (8, "zzzz"), (9, None)], "id long, text string"), block=1)
     assert {r["id"]: r["similarity"] for r in near.collect()} == {1: 0.75, 2: None}
 
@@ -124,23 +120,6 @@ def test_sinks(spark, tmp_path):
     assert set(grown.columns) == {"id", "name", "more"}
 
 
-def test_cursor_source_reads_only_newer_posts(spark, tmp_path):
-    posts = tmp_path / "posts"
-    posts.mkdir()
-    write = lambda name, ids: (posts / f"{name}.jsonl").write_text("".join(json.dumps({"id": str(i), "text": f"t{i}", "created_at": "", "conversation_id": "c"}) + "\n" for i in ids))
-    write("a", [5, 3])
-    (posts / "broken.jsonl").write_text("{")
-    spark.dataSource.register(AccountPosts)
-    options = {"path": str(posts), "accounts": "@A, broken,a", "most": "100"}
-    assert sorted(r["id"] for r in spark.read.format("account_posts").options(**options).load().collect()) == [3, 5]
-    reader = AccountStream(options)
-    rows, end = reader.read(reader.initialOffset())
-    assert [r[1] for r in rows] == [3, 5] and end == {"a": 5, "broken": -1}
-    write("a", [3, 5, 8])
-    again, last = reader.read(end)
-    assert [r[1] for r in again] == [8] and last["a"] == 8 and [r[1] for r in reader.readBetweenOffsets(end, last)] == [8]
-
-
 def test_upserting_sink_may_be_repeated(spark, tmp_path):
     path = f"file://{tmp_path}/u"
     sink = incremental.upserting(path, "k", "at")
@@ -172,11 +151,3 @@ def test_drained_streams_leave_no_rows_in_the_driver(spark, tmp_path):
     assert sorted(map(tuple, counts.collect())) == [(1, 1), (2, 2)]
     (tmp_path / "none").mkdir()
     assert incremental.drain(spark.readStream.schema("k long").parquet(f"{tmp_path}/none"), "none").count() == 0
-
-
-def test_a_malformed_line_costs_no_other_post(spark, tmp_path):
-    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n{\n{"text": "no id"}\n[]\n{"id": "x"}\n{"id": "2"}\n')
-    spark.dataSource.register(AccountPosts)
-    rows = spark.read.format("account_posts").options(path=str(tmp_path), accounts="a").load().collect()
-    assert sorted(r["id"] for r in rows) == [1, 2]
-    assert [r[1] for r in AccountStream({"path": str(tmp_path), "accounts": "a"}).read({"a": 1})[0]] == [2]
