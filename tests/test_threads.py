@@ -55,8 +55,8 @@ def test_quiet_threads_over_batches(spark, tmp_path):
         [(1, at(0), 1, "a"), (1, at(20), 2, "b"), (2, at(5), 3, "x")],
         [(1, at(10), 4, "between"), (2, at(100), 5, "y"), (None, at(100), 6, "none"), (3, None, 7, "no time")],
         [(3, at(300), 8, "z"), (2, at(290), 9, "late but in time")],
-        [(1, at(30), 10, "behind the watermark"), (4, at(900), 11, "end")],
-        [(4, at(901), 12, "still open")],
+        [(4, at(900), 11, "end")],
+        [(1, at(30), 10, "behind the watermark"), (4, at(901), 12, "still open")],
     ]
     place = f"{tmp_path}/in"
     for k, rows in enumerate(batches):
