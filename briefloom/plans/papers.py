@@ -1,10 +1,10 @@
-"""Queries over documents as the pages of papers and policies: five lines are a page, some short lines are headings."""
+"""Queries over documents as the pages of papers and policies, and over parts as repositories with their releases."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from briefloom.operators import papers
+from briefloom.operators import papers, repos
 from briefloom.plans.registry import query
 from briefloom.plans.views import table
 
@@ -101,3 +101,51 @@ def policy_pages(spark, d):
     cleaned = pages.withColumn("text", papers.join_hyphens(F.col("text"), over_blanks=True))
     shown = papers.visual_pages(papers.captions(cleaned, "doc_id", "page", "text", CAPTION), "doc_id", "page")
     return papers.chosen_pages(pages, shown, "doc_id", "page", "text", papers.DOCUMENT_CHARS, DUTIES, SUBJECTS)
+
+
+# The moment and the words of the test tables under which parts are repositories and their lines are releases.
+REPO_NOW_MS = 1_005_350_400_000
+RULES = repos.RepoRules(REPO_NOW_MS, most=40, least_stars=900, least_new_stars=500, topics=("economy", "small"), excluded_topics=("promo",), subject="(widget|ring)", excluded_name="(green)")
+
+
+@query("repository_list", f"""WITH p AS (
+  SELECT p_partkey, p_brand || '/' || p_name || '-' || p_partkey AS full_name, p_name, lower(p_type) AS topic, (p_partkey * 7919) % 60000 AS stars, p_size * 10 AS forks, (p_partkey * 31) % 300 AS created_days, (p_partkey * 17) % 120 AS pushed_days, p_size FROM part
+), s AS (
+  SELECT *, created_days <= {RULES.release_days} AS is_new, log10(stars + 1) + 0.5 * log10(forks + 1) + CASE WHEN created_days <= {RULES.release_days} THEN 1.2 ELSE 0 END + CASE WHEN topic IN ('economy', 'small') THEN 0.5 ELSE 0 END + CASE WHEN pushed_days <= {RULES.active_days} THEN 0.3 ELSE 0 END AS score
+  FROM p WHERE (p_size >= 5 OR created_days <= {RULES.release_days}) AND stars >= CASE WHEN created_days <= {RULES.release_days} THEN {RULES.least_new_stars} ELSE {RULES.least_stars} END
+    AND forks >= CASE WHEN created_days <= {RULES.release_days} THEN {RULES.least_new_forks} ELSE {RULES.least_forks} END AND NOT contains(full_name, 'green') AND topic <> 'promo' AND (topic IN ('economy', 'small') OR regexp_matches(full_name, 'widget|ring'))
+), n AS (SELECT * FROM s WHERE is_new ORDER BY score DESC, stars DESC, p_partkey LIMIT {RULES.most_new}
+), a AS (SELECT * FROM s WHERE NOT is_new ORDER BY score DESC, stars DESC, p_partkey LIMIT {RULES.most_lookups}
+), r AS (
+  SELECT l_partkey, 'v' || l_orderkey || '.' || l_linenumber AS tag, l_shipdate FROM lineitem WHERE l_linenumber % 3 <> 0 AND l_partkey % 7 > 1
+  QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey, l_linenumber) = 1
+), u AS (
+  SELECT full_name, is_new, full_name AS title, score, stars, p_partkey FROM n
+  UNION ALL
+  SELECT full_name, is_new, full_name || ' ' || tag, score, stars, p_partkey FROM a JOIN r ON l_partkey = p_partkey WHERE {REPO_NOW_MS} - epoch_ms(l_shipdate) <= {RULES.release_days * 86_400_000}
+)
+SELECT full_name, is_new, title, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, stars DESC, p_partkey) AS INT) AS nth FROM u QUALIFY nth <= {RULES.most}""")
+def repository_list(spark, d):
+    """Parts by two routes that overlap; a seventh has no release feed, a seventh an empty one, a third of all releases come early."""
+    k, day = F.col("p_partkey"), 86_400_000
+    rows = table(spark, d, "part").select(
+        k,
+        F.concat("p_brand", F.lit("/"), "p_name", F.lit("-"), k.cast("string")).alias("full_name"),
+        F.col("p_name").alias("description"),
+        F.array("p_type").alias("topics"),
+        F.lit("").alias("language"),
+        (k * 7919 % 60_000).alias("stars"),
+        (F.col("p_size") * 10).alias("forks"),
+        (REPO_NOW_MS - (k * 31 % 300) * day).alias("created_ms"),
+        (REPO_NOW_MS - (k * 17 % 120) * day).alias("pushed_ms"),
+        F.col("p_size").alias("size"),
+    )
+    found = repos.scored(repos.pool(rows.where("size >= 5"), rows.where(k * 31 % 300 <= RULES.release_days), "p_partkey"), RULES)
+    lines = table(spark, d, "lineitem").where("l_partkey % 7 > 0")
+    tag = F.concat(F.lit("v"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") % 3 == 0, "rc1").otherwise(""))
+    entry = F.concat(F.lit("<entry><title>"), tag, F.lit("</title><updated>"), F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated></entry>"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.unix_seconds(F.col("l_shipdate").cast("timestamp"))).alias("late"), "l_orderkey", "l_linenumber", entry.alias("entry"))))
+    feed = F.concat(F.lit("<feed>"), F.array_join(F.transform(ordered, lambda e: e["entry"]), ""))
+    feeds = lines.groupBy(F.col("l_partkey").alias("p_partkey")).agg(feed.alias("feed")).join(rows.select("p_partkey", "full_name"), "p_partkey")
+    feeds = feeds.select("full_name", F.when(k % 7 == 1, "").otherwise(F.col("feed")).alias("feed"))
+    return repos.repository_items(found, feeds, RULES, "p_partkey").select("full_name", "is_new", "title", F.round("score", 6).alias("score"), "nth")

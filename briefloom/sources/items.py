@@ -70,11 +70,3 @@ def read_pdfs(spark: SparkSession, path: str, most_bytes: int = 40_000_000) -> D
     """PDF files by their first bytes and size; reading their text needs a library that is a parameter of the caller."""
     rows = spark.read.format("binaryFile").load(path)
     return rows.where((F.col("length") <= most_bytes) & (F.substring("content", 1, 4) == F.encode(F.lit("%PDF"), "UTF-8")))
-
-
-def latest_release(feed: Column) -> Column:
-    """(tag, updated) of the first entry of a release feed that is no pre-release; null without a feed, blank without one."""
-    entries = F.slice(F.split(feed, "<entry>"), 2, 10_000)
-    stable = F.filter(entries, lambda e: ~F.lower(F.regexp_extract(e, r"(?s)<title>(.*?)</title>", 1)).rlike("alpha|beta|rc|pre|nightly|dev"))
-    first = F.coalesce(F.get(stable, 0), F.lit(""))
-    return F.when(feed.isNotNull(), F.struct(F.regexp_extract(first, r"(?s)<title>(.*?)</title>", 1).alias("tag"), F.regexp_extract(first, r"<updated>([^<]+)", 1).alias("updated")))
