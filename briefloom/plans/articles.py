@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from briefloom.functions import article
 from briefloom.operators import configs, media
 from briefloom.plans.registry import query
-from briefloom.plans.views import ENTRIES, SOURCES, entries, sources_dim, table
+from briefloom.plans.views import ENTRIES, NOW_MS, SOURCES, START_MS, entries, sources_dim, table
 
 # The test documents have one line a paragraph; bodies have an empty line between two.
 PARAGRAPHS = r"""parts AS (
@@ -156,3 +156,32 @@ def transcript_index(spark, d):
     one = F.array(F.struct(F.col("page_id").cast("string").alias("url")))
     episodes = table(spark, d, "pages").select(F.floor(F.col("page_id") / 2).cast("string").alias("guid"), F.col("url").alias("link"), F.lit("").alias("title"), F.col("page_id").alias("place"), one.alias("transcripts"))
     return media.transcript_index(episodes).select("key", F.col("transcripts")[0]["url"].cast("long").alias("page_id"))
+
+
+@query("trending_papers", f"""WITH {ENTRIES}, e AS (
+  SELECT source_id AS page, doc_id, CASE WHEN doc_id % 2 = 0 THEN '2401.' ELSE '2312.' END || lpad(CAST(doc_id % 700 AS VARCHAR), 5, '0') AS paper, published_ms, (doc_id % 130)::DOUBLE AS upvotes, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source_id) AS n FROM entries
+), m AS (
+  SELECT page, paper, i AS place, CASE WHEN doc_id % 3 > 0 THEN 'Paper ' || doc_id || ' & "co"' END AS title, CASE WHEN doc_id % 5 > 0 THEN published_ms END AS published, upvotes FROM e
+  UNION ALL SELECT page, paper, n + i, CASE WHEN doc_id % 8 = 0 THEN 'linked ' || doc_id END, NULL, 0 FROM e WHERE doc_id % 4 = 0
+), g AS (
+  SELECT page, paper, arg_max(title, place) FILTER (title IS NOT NULL) AS title, arg_min(published, place) FILTER (published IS NOT NULL) AS listed, max(upvotes) AS upvotes, min(place) AS place FROM m GROUP BY page, paper
+), f AS (
+  SELECT *, CASE WHEN paper LIKE '2312%' THEN least(listed, {START_MS} - 1) ELSE listed END AS first FROM g WHERE listed IS NOT NULL
+), k AS (SELECT *, ({NOW_MS} - first) / 86400000.0 AS age FROM f)
+SELECT page, paper, coalesce(title, paper) AS title, strftime(make_timestamp(CAST(first // 1000 * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') AS published_raw, age > 7 AS heat_keep, upvotes, CAST(row_number() OVER (PARTITION BY page ORDER BY place) AS INT) AS nth
+FROM k WHERE (age <= 7 AND NOT (upvotes > 0 AND upvotes < 5)) OR (age > 7 AND age <= 30 AND upvotes >= 100) QUALIFY nth <= 8""")
+def trending_papers(spark, d):
+    """Sources as pages that list their entries as papers in an attribute, escaped, and link to some of them below."""
+    n = F.col("doc_id")
+    paper = F.concat(F.when(n % 2 == 0, "2401.").otherwise("2312."), F.lpad((n % 700).cast("string"), 5, "0"))
+    day = F.when(n % 5 > 0, F.date_format(F.timestamp_millis("published_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    title = F.when(n % 3 > 0, F.concat(F.lit("Paper "), n.cast("string"), F.lit(' & "co"')))
+    entry = F.to_json(F.struct(title.alias("title"), F.struct(paper.alias("id"), (n % 130).alias("upvotes"), day.alias("publishedAt")).alias("paper")))
+    link = F.when(n % 4 == 0, F.concat(F.lit("["), F.when(n % 8 == 0, F.concat(F.lit("linked "), n.cast("string"))).otherwise("Docs"), F.lit("](https://huggingface.co/papers/"), paper, F.lit("v2)")))
+    rows = F.array_sort(F.collect_list(F.struct("doc_id", entry.alias("entry"), link.alias("link"))))
+    listed = F.concat(F.lit('{"dailyPapers": ['), F.array_join(F.transform(rows, lambda r: r["entry"]), ","), F.lit("]}"))
+    escaped = F.replace(F.replace(listed, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+    links = F.array_join(F.transform(rows, lambda r: r["link"]), " ")
+    html = F.concat(F.lit('<div data-target="DailyPapers" data-props="'), escaped, F.lit('"></div>'), links)
+    pages = entries(spark, d).groupBy(F.col("source_id").alias("page")).agg(html.alias("html"))
+    return media.trending_papers(pages, "page", "html", NOW_MS).select("page", "paper", "title", "published_raw", "heat_keep", "upvotes", "nth")

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +147,26 @@ def test_with_cached_computes_the_remainder_only(spark):
 def test_refresh_counts(spark):
     rows = configs.refreshed(spark.createDataFrame([("a", "b"), ("a", "a"), (None, "a")], "was string, now string"), "was", F.col("now"))
     assert {tuple(r) for r in configs.refresh_counts(rows, "was").collect()} == {("a", 2, 2, 1), ("b", 0, 1, 1), ("(empty)", 1, 0, 0)}
+
+
+def test_papers_of_a_page(spark):
+    """The list in an attribute, links and bare addresses; what does not parse costs nothing else."""
+    props = lambda text: '<div data-target="DailyPapers"  data-props="' + text.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;") + '">'
+    one = {"dailyPapers": [{"title": " A <b>\n title ", "upvotes": 9, "paper": {"id": "2401.00001v2", "upvotes": 0, "publishedAt": "2024-01-30T00:00:00Z"}}, 7, {"paper": "x"}, {"paper": {"id": "2401.00002", "title": "Second", "upvotes": "many"}, "publishedAt": "2024-01-01"}, {"paper": {"id": "no id"}}]}
+    html = props(json.dumps(one)) + props("{broken") + props('{"other": 1}') + "[Docs](https://huggingface.co/papers/2401.00001) [Named one](https://paperswithcode.com/papers/2401.00003v4) /papers/2401.00004 [x](https://e.org/a)"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "id int, html string")
+    rows = media.paper_mentions(pages, "id", "html").orderBy("page", "place").collect()
+    assert [(r["page"], r["paper"], r["title"], r["published"], r["upvotes"]) for r in rows[:4]] == [
+        (1, "2401.00001", "A <b> title", "2024-01-30T00:00:00Z", 9.0), (1, "2401.00002", "Second", "2024-01-01", 0.0), (1, "2401.00001", "", None, 0.0), (1, "2401.00003", "Named one", None, 0.0),
+    ]
+    assert {r["paper"] for r in rows[4:]} == {"2401.00001", "2401.00003", "2401.00004"} and {r["page"] for r in rows} == {1}
+    shown = media.trending_papers(pages, "id", "html", 1_706_659_200_000).collect()
+    assert [(r["paper"], r["title"], r["heat_keep"], r["nth"]) for r in shown] == [("2401.00001", "A <b> title", False, 1)]
+
+
+def test_an_old_paper_that_comes_back(spark):
+    entry = lambda i, day, votes: {"paper": {"id": i, "upvotes": votes, "publishedAt": day, "title": f"t {i}"}}
+    text = json.dumps({"dailyPapers": [entry("2312.00001", "2024-01-30", 150), entry("2312.00002", "2024-01-30", 99), entry("2311.00001", "2024-01-30", 900), entry("2401.00001", "2024-01-30", 4), entry("2401.00002", "2024-01-30", 0), entry("2401.00003", "no day", 900)]})
+    pages = spark.createDataFrame([(1, f"<i data-target=\"DailyPapers\" data-props=\"{text.replace(chr(34), '&quot;')}\">")], "id int, html string")
+    got = {r["paper"]: (r["published_raw"], r["heat_keep"]) for r in media.trending_papers(pages, "id", "html", 1_706_486_400_000).collect()}
+    assert got == {"2312.00001": ("2023-12-31T23:59:59Z", True), "2401.00002": ("2024-01-30", False)}
