@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from briefloom.functions import similarity
 from briefloom.storage import written
 
-#: Sets of a list whose pairs are listed; longer lists are split by their next common token. It moves work only.
-MOST = 256
+#: Sets of a list whose pairs are listed; longer lists are split by their next common token. It moves work only: to write, shuffle and read
+#: the rows of a split costs about as much as to test the pairs of so many sets.
+MOST = 1024
 #: Occurrences of a character that a title's bits tell apart.
 BAGS = 4
 #: Words of 64 bits that tell the tokens of two sets apart.
