@@ -43,10 +43,10 @@ def mapped(value: Column, table: dict[str, str]) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value)
 
 
-def infer_topics(title: Column, summary: Column) -> Column:
-    """The first five different tags whose words occur."""
+def infer_topics(title: Column, summary: Column, words: tuple[tuple[str, str], ...] | None = None) -> Column:
+    """The first five different tags whose words occur; ``words`` are pairs of a pattern and its tag, by default the stored ones."""
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(summary, F.lit(""))))
-    tags = F.array(*[F.when(text.rlike(pattern), F.lit(tag)) for pattern, tag in TOPIC_WORDS])
+    tags = F.array(*[F.when(text.rlike(pattern), F.lit(tag)) for pattern, tag in words or TOPIC_WORDS])
     return F.slice(F.array_distinct(F.array_compact(tags)), 1, 5)
 
 

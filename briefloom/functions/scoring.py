@@ -121,12 +121,13 @@ TIER_POINTS = {"L1": 40, "L2": 25, "L3": 12, "L4": 5}
 
 def prefer(tier: Column, priority: Column, source_type: Column, stamp: Column, body_length: Column) -> Column:
     """(points, earlier first, longer first) to order members of one event by, descending; an unknown tier counts as L3."""
-    code, level, kind = (F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in (tier, priority, source_type))
+    code, level = (F.upper(F.trim(F.coalesce(c, F.lit("")))) for c in (tier, priority))
+    kind = F.coalesce(source_type, F.lit(""))  # as written, unlike the others
     by_tier = F.lit(12)
     for name, points_of in reversed(TIER_POINTS.items()):
         by_tier = F.when(F.contains(code, F.lit(name)), points_of).otherwise(by_tier)
     by_priority = F.when(level == "P0", 30).when(level == "P1", 18).otherwise(8)
-    kind = F.when(kind.isin("纯网页", "COMPANY BLOG") | F.contains(kind, F.lit("官方")), 6).when(kind.isin("论文", "RESEARCH"), -2).otherwise(0)
+    kind = F.when(kind.isin("纯网页", "Company Blog") | F.contains(kind, F.lit("官方")), 6).when(kind.isin("论文", "Research"), -2).otherwise(0)
     return F.struct((by_tier + by_priority + kind).alias("points"), (-stamp).alias("earlier"), body_length.alias("length"))
 
 

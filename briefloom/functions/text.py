@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CJK = "[一-鿿]"
 
@@ -93,18 +89,10 @@ def cut_promotion(body: Column, pattern: str) -> Column:
     return F.when(at - 1 >= F.length(body) * 0.6, F.rtrim(F.substr(body, F.lit(1), at - 1))).otherwise(body)
 
 
-@F.pandas_udf(T.StringType())
-def _checked(patterns: pd.Series) -> pd.Series:
-    def valid(pattern: str) -> bool:
-        try:
-            re.compile(pattern)
-        except re.error:
-            return False
-        return True
-
-    return patterns.map(lambda p: p if p and valid(p) else None)
-
-
 def valid_pattern(pattern: Column) -> Column:
-    """A pattern of a configuration row; null where it is no regular expression, so that the default holds."""
-    return _checked(pattern)
+    """A pattern of a configuration row as the engine runs it; null where it is no regular expression, so that the default holds.
+
+    The engine's own compiler decides. Groups that are named in the form ``(?P<name>`` are rewritten to its form first.
+    """
+    own = F.regexp_replace(F.regexp_replace(pattern, r"\(\?P<", "(?<"), r"\(\?P=(\w+)\)", r"\\k<$1>")
+    return F.when(own != "", F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), own))

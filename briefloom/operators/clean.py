@@ -40,17 +40,18 @@ def valid_feeds(feeds: DataFrame) -> DataFrame:
 def tag_reasons(items: DataFrame, config: EngineConfig, typed_reason: Column | None = None) -> DataFrame:
     """Adds drop_reason (null for kept items), needs_fulltext and window_only.
 
-    Feeds come through ``valid_feeds``. Items need: title, url, body, published_ms, heat_keep, fetch_method, lookback_hours, keyword_regex,
-    keyword_min_hits, title_exclude_regex, min_content_chars. ``window_only`` marks items that only their age drops.
+    Items need: title, url, body, published_ms, heat_keep, fetch_method, lookback_hours, keyword_regex,
+    keyword_min_hits, title_exclude_regex, min_content_chars. A pattern that does not compile counts as none. ``window_only`` marks items
+    that only their age drops.
     """
     title, link = text.strip_html(F.col("title")), url.normalize_url(F.col("url"))
     body, method = F.coalesce(F.col("body"), F.lit("")), F.col("fetch_method")
     least = F.coalesce(F.nullif(F.col("min_content_chars"), F.lit(0)), F.lit(config.least_chars))
     short = (F.length(F.concat_ws(" ", title, body)) < least) & ~method.isin("Media", "Social")
-    pattern = F.coalesce(text.filled(F.col("keyword_regex")), F.lit(config.keyword_regex))
+    pattern = F.coalesce(text.valid_pattern(F.col("keyword_regex")), F.lit(config.keyword_regex))
     hits = F.coalesce(F.nullif(F.col("keyword_min_hits"), F.lit(0)), F.lit(1))
     relevant = F.when(method == "Podcast", text.podcast_keyword_ok(title, body, pattern, hits)).otherwise(text.keyword_ok(title, body, pattern, hits))
-    excluded = text.filled(F.col("title_exclude_regex"))
+    excluded = text.valid_pattern(F.col("title_exclude_regex"))
     before = F.when((title == "") | (link == ""), "missing_title_url").when(F.coalesce(F.regexp_like(title, F.concat(F.lit("(?i)"), excluded)), F.lit(False)), "title_exclude_regex").when(F.col("published_ms").isNull(), "missing_or_invalid_date")
     late = ~in_lookback(F.col("published_ms"), F.col("lookback_hours"), config.now_ms, F.col("heat_keep"))
     after = F.when(short & ~can_backfill(link), "min_content_chars").when(~method.isin("Bridge", "Social") & ~relevant, "keyword_regex").when(typed_reason if typed_reason is not None else F.lit(False), "typed_filter")

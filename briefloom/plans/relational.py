@@ -105,10 +105,10 @@ def new_items_anti(spark, d):
     return clean.new_items(items, stored, "key").select("doc_id")
 
 
-@query("typed_cfg_first_wins", "SELECT source_id, min(t) AS tab FROM (SELECT 'src' || CAST(c_custkey % 30 AS VARCHAR) AS source_id, 1 AS t FROM customer WHERE c_custkey % 30 < 12 UNION ALL SELECT 'src' || CAST(s_suppkey % 25 AS VARCHAR), 2 FROM supplier) GROUP BY source_id")
+@query("typed_cfg_first_wins", "SELECT source_id, min(t) AS tab FROM (SELECT 'src' || CAST(c_custkey % 30 AS VARCHAR) AS source_id, 1 AS t FROM customer UNION ALL SELECT 'src' || CAST(s_suppkey % 40 AS VARCHAR), 2 FROM supplier) GROUP BY source_id")
 def typed_cfg_first_wins(spark, d):
-    a = table(spark, d, "customer").where("c_custkey % 30 < 12").select(F.concat(F.lit("src"), (F.col("c_custkey") % 30).cast("string")).alias("source_id"), F.lit(1).alias("tab"))
-    b = table(spark, d, "supplier").select(F.concat(F.lit("src"), (F.col("s_suppkey") % 25).cast("string")).alias("source_id"), F.lit(2).alias("tab"))
+    a = table(spark, d, "customer").select(F.concat(F.lit("src"), (F.col("c_custkey") % 30).cast("string")).alias("source_id"), F.lit(1).alias("tab"))
+    b = table(spark, d, "supplier").select(F.concat(F.lit("src"), (F.col("s_suppkey") % 40).cast("string")).alias("source_id"), F.lit(2).alias("tab"))
     return typed.first_wins([a, b], "source_id")
 
 
@@ -282,9 +282,9 @@ def quota_topk(spark, d):
     return select.select_candidates(pool, Quotas()).select("doc_id", "pick")
 
 
-@query("min_slot", f"WITH {ENTRIES}, r AS (SELECT doc_id, content_type, row_number() OVER (ORDER BY quality DESC, doc_id) AS rk FROM entries WHERE content_type <> '视频' OR quality < 50), s AS (SELECT *, content_type = '视频' AND row_number() OVER (PARTITION BY content_type = '视频' ORDER BY rk) <= 1 AS sure FROM r), c AS (SELECT * FROM s ORDER BY sure DESC, rk LIMIT 10) SELECT doc_id, row_number() OVER (ORDER BY rk) AS place FROM c")
+@query("min_slot", f"WITH {ENTRIES}, r AS (SELECT doc_id, content_type, row_number() OVER (ORDER BY quality DESC, doc_id) AS rk FROM entries), s AS (SELECT *, content_type = '视频' AND row_number() OVER (PARTITION BY content_type = '视频' ORDER BY rk) <= 1 AS sure FROM r), c AS (SELECT * FROM s ORDER BY sure DESC, rk LIMIT 10) SELECT doc_id, row_number() OVER (ORDER BY rk) AS place FROM c")
 def min_slot(spark, d):
-    rows = entries(spark, d).where("content_type <> '视频' OR quality < 50").select("doc_id", "content_type", "quality")
+    rows = entries(spark, d).select("doc_id", "content_type", "quality")
     best = rows.orderBy(F.desc("quality"), "doc_id").limit(10).unionByName(rows.where("content_type = '视频'").orderBy(F.desc("quality"), "doc_id").limit(1)).distinct()
     ranked = best.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("quality"), "doc_id")))  # at most 11 rows
     return select.balance(ranked, 10, F.col("content_type") == "视频", 1, "rk").select("doc_id", "place")
@@ -299,10 +299,11 @@ def final_rank(spark, d):
     return top.withColumn("place", place.cast("long")).select("doc_id", "place")
 
 
-@query("enum_sort", f"WITH {SOURCES} SELECT source_id, CAST(row_number() OVER (ORDER BY CASE status WHEN 'active' THEN 1 WHEN 'experimental' THEN 2 ELSE 3 END, source_id) AS BIGINT) AS place FROM sources_dim")
+@query("enum_sort", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 1 WHEN 'signup' THEN 2 WHEN 'click' THEN 3 ELSE 4 END, event_id) AS BIGINT) AS place FROM events")
 def enum_sort(spark, d):
-    order = Window.orderBy(reports.enum_rank(F.col("status"), ("active", "experimental", "paused")), "source_id")  # 25 rows
-    return sources_dim(spark).select("source_id", F.row_number().over(order).cast("long").alias("place"))
+    """Events of each user in the order of a list of types; types that it does not name come last."""
+    order = Window.partitionBy("user_id").orderBy(reports.enum_rank(F.col("event_type"), ("purchase", "signup", "click")), "event_id")
+    return table(spark, d, "events").select("event_id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query("image_dedup", "SELECT url, min(page_id) AS page_id FROM (SELECT regexp_extract(url, '://([^/]*)', 1) AS url, page_id FROM pages) GROUP BY url")

@@ -32,16 +32,17 @@ def title_strip(spark, d):
     return table(spark, d, "pages").select("page_id", text.strip_html(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
 
 
-@query("topics_infer", f"""WITH {ENTRIES} SELECT doc_id, array_to_string(list_distinct_ordered[1:5], '|') AS topics FROM (
-  SELECT doc_id, list_filter([
-    CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])(the|of)([^a-z0-9_]|$)') THEN 'AI' END,
-    CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])and([^a-z0-9_]|$)') THEN 'LLM' END], lambda x: x IS NOT NULL) AS list_distinct_ordered
-  FROM (SELECT doc_id, lower(title) AS t FROM entries WHERE lang = 'en'))""")
+# Tags by words that the test tables have.
+WORDS = ((r"(^|[^a-z0-9_])(the|of)([^a-z0-9_]|$)", "AI"), (r"(^|[^a-z0-9_])(and|und)([^a-z0-9_]|$)", "LLM"), ("tion", "RAG"), (r"(^|[^a-z0-9_])de([^a-z0-9_]|$)", "AI"), ("ment", "推理"), ("ble", "开源"), ("que", "产品"))
+
+
+@query("topics_infer", f"""WITH {ENTRIES} SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(tags, range(len(tags))), lambda x: x[1] IS NOT NULL AND list_position(tags, x[1]) = x[2] + 1), lambda x: x[1])[1:5], '|') AS topics FROM (
+  SELECT doc_id, [{", ".join(f"CASE WHEN regexp_matches(t, '{pattern}') THEN '{tag}' END" for pattern, tag in WORDS)}] AS tags
+  FROM (SELECT doc_id, lower(title || ' ' || coalesce(body[1:400], '')) AS t FROM entries))""")
 def topics_infer(spark, d):
-    """The tagging form with words of the test language; ``infer_topics`` has the stored words and is unit-tested."""
-    title = F.lower(F.col("title"))
-    tags = F.array_compact(F.array(F.when(title.rlike(r"(^|[^a-z0-9_])(the|of)([^a-z0-9_]|$)"), "AI"), F.when(title.rlike(r"(^|[^a-z0-9_])and([^a-z0-9_]|$)"), "LLM")))
-    return entries(spark, d).where("lang = 'en'").select("doc_id", F.array_join(F.slice(F.array_distinct(tags), 1, 5), "|").alias("topics"))
+    """The tagging operator with words of the test language, over titles and the first 400 characters as summaries."""
+    topics = classify.infer_topics(F.col("title"), F.left("body", F.lit(400)), WORDS)
+    return entries(spark, d).select("doc_id", F.array_join(topics, "|").alias("topics"))
 
 
 @query("topics_normalize", f"""WITH {ENTRIES} SELECT doc_id, CASE
@@ -100,14 +101,14 @@ def cjk_ratio(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(text.cjk_ratio(mixed), 6).alias("ratio"), text.is_chinese(mixed).alias("chinese"))
 
 
-@query("keyword_density", f"WITH {ENTRIES} SELECT doc_id, (len(regexp_extract_all(title, '(?i)ing')) > 0 OR len(regexp_extract_all(body, '(?i)ing')) >= 20) AS ok FROM entries WHERE lang = 'en'")
+@query("keyword_density", f"WITH {ENTRIES} SELECT doc_id, (len(regexp_extract_all(title, '(?i)ing')) > 0 OR len(regexp_extract_all(body, '(?i)ing')) >= 20) AS ok FROM entries")
 def keyword_density(spark, d):
-    return entries(spark, d).where("lang = 'en'").select("doc_id", text.keyword_ok(F.col("title"), F.col("body"), F.lit("ing"), F.lit(20)).alias("ok"))
+    return entries(spark, d).select("doc_id", text.keyword_ok(F.col("title"), F.col("body"), F.lit("ing"), F.lit(20)).alias("ok"))
 
 
-@query("podcast_keyword", f"WITH {ENTRIES} SELECT doc_id, (len(regexp_extract_all(title, '(?i)tion')) > 0 OR len(regexp_extract_all(body[1:1600], '(?i)tion')) >= 3) AS ok FROM entries WHERE lang = 'en'")
+@query("podcast_keyword", f"WITH {ENTRIES} SELECT doc_id, (len(regexp_extract_all(title, '(?i)tion')) > 0 OR len(regexp_extract_all(body[1:1600], '(?i)tion')) >= 3) AS ok FROM entries")
 def podcast_keyword(spark, d):
-    return entries(spark, d).where("lang = 'en'").select("doc_id", text.podcast_keyword_ok(F.col("title"), F.col("body"), F.lit("tion"), F.lit(1)).alias("ok"))
+    return entries(spark, d).select("doc_id", text.podcast_keyword_ok(F.col("title"), F.col("body"), F.lit("tion"), F.lit(1)).alias("ok"))
 
 
 @query("signal_format", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '论文' WHEN page_id % 3 = 1 THEN '视频' ELSE '纯网页' END AS format FROM pages")
@@ -145,15 +146,16 @@ def paper_signal_score(spark, d):
     return entries(spark, d).select("doc_id", scoring.paper_signal(title, F.col("body"), F.lit("https://github.com/a/b")).alias("score"))
 
 
-@query("quality_score", f"""WITH {ENTRIES}, s AS (SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) AS venue, CAST(doc_id % 37 AS DOUBLE) AS signal, CAST(doc_id % 600 AS DOUBLE) AS up, CAST(doc_id % 90 AS DOUBLE) AS cm FROM entries),
-h AS (SELECT *, CASE WHEN up <= 0 THEN 0 ELSE least(100, 100 * ln(1 + up) / ln(501)) END AS lu, CASE WHEN cm <= 0 THEN 0 ELSE least(100, 100 * ln(1 + cm) / ln(81)) END AS lc FROM s)
-SELECT doc_id, CAST(abs(least(100, 0.6 * lu + 0.4 * lc) * 0.25 + 0.4 * venue + 0.35 * signal) >= 50 AS BOOLEAN) AS high, round(least(100, 0.6 * lu + 0.4 * lc), 4) AS heat FROM h""")
+@query("quality_score", f"""WITH {ENTRIES}, s AS (SELECT doc_id, CAST(doc_id % 101 AS DOUBLE) AS venue, quality AS signal, CAST(length(body) % 600 AS DOUBLE) AS up, CAST(account % 90 AS DOUBLE) AS cm FROM entries),
+h AS (SELECT *, CASE WHEN up <= 0 THEN 0 ELSE least(100, 100 * ln(1 + up) / ln(501)) END AS lu, CASE WHEN cm <= 0 THEN 0 ELSE least(100, 100 * ln(1 + cm) / ln(81)) END AS lc FROM s),
+r AS (SELECT *, round_even(least(100, 0.6::DOUBLE * lu + 0.4::DOUBLE * lc), 1) AS heat FROM h)
+SELECT doc_id, heat, CASE WHEN doc_id % 4 > 0 THEN 0.40::DOUBLE * venue + 0.35::DOUBLE * signal + 0.25::DOUBLE * heat ELSE (0.40::DOUBLE * venue + 0.35::DOUBLE * signal) / 0.75::DOUBLE END >= 50 AS high FROM r""")
 def quality_score(spark, d):
-    """Heat before it is rounded, and which side of 50 the quality is on; the rounded forms are unit-tested."""
-    up, cm = (F.col("doc_id") % 600).cast("double"), (F.col("doc_id") % 90).cast("double")
-    heat = F.least(F.lit(100.0), 0.6 * scoring.log_score(up, 500) + 0.4 * scoring.log_score(cm, 80))
-    whole = heat * 0.25 + 0.4 * (F.col("doc_id") % 101) + 0.35 * (F.col("doc_id") % 37)
-    return entries(spark, d).select("doc_id", (F.abs(whole) >= 50).alias("high"), F.round(heat, 4).alias("heat"))
+    """Votes are lengths of bodies, comments are accounts; a quarter of the entries has no community data."""
+    heat = scoring.community_heat((F.length("body") % 600).cast("double"), (F.col("account") % 90).cast("double"))
+    rows = entries(spark, d).withColumn("heat", heat)
+    whole = scoring.quality((F.col("doc_id") % 101).cast("double"), F.col("heat"), F.col("quality"), F.col("doc_id") % 4 > 0)
+    return rows.select("doc_id", "heat", (whole >= 50).alias("high"))
 
 
 @query("venue_score", "SELECT doc_id, (['blacklisted', 'no_acceptance', 'whitelist', 'accepted_other'])[doc_id % 4 + 1] AS reason, CAST(([0, 20, 100, 60])[doc_id % 4 + 1] AS DOUBLE) AS score FROM documents")
@@ -270,9 +272,9 @@ def transcript_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(parsed).cast("long").alias("n"), F.element_at(parsed, -1)["second"].cast("long").alias("last"))
 
 
-@query("title_tokens", f"""WITH {ENTRIES} SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(title), '[a-z][a-z0-9]*(?:[.-][a-z0-9]+)*|[0-9]+(?:[.][0-9]+)*'), lambda w: NOT list_contains({list(similarity.STOP_WORDS)!r}, w) AND (length(w) >= 3 OR regexp_matches(w, '[0-9]')))) AS BIGINT) AS n FROM entries WHERE lang = 'en'""")
+@query("title_tokens", f"""WITH {ENTRIES} SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower(title), '[a-z][a-z0-9]*(?:[.-][a-z0-9]+)*|[0-9]+(?:[.][0-9]+)*'), lambda w: NOT list_contains({list(similarity.STOP_WORDS)!r}, w) AND (length(w) >= 3 OR regexp_matches(w, '[0-9]')))) AS BIGINT) AS n FROM entries""")
 def title_tokens(spark, d):
-    return entries(spark, d).where("lang = 'en'").select("doc_id", F.size(similarity.anchors(F.col("title"))).cast("long").alias("n"))
+    return entries(spark, d).select("doc_id", F.size(similarity.anchors(F.col("title"))).cast("long").alias("n"))
 
 
 @query("bullet_title", f"WITH {ENTRIES} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Given' ELSE trim(split_part(title, ';', 1))[1:28] END AS bullet FROM entries")

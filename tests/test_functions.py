@@ -99,6 +99,9 @@ def test_scores(value):
     points = lambda tier, kind: value(scoring.prefer(F.lit(tier), F.lit("p0"), F.lit(kind), F.lit(5), F.lit(1)))["points"]
     assert [points("l1 官方", "Company Blog"), points("L1", "企业官方号"), points("L1", "Research"), points("x", "文章")] == [76, 76, 68, 42]
     assert value(text.valid_pattern(F.lit("[bad("))) is None and value(text.valid_pattern(F.lit("a|b"))) == "a|b"
+    patterns = {r"(?P<x>ai)(?P=x)": r"(?<x>ai)\k<x>", r"\p{Lu}ai": r"\p{Lu}ai", "(?P<x": None, "(?P<a_b>c)": None, "": None, "*": None}
+    assert {p: value(text.valid_pattern(F.lit(p))) for p in patterns} == patterns
+    assert value(F.regexp_like(F.lit("AIai"), text.valid_pattern(F.lit(r"(?i)(?P<x>ai)(?P=x)"))))
 
 
 def test_same_event_anchors(value):

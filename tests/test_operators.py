@@ -73,6 +73,13 @@ def test_least_videos_keep_rank_order(spark):
     assert [r["rk"] for r in out] == [1, 2, 3, 8]
 
 
+def test_patterns_of_items_are_tested_where_they_run(spark):
+    """A pattern that does not compile counts as none, also where no one has looked at the feeds before."""
+    rows = [item(1)[:7] + ("(?P<x>news)", 1, "[bad(", 0, "1", "f", 1), item(2)[:7] + ("*", 1, "(?P<y>news)", 0, "2", "f", 2)]
+    out = clean.tag_reasons(spark.createDataFrame(rows, ITEM), EngineConfig(now_ms=NOW)).collect()
+    assert {r["ord"]: r["drop_reason"] for r in out} == {1: None, 2: "title_exclude_regex"}
+
+
 def test_same_event_titles(spark):
     pairs = [("Introducing Acme Opus 5", "Acme Opus 5 来了"), ("Quantum chips get cheaper", "Quantum chips get cheaper!"), ("Acme Opus 5", "Acme Sonnet 5"), ("Optimization", "On the optimization of very large systems"), ("Summit 2026 day one", "Summit 2026 day two recap of robots"), ("", "x"), ("", "")]
     rows = spark.createDataFrame([(i, j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)], "day int, n int, t string")
