@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import read_table, written
+from briefloom.llm.common import discard, read_table, written
 
 #: Nodes of a run, and levels of a bucket, which bound what one task holds: 4,096 leaves.
 FAN, DEPTH = 8, 4
@@ -148,7 +148,9 @@ def merkle_proofs(leaves: DataFrame, group: str, id_col: str, digest: str, fan:
     columns = leaves.columns
     own = leaves.select(group_key(F.col(group)).alias("grp"), F.col(id_col).alias("id"), F.col(digest).alias("h"), F.struct(*columns).alias("row"))
     kept = written(own, "leaves")
+    shape = kept.schema["row"].dataType.simpleString()
     placed = in_places(kept, "grp", ["id", "h"]).withColumn("bucket", F.expr(f"i div {fan**depth}"))
+    discard(kept)  # the places hold all of it
     roots = written(_bucket_roots(placed, fan, depth), "buckets")
     paths, tops = climb(roots, fan)
     above = in_places(tops.select(F.lit("").alias("whole"), "grp", F.col("top").alias("h")), "whole", ["grp"])
@@ -157,6 +159,7 @@ def merkle_proofs(leaves: DataFrame, group: str, id_col: str, digest: str, fan:
     ends = ends.select("grp", F.col("h").alias("subroot"), "root", "outer_before", "outer_after")
     outside = paths.join(ends, "grp").select("grp", F.col("node").alias("bucket"), "subroot", "root", *[F.concat(x, f"outer_{x}").alias(x) for x in ("before", "after")])
     outside = written(outside, "outer")
+    discard(roots)
 
     def proofs(bucket: pa.Table, above: pa.Table) -> pa.Table:
         n = bucket["n"][0].as_py() if bucket.num_rows else 0
@@ -173,7 +176,6 @@ def merkle_proofs(leaves: DataFrame, group: str, id_col: str, digest: str, fan:
         return found
 
     sides = placed.select("grp", "bucket", "n", "i", "h", "row").groupBy("grp", "bucket").cogroup(outside.groupBy("grp", "bucket"))
-    shape = kept.schema["row"].dataType.simpleString()
     found = sides.applyInArrow(proofs, f"row {shape}, subroot string, root string, before array<string>, after array<string>")
     return found.select("row.*", "subroot", "root", "before", "after")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.llm.common import byte_texts, read_table, text_slices, tidy, written
+from briefloom.llm.common import byte_texts, discard, read_table, text_slices, tidy, written
 from briefloom.llm.components import connected_components
 
 BITS, SEED = 64, 42
@@ -131,18 +131,22 @@ def near_links(fps: DataFrame, radius: int = 2, most: int = MOST) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``fp`` that connect all that differ in ``radius`` bits or fewer."""
     most = max(most, 2 << radius)
     rows, level = fps.select("fp", F.lit(0).cast("long").alias("mask")), {0: covering_masks((1 << BITS) - 1, radius)}
-    links = None
+    links, before = None, None
     while True:
         tables = _in_tables(rows, level)
         if links is not None:  # tables of two kinds can keep the same positions between them
             tables = tables.distinct()
         sizes = tables.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         met = written(tables.join(sizes, ["mask", "key"]), "tables")
+        if before is not None:
+            discard(before)
+        before = met
         light = met.where(F.col("n") <= most).groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))
         found = written(_bucket_links(light, radius), "links")
         links = found if links is None else links.unionByName(found)
         rows = met.where(F.col("n") > most).select("fp", "mask")
         if rows.isEmpty():
+            discard(met)
             return links
         whole = (1 << BITS) - 1
         level = {m: [m | x for x in covering_masks(whole & ~m, radius)] for masks in level.values() for m in masks}
@@ -157,6 +161,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = firsts.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     named = written(grouped.join(least, "component").select("fp", "component_id"), "named")
+    for table in (firsts, labels):
+        discard(table)
     return rows.join(named, "fp").select("id", "fp", "component_id")
 
 
