@@ -195,14 +195,17 @@ def _sections_within(text: str, most: int) -> str:
     return "\n\n".join(f"## {h}\n{b}" for h, b in short if b)[:most].rstrip()
 
 
-def compact_sections(text: Column, most: int = 1400) -> Column:
-    """A text of three or more sections within ``most`` characters: the first six, each cut to an equal share."""
+def compact_sections(text: Column, most: int = 1400, source: Column | None = None) -> Column:
+    """A body, cleaned first, of three or more sections within ``most`` characters: the first six, each cut to an equal share.
+
+    ``source`` is the name that a byline may begin with.
+    """
 
     @F.pandas_udf(T.StringType())
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _sections_within(t or "", most))
 
-    return run(text)
+    return run(clean_body(text, F.lit("") if source is None else source))
 
 
 def join_hyphens(text: Column, over_blanks: bool = False) -> Column:

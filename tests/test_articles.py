@@ -92,6 +92,7 @@ def test_compact_sections(value):
     assert len(got) <= 1400 and [line for line in got.split("\n") if line.startswith("##")] == [f"## Part {i}" for i in range(6)]
     assert all(part.rstrip().endswith(".") for part in got.split("## ")[1:])
     assert value(article.compact_sections(F.lit("## A\nx"), 2)) == "## A\nx"
+    assert value(article.compact_sections(F.lit("  ## A &amp; B\nx   y\n\nThe post A appeared first on B"), 2)) == value(article.clean_body(F.lit("  ## A &amp; B\nx   y\n\nThe post A appeared first on B"), F.lit("")))
 
 
 def test_join_hyphens(value):
