@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from briefloom.plans import articles, papers, registry, relational, scalars, streams
+from briefloom.plans import articles, pages, papers, registry, relational, scalars, streams
 
-assert articles and papers and relational and scalars and streams  # importing a module registers its queries
+assert articles and pages and papers and relational and scalars and streams  # importing a module registers its queries
 
 
 def queries() -> dict[str, registry.Query]:

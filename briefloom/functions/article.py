@@ -74,6 +74,8 @@ EDGE_TOPIC = (
 POLICY_PREFIX = "whitehouse-tech-"
 LEAD_CHARS, LABEL_CHARS, FOOTER_CHARS, RIGHTS_CHARS, BAR_CHARS, BYLINE_HEAD = 45, 40, 30, 60, 80, 120
 OLD_TRANSLATION_CHARS = 3000
+#: Paragraphs at the start of a body that are tested before all of them are.
+FIRST_TESTED = 16
 
 unescape_text = html._batched(unescape)
 
@@ -86,12 +88,17 @@ def _letters(text: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\W+", ""))
 
 
-def _leads_in(paragraph: Column, title: Column) -> Column:
+def _leads_in(x: Column, title: Column) -> Column:
     """An empty paragraph, an echo of the title, a date, a byline or button, or a short piece without a sentence's end."""
-    line, letters = stripped(paragraph), _letters(paragraph)
+    line, letters = x["line"], x["letters"]
     echo = F.contains(title, letters) | (F.contains(letters, title) & (F.length(letters) <= F.length(title) * 1.6))
     fragment = (F.length(line) < LEAD_CHARS) & ~line.rlike(SENTENCE_END)
-    return (line == "") | ((title != "") & echo) | line.rlike(DATE_LINE) | line.rlike(LEAD_LINE) | fragment
+    return (line == "") | fragment | ((title != "") & echo) | line.rlike(DATE_LINE) | line.rlike(LEAD_LINE)
+
+
+def _without_dates(parts: Column) -> Column:
+    """Paragraphs without lone dates among the first three."""
+    return F.concat(F.filter(F.slice(parts, 1, 3), lambda p: ~stripped(p).rlike(DATE_LINE)), F.slice(parts, F.lit(4), F.greatest(F.size(parts) - 3, F.lit(0))))
 
 
 def drop_leading(text: Column, title: Column) -> Column:
@@ -101,13 +108,16 @@ def drop_leading(text: Column, title: Column) -> Column:
     """
     whole = F.coalesce(text, F.lit(""))
 
-    def from_first(parts: Column) -> Column:
-        start = F.array_position(F.transform(parts, lambda p: ~_leads_in(p, _letters(title))), F.lit(True))
-        rest = F.when(start > 0, F.slice(parts, F.greatest(start, F.lit(1)).cast("int"), F.size(parts)))
-        return F.filter(rest, lambda p, i: (i > 2) | ~stripped(p).rlike(DATE_LINE))
+    def from_first(parts: Column, letters: Column) -> Column:
+        read = lambda some: F.transform(some, lambda p: F.struct(stripped(p).alias("line"), _letters(p).alias("letters")))
+        first = lambda some: F.array_position(F.transform(read(some), lambda x: ~_leads_in(x, letters)), F.lit(True))
+        # Most bodies begin within a few paragraphs: the others are only tested where they do not.
+        early = first(F.slice(parts, F.lit(1), F.lit(FIRST_TESTED)))
+        start = F.when(early > 0, early).when(F.size(parts) > FIRST_TESTED, first(parts)).otherwise(0)
+        return bound(start, lambda at: F.when(at > 0, _without_dates(F.slice(parts, F.greatest(at, F.lit(1)).cast("int"), F.size(parts)))))
 
-    kept = stripped(F.array_join(bound(F.split(whole, "\n\n"), from_first), "\n\n"))
-    return F.when(blank(kept), stripped(whole)).otherwise(kept)
+    kept = bound(F.split(whole, "\n\n"), lambda parts: bound(_letters(title), lambda letters: from_first(parts, letters)))
+    return bound(stripped(F.array_join(kept, "\n\n")), lambda text: F.when(blank(text), stripped(whole)).otherwise(text))
 
 
 def _before_cards(parts: Column) -> Column:

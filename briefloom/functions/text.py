@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "[一-鿿]"
+# Entities that stand for one character, the ampersand's last.
+ENTITIES = {"&quot;": '"', "&#34;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&#38;": "&", "&amp;": "&"}
 
 
 def blank(value: Column) -> Column:
@@ -18,6 +20,14 @@ def filled(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def unescaped(text: Column) -> Column:
+    """The text with the listed entities as characters; others stay as they are, and null becomes empty."""
+    out = F.coalesce(text, F.lit(""))
+    for entity, mark in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(mark))
+    return out
+
+
 def strip_html(text: Column) -> Column:
     """Tags go without a trace, and white space of any kind becomes one blank."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]*>", ""), r"(?U)\s+", " "))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from briefloom.functions.text import filled
 
-# Where ids stand in URLs.
+# Where ids and the parts of an address stand in URLs.
 ARXIV = r"(?i)(?:arxiv\.org/(?:abs|pdf|html)/|huggingface\.co/papers/)([0-9]{4}\.[0-9]{4,5})(?:v\d+)?"
 YOUTUBE = r"(?i)(?:youtu\.be/|youtube\.com/(?:watch\?v=|shorts/|embed/))([\w-]{11})"
+PARTS = r"(?s)^(?:([a-zA-Z][\w+.-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
 POST = r"(?i)(?:x|twitter)\.com/[^/]+/status/(\d+)"
 
 
@@ -86,8 +87,30 @@ def hrefs(html: Column) -> Column:
 
 
 def absolute(page: Column, target: Column) -> Column:
-    origin = F.regexp_extract(page, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
-    return F.when(target.rlike("^[a-zA-Z][\\w+.-]*://"), target).when(target.startswith("/"), F.concat(origin, target)).otherwise(F.concat(origin, F.lit("/"), target))
+    """``target`` as seen from ``page`` (RFC 3986): with a scheme as it stands, else from the scheme, the host, the path or the query.
+
+    Steps up and steps on the spot are taken out of paths. A null target counts as empty, which is the page itself.
+    """
+    target = F.coalesce(target, F.lit(""))
+    of_page, of_target = (lambda i: F.regexp_extract(page, PARTS, i)), (lambda i: F.regexp_extract(target, PARTS, i))
+    origin, where = F.concat(of_page(1), F.lit(":"), of_page(2)), of_target(3)
+    beside = F.regexp_replace(F.concat(F.lit("/"), F.regexp_extract(of_page(3), "^(.*/)", 1), where), "/{2,}", "/")
+    full = F.when(F.startswith(where, F.lit("/")), where).otherwise(beside)
+    steps = F.aggregate(
+        F.split(F.regexp_replace(full, r"/(\.{1,2})$", "/$1/"), "/"),
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    walked = F.when(F.contains(full, F.lit("/.")), F.concat(F.lit("/"), F.regexp_replace(F.array_join(steps, "/"), "^/", ""))).otherwise(full)
+    rest = F.concat(of_target(4), of_target(5))
+    return (
+        F.when(of_target(1) != "", target)
+        .when(target == "", page)
+        .when(of_target(2) != "", F.concat(of_page(1), F.lit(":"), target))
+        .when(where != "", F.concat(origin, walked, rest))
+        .when(of_target(4) != "", F.concat(origin, of_page(3), rest))
+        .otherwise(F.concat(origin, of_page(3), of_page(4), rest))
+    )
 
 
 def image_key(url: Column) -> Column:
@@ -95,16 +118,6 @@ def image_key(url: Column) -> Column:
     return F.regexp_replace(F.substring_index(F.lower(url), "?", 1), r"-\d{2,4}x\d{2,4}(?=\.\w+$)", "")
 
 
-def images(html: Column, most: int = 4) -> Column:
-    """The first images of a page in document order, without logos, icons and pixels, distinct by key."""
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?is)<img\b[^>]*?\bsrc="([^"]+)"'), 1)
-    kept = F.filter(found, lambda u: ~u.rlike(r"(?i)logo|icon|avatar|pixel|sprite|1x1|\.svg"))
-    by_key = F.transform(kept, lambda u: F.struct(image_key(u).alias("key"), u.alias("url")))
-    keys = F.array_distinct(F.transform(by_key, lambda s: s["key"]))
-    first = F.transform(keys, lambda k: F.filter(by_key, lambda s: s["key"] == k)[0]["url"])
-    return F.slice(first, 1, most)
-
-
 def slug(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

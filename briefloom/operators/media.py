@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefloom.functions import dates, url
-from briefloom.functions.text import filled
+from briefloom.functions.text import filled, unescaped
 from briefloom.operators import clean
 
 
@@ -57,7 +55,6 @@ NAVIGATION = (
     r"sitemap|imprint|accessibility|search|login|footer)$"
 )
 ENTRY, PAPER = "title string, upvotes string, publishedAt string, paper string", "id string, title string, upvotes string, publishedAt string"
-ENTITIES = {"&quot;": '"', "&#34;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
 
 def paper_mentions(pages: DataFrame, id_col: str, html: str) -> DataFrame:
@@ -68,8 +65,7 @@ def paper_mentions(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     their text, and votes that are no number as none.
     """
     text = F.coalesce(F.col(html), F.lit(""))
-    plain = lambda c: reduce(lambda out, pair: F.replace(out, F.lit(pair[0]), F.lit(pair[1])), ENTITIES.items(), c)
-    lists = F.transform(F.regexp_extract_all(text, F.lit(LISTED_PROPS), 1), lambda a: F.from_json(plain(a), "dailyPapers array<string>")["dailyPapers"])
+    lists = F.transform(F.regexp_extract_all(text, F.lit(LISTED_PROPS), 1), lambda a: F.from_json(unescaped(a), "dailyPapers array<string>")["dailyPapers"])
     set_of = lambda first, second: F.coalesce(filled(first), filled(second))
     votes = lambda e: set_of(F.when(~e["paper"]["upvotes"].isin("0", "0.0", "false"), e["paper"]["upvotes"]), e["upvotes"]).try_cast("double")
     row = lambda paper, title, published, upvotes: F.struct(paper.alias("paper"), title.alias("title"), published.alias("published"), F.coalesce(upvotes, F.lit(0.0)).alias("upvotes"))
@@ -104,12 +100,11 @@ def trending_papers(pages: DataFrame, id_col: str, html: str, now_ms: int, least
     A listed day after the month of the paper's number is when it came back to the list: the end of that month stands for it.
     The first ``most`` of a page that are kept are shown, in the order of their first mention.
     """
-    papers = merged_papers(paper_mentions(pages, id_col, html), ["page"])
-    listed = dates.parse_date_ms(F.col("published"), now_ms)
-    first = url.first_published_ms(F.col("paper"), listed)
-    moved = F.date_format(F.timestamp_millis(first), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    outcome = clean.keep_trending(first, F.col("upvotes"), F.lit(0), least_upvotes, now_ms)
-    rows = papers.withColumns({"published_raw": F.when(first < listed, moved).otherwise(F.col("published")), "outcome": outcome}).where("outcome.keep")
+    papers = merged_papers(paper_mentions(pages, id_col, html), ["page"]).withColumn("listed", dates.parse_date_ms(F.col("published"), now_ms))
+    dated = papers.withColumn("first", url.first_published_ms(F.col("paper"), F.col("listed")))
+    moved = F.date_format(F.timestamp_millis("first"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    outcome = clean.keep_trending(F.col("first"), F.col("upvotes"), F.lit(0), least_upvotes, now_ms)
+    rows = dated.withColumns({"published_raw": F.when(F.col("first") < F.col("listed"), moved).otherwise(F.col("published")), "outcome": outcome}).where("outcome.keep")
     nth = F.row_number().over(Window.partitionBy("page").orderBy("place"))
     shown = rows.withColumn("nth", nth).where(F.col("nth") <= most)
     address = F.concat(F.lit("https://huggingface.co/papers/"), F.col("paper"))

@@ -205,12 +205,6 @@ def link_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.size(links).cast("long").alias("n"), F.coalesce(F.get(links, 0), F.lit("")).alias("first"))
 
 
-@query("image_extract")
-def image_extract(spark, d):
-    found = url.images(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.size(found).cast("long").alias("n"), F.array_join(found, "|").alias("images"))
-
-
 @query("pdf_links", """SELECT page_id, CAST(len(list_distinct(list_filter(regexp_extract_all(html, '<a href="([^"#]+)', 1), lambda x: regexp_matches(lower(x), '[.]pdf($|[?])')))) AS BIGINT) AS n FROM pages""")
 def pdf_links(spark, d):
     documents = F.filter(url.hrefs(F.col("html")), lambda u: F.lower(u).rlike(r"\.pdf($|\?)"))

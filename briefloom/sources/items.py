@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briefloom.functions import dates, text, url
+from briefloom.functions import dates, pictures, text, url
 from briefloom.schema import FEEDS
 
 RSS_ITEM = "title string, link string, guid string, description string, pubDate string, published string, updated string, category array<string>, enclosure struct<_url: string, _type: string, _length: long>"
@@ -40,21 +40,10 @@ def page_items(pages: DataFrame, least_chars: int = 40) -> DataFrame:
     """Items of stored pages: title, text, date and images; pages without title or with a short body are no items."""
     from briefloom.functions import html
 
-    rows = pages.select("page_id", "url", text.strip_html(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), html.article_text("html").alias("body"), published_in_html(F.col("html")).alias("published_raw"), url.images(F.col("html")).alias("images"))
+    rows = pages.select("page_id", "url", text.strip_html(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), html.article_text("html").alias("body"), dates.published_in_html(F.col("html")).alias("published_raw"), pictures.pictures_of(F.col("html"), F.col("url")).alias("images"))
     return rows.where((F.col("title") != "") & (F.length("body") >= least_chars))
 
 
-def published_in_html(page: Column) -> Column:
-    """The first date that a page states for its publication: meta tag, JSON property, time tag."""
-    found = lambda pattern: text.filled(F.regexp_extract(page, pattern, 1))
-    return F.coalesce(
-        found(r'(?is)<meta[^>]+(?:property|name)="(?:article:published_time|datePublished|pubdate|publish_date)"[^>]+content="([^"]+)"'),
-        found(r'(?is)\\?"datePublished\\?"\s*:\s*\\?"([^"\\]+)'),
-        found(r'(?is)<time[^>]+datetime="([^"]+)"'),
-        F.lit(""),
-    )
-
-
 def page_links(pages: DataFrame, include: list[str], exclude: list[str], most: int) -> DataFrame:
     """Links of list pages to articles on the same host, newest paths first, at most ``most`` a page."""
     from pyspark.sql import Window
