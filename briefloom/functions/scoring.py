@@ -79,11 +79,16 @@ def accepted_venue(comment: Column, journal: Column) -> Column:
     return F.coalesce(F.get(known, 0), fallback, F.lit(""))
 
 
-def quality(venue: Column, community: Column, signal: Column, community_known: Column) -> Column:
-    """Weights .40, .25 and .35; without community data the other two make up the whole."""
+def whole_quality(venue: Column, community: Column, signal: Column, community_known: Column) -> Column:
+    """Weights .40, .25 and .35; without community data the other two make up the whole. Not rounded: what a threshold is held against."""
     with_all = 0.40 * venue + 0.35 * signal + 0.25 * community
     without = (0.40 * venue + 0.35 * signal) / 0.75
-    return F.bround(F.least(F.lit(100.0), F.when(community_known, with_all).otherwise(without)), 1)
+    return F.least(F.lit(100.0), F.when(community_known, with_all).otherwise(without))
+
+
+def quality(venue: Column, community: Column, signal: Column, community_known: Column) -> Column:
+    """The same as it is shown, to one place."""
+    return F.bround(whole_quality(venue, community, signal, community_known), 1)
 
 
 def engagement(likes: Column, replies: Column, reposts: Column, quotes: Column, bookmarks: Column) -> Column:

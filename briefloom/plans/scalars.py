@@ -154,7 +154,7 @@ def quality_score(spark, d):
     """Votes are lengths of bodies, comments are accounts; a quarter of the entries has no community data."""
     heat = scoring.community_heat((F.length("body") % 600).cast("double"), (F.col("account") % 90).cast("double"))
     rows = entries(spark, d).withColumn("heat", heat)
-    whole = scoring.quality((F.col("doc_id") % 101).cast("double"), F.col("heat"), F.col("quality"), F.col("doc_id") % 4 > 0)
+    whole = scoring.whole_quality((F.col("doc_id") % 101).cast("double"), F.col("heat"), F.col("quality"), F.col("doc_id") % 4 > 0)
     return rows.select("doc_id", "heat", (whole >= 50).alias("high"))
 
 
