@@ -7,17 +7,18 @@ longer list is split by the next common token, and again, so that a frequent tok
 their square. A set that needs no more tokens than a list already stands for cannot be split; such sets, which are tiny, are
 paired with one another.
 
-``alike_titles`` turns a least sequence ratio into such a need. Let two titles have S characters together and a matcher find
-M of them in blocks, so that the ratio is 2M / S. Between two blocks an unmatched character stands on a side, hence there are
-at most S - 2M + 1 blocks, and a block of m characters has m - 1 pairs of neighbours: M - (S - 2M + 1) pairs of neighbouring
-characters are common at least. With M at its least this is S * (1.5 * ratio - 1) - 1, which is above zero for all titles at
-ratios above 5/6.
+``alike_titles`` holds blocks of titles against one another. All titles of one language share most pairs of letters, so an index
+of them lists nearly all pairs, and some of them often; here a pair costs a few operations on bits and nothing is written for it.
+Bags of characters come first. What they leave is held against the length of the longest common subsequence, which no matcher's
+blocks exceed, by one word of 64 bits a pair, for many pairs at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,14 @@ BAGS = 4
 PARITIES = 8
 #: What rounding of a bound may cost is left to the comparison.
 SLACK = 1e-6
-#: At or below this ratio two titles of two and three characters can be alike without a common pair of neighbours.
+#: At or below this ratio titles are not taken for one event.
 LEAST_RATIO = 5 / 6
+#: Titles of a block. It moves work only: a title is sent to as many cells as its group has blocks.
+BLOCK = 8192
+#: Bits of a word, and characters of the other title that run against them; a longer one is left to the comparison.
+WORD, RUN = 64, 256
+#: Pairs that run at once.
+AT_ONCE = 1 << 16
 
 
 def ranked(sets: DataFrame) -> DataFrame:
@@ -46,12 +53,11 @@ def ranked(sets: DataFrame) -> DataFrame:
     return sets.drop("tokens").join(lists.select("id", F.col("ranks.token").alias("tokens")), "id")
 
 
-def overlap_candidates(sets: DataFrame, near: Callable[[Column, Column], Column] | None = None, share: Callable[[Column, Column], Column] | None = None, most: int = MOST) -> DataFrame:
+def overlap_candidates(sets: DataFrame, near: Callable[[Column, Column], Column] | None = None, most: int = MOST) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids whose sets (grp, id, tokens, need, known) can share what both need.
 
     ``need`` is at least 1 and holds for any partner; ids are unique over all groups. ``near`` tests what is ``known`` of two
-    sets, and ``share`` states what two sets need by what is known of them, where that is more. Tokens and paths are hashes
-    here: equal ones meet, and different ones hardly ever.
+    sets. Tokens and paths are hashes here: equal ones meet, and different ones hardly ever.
     """
     sets = ranked(sets).where(F.size("tokens") >= F.col("need"))
     sets = written(sets.withColumn("seen", F.struct("id", "need", "known", F.size("tokens").alias("n"), *[p.alias(f"odd{k}") for k, p in enumerate(_parities(F.col("tokens")))])).drop("known"), "sets")
@@ -62,7 +68,7 @@ def overlap_candidates(sets: DataFrame, near: Callable[[Column, Column], Column]
         counts = rows.groupBy("grp", "path").agg(F.count("*").alias("n"), F.max("seen.need").alias("top")).where("n > 1")
         met = written(rows.join(counts, ["grp", "path"]), "lists")
         light = met.where((F.col("n") <= most) | (F.col("seen.need") <= depth))
-        pairs = _listed(light, near, share)
+        pairs = _listed(light, near)
         found = pairs if found is None else found.unionByName(pairs)
         heavy = met.where((F.col("n") > most) & (F.col("top") > depth))
         if heavy.isEmpty():
@@ -88,11 +94,11 @@ def _apart(x: Column, y: Column, names: list[str]) -> Column:
     return sum(rest, one)
 
 
-def _listed(rows: DataFrame, near: Callable[[Column, Column], Column] | None, share: Callable[[Column, Column], Column] | None) -> DataFrame:
+def _listed(rows: DataFrame, near: Callable[[Column, Column], Column] | None) -> DataFrame:
     """The pairs within each list of rows that no bound rules out."""
     one = rows.select("grp", "path", F.col("seen").alias("x"))
     x, y = F.col("x"), F.col("y")
-    need = F.greatest(x["need"], y["need"]) if share is None else F.greatest(x["need"], y["need"], share(x["known"], y["known"]))
+    need = F.greatest(x["need"], y["need"])
     fits = (x["id"] < y["id"]) & (_apart(x, y, [f"odd{k}" for k in range(PARITIES)]) <= x["n"] + y["n"] - 2 * need)
     if near is not None:
         fits &= near(x["known"], y["known"])
@@ -100,37 +106,90 @@ def _listed(rows: DataFrame, near: Callable[[Column, Column], Column] | None, sh
     return met.select(x["id"].alias("a"), y["id"].alias("b"))
 
 
-def least_common(size: Column, least: float) -> Column:
-    """Common pairs of neighbouring characters that a title of ``size`` characters has with any title of that ratio."""
-    return _common(size + F.ceil(size * (least / (2 - least)) - SLACK), least)
-
-
-def _common(both: Column, least: float) -> Column:
-    """The same for two titles of ``both`` characters together."""
-    return F.greatest(F.ceil(both * (1.5 * least - 1) - 1 - SLACK), F.lit(1)).cast("int")
-
-
-def _pairs_of_neighbours(text: Column) -> Column:
-    return similarity.bound(text, lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2))))
-
-
-def alike_titles(titles: DataFrame, least: float) -> DataFrame:
+def alike_titles(titles: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """Pairs (a, b), a < b, of titles (grp, id, t) of one group that can have a ratio of ``least``; equal titles are left out.
 
-    Empty titles, and titles of one character, are alike to none but their equals. ``least`` is above 5/6.
+    Empty titles, and titles of one character, are alike to none but their equals. ``least`` is above 5/6. A group is blocks of
+    about ``block`` titles, each two blocks are a cell, and a task holds one cell at a time.
     """
     if not LEAST_RATIO < least <= 1:
         raise ValueError("titles of a ratio of 5/6 or less need not share anything that they could meet by")
     long_enough = titles.where(F.length("t") >= 2)
-    known = F.struct(F.length("t").alias("size"), *[bits.alias(f"bag{k}") for k, bits in enumerate(_bag(F.col("t")))])
-    sets = long_enough.select("grp", "id", _pairs_of_neighbours(F.col("t")).alias("tokens"), least_common(F.length("t"), least).alias("need"), known.alias("known"))
-
-    def fits(x: Column, y: Column) -> Column:
-        both = x["size"] + y["size"]
-        apart = _apart(x, y, [f"bag{k}" for k in range(BAGS)])
-        return (2 * F.least(x["size"], y["size"]) >= (least - SLACK) * both) & (apart <= (1 - least) * both + SLACK)
-
-    return overlap_candidates(sets, fits, lambda x, y: _common(x["size"] + y["size"], least))
+    blocks = long_enough.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    marks = long_enough.join(blocks, "grp").select("grp", "id", "blocks", own.alias("block"), F.length("t").alias("size"), F.left("t", F.lit(RUN)).alias("t"), *[bits.alias(f"bag{k}") for k, bits in enumerate(_bag(F.col("t")))])
+    placed = marks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+    kind = titles.schema["id"].dataType.simpleString()
+    return cells.groupBy("grp", "i", "j").applyInArrow(_alike_in_cell(least), f"a {kind}, b {kind}")
+
+
+def _alike_in_cell(least: float) -> Callable[[pa.Table], pa.Table]:
+    """The pairs of a cell that no bound rules out, one of each block (or both of the only one)."""
+
+    def pairs_of(cell: pa.Table) -> pa.Table:
+        cell = cell.sort_by("size")
+        ids, size, block = (cell[name].to_numpy() for name in ("id", "size", "block"))
+        size = size.astype(np.int64)
+        bags = [cell[f"bag{k}"].to_numpy().view(np.uint64) for k in range(BAGS)]
+        kinds, masks = _characters(cell["t"].to_pylist())
+        one, other = (np.flatnonzero(block == cell[name][0].as_py()) for name in "ij")
+        single = cell["i"][0].as_py() == cell["j"][0].as_py()
+        bags, sizes = [bag[other] for bag in bags], size[other]
+        own = [cell[f"bag{k}"].to_numpy().view(np.uint64) for k in range(BAGS)]
+        share = least / (2 - least)
+        starts, ends = np.searchsorted(sizes, size * share - SLACK), np.searchsorted(sizes, size / share + SLACK, side="right")
+        found, waiting, n = [], [], 0
+        for at, x in enumerate(one):
+            start, end = at + 1 if single else starts[x], ends[x]
+            apart = sum(np.bitwise_count(own[k][x] ^ bags[k][start:end]).astype(np.uint16) for k in range(BAGS))
+            y = other[start + np.flatnonzero(apart <= (1 - least) * (size[x] + sizes[start:end]) + SLACK)]
+            waiting.append((np.full(len(y), x), y))
+            n += len(y)
+            if n >= AT_ONCE:
+                found.append(_subsequent(waiting, size, kinds, masks, least))
+                waiting, n = [], 0
+        found.append(_subsequent(waiting, size, kinds, masks, least))
+        x, y = (ids[np.concatenate([f[k] for f in found])] for k in (0, 1))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return pairs_of
+
+
+def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the kinds of its characters, ended by kind 64, and where in its first 64 characters each kind is, as bits.
+
+    The most frequent characters are kinds of their own and the others share kinds, which makes texts no less alike.
+    """
+    lengths = np.array([len(t) for t in texts])
+    codes, of, times = np.unique(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True, return_counts=True)
+    rank = np.empty(len(codes), np.int64)
+    rank[np.argsort(-times, kind="stable")] = np.arange(len(codes))
+    rank = np.where(rank < 48, rank, 48 + rank % 16).astype(np.uint8)
+    kinds = np.full((len(texts), lengths.max()), WORD, np.uint8)
+    kinds[np.arange(lengths.max()) < lengths[:, None]] = rank[of]
+    masks = np.zeros((len(texts), WORD + 1), np.uint64)
+    rows = np.arange(len(texts))
+    for at in range(min(WORD, kinds.shape[1])):
+        masks[rows, kinds[:, at]] |= np.uint64(1 << at)
+    masks[:, WORD] = 0
+    return kinds, masks
+
+
+def _subsequent(waiting: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, kinds: np.ndarray, masks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of places whose longest common subsequence is long enough; of the first text, what is behind 64 characters counts as common."""
+    if not waiting:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    x, y = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+    flat, base, left = masks.reshape(-1), x * (WORD + 1), np.full(len(x), ~np.uint64(0))
+    steps = kinds[y].T.copy()
+    for step in steps[: int(size[y].max(initial=0))]:
+        met = left & flat[base + step]
+        left = (left + met) | (left ^ met)
+    first = np.minimum(size[x], WORD)
+    common = np.bitwise_count(~left & (~np.uint64(0) >> (WORD - first).astype(np.uint64))) + (size[x] - first)
+    keep = (size[y] > RUN) | (common >= least / 2 * (size[x] + size[y]) - SLACK)
+    return x[keep], y[keep]
 
 
 def _bag(text: Column) -> list[Column]:
