@@ -19,6 +19,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ SLACK = 1e-6
 LEAST_RATIO = 5 / 6
 #: Titles of a block. It moves work only: a title is sent to as many cells as its group has blocks.
 BLOCK = 8192
+#: Contexts of a block, and those of one side whose pairs are listed at once.
+CONTEXTS, LISTED = 16_384, 512
 #: Bits of a word, and characters of the other title that run against them; a longer one is left to the comparison.
 WORD, RUN = 64, 256
 #: Pairs that run at once.
@@ -226,3 +229,59 @@ def similar_titles(titles: DataFrame, least: float) -> DataFrame:
     alike = alike_titles(titles, least).withColumn("contained", F.lit(False))
     inside = contained_titles(titles).withColumn("contained", F.lit(True))
     return alike.unionByName(inside).groupBy("a", "b").agg(F.max("contained").alias("contained"))
+
+
+def shared_contexts(contexts: DataFrame, within: int, block: int = CONTEXTS) -> DataFrame:
+    """(signal, pool) of contexts (side, class, pairs, names, early, late) of sides 0 and 1 that pass ``similarity.context_match``.
+
+    ``pairs`` and ``names`` are distinct hashes of 64 bits. ``early`` and ``late`` are a class's first and last stamp; classes that
+    are more than ``within`` apart are left out, and null is any time. Blocks of both sides make cells, and a task holds one cell.
+    """
+    sizes = contexts.groupBy("side").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    other = sizes.select((1 - F.col("side")).alias("side"), F.col("blocks").alias("others"))
+    placed = contexts.join(F.broadcast(sizes), "side").join(F.broadcast(other), "side")  # two rows each
+    cells = placed.withColumns({"own": F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), "over": F.explode(F.sequence(F.lit(0), F.col("others") - 1))})
+    cells = cells.withColumns({"i": F.when(F.col("side") == 0, F.col("own")).otherwise(F.col("over")), "j": F.when(F.col("side") == 0, F.col("over")).otherwise(F.col("own"))})
+    return cells.drop("blocks", "others", "own", "over").groupBy("i", "j").applyInArrow(_contexts_in_cell(within), "signal string, pool string")
+
+
+def _contexts_in_cell(within: int) -> Callable[[pa.Table], pa.Table]:
+    def flat(side: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = side[name].combine_chunks()
+        return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+    def pairs_of(cell: pa.Table) -> pa.Table:
+        sides = [cell.filter(pyarrow.compute.equal(cell["side"], n)) for n in (0, 1)]
+        if not all(side.num_rows for side in sides):
+            return pa.table({"signal": pa.array([], pa.string()), "pool": pa.array([], pa.string())})
+        early, late = ([side[name].fill_null(other).to_numpy() for side in sides] for name, other in (("early", -(1 << 60)), ("late", 1 << 60)))
+        (codes, ends), (others, their_ends) = (flat(side, "pairs") for side in sides)
+        owner = np.repeat(np.arange(len(their_ends) - 1), np.diff(their_ends))
+        order = np.argsort(others, kind="stable")
+        others, owner = others[order], owner[order]
+        names = [flat(side, "names") for side in sides]
+        known: dict[int, frozenset] = {}
+        found = []
+        for start in range(0, len(ends) - 1, LISTED):
+            stop = min(start + LISTED, len(ends) - 1)
+            asked = codes[ends[start] : ends[stop]]
+            asker = np.repeat(np.arange(start, stop), np.diff(ends[start : stop + 1]))
+            low, high = np.searchsorted(others, asked), np.searchsorted(others, asked, side="right")
+            times = high - low
+            x = np.repeat(asker, times)
+            y = owner[np.arange(times.sum()) + np.repeat(low - np.cumsum(times) + times, times)]
+            near = (early[0][x] - late[1][y] <= within) & (early[1][y] - late[0][x] <= within)
+            met, common = np.unique(x[near] * len(their_ends) + y[near], return_counts=True)
+            last, own = -1, frozenset()
+            for key, shared in zip(met.tolist(), common.tolist(), strict=True):
+                a, b = divmod(key, len(their_ends))
+                if a != last:
+                    last, own = a, frozenset(names[0][0][names[0][1][a] : names[0][1][a + 1]].tolist())
+                if b not in known:
+                    known[b] = frozenset(names[1][0][names[1][1][b] : names[1][1][b + 1]].tolist())
+                if len(own & known[b]) >= (2 if shared >= 2 else 4):
+                    found.append(key)
+        met = np.array(found, np.int64)
+        return pa.table({"signal": sides[0]["class"].take(met // len(their_ends)), "pool": sides[1]["class"].take(met % len(their_ends))})
+
+    return pairs_of
