@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from briefloom.functions import html, url
 from briefloom.functions.similarity import bound
-from briefloom.functions.text import blank, cjk_ratio
+from briefloom.functions.text import WHITE, blank, cjk_ratio
 
 # Months, dates on a line of their own, and what stands before, between and behind the paragraphs of pages.
 MONTHS = (
@@ -74,14 +74,12 @@ EDGE_TOPIC = (
 POLICY_PREFIX = "whitehouse-tech-"
 LEAD_CHARS, LABEL_CHARS, FOOTER_CHARS, RIGHTS_CHARS, BAR_CHARS, BYLINE_HEAD = 45, 40, 30, 60, 80, 120
 OLD_TRANSLATION_CHARS = 3000
-#: Paragraphs at the start of a body that are tested before all of them are.
-FIRST_TESTED = 16
 
 unescape_text = html._batched(unescape)
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
 
 
 def _letters(text: Column) -> Column:
@@ -109,11 +107,10 @@ def drop_leading(text: Column, title: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
 
     def from_first(parts: Column, letters: Column) -> Column:
-        read = lambda some: F.transform(some, lambda p: F.struct(stripped(p).alias("line"), _letters(p).alias("letters")))
-        first = lambda some: F.array_position(F.transform(read(some), lambda x: ~_leads_in(x, letters)), F.lit(True))
-        # Most bodies begin within a few paragraphs: the others are only tested where they do not.
-        early = first(F.slice(parts, F.lit(1), F.lit(FIRST_TESTED)))
-        start = F.when(early > 0, early).when(F.size(parts) > FIRST_TESTED, first(parts)).otherwise(0)
+        read = lambda p: F.struct(stripped(p).alias("line"), _letters(p).alias("letters"))
+        leads = lambda p: bound(read(p), lambda x: _leads_in(x, letters))
+        # Down by one with each paragraph that leads in, then the place of the first that does not; no other is tested.
+        start = F.aggregate(parts, F.lit(0), lambda at, p: F.when(at > 0, at).when(leads(p), at - 1).otherwise(1 - at))
         return bound(start, lambda at: F.when(at > 0, _without_dates(F.slice(parts, F.greatest(at, F.lit(1)).cast("int"), F.size(parts)))))
 
     kept = bound(F.split(whole, "\n\n"), lambda parts: bound(_letters(title), lambda letters: from_first(parts, letters)))
@@ -134,11 +131,12 @@ def _before_cards(parts: Column) -> Column:
 
 def _is_footer(line: Column) -> Column:
     """A line of rights, a bare label, or a row of capitalised words without any mark, as navigation bars give."""
-    words = F.split(line, r"(?U)\s+")
-    capital = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
+    capital = lambda words: F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}")))
     open_end = ~line.rlike(SENTENCE_END)
-    bar = (F.length(line) <= BAR_CHARS) & open_end & ~line.rlike("[,，]") & (F.size(words) >= 3) & (capital >= F.size(words) * 0.7)
-    return (line.rlike(RIGHTS_LINE) & (F.length(line) < RIGHTS_CHARS)) | ((F.length(line) <= FOOTER_CHARS) & open_end) | bar
+    named = bound(F.split(line, r"(?U)\s+"), lambda words: (F.size(words) >= 3) & (capital(words) >= F.size(words) * 0.7))
+    # Long lines are none of them: their lengths are tested before their characters.
+    bar = (F.length(line) <= BAR_CHARS) & open_end & ~line.rlike("[,，]") & named
+    return ((F.length(line) < RIGHTS_CHARS) & line.rlike(RIGHTS_LINE)) | ((F.length(line) <= FOOTER_CHARS) & open_end) | bar
 
 
 def drop_labels(text: Column) -> Column:
@@ -149,8 +147,9 @@ def drop_labels(text: Column) -> Column:
     once = bound(plain, lambda ps: F.filter(ps, lambda p, i: (i == 0) | (p != F.get(ps, i - 1))))
 
     def to_last(ps: Column) -> Column:
-        last = F.array_max(F.transform(ps, lambda p, i: F.when(~_is_footer(p), i + 1)))
-        return F.slice(ps, F.lit(1), F.coalesce(last, F.lit(0)))
+        # From the end, down by one with each footer, then the place of the first that is none; no other is tested.
+        last = F.aggregate(F.reverse(ps), F.lit(0), lambda at, p: F.when(at > 0, at).when(_is_footer(p), at - 1).otherwise(F.size(ps) + at))
+        return F.slice(ps, F.lit(1), F.greatest(last, F.lit(0)))
 
     return F.array_join(bound(once, to_last), "\n\n")
 

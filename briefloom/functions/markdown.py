@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from briefloom.functions import article, pictures, url
 from briefloom.functions.article import stripped
-from briefloom.functions.text import filled
+from briefloom.functions.similarity import bound
+from briefloom.functions.text import filled, once, single_blanks, where_held
 
 # The mark before the article, pictures and links, and how a paper's page begins its title.
 CONTENT = "Markdown Content:"
@@ -36,23 +37,19 @@ def head(markdown: Column, name: str) -> Column:
 
 def pictures_in(text: Column, page: Column, most: int = pictures.MOST) -> Column:
     """The first pictures (``url``, ``alt``) that are content, each address once, parameters aside."""
-    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(PICTURE), 1), F.regexp_extract_all(text, F.lit(PICTURE), 2), lambda alt, target: F.struct(url.absolute(page, target).alias("url"), F.left(alt, F.lit(pictures.ALT_CHARS)).alias("alt")))
-    return pictures.first_distinct(F.filter(pairs, lambda x: pictures.is_picture(x["url"])), most)
+    read = lambda mark, i: F.regexp_extract(mark, PICTURE, i)
+    found = lambda mark: F.struct(url.absolute(page, read(mark, 2)).alias("url"), F.left(read(mark, 1), F.lit(pictures.ALT_CHARS)).alias("alt"))
+    taken = lambda kept, mark: bound(found(mark), lambda x: F.when(pictures.is_picture(x["url"]), pictures.first_distinct(F.concat(kept, F.array(x)), most)).otherwise(kept))
+    # Only as many are read as are kept.
+    return F.aggregate(F.regexp_extract_all(text, F.lit(PICTURE), 0), F.array().cast(pictures.PICTURE), lambda kept, mark: F.when(F.size(kept) < most, taken(kept, mark)).otherwise(kept))
 
 
 def paragraphs(text: Column) -> Column:
     """Markdown as paragraphs: no pictures, links as their text, one mark less on headings, no rules, one blank within lines."""
-    for pattern, mark in (
-        (PICTURE, " "),
-        (LINK, "$1"),
-        (r"(?Umd)^#{2,6}\s*", "## "),
-        (r"(?Umd)^#\s*", ""),
-        (r"(?Umd)^\s*[-*=_]{3,}\s*$", ""),
-        ("[ \t]+", " "),
-        ("\n{3,}", "\n\n"),
-    ):
-        text = F.regexp_replace(text, pattern, mark)
-    return stripped(text)
+    text = where_held(text, "](", (PICTURE, " "), (LINK, "$1"))
+    text = where_held(text, "#", (r"(?Umd)^#{2,6}\s*", "## "), (r"(?Umd)^#\s*", ""))
+    text = single_blanks(F.regexp_replace(text, r"(?Umd)^\s*[-*=_]{3,}\s*$", ""))
+    return stripped(where_held(text, "\n\n\n", ("\n{3,}", "\n\n")))
 
 
 def article_of_markdown(markdown: Column, page: Column, title: Column, most: Column | int = MOST_CHARS) -> Column:
@@ -68,11 +65,12 @@ def proxy_items(pages: DataFrame) -> DataFrame:
     ``pages`` has ``markdown``, ``url``, ``title``, ``published_raw`` and ``community_block``. The page's own title and the list's own
     date win; a block of comments follows the article, which gives it room. Pages without text, address or title are none.
     """
+    pages = once(pages, markdown=F.coalesce("markdown", F.lit("")))
     own = filled(stripped(F.regexp_replace(head(F.col("markdown"), "Title"), PAPER_PAGE, "")))
     block = F.coalesce("community_block", F.lit(""))
     room = F.when(block != "", F.greatest(F.lit(MOST_CHARS - 2) - F.length(block), F.lit(0))).otherwise(F.lit(MOST_CHARS))
-    named = pages.where(~F.coalesce("markdown", F.lit("")).eqNullSafe("")).withColumns({"title": F.coalesce(own, "title", F.lit("")), "published_raw": F.coalesce(filled(F.col("published_raw")), head(F.col("markdown"), "Published Time"))})
-    parsed = named.where("title <> '' AND url <> ''").withColumn("_article", article_of_markdown(F.col("markdown"), F.col("url"), F.col("title"), room))
+    named = pages.where("markdown <> ''").withColumns({"title": F.coalesce(own, "title", F.lit("")), "published_raw": F.coalesce(filled(F.col("published_raw")), head(F.col("markdown"), "Published Time"))})
+    parsed = once(named.where("title <> '' AND url <> ''"), _article=article_of_markdown(F.col("markdown"), F.col("url"), F.col("title"), room))
     text = F.col("_article.text")
     body = F.when(block != "", F.concat(text, F.lit("\n\n"), block)).otherwise(text)
     return parsed.withColumns({"body": body, "images": F.col("_article.images")}).drop("_article", "markdown", "community_block")

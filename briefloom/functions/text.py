@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from briefloom.functions.similarity import bound
+
 CJK = "[一-鿿]"
 # Entities that stand for one character, the ampersand's last.
 ENTITIES = {"&quot;": '"', "&#34;": '"', "&#39;": "'", "&#x27;": "'", "&apos;": "'", "&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&#38;": "&", "&amp;": "&"}
 
 
+#: All characters of white space, as ``(?U)\\s`` has them.
+WHITE = "\t\n\x0b\f\r \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+
+def once(rows: DataFrame, **values: Column) -> DataFrame:
+    """``rows`` with columns that are computed once, however often later steps use them; others of these names go.
+
+    A generator of one row stands between the steps, as the optimizer puts the expressions of a projection where they are used.
+    """
+    made = F.inline(F.array(F.struct(*[value.alias(name) for name, value in values.items()])))
+    return rows.select(*[c for c in rows.columns if c not in values], made)
+
+
 def blank(value: Column) -> Column:
     """Null and the empty text alike count as missing."""
     return F.coalesce(value, F.lit("")) == ""
@@ -20,6 +38,17 @@ def filled(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
+def where_held(text: Column, mark: str, *steps: tuple[str, str]) -> Column:
+    """The text after the replacements ``steps`` (pattern, by what), which are left out where it does not hold ``mark``."""
+    after = lambda t: reduce(lambda out, step: F.regexp_replace(out, *step), steps, t)
+    return bound(text, lambda t: F.when(F.contains(t, F.lit(mark)), after(t)).otherwise(t))
+
+
+def single_blanks(text: Column) -> Column:
+    """Runs of blanks and tabs become one blank."""
+    return where_held(F.replace(text, F.lit("\t"), F.lit(" ")), "  ", ("  +", " "))
+
+
 def unescaped(text: Column) -> Column:
     """The text with the listed entities as characters; others stay as they are, and null becomes empty."""
     out = F.coalesce(text, F.lit(""))

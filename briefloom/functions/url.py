@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from briefloom.functions.similarity import bound
 from briefloom.functions.text import filled
 
 # Where ids and the parts of an address stand in URLs.
@@ -91,26 +92,32 @@ def absolute(page: Column, target: Column) -> Column:
 
     Steps up and steps on the spot are taken out of paths. A null target counts as empty, which is the page itself.
     """
-    target = F.coalesce(target, F.lit(""))
-    of_page, of_target = (lambda i: F.regexp_extract(page, PARTS, i)), (lambda i: F.regexp_extract(target, PARTS, i))
-    origin, where = F.concat(of_page(1), F.lit(":"), of_page(2)), of_target(3)
-    beside = F.regexp_replace(F.concat(F.lit("/"), F.regexp_extract(of_page(3), "^(.*/)", 1), where), "/{2,}", "/")
-    full = F.when(F.startswith(where, F.lit("/")), where).otherwise(beside)
-    steps = F.aggregate(
-        F.split(F.regexp_replace(full, r"/(\.{1,2})$", "/$1/"), "/"),
-        F.array().cast("array<string>"),
-        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
-    )
-    walked = F.when(F.contains(full, F.lit("/.")), F.concat(F.lit("/"), F.regexp_replace(F.array_join(steps, "/"), "^/", ""))).otherwise(full)
-    rest = F.concat(of_target(4), of_target(5))
-    return (
-        F.when(of_target(1) != "", target)
-        .when(target == "", page)
-        .when(of_target(2) != "", F.concat(of_page(1), F.lit(":"), target))
-        .when(where != "", F.concat(origin, walked, rest))
-        .when(of_target(4) != "", F.concat(origin, of_page(3), rest))
-        .otherwise(F.concat(origin, of_page(3), of_page(4), rest))
-    )
+    of_page = lambda i: F.regexp_extract(page, PARTS, i)
+    origin = F.concat(of_page(1), F.lit(":"), of_page(2))
+
+    def walked(full: Column) -> Column:
+        steps = F.aggregate(
+            F.split(F.regexp_replace(full, r"/(\.{1,2})$", "/$1/"), "/"),
+            F.array().cast("array<string>"),
+            lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+        )
+        return F.when(F.contains(full, F.lit("/.")), F.concat(F.lit("/"), F.regexp_replace(F.array_join(steps, "/"), "^/", ""))).otherwise(full)
+
+    def resolved(t: Column) -> Column:
+        target, where, rest = t["whole"], t["part3"], F.concat(t["part4"], t["part5"])
+        beside = F.regexp_replace(F.concat(F.lit("/"), F.regexp_extract(of_page(3), "^(.*/)", 1), where), "/{2,}", "/")
+        full = F.when(F.startswith(where, F.lit("/")), where).otherwise(beside)
+        return (
+            F.when(t["part1"] != "", target)
+            .when(target == "", page)
+            .when(t["part2"] != "", F.concat(of_page(1), F.lit(":"), target))
+            .when(where != "", F.concat(origin, bound(full, walked), rest))
+            .when(t["part4"] != "", F.concat(origin, of_page(3), rest))
+            .otherwise(F.concat(origin, of_page(3), of_page(4), rest))
+        )
+
+    parts = lambda whole: F.struct(whole.alias("whole"), *[F.regexp_extract(whole, PARTS, i).alias(f"part{i}") for i in range(1, 6)])
+    return bound(bound(F.coalesce(target, F.lit("")), parts), resolved)
 
 
 def image_key(url: Column) -> Column:
