@@ -39,16 +39,19 @@ def date_parts(raw: Column) -> Column:
 
     Months are names or numbers. Where all three are numbers and the year is last, the month is first unless it is over 12.
     """
-    text = F.lower(F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " ")))
-    found = []
-    for pattern, groups in DAY_FORMS:
-        whole = rf"^{_WEEKDAY}{pattern}"
-        year, month, day, rest = (F.regexp_extract(text, whole, i) for i in groups)
-        swapped = month.try_cast("int") > 12
-        turned = groups[0] == 3 and "[-/.]" in pattern
-        names = (F.when(swapped, day).otherwise(month), F.when(swapped, month).otherwise(day)) if turned else (month, day)
-        found.append(F.when(text.rlike(whole), F.struct(year.alias("year"), names[0].alias("month"), names[1].alias("day"), rest.alias("rest"))))
-    return F.coalesce(*found)
+
+    def read(text: Column) -> Column:
+        found = []
+        for pattern, groups in DAY_FORMS:
+            whole = rf"^{_WEEKDAY}{pattern}"
+            year, month, day, rest = (F.regexp_extract(text, whole, i) for i in groups)
+            swapped = month.try_cast("int") > 12
+            turned = groups[0] == 3 and "[-/.]" in pattern
+            names = (F.when(swapped, day).otherwise(month), F.when(swapped, month).otherwise(day)) if turned else (month, day)
+            found.append(F.when(text.rlike(whole), F.struct(year.alias("year"), names[0].alias("month"), names[1].alias("day"), rest.alias("rest"))))
+        return F.coalesce(*found)
+
+    return bound(F.lower(F.trim(F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?U)\s+", " "))), read)
 
 
 def parse_date_ms(raw: Column, now_ms: int) -> Column:
@@ -57,20 +60,26 @@ def parse_date_ms(raw: Column, now_ms: int) -> Column:
     A time without zone is UTC; a year of two digits is the one within fifty years of now. Days that do not exist, partial
     dates, texts with further words and times over two days ahead are null.
     """
-    number = lambda c: c.try_cast("int")
+    # A cast that fails costs far more than a look at the text.
+    number = lambda c: F.when(c.rlike(r"^\d{1,9}$"), c.try_cast("int"))
+
+    def told(p: Column) -> Column:
+        rest = p["rest"]
+        clock = [F.regexp_extract(rest, TIME, i).alias(f"clock{i}") for i in range(1, 7)]
+        hour = [F.regexp_extract(rest, HOUR, i).alias(f"hour{i}") for i in range(1, 4)]
+        return F.when(p.isNotNull(), F.struct(p.alias("day"), rest.rlike(TIME).alias("timed"), rest.rlike(HOUR).alias("by_hour"), *clock, *hour))
 
-    def moment(p: Column) -> Column:
+    def moment(t: Column) -> Column:
+        p, timed, by_hour, clock = t["day"], t["timed"], t["by_hour"], lambda i: t[f"clock{i}"]
         century = F.lit(now_ms / (365.2425 * DAY_MS) + 1970).cast("int")
         short = century - century % 100 + number(p["year"])
         near = F.when(short >= century + 50, short - 100).when(short < century - 50, short + 100).otherwise(short)
         year = F.when(F.length(p["year"]) == 2, near).otherwise(number(p["year"]))
         month = F.coalesce(number(p["month"]), F.array_position(F.array(*map(F.lit, MONTHS)), F.left(p["month"], F.lit(3))).cast("int"))
-        clock = lambda i: F.regexp_extract(p["rest"], TIME, i)
-        timed, by_hour = p["rest"].rlike(TIME), p["rest"].rlike(HOUR)
-        half = F.left(F.when(by_hour, F.regexp_extract(p["rest"], HOUR, 2)).otherwise(clock(5)), F.lit(1))
-        hour = F.when(by_hour, number(F.regexp_extract(p["rest"], HOUR, 1))).otherwise(number(clock(1)))
+        half = F.left(F.when(by_hour, t["hour2"]).otherwise(clock(5)), F.lit(1))
+        hour = F.when(by_hour, number(t["hour1"])).otherwise(number(clock(1)))
         hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0))
-        zone = F.when(by_hour, F.regexp_extract(p["rest"], HOUR, 3)).otherwise(clock(6))
+        zone = F.when(by_hour, t["hour3"]).otherwise(clock(6))
         sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
         digits = F.regexp_replace(zone, r"\D", "")
         off = lambda i: F.coalesce(number(F.regexp_extract(digits, r"^(\d{1,2}?)(\d{2})?$", i)), F.lit(0))
@@ -84,8 +93,8 @@ def parse_date_ms(raw: Column, now_ms: int) -> Column:
         real = F.coalesce(number(clock(3)), F.lit(0)) < 60
         return F.when((bare | by_hour | timed) & real, F.unix_millis(at) + F.when(bare | by_hour, 0).otherwise(part) - sign * (off(1) * 60 + off(2)) * 60_000)
 
-    ms = bound(date_parts(raw), moment)
-    return F.when(ms <= now_ms + 2 * DAY_MS, ms)
+    ms = bound(bound(date_parts(raw), told), moment)
+    return bound(ms, lambda ms: F.when(ms <= now_ms + 2 * DAY_MS, ms))
 
 
 # Names of the date of first publication; a date beside the time that reading takes; dates behind a word that says so.
