@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from briefloom.functions import html
 from briefloom.functions.article import stripped
 from briefloom.functions.similarity import bound
+from briefloom.functions.text import single_blanks, where_held
 
 # Sections that say nothing of what a project does, by their headings.
 BOILERPLATE = (
@@ -37,24 +38,29 @@ BOILERPLATE = (
 BAR_CHARS, CELL_CHARS, LEAST_CELLS, PIECE_CHARS, BARE_HEADING = 400, 16, 3, 40, 40
 
 _LINK = r"\[([^\]]*)\]\([^)]*\)"
-_BETWEEN = r"(?U)[|·•/\\\-—–>»\s]+"
+_ONLY_BETWEEN = r"(?U)\A[|·•/\\\-—–>»\s]*+\z"
+_FENCE = "`{3,}|~{3,}"
 _DIVIDER = r"^\s*\|?(?:\s*:?-{2,}:?\s*\|)+\s*:?-{2,}:?\s*\|?\s*$"
 
 
 def bar_kind(line: Column) -> Column:
     """``link``: links and marks only; ``row``: a row of short names; ``pipe``: a short piece that ends in a bar; else empty."""
-    text = stripped(line)
-    left_over = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _LINK, ""), r"(?is)<a\b.*?</a>", ""), "<[^>]+>", "")
-    plain = stripped(F.regexp_replace(F.regexp_replace(text, _LINK, "$1"), "<[^>]+>", ""))
-    cells = F.filter(F.transform(F.split(plain, r"\|"), lambda c: stripped(c)), lambda c: c != "")
-    return (
-        F.when((text == "") | (F.length(text) > BAR_CHARS), "")
-        .when(F.regexp_replace(left_over, _BETWEEN, "") == "", "link")
-        .when(F.startswith(text, F.lit("|")), "")
-        .when((F.size(cells) >= LEAST_CELLS) & ~F.exists(cells, lambda c: F.length(c) > CELL_CHARS), "row")
-        .when(F.endswith(plain, F.lit("|")) & (F.length(plain) <= PIECE_CHARS), "pipe")
-        .otherwise("")
-    )
+    cells = lambda plain: F.filter(F.transform(F.split(plain, r"\|"), lambda c: stripped(c)), lambda c: c != "")
+    row = lambda cells: (F.size(cells) >= LEAST_CELLS) & ~F.exists(cells, lambda c: F.length(c) > CELL_CHARS)
+
+    def kind(text: Column) -> Column:
+        left_over = where_held(where_held(text, "](", (_LINK, "")), "<", (r"(?is)<a\b.*?</a>", ""), ("<[^>]+>", ""))
+        plain = stripped(where_held(where_held(text, "](", (_LINK, "$1")), "<", ("<[^>]+>", "")))
+        # Only a line with a bar is a row or a piece of one.
+        by_bars = bound(plain, lambda p: F.when(bound(cells(p), row), "row").when(F.endswith(p, F.lit("|")) & (F.length(p) <= PIECE_CHARS), "pipe").otherwise(""))
+        return (
+            F.when((text == "") | (F.length(text) > BAR_CHARS), "")
+            .when(left_over.rlike(_ONLY_BETWEEN), "link")
+            .when(F.startswith(text, F.lit("|")) | ~F.contains(text, F.lit("|")), "")
+            .otherwise(by_bars)
+        )
+
+    return bound(stripped(line), kind)
 
 
 def without_bars(text: Column) -> Column:
@@ -80,10 +86,10 @@ def without_sections(text: Column, names: str = BOILERPLATE) -> Column:
     skipped = rf"(?iU)^(?:{names})\s*[:：]?$"
 
     def opened(line: Column) -> Column:
-        head = F.regexp_extract(line, r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$", 1)
-        bare = stripped(line)
+        head = F.when(F.contains(line, F.lit("#")), F.regexp_extract(line, r"^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$", 1)).otherwise("")
         skips = lambda name: stripped(F.regexp_replace(name, r"(?U)\s+", " ")).rlike(skipped)
-        return F.when(head != "", skips(head)).when((bare != "") & (F.length(bare) <= BARE_HEADING) & bare.rlike(skipped), True)
+        unmarked = bound(stripped(line), lambda bare: F.when((bare != "") & (F.length(bare) <= BARE_HEADING) & bare.rlike(skipped), True))
+        return bound(head, lambda head: F.when(head != "", skips(head)).otherwise(unmarked))
 
     def kept(lines: Column) -> Column:
         heads = F.filter(F.transform(lines, lambda line, i: F.struct(i.alias("at"), opened(line).alias("skips"))), lambda h: h["skips"].isNotNull())
@@ -97,26 +103,25 @@ def table_rows(text: Column) -> Column:
     """Rows of markdown tables as cells between bars, without the line that divides head and body; empty cells stay."""
 
     def row(line: Column) -> Column:
-        text = stripped(line)
-        cells = F.transform(F.split(F.btrim(text, F.lit("|")), r"\|"), lambda c: stripped(c))
-        bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-        return F.when(F.startswith(text, F.lit("|")) & F.endswith(text, F.lit("|")) & (bars >= 3), F.array_join(cells, " | ")).otherwise(line)
+        cells = lambda text: F.transform(F.split(F.btrim(text, F.lit("|")), r"\|"), lambda c: stripped(c))
+        bars = lambda text: F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+        return bound(stripped(line), lambda text: F.when(F.startswith(text, F.lit("|")) & F.endswith(text, F.lit("|")) & (bars(text) >= 3), F.array_join(cells(text), " | ")).otherwise(line))
 
-    return bound(F.split(text, "\n"), lambda lines: F.array_join(F.transform(F.filter(lines, lambda x: ~stripped(x).rlike(_DIVIDER)), row), "\n"))
+    # Dividers have bars, too.
+    rows = lambda text: bound(F.split(text, "\n"), lambda lines: F.array_join(F.transform(F.filter(lines, lambda x: ~stripped(x).rlike(_DIVIDER)), row), "\n"))
+    return bound(text, lambda text: F.when(F.contains(text, F.lit("|")), rows(text)).otherwise(text))
 
 
 def without_code(raw: Column) -> Column:
     """The text without comments, fenced and preformatted code, and pictures."""
     text = F.coalesce(raw, F.lit(""))
-    for pattern, mark in (
-        ("(?s)<!--.*?-->", " "),
-        (r"(?msd)^[ \t]*(`{3,}|~{3,})[^\n]*\n.*?^[ \t]*\1[ \t]*$", "\n"),
-        (r"(?msd)^[ \t]*(?:`{3,}|~{3,})[^\n]*\n.*\z", "\n"),
-        (r"(?is)<(pre|code)\b[^>]*>.*?</\1>", " "),
-        (r"!\[[^\]]*\]\([^)]*\)", ""),
-    ):
-        text = F.regexp_replace(text, pattern, mark)
-    return text
+    text = where_held(text, "<!--", ("(?s)<!--.*?-->", " "))
+    closed, opened = r"(?msd)^[ \t]*({0})[^\n]*\n.*?^[ \t]*\1[ \t]*$", r"(?msd)^[ \t]*(?:{0})[^\n]*\n.*\z"
+    fence = lambda t: F.contains(t, F.lit("```")) | F.contains(t, F.lit("~~~"))
+    cut = lambda t: F.regexp_replace(F.regexp_replace(t, closed.replace("{0}", _FENCE), "\n"), opened.replace("{0}", _FENCE), "\n")
+    text = bound(text, lambda t: F.when(fence(t), cut(t)).otherwise(t))
+    text = where_held(text, "<", (r"(?is)<(pre|code)\b[^>]*>.*?</\1>", " "))
+    return where_held(text, "![", (r"!\[[^\]]*\]\([^)]*\)", ""))
 
 
 def with_readme_text(rows: DataFrame, raw: str, name: str, names: str = BOILERPLATE) -> DataFrame:
@@ -129,7 +134,8 @@ def with_readme_text(rows: DataFrame, raw: str, name: str, names: str = BOILERPL
             yield batch.set_column(batch.schema.get_field_index(name), name, pa.array(texts, pa.string()))
 
     text = table_rows(without_sections(F.col(name), names))
-    for pattern, mark in ((_LINK, "$1"), (r"(?Umd)^\s*[#>]+\s*", ""), ("[*`~]+", ""), ("[ \t]+", " "), ("\n{3,}", "\n\n")):
-        text = F.regexp_replace(text, pattern, mark)
+    text = where_held(text, "](", (_LINK, "$1"))
+    text = F.regexp_replace(F.regexp_replace(text, r"(?Umd)^\s*[#>]+\s*", ""), "[*`~]+", "")
+    text = where_held(single_blanks(text), "\n\n\n", ("\n{3,}", "\n\n"))
     # A step over batches stays apart from the array functions around it, which can hold no Python.
     return marked.mapInArrow(parsed, marked.schema).withColumn(name, stripped(text))
