@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from briefloom.functions import html, url
 from briefloom.functions.similarity import bound
-from briefloom.functions.text import WHITE, blank, cjk_ratio
+from briefloom.functions.text import WHITE, bare_line_ends, blank, cjk_ratio, single_blanks, where_held
 
 # Months, dates on a line of their own, and what stands before, between and behind the paragraphs of pages.
 MONTHS = (
@@ -222,11 +222,11 @@ def join_hyphens(text: Column, over_blanks: bool = False) -> Column:
 
     ``over_blanks`` also joins over blanks around the line's end, and then keeps runs of blanks within lines.
     """
-    gap = r"-\s*\n\s*" if over_blanks else "-\n"
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U)(?<=\w){gap}(?=\w)", "")
-    for pattern, mark in ([("[ \t]+\n", "\n")] if over_blanks else [("[ \t]+", " "), (" *\n *", "\n")]) + [("\n{3,}", "\n\n")]:
-        out = F.regexp_replace(out, pattern, mark)
-    return stripped(out)
+    gap = r"\s*\n\s*" if over_blanks else "\n"
+    # The hyphen comes first: what is before it is only looked at where one stands.
+    out = where_held(F.coalesce(text, F.lit("")), "-", (rf"(?U)-(?<=\w-){gap}(?=\w)", ""))
+    out = where_held(out, "\n", ("[ \t]+\n", "\n")) if over_blanks else bare_line_ends(single_blanks(out))
+    return stripped(where_held(out, "\n\n\n", ("\n{3,}", "\n\n")))
 
 
 def is_edge_topic(title: Column, title_cn: Column, summary: Column) -> Column:

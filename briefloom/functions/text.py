@@ -49,6 +49,12 @@ def single_blanks(text: Column) -> Column:
     return where_held(F.replace(text, F.lit("\t"), F.lit(" ")), "  ", ("  +", " "))
 
 
+def bare_line_ends(text: Column) -> Column:
+    """Blanks at the ends and starts of lines go."""
+    beside = lambda t: F.contains(t, F.lit(" \n")) | F.contains(t, F.lit("\n "))
+    return bound(text, lambda t: F.when(beside(t), F.regexp_replace(t, " +\n *|\n +", "\n")).otherwise(t))
+
+
 def unescaped(text: Column) -> Column:
     """The text with the listed entities as characters; others stay as they are, and null becomes empty."""
     out = F.coalesce(text, F.lit(""))

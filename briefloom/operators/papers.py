@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briefloom.functions.article import join_hyphens, stripped
+from briefloom.functions.text import once
 
 # Names of sections with the headings that open them, in the order in which a line is tried.
 _NUMBER = r"(?:\d+(?:\.\d+)*[\s.]*)?"
@@ -39,12 +40,12 @@ SUBJECTS = r"\b(?:artificial intelligence|AI|Genesis Mission|R&D|research|comput
 DUTY_POINTS, SUBJECT_POINTS, VISUAL_POINTS = 5, 3, 10
 DOCUMENT_CHARS, CAPTION_ROOM, HEAD_PAGES = 8000, 4000, 3
 
-_BREAK = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
+_BREAK = r"[\n\x0B\f\r\x1C-\x1E\x85\u2028\u2029]"
 
 
 def _lines(text: Column) -> Column:
     """Stripped lines that are not blank."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda line: stripped(line)), lambda line: line != "")
+    return F.filter(F.transform(F.split(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), _BREAK), lambda line: stripped(line)), lambda line: line != "")
 
 
 def section_name(line: Column, sections: dict[str, str] = SECTIONS) -> Column:
@@ -92,7 +93,8 @@ def captions(pages: DataFrame, doc: str, page: str, text: str, pattern: str = CA
     A line that says no more than which figure it means is a reference in the text, not a caption.
     """
     begins = rf"(?iU){pattern}"
-    rows = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(text).alias("raw"), _lines(F.col(text)).alias("lines"))
+    rows = once(pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(text).alias("raw")), raw=F.col("raw"))
+    rows = once(rows, lines=_lines(F.col("raw")))
     told = lambda line: line.rlike(begins) & (F.length(F.btrim(F.regexp_replace(line, begins, ""), F.lit(" .|:—-"))) >= CAPTION_LEAST)
     places = F.filter(F.transform("lines", lambda line, i: F.when(told(line), i)), lambda i: i.isNotNull())
     found = rows.select("doc", "page", "raw", "lines", F.explode(places).alias("at"))
@@ -116,7 +118,7 @@ def chosen_pages(pages: DataFrame, visual: DataFrame, doc: str, page: str, text:
     one of the first three is blank, a page with figures takes its place, or else the next page.
     """
     shown = visual.select(F.col(doc).alias("doc"), F.explode("pages").alias("page")).withColumn("visual", F.lit(True))
-    rows = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), join_hyphens(F.col(text), over_blanks=True).alias("text")).where("text <> ''")
+    rows = once(pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(text).alias("text")), text=join_hyphens(F.col("text"), over_blanks=True)).where("text <> ''")
     rows = rows.alias("r").join(shown.alias("v"), F.expr("r.doc <=> v.doc AND r.page = v.page"), "left").select("r.*", F.coalesce("v.visual", F.lit(False)).alias("visual"))
     count = lambda pattern: F.regexp_count("text", F.lit(rf"(?iU){pattern}"))
     points = DUTY_POINTS * count(duties) + SUBJECT_POINTS * count(subjects) + F.when(F.col("visual"), VISUAL_POINTS).otherwise(0)
