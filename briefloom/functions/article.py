@@ -75,7 +75,22 @@ POLICY_PREFIX = "whitehouse-tech-"
 LEAD_CHARS, LABEL_CHARS, FOOTER_CHARS, RIGHTS_CHARS, BAR_CHARS, BYLINE_HEAD = 45, 40, 30, 60, 80, 120
 OLD_TRANSLATION_CHARS = 3000
 
-unescape_text = html._batched(unescape)
+# What the standard library takes for an entity; white space of clean bodies beside line ends.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+BLANKS = "\t\u00a0\u3000"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _characters_of(entities: pd.Series) -> pd.Series:
+    return entities.map(lambda found: [unescape(entity) for entity in found])
+
+
+def unescape_text(text: Column) -> Column:
+    """The text with its entities as characters; only they go through Python, and null becomes empty."""
+    whole = F.coalesce(text, F.lit(""))
+    marks = _characters_of(F.regexp_extract_all(whole, F.lit(ENTITY), 0))
+    joined = F.zip_with(F.split(whole, ENTITY), marks, lambda part, mark: F.concat(part, F.coalesce(mark, F.lit(""))))
+    return F.when(F.contains(whole, F.lit("&")), F.array_join(joined, "")).otherwise(whole)
 
 
 def stripped(text: Column) -> Column:
@@ -181,9 +196,9 @@ def clean_body(text: Column, source: Column) -> Column:
         return F.concat(F.regexp_replace(F.when(cjk_ratio(head) >= 0.3, bare).otherwise(head), r"(?U)^\s+", ""), tail)
 
     out = bound(stripped(unescape_text(text)), without_byline)
-    for pattern, mark in (("[ \t 　]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n"), (FEED_TAIL, "")):
-        out = stripped(F.regexp_replace(out, pattern, mark))
-    return out
+    out = stripped(bare_line_ends(stripped(single_blanks(F.translate(out, BLANKS, " " * len(BLANKS))))))
+    out = stripped(where_held(out, "\n\n\n", ("\n{3,}", "\n\n")))
+    return bound(out, lambda t: F.when(F.contains(F.lower(t), F.lit("the post")), stripped(F.regexp_replace(t, FEED_TAIL, ""))).otherwise(t))
 
 
 def display_body(body: Column, translated: Column, covered: Column) -> Column:
