@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -299,6 +300,12 @@ class PieceTrie(PieceTexts):
         return ids, np.concatenate([[0], ends])[bounds]
 
 
+@lru_cache(maxsize=1)
+def worker_trie(model: bytes) -> PieceTrie:
+    """The trie of a worker with the words that it knows, for all tasks that the worker runs; another model takes its place."""
+    return PieceTrie(model)
+
+
 def _pieces_and_texts(trie: PieceTrie, texts: pa.Array, decoded: bool) -> list[pa.Array]:
     ids, offsets = trie.encode([t or "" for t in texts.to_pylist()])
     pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
@@ -316,9 +323,8 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", keep: tuple
     made = ["pieces", "n_pieces", *(["decoded"] if decoded else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = None  # one for each task, so that a worker keeps nothing between tasks
         for batch in text_slices(batches, "_text", SLICE):
-            trie = trie or PieceTrie(shared.value)
+            trie = worker_trie(shared.value)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *_pieces_and_texts(trie, batch["_text"], decoded)], [*keep, *made])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]]

@@ -5,6 +5,7 @@ from html import unescape
 from pyspark.sql import functions as F
 
 from briefloom.functions import article, dates, markdown, readme, text
+from briefloom.llm import registry, sentencepiece_codec
 from briefloom.operators import papers
 
 ODD = ["", " ", "a", "　 a b  ", "\n\r\n a \x85", "\x1c a \x1f", "​ a", "a \n", "\t a", "a  ", "  "]
@@ -99,3 +100,12 @@ def test_only_entities_go_through_python(spark):
     assert spark.range(1).select(seen.alias("b")).first()["b"] == "x y\n\nz"
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "_characters_of(regexp_extract_all(" in plan
+
+
+def test_a_worker_builds_its_trie_once():
+    """op6: every task built the vocabulary's trie again and lost the words that it knew."""
+    with open(registry.tokenizer_file("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    first = sentencepiece_codec.worker_trie(model)
+    first.encode(["some words"])
+    assert sentencepiece_codec.worker_trie(bytes(bytearray(model))) is first and first.memo
