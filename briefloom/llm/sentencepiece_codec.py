@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding over a shared-prefix trie of words.
 
-A text is marked as the library does it: a blank in front, every blank written as the mark, and cut before each run of
-marks, since no piece holds a mark behind another symbol. The distinct marked words of a slice of texts are sorted,
-which is a depth-first walk of their trie: a word takes over the forward states of the prefix that it shares with the
-word before it and only adds the states of its own symbols.
+A text is marked as the library does it: a blank in front, every blank written as the mark. It is cut into words between
+two symbols that no piece joins, so before each run of marks and mostly beside punctuation; for a unigram model before
+runs of marks only. The distinct words of a slice of texts that are not known yet are sorted, which is a depth-first walk
+of their trie: a word takes over the forward states of the prefix that it shares with the word before it and only adds the
+states of its own symbols. Arrow and numpy cut texts and put pieces together; Python sees a distinct word once a slice.
 
 Unigram models. The forward state of a prefix is its best score with the piece that ends it, as in Viterbi's algorithm;
 the pieces are traced back from the word's end.
@@ -23,7 +24,7 @@ only where asked for; pieces that spell no valid UTF-8 decode with replacement c
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -39,13 +40,8 @@ from briefloom.llm.common import read_table, text_slices, tidy
 MARK = "▁"
 #: What the library takes off the least score for a symbol that no piece spells.
 UNKNOWN_PENALTY = 10.0
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NEVER = 1 << 60
-MEMO_PAIRS, MEMO_WORDS, SLICE = 400_000, 400_000, 2 << 20
-
-
-def marked_words(text: str) -> list[str]:
-    return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
+MEMO_PAIRS, MEMO_WORDS, SLICE = 400_000, 250_000, 2 << 20
 
 
 class PieceTexts:
@@ -108,12 +104,19 @@ class PieceTrie(PieceTexts):
                 for symbol in piece[:-1]:
                     behind = behind.setdefault(symbol, [-1, {}])[1]
                 behind.setdefault(piece[-1], [-1, {}])[0] = i
-        # Symbols that no piece joins with a letter: a word may be cut between the two.
-        beside = {x for p in self.ids for a, b in zip(p, p[1:], strict=False) for x, y in ((a, b), (b, a)) if y.isalpha()}
-        apart = re.escape("".join(c for c in ".,;:!?\n" if c not in beside))
-        self.cut = re.compile(f"(?<=[^\\W\\d_])(?=[{apart}])|(?<=[{apart}])(?=[^\\W\\d_])") if apart else None
+        # Last and first bytes of two symbols that a piece may join; a blank stands for the mark.
+        self.joins = np.zeros((256, 256), bool)
+        if self.unigram:
+            self.joins[:] = True
+            self.joins[:32, 32] = self.joins[33:, 32] = False
+        else:
+            for piece in self.ids:
+                symbols = [c.encode() for c in piece.replace(MARK, " ")]
+                self.joins[[c[-1] for c in symbols[:-1]], [c[0] for c in symbols[1:]]] = True
         self.fits: dict[int, bool] = {}
-        self.memo: dict[str, list[int]] = {}
+        # Pieces of known words as bytes of 32-bit numbers; words that were not asked for lately are in the older part.
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def merged(self, word: str) -> list[str]:
         """Merges pair by pair, the best rank first and the leftmost of equals; a heap holds the pairs that can merge."""
@@ -259,45 +262,69 @@ class PieceTrie(PieceTexts):
         out.reverse()
         return out
 
-    def encode_words(self, words: set[str]) -> dict[str, list[int]]:
+    def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         if self.unigram:
             plain = sorted(words)
             return dict(zip(plain, self.walk_scores(plain), strict=True))
-        stems = {w: self.cut.split(w) if self.cut else [w] for w in words if not w.startswith(MARK + MARK)}
-        plain = sorted(set().union(*stems.values()))
-        known = dict(zip(plain, self.walk(plain), strict=True))
-        out = {w: known[parts[0]] if len(parts) == 1 else [i for p in parts for i in known[p]] for w, parts in stems.items()}
-        for word in words - out.keys():
-            ids = []
-            for part in self.merged(word):
-                piece = self.ids.get(part)
-                ids += [piece] if piece is not None else [self.bytes[b] for b in part.encode()]
-            out[word] = ids
+        plain = sorted(w for w in words if MARK + MARK not in w)
+        out = dict(zip(plain, self.walk(plain), strict=True))
+        for word in words if len(plain) < len(words) else []:
+            if MARK + MARK in word:
+                ids = out[word] = []
+                for part in self.merged(word):
+                    piece = self.ids.get(part)
+                    ids += [piece] if piece is not None else [self.bytes[b] for b in part.encode()]
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All piece ids one after another, and the n + 1 offsets between texts."""
-        split = [marked_words(t) for t in texts]
-        sizes = np.array([len(w) for w in split], np.int64)
-        distinct = set().union(*split)
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All words of marked texts one after another, with blanks for marks, and the n + 1 offsets between texts."""
+        plain = pc.replace_substring(pc.fill_null(texts, "").cast(pa.binary()), MARK.encode(), b" ")
+        front = pc.if_else(pc.equal(pc.binary_length(plain), 0), pa.scalar(b""), pa.scalar(b" "))
+        marked = pc.binary_join_element_wise(front, plain, pa.scalar(b""))
+        _, ends, buffer = marked.buffers()
+        ends = np.frombuffer(ends, np.int32)[marked.offset : marked.offset + len(marked) + 1]
+        data = np.frombuffer(buffer, np.uint8, int(ends[-1])) if ends[-1] else np.zeros(0, np.uint8)
+        starts = np.zeros(len(data) + 1, bool)
+        if len(data):
+            behind = data[1:]
+            starts[1:-1] = ~self.joins.reshape(-1)[data[:-1].astype(np.uint16) << 8 | behind] & (behind & 0xC0 != 0x80)
+        starts[ends] = True
+        places = np.flatnonzero(starts)
+        words = pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32).tobytes()), buffer])
+        return words, np.searchsorted(places, ends)
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """The pieces of distinct words; only those that are in no part of the memo are walked."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        self.memo.update(self.encode_words(distinct.difference(self.memo)))
-        place, lengths, pool = {}, [], []
-        for i, word in enumerate(distinct):
-            ids = self.memo[word]
-            place[word] = i
-            lengths.append(len(ids))
-            pool += ids
-        pool, lengths = np.array(pool, np.int32), np.array(lengths, np.int64)
+            self.older, self.memo = self.memo, {}
+        memo, older, out, new = self.memo, self.older, [], []
+        for at, word in enumerate(words):
+            ids = memo.get(word)
+            if ids is None:
+                ids = older.get(word)
+                if ids is None:
+                    new.append(at)
+                else:
+                    memo[word] = ids
+            out.append(ids)
+        names = [words[at].decode().replace(" ", MARK) for at in new]
+        found = self.encode_words(names)
+        for at, name in zip(new, names, strict=True):
+            out[at] = memo[words[at]] = array("i", found[name]).tobytes()
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All piece ids one after another, and the n + 1 offsets between texts."""
+        words, bounds = self.cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = words.dictionary_encode()
+        pieces = self.known(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        pool, rows = np.frombuffer(b"".join(pieces), np.int32), coded.indices.to_numpy()
         begins = np.cumsum(lengths) - lengths
-        rows = np.fromiter((p for words in split for p in map(place.__getitem__, words)), np.int64, int(sizes.sum()))
         counts = lengths[rows]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.arange(total) + np.repeat(begins[rows] - (ends - counts), counts)]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, np.concatenate([[0], ends])[bounds]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = pool[np.arange(ends[-1]) + np.repeat(begins[rows] - ends[:-1], counts)]
+        return ids, ends[bounds]
 
 
 @lru_cache(maxsize=1)
@@ -307,7 +334,7 @@ def worker_trie(model: bytes) -> PieceTrie:
 
 
 def _pieces_and_texts(trie: PieceTrie, texts: pa.Array, decoded: bool) -> list[pa.Array]:
-    ids, offsets = trie.encode([t or "" for t in texts.to_pylist()])
+    ids, offsets = trie.encode(texts)
     pieces = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
     return [pieces, pa.array(np.diff(offsets), pa.int64()), *([trie.decode_all(ids, offsets)] if decoded else [])]
 

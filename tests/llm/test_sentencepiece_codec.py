@@ -112,3 +112,19 @@ def test_unigram_models_take_the_best_sum_of_scores():
         own = ids[offsets[i] : offsets[i + 1]]
         assert own.tolist() == library.encode(text)
     assert trie.decode_all(ids, offsets).to_pylist() == some
+
+
+def test_a_word_is_walked_once_whatever_stands_beside_it(library, monkeypatch):
+    """op6 of round 3: words were cut beside six marks only, and all known words went at once when there were too many."""
+    from briefloom.llm import sentencepiece_codec
+
+    trie, walked = PieceTrie(open(FILE, "rb").read()), []
+    walk = trie.walk
+    monkeypatch.setattr(trie, "walk", lambda words: walked.extend(words) or walk(words))
+    monkeypatch.setattr(sentencepiece_codec, "MEMO_WORDS", 5)
+    trie.encode(["ontion", "shble###", "a b c d e f g h"])
+    del walked[:]
+    some = ["ontion###", "(ontion)", "ontion&&&", "shble$$$", "ontion's", " ontion.\n", "日ontion"]
+    ids, offsets = trie.encode(some)
+    assert not any("shble" in w or "▁ontion" in w and "'" not in w for w in walked)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t) for t in some]
