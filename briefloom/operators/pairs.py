@@ -10,7 +10,7 @@ paired with one another.
 ``alike_titles`` holds blocks of titles against one another. All titles of one language share most pairs of letters, so an index
 of them lists nearly all pairs, and some of them often; here a pair costs a few operations on bits and nothing is written for it.
 Bags of characters come first. What they leave is held against the length of the longest common subsequence, which no matcher's
-blocks exceed, by one word of 64 bits a pair, for many pairs at once.
+blocks exceed, by one word of 64 bits a pair, for many pairs at once; most pairs are given up after a third of their characters.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ BLOCK = 8192
 CONTEXTS, LISTED = 16_384, 512
 #: Bits of a word, and characters of the other title that run against them; a longer one is left to the comparison.
 WORD, RUN = 64, 256
+#: Characters after which pairs that are too far apart already are given up.
+STOPS = (16, 20, 24, 32, 48)
 #: Pairs that run at once.
 AT_ONCE = 1 << 16
 
@@ -120,11 +122,15 @@ def alike_titles(titles: DataFrame, least: float, block: int = BLOCK) -> DataFra
     long_enough = titles.where(F.length("t") >= 2)
     blocks = long_enough.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    marks = long_enough.join(blocks, "grp").select("grp", "id", "blocks", own.alias("block"), F.length("t").alias("size"), F.left("t", F.lit(RUN)).alias("t"), *[bits.alias(f"bag{k}") for k, bits in enumerate(_bag(F.col("t")))])
+    sorted_ = long_enough.join(blocks, "grp").select("grp", "id", "blocks", own.alias("block"), F.length("t").alias("size"), F.left("t", F.lit(RUN)).alias("t"), _kinds(F.col("t")).alias("kinds"))
+    marks = sorted_.select("*", *[bits.alias(f"bag{k}") for k, bits in enumerate(_bag(F.col("kinds")))]).drop("kinds")
     placed = marks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
     kind = titles.schema["id"].dataType.simpleString()
-    return cells.groupBy("grp", "i", "j").applyInArrow(_alike_in_cell(least), f"a {kind}, b {kind}")
+    # Few bytes are much work here: as many tasks as cores can share, which adaptive plans would join by their bytes.
+    session = titles.sparkSession
+    tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    return cells.repartition(tasks, "grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(_alike_in_cell(least), f"a {kind}, b {kind}")
 
 
 def _alike_in_cell(least: float) -> Callable[[pa.Table], pa.Table]:
@@ -169,7 +175,7 @@ def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rank = np.empty(len(codes), np.int64)
     rank[np.argsort(-times, kind="stable")] = np.arange(len(codes))
     rank = np.where(rank < 48, rank, 48 + rank % 16).astype(np.uint8)
-    kinds = np.full((len(texts), lengths.max()), WORD, np.uint8)
+    kinds = np.full((len(texts), lengths.max()), WORD, np.uint8, order="F")
     kinds[np.arange(lengths.max()) < lengths[:, None]] = rank[of]
     masks = np.zeros((len(texts), WORD + 1), np.uint64)
     rows = np.arange(len(texts))
@@ -180,14 +186,22 @@ def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _subsequent(waiting: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray, kinds: np.ndarray, masks: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Those pairs of places whose longest common subsequence is long enough; of the first text, what is behind 64 characters counts as common."""
+    """Those pairs of places whose longest common subsequence is long enough; of the first text, what is behind 64 characters counts as common.
+
+    Between the first k characters of both texts as many are unmatched as between the whole texts at most, and as many more as their
+    lengths differ: where the k-th of one meets another place than the k-th of the other, the way there and the way on both pay for it.
+    """
     if not waiting:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
     flat, base, left = masks.reshape(-1), x * (WORD + 1), np.full(len(x), ~np.uint64(0))
-    steps = kinds[y].T.copy()
-    for step in steps[: int(size[y].max(initial=0))]:
-        met = left & flat[base + step]
+    for at in range(min(kinds.shape[1], int(size[y].max(initial=0)))):
+        if at in STOPS and len(x):
+            unmatched = 2 * at - 2 * np.bitwise_count(~left & np.uint64((1 << at) - 1)).astype(np.int64)
+            most = (1 - least) * (size[x] + size[y]) + np.abs(size[x] - size[y]) + SLACK
+            near = (np.minimum(size[x], size[y]) < at) | (unmatched <= most)
+            x, y, base, left = x[near], y[near], base[near], left[near]
+        met = left & flat[base + kinds[:, at][y]]
         left = (left + met) | (left ^ met)
     first = np.minimum(size[x], WORD)
     common = np.bitwise_count(~left & (~np.uint64(0) >> (WORD - first).astype(np.uint64))) + (size[x] - first)
@@ -195,12 +209,16 @@ def _subsequent(waiting: list[tuple[np.ndarray, np.ndarray]], size: np.ndarray,
     return x[keep], y[keep]
 
 
-def _bag(text: Column) -> list[Column]:
+def _kinds(text: Column) -> Column:
+    """The kinds of a text's characters, of sixty-four, in order."""
+    return F.array_sort(F.transform(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), F.lit(64)).cast("int")))
+
+
+def _bag(kinds: Column) -> list[Column]:
     """Sixty-four kinds of characters as bits: those that a title has once or more, twice or more, and so on.
 
     A character more or less changes one bit at most, so titles are apart by at most as many bits as characters are unmatched.
     """
-    kinds = F.array_sort(F.transform(F.split(text, ""), lambda c: F.pmod(F.xxhash64(c), F.lit(64)).cast("int")))
     mark = lambda k: lambda kinds: F.aggregate(F.sequence(F.lit(k), F.greatest(F.size(kinds), F.lit(k + 1)) - 1), F.lit(0).cast("long"), lambda bits, i: F.when(F.get(kinds, i - k) == F.get(kinds, i), bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.get(kinds, i)))).otherwise(bits))
     return [similarity.bound(kinds, mark(k)) for k in range(BAGS)]
 
