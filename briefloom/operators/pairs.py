@@ -39,8 +39,10 @@ SLACK = 1e-6
 LEAST_RATIO = 5 / 6
 #: Titles of a block. It moves work only: a title is sent to as many cells as its group has blocks.
 BLOCK = 8192
-#: Contexts of a block, and those of one side whose pairs are listed at once.
-CONTEXTS, LISTED = 16_384, 512
+#: Contexts of a block, those of a block of one span of time, and pairs that are listed at once (of one context at least).
+CONTEXTS, NEAR, LISTED = 16_384, 32_768, 1 << 21
+#: The span of contexts without a time.
+ANY_TIME = -(1 << 62)
 #: Bits of a word, and characters of the other title that run against them; a longer one is left to the comparison.
 WORD, RUN = 64, 256
 #: Characters after which pairs that are too far apart already are given up.
@@ -127,10 +129,7 @@ def alike_titles(titles: DataFrame, least: float, block: int = BLOCK) -> DataFra
     placed = marks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
     kind = titles.schema["id"].dataType.simpleString()
-    # Few bytes are much work here: as many tasks as cores can share, which adaptive plans would join by their bytes.
-    session = titles.sparkSession
-    tasks = max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
-    return cells.repartition(tasks, "grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(_alike_in_cell(least), f"a {kind}, b {kind}")
+    return cells.repartition(_tasks(titles), "grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(_alike_in_cell(least), f"a {kind}, b {kind}")
 
 
 def _alike_in_cell(least: float) -> Callable[[pa.Table], pa.Table]:
@@ -264,42 +263,109 @@ def shared_contexts(contexts: DataFrame, within: int, block: int = CONTEXTS) ->
 
 
 def _contexts_in_cell(within: int) -> Callable[[pa.Table], pa.Table]:
-    def flat(side: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-        lists = side[name].combine_chunks()
-        return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-
     def pairs_of(cell: pa.Table) -> pa.Table:
         sides = [cell.filter(pyarrow.compute.equal(cell["side"], n)) for n in (0, 1)]
-        if not all(side.num_rows for side in sides):
-            return pa.table({"signal": pa.array([], pa.string()), "pool": pa.array([], pa.string())})
         early, late = ([side[name].fill_null(other).to_numpy() for side in sides] for name, other in (("early", -(1 << 60)), ("late", 1 << 60)))
-        (codes, ends), (others, their_ends) = (flat(side, "pairs") for side in sides)
-        owner = np.repeat(np.arange(len(their_ends) - 1), np.diff(their_ends))
-        order = np.argsort(others, kind="stable")
-        others, owner = others[order], owner[order]
-        names = [flat(side, "names") for side in sides]
-        known: dict[int, frozenset] = {}
-        found = []
-        for start in range(0, len(ends) - 1, LISTED):
-            stop = min(start + LISTED, len(ends) - 1)
-            asked = codes[ends[start] : ends[stop]]
-            asker = np.repeat(np.arange(start, stop), np.diff(ends[start : stop + 1]))
-            low, high = np.searchsorted(others, asked), np.searchsorted(others, asked, side="right")
-            times = high - low
-            x = np.repeat(asker, times)
-            y = owner[np.arange(times.sum()) + np.repeat(low - np.cumsum(times) + times, times)]
-            near = (early[0][x] - late[1][y] <= within) & (early[1][y] - late[0][x] <= within)
-            met, common = np.unique(x[near] * len(their_ends) + y[near], return_counts=True)
-            last, own = -1, frozenset()
-            for key, shared in zip(met.tolist(), common.tolist(), strict=True):
-                a, b = divmod(key, len(their_ends))
-                if a != last:
-                    last, own = a, frozenset(names[0][0][names[0][1][a] : names[0][1][a + 1]].tolist())
-                if b not in known:
-                    known[b] = frozenset(names[1][0][names[1][1][b] : names[1][1][b + 1]].tolist())
-                if len(own & known[b]) >= (2 if shared >= 2 else 4):
-                    found.append(key)
-        met = np.array(found, np.int64)
-        return pa.table({"signal": sides[0]["class"].take(met // len(their_ends)), "pool": sides[1]["class"].take(met % len(their_ends))})
+        near = lambda x, y: (early[0][x] - late[1][y] <= within) & (early[1][y] - late[0][x] <= within)
+        x, y = _sharing(sides, near)
+        return pa.table({"signal": sides[0]["class"].take(x), "pool": sides[1]["class"].take(y)})
+
+    return pairs_of
+
+
+def near_contexts(early: DataFrame, late: DataFrame | None, within: int, block: int = NEAR) -> DataFrame:
+    """(early, late), numbers of contexts (n, ms, title, pairs, names) that pass ``similarity.context_match`` at most ``within`` apart in time.
+
+    Without ``late`` each pair of ``early`` contexts is listed once, the smaller number first. With it, each of ``late`` is listed with the
+    smallest of ``early`` that it matches, if that is below its ``bound`` (null is none). Contexts of one title (a hash, 0 for an empty one) are no
+    pairs here. A null time is near any other. Contexts are dealt out by spans of ``within`` and meet in the same span and the next
+    one, in cells of two blocks, so that a context is written as often as three spans have blocks.
+    """
+    whole, alone = max(within, 1), late is None
+    span = F.coalesce(F.call_function("div", F.col("ms"), F.lit(whole).cast("long")), F.lit(ANY_TIME))
+    right = (early if alone else late).withColumn("span", span)
+    spans = right.groupBy("span").agg(F.ceil(F.count("*") / block).cast("int").alias("rights"))
+    left = early.withColumn("own", span)
+    over = [0, 1] if alone else [-1, 0, 1]
+    reached = [F.col("own") + k for k in over] + ([] if alone else [F.lit(ANY_TIME)])
+    timed = left.where(F.col("own") != ANY_TIME).withColumn("span", F.explode(F.array(*reached))).join(F.broadcast(spans), "span")
+    placed = timed.unionByName(left.where(F.col("own") == ANY_TIME).crossJoin(F.broadcast(spans)))
+    lefts = placed.groupBy("span").agg(F.ceil(F.count("*") / block).cast("int").alias("lefts"))
+    at = lambda n: F.pmod(F.xxhash64("n", "ms"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["side", "span", "i", "j", "n", "ms", "title", "pairs", "names", "other"]
+    askers = placed.join(F.broadcast(lefts), "span").withColumns({"side": F.lit(0), "other": F.col("own"), "i": at("lefts"), "j": every("rights")})
+    asked = right.join(F.broadcast(lefts), "span").join(F.broadcast(spans), "span")
+    asked = asked.withColumns({"side": F.lit(1), "other": F.lit(0).cast("long") if alone else F.col("bound"), "i": every("lefts"), "j": at("rights")})
+    cells = askers.select(*columns).unionByName(asked.select(*columns))
+    return cells.repartition(_tasks(early), "span", "i", "j").groupBy("span", "i", "j").applyInArrow(_near_in_cell(within, alone), "early long, late long")
+
+
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as cores can share, for work of few bytes, which adaptive plans would join by their bytes."""
+    session = df.sparkSession
+    return max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _near_in_cell(within: int, alone: bool) -> Callable[[pa.Table], pa.Table]:
+    def pairs_of(cell: pa.Table) -> pa.Table:
+        sides = [cell.filter(pyarrow.compute.equal(cell["side"], n)) for n in (0, 1)]
+        n, title = ([side[name].to_numpy() for side in sides] for name in ("n", "title"))
+        ms, timeless = [side["ms"].fill_null(0).to_numpy() for side in sides], [side["ms"].is_null().to_numpy() for side in sides]
+        # Alone, two contexts of one span meet on either side.
+        limit = (sides[0]["other"] if alone else sides[1]["other"].fill_null((1 << 63) - 1)).to_numpy()
+        here = cell["span"][0].as_py()
+
+        def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            one, other = n[0][x], n[1][y]
+            first = (one < other) | ((limit[x] != here) & (one > other)) if alone else one < limit[y]
+            near = (np.abs(ms[0][x] - ms[1][y]) <= within) | timeless[0][x] | timeless[1][y]
+            return first & near & ((title[0][x] != title[1][y]) | (title[0][x] == 0))
+
+        x, y = _sharing(sides, fits)
+        one, other = n[0][x], n[1][y]
+        if alone:
+            return pa.table({"early": np.minimum(one, other), "late": np.maximum(one, other)})
+        order = np.lexsort((one, other))
+        late, firsts = np.unique(other[order], return_index=True)
+        return pa.table({"early": one[order][firsts], "late": late})
 
     return pairs_of
+
+
+def _sharing(sides: list[pa.Table], fits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of contexts (pairs, names) of two sides that pass ``similarity.context_match``, of those that ``fits`` lets through."""
+
+    def flat(side: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+        lists = side[name].combine_chunks()
+        return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+    if not all(side.num_rows for side in sides):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    (codes, ends), (others, their_ends) = (flat(side, "pairs") for side in sides)
+    owner = np.repeat(np.arange(len(their_ends) - 1), np.diff(their_ends))
+    order = np.argsort(others, kind="stable")
+    others, owner = others[order], owner[order]
+    names = [flat(side, "names") for side in sides]
+    low, high = np.searchsorted(others, codes), np.searchsorted(others, codes, side="right")
+    total = np.concatenate(([0], np.cumsum(high - low)))[ends]
+    known: dict[int, frozenset] = {}
+    found, start = [], 0
+    while start < len(ends) - 1:
+        stop = max(start + 1, int(np.searchsorted(total, total[start] + LISTED, side="right")) - 1)
+        first, times = low[ends[start] : ends[stop]], (high - low)[ends[start] : ends[stop]]
+        x = np.repeat(np.repeat(np.arange(start, stop), np.diff(ends[start : stop + 1])), times)
+        y = owner[np.arange(times.sum()) + np.repeat(first - np.cumsum(times) + times, times)]
+        near = fits(x, y)
+        met, common = np.unique(x[near] * len(their_ends) + y[near], return_counts=True)
+        last, own = -1, frozenset()
+        for key, shared in zip(met.tolist(), common.tolist(), strict=True):
+            a, b = divmod(key, len(their_ends))
+            if a != last:
+                last, own = a, frozenset(names[0][0][names[0][1][a] : names[0][1][a + 1]].tolist())
+            if b not in known:
+                known[b] = frozenset(names[1][0][names[1][1][b] : names[1][1][b + 1]].tolist())
+            if len(own & known[b]) >= (2 if shared >= 2 else 4):
+                found.append(key)
+        start = stop
+    return np.divmod(np.array(found, np.int64), len(their_ends))
