@@ -129,7 +129,7 @@ def alike_titles(titles: DataFrame, least: float, block: int = BLOCK) -> DataFra
     placed = marks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
     kind = titles.schema["id"].dataType.simpleString()
-    return cells.repartition(_tasks(titles), "grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(_alike_in_cell(least), f"a {kind}, b {kind}")
+    return cells.repartition(tasks_of(titles), "grp", "i", "j").groupBy("grp", "i", "j").applyInArrow(_alike_in_cell(least), f"a {kind}, b {kind}")
 
 
 def _alike_in_cell(least: float) -> Callable[[pa.Table], pa.Table]:
@@ -298,10 +298,10 @@ def near_contexts(early: DataFrame, late: DataFrame | None, within: int, block:
     asked = right.join(F.broadcast(lefts), "span").join(F.broadcast(spans), "span")
     asked = asked.withColumns({"side": F.lit(1), "other": F.lit(0).cast("long") if alone else F.col("bound"), "i": every("lefts"), "j": at("rights")})
     cells = askers.select(*columns).unionByName(asked.select(*columns))
-    return cells.repartition(_tasks(early), "span", "i", "j").groupBy("span", "i", "j").applyInArrow(_near_in_cell(within, alone), "early long, late long")
+    return cells.repartition(tasks_of(early), "span", "i", "j").groupBy("span", "i", "j").applyInArrow(_near_in_cell(within, alone), "early long, late long")
 
 
-def _tasks(df: DataFrame) -> int:
+def tasks_of(df: DataFrame) -> int:
     """As many tasks as cores can share, for work of few bytes, which adaptive plans would join by their bytes."""
     session = df.sparkSession
     return max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
