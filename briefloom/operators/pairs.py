@@ -283,20 +283,19 @@ def near_contexts(early: DataFrame, late: DataFrame | None, within: int, block:
     """
     whole, alone = max(within, 1), late is None
     span = F.coalesce(F.call_function("div", F.col("ms"), F.lit(whole).cast("long")), F.lit(ANY_TIME))
-    right = (early if alone else late).withColumn("span", span)
-    spans = right.groupBy("span").agg(F.ceil(F.count("*") / block).cast("int").alias("rights"))
-    left = early.withColumn("own", span)
-    over = [0, 1] if alone else [-1, 0, 1]
-    reached = [F.col("own") + k for k in over] + ([] if alone else [F.lit(ANY_TIME)])
-    timed = left.where(F.col("own") != ANY_TIME).withColumn("span", F.explode(F.array(*reached))).join(F.broadcast(spans), "span")
-    placed = timed.unionByName(left.where(F.col("own") == ANY_TIME).crossJoin(F.broadcast(spans)))
-    lefts = placed.groupBy("span").agg(F.ceil(F.count("*") / block).cast("int").alias("lefts"))
+    right, left = (early if alone else late).withColumn("span", span), early.withColumn("own", span)
+    reached = [F.col("own") + k for k in ([0, 1] if alone else [-1, 0, 1])] + ([] if alone else [F.lit(ANY_TIME)])
+    timed = left.where(F.col("own") != ANY_TIME).withColumn("span", F.explode(F.array(*reached)))
+    timeless = left.where(F.col("own") == ANY_TIME)  # these are near any other
+    asking = timed.groupBy("span").agg(F.count("*").alias("n")).join(right.groupBy("span").agg(F.ceil(F.count("*") / block).cast("int").alias("rights")), "span", "right")
+    sizes = asking.crossJoin(timeless.agg(F.count("*").alias("more"))).select("span", F.ceil((F.coalesce("n", F.lit(0)) + F.col("more")) / block).cast("int").alias("lefts"), "rights")
+    sizes = F.broadcast(written(sizes.where("lefts > 0"), "sizes"))
     at = lambda n: F.pmod(F.xxhash64("n", "ms"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     columns = ["side", "span", "i", "j", "n", "ms", "title", "pairs", "names", "other"]
-    askers = placed.join(F.broadcast(lefts), "span").withColumns({"side": F.lit(0), "other": F.col("own"), "i": at("lefts"), "j": every("rights")})
-    asked = right.join(F.broadcast(lefts), "span").join(F.broadcast(spans), "span")
-    asked = asked.withColumns({"side": F.lit(1), "other": F.lit(0).cast("long") if alone else F.col("bound"), "i": every("lefts"), "j": at("rights")})
+    placed = timed.join(sizes, "span").unionByName(timeless.crossJoin(sizes))
+    askers = placed.withColumns({"side": F.lit(0), "other": F.col("own"), "i": at("lefts"), "j": every("rights")})
+    asked = right.join(sizes, "span").withColumns({"side": F.lit(1), "other": F.lit(0).cast("long") if alone else F.col("bound"), "i": every("lefts"), "j": at("rights")})
     cells = askers.select(*columns).unionByName(asked.select(*columns))
     return cells.repartition(tasks_of(early), "span", "i", "j").groupBy("span", "i", "j").applyInArrow(_near_in_cell(within, alone), "early long, late long")
 
